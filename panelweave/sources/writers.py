@@ -7,6 +7,9 @@ from pyspark.sql import functions as F
 
 from panelweave.operators.spread import stable_hash
 
+# Stamps keep their microseconds in text form.
+STAMP = "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"
+
 
 def path_exists(spark: SparkSession, path: str) -> bool:
     """True when ``path`` holds a finished write."""
@@ -39,7 +42,8 @@ def export_delimited(df: DataFrame, path, cols=None, rename=None, sep=",", heade
     """Projected text export."""
     out = df.select(*cols) if cols else df
     out = out.withColumnsRenamed(rename) if rename else out
-    writer = out.write.mode(mode).option("header", header).option("sep", sep)
+    writer = (out.write.mode(mode).option("header", header).option("sep", sep).option("escape", '"')
+              .option("timestampFormat", STAMP + "XXX").option("timestampNTZFormat", STAMP))
     if compression:
         writer = writer.option("compression", compression)
     writer.csv(path)
