@@ -1 +1,71 @@
-"""Queries."""
+"""Structured Streaming jobs, run to the end of the given files."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from catalog import query
+from catalog.inputs import POSTS, r, score_of
+from panelweave.operators.models import linear_scorer
+from panelweave.session import scratch_path
+from panelweave.streaming import jobs
+
+
+def _events(t):
+    return jobs.read_stream(t.spark, t.folder, t.events.schema, "ts", "events.parquet")
+
+
+def _run(t, start, stream):
+    out, mark = scratch_path(t.spark, "stream"), scratch_path(t.spark, "mark")
+    start(stream, out, mark).awaitTermination()
+    return out
+
+
+@query("stream_dedupe", f"SELECT event_id, user_id, event_type, {r('value')} AS value FROM events", "SS-01")
+def _(t):
+    # every event arrives twice
+    twice = _events(t).withColumn("copy", F.explode(F.array(F.lit(1), F.lit(2)))).drop("copy")
+    out = _run(t, jobs.append_to, jobs.deduped(twice, "ts", "event_id"))
+    return jobs.read_appended(t.spark, out).select("event_id", "user_id", "event_type", "value")
+
+
+def _weekly(t, label):
+    rows = _events(t).withColumn("score", score_of("event_type"))
+    stream = jobs.weekly_totals(rows, "ts", "user_id", [
+        F.sum("score").alias("score_sum"), F.count(F.lit(1)).alias("score_count")], label)
+    out = _run(t, jobs.upsert_to, stream)
+    return jobs.read_latest(t.spark, out, ["user_id", "week_start"])
+
+
+@query("stream_weekly", f"WITH {POSTS} SELECT entity AS user_id, CAST(week_start AS VARCHAR) AS week_start, {r('sum(score)')} AS score_sum, "
+       "count(*) AS score_count FROM posts GROUP BY 1, 2", "SS-02")
+def _(t):
+    return _weekly(t, "same_week")
+
+
+@query("stream_weekly_trailing", f"WITH {POSTS} SELECT entity AS user_id, CAST(CAST(date_trunc('week', ts - INTERVAL 1 DAY) + INTERVAL 7 DAY AS DATE) AS VARCHAR) AS week_start, "
+       f"{r('sum(score)')} AS score_sum, count(*) AS score_count FROM posts GROUP BY 1, 2", "SS-02")
+def _(t):
+    return _weekly(t, "trailing")
+
+
+def weights(dim, k=3):
+    return [[float((j * 7 + c * 3) % 5 - 2) for j in range(dim)] for c in range(k)], [0.0] * k
+
+
+SCORE_SQL = "CAST(list_sum(list_transform(embedding, lambda x, j: CAST(x AS DOUBLE) * (((j - 1) * 7 + {c} * 3) % 5 - 2))) AS DOUBLE)"
+SCORED_SQL = f"""WITH s AS (SELECT vec_id, {', '.join(SCORE_SQL.format(c=c) + f' AS topic_{c}' for c in range(3))} FROM embeddings)
+  SELECT vec_id, {', '.join(r(f'topic_{c}') + f' AS topic_{c}' for c in range(3))}, CASE WHEN topic_0 >= topic_1 AND topic_0 >= topic_2 THEN 0
+  WHEN topic_1 >= topic_2 THEN 1 ELSE 2 END AS final_pred FROM s"""
+SCORED = "vec_id bigint, topic_0 double, topic_1 double, topic_2 double, final_pred bigint"
+
+
+@query("stream_score_pending", SCORED_SQL, "SS-03")
+def _(t):
+    dim = t.embeddings.select(F.size("embedding")).first()[0]
+    stream = (t.spark.readStream.schema(t.embeddings.schema).option("pathGlobFilter", "embeddings.parquet")
+              .parquet(t.folder))
+    w, b = weights(dim)
+    out, mark = scratch_path(t.spark, "scores"), scratch_path(t.spark, "mark")
+    jobs.score_pending(stream, out, mark, linear_scorer(w, b, "embedding", "vec_id"), SCORED, "vec_id").awaitTermination()
+    return jobs.read_appended(t.spark, out)

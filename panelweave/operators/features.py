@@ -18,32 +18,41 @@ def _col(c) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
+def _ngram(t: Column, n: int, sep: str) -> Column:
+    starts = F.slice(t, F.lit(1), F.greatest(F.size(t) - (n - 1), F.lit(0)))
+    return F.transform(starts, lambda _, i: F.array_join(F.slice(t, i + 1, F.lit(n)), sep))
+
+
 def ngrams(tokens, low=1, high=2, sep=" ") -> Column:
-    """All n-grams of a token list from ``low`` to ``high`` words."""
+    """All n-grams of a token column from ``low`` to ``high`` words."""
     t = _col(tokens)
-    lists = []
-    for n in range(low, high + 1):
-        starts = F.slice(t, F.lit(1), F.greatest(F.size(t) - (n - 1), F.lit(0)))
-        lists.append(F.transform(
-            starts, lambda _, i, n=n: F.array_join(F.slice(t, i + 1, F.lit(n)), sep)))
+    lists = [t if n == 1 else _ngram(t, n, sep) for n in range(low, high + 1)]
     return F.concat(*lists) if len(lists) > 1 else lists[0]
 
 
-def term_counts(df, doc, terms) -> DataFrame:
-    """Occurrences per (document, term). Each document is one row, so counts
-    are made inside the row's task before anything is shuffled."""
-    return (df.select(doc, F.explode(terms).alias("term"))
-            .groupBy(doc, "term").agg(F.count(F.lit(1)).alias("tf")))
+def term_counts(df, doc, terms, keep=()) -> DataFrame:
+    """Occurrences per (document, term), in long form.
+
+    A document is one row, so its terms are sorted and run lengths taken
+    within the row; nothing is shuffled.
+    """
+    # separate columns: an expression inside a list lambda would be evaluated
+    # once per element
+    rows = df.select(doc, *keep, F.array_sort(_col(terms)).alias("_s"))
+    rows = rows.withColumn("_h", F.filter(
+        F.transform("_s", lambda x, i: F.struct(x.alias("term"), i.alias("at"))),
+        lambda h: (h["at"] == 0) | (F.get("_s", h["at"] - 1) != h["term"])))
+    counted = F.transform("_h", lambda h, i: F.struct(
+        h["term"].alias("term"),
+        (F.coalesce(F.get("_h", i + 1)["at"], F.size("_s")) - h["at"]).cast("bigint").alias("tf")))
+    return rows.select(doc, *keep, F.explode(counted).alias("_c")).select(doc, *keep, "_c.term", "_c.tf")
 
 
 def term_stats(df, terms) -> DataFrame:
     """Document frequency and total frequency per term; ``df`` has one row per
-    document. Partial counts are merged before the shuffle."""
-    per_doc = df.select(F.explode(F.transform(
-        F.array_distinct(terms),
-        lambda t: F.struct(t.alias("term"), F.size(F.filter(terms, lambda x: x == t)).alias("tf")))).alias("_t"))
-    return per_doc.groupBy("_t.term").agg(
-        F.count(F.lit(1)).alias("df"), F.sum("_t.tf").alias("tf"))
+    document. One shuffle, after partial counts are merged."""
+    rows = term_counts(df.withColumn("_d", F.lit(1)), "_d", terms)
+    return rows.groupBy("term").agg(F.count(F.lit(1)).alias("df"), F.sum("tf").alias("tf"))
 
 
 def filter_vocab(df, terms, no_below=fixed.DICT_NO_BELOW, no_above=fixed.MAX_DF, max_terms=None) -> DataFrame:
