@@ -177,7 +177,7 @@ def _(t):
 @query("fit_lda_topics", None, "ST-16")
 def _(t):
     bow, model, counted = models.fit_lda(grams(t), "terms", 5, max_iter=5, max_features=2000)
-    assigned = models.topic_assign(model, counted)
+    assigned = models.topic_assign(model, counted, keep=["doc_id", "text"])
     words = models.top_words(models.topic_terms(model, bow, t.spark), 20)
     best = models.top_docs(assigned, "doc_id", "text", 5).select("topic", "doc_id", "share")
     sizes = assigned.groupBy(F.col("pred").alias("topic")).agg(F.count(F.lit(1)).alias("n_docs"))

@@ -63,11 +63,15 @@ def append(arr, col) -> Column:
 
 
 def pairs_of(arr) -> Column:
-    """Neighbouring elements as ``struct(src, dst)``; empty below two elements."""
+    """Neighbouring elements as ``struct(src, dst)``; empty below two elements.
+
+    The lambda uses its own arguments only. A reference to the list inside it
+    would be evaluated per element once a filter is pushed through.
+    """
     a = _col(arr)
-    firsts = F.slice(a, F.lit(1), F.greatest(F.size(a) - 1, F.lit(0)))
-    return F.transform(
-        firsts, lambda x, i: F.struct(x.alias("src"), F.get(a, i + 1).alias("dst")))
+    n = F.greatest(F.size(a) - 1, F.lit(0))
+    return F.zip_with(F.slice(a, F.lit(1), n), F.slice(a, F.lit(2), n),
+                      lambda x, y: F.struct(x.alias("src"), y.alias("dst")))
 
 
 def flatten_rows(df: DataFrame, arr: str, out: str | None = None, pos: str | None = None) -> DataFrame:

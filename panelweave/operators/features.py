@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from panelweave import fixed
+from panelweave.functions.arrays import pairs_of
 from panelweave.operators.joins import salted_join
 from panelweave.operators.spread import hash_quota, stable_hash
 
@@ -19,8 +20,12 @@ def _col(c) -> Column:
 
 
 def _ngram(t: Column, n: int, sep: str) -> Column:
-    starts = F.slice(t, F.lit(1), F.greatest(F.size(t) - (n - 1), F.lit(0)))
-    return F.transform(starts, lambda _, i: F.array_join(F.slice(t, i + 1, F.lit(n)), sep))
+    # lambdas use their own arguments only, see ``arrays.pairs_of``
+    words = F.greatest(F.size(t) - (n - 1), F.lit(0))
+    out = F.slice(t, F.lit(1), words)
+    for k in range(2, n + 1):
+        out = F.zip_with(out, F.slice(t, F.lit(k), words), lambda a, b: F.concat_ws(sep, a, b))
+    return out
 
 
 def ngrams(tokens, low=1, high=2, sep=" ") -> Column:
@@ -36,15 +41,19 @@ def term_counts(df, doc, terms, keep=()) -> DataFrame:
     A document is one row, so its terms are sorted and run lengths taken
     within the row; nothing is shuffled.
     """
-    # separate columns: an expression inside a list lambda would be evaluated
-    # once per element
     rows = df.select(doc, *keep, F.array_sort(_col(terms)).alias("_s"))
-    rows = rows.withColumn("_h", F.filter(
-        F.transform("_s", lambda x, i: F.struct(x.alias("term"), i.alias("at"))),
-        lambda h: (h["at"] == 0) | (F.get("_s", h["at"] - 1) != h["term"])))
-    counted = F.transform("_h", lambda h, i: F.struct(
-        h["term"].alias("term"),
-        (F.coalesce(F.get("_h", i + 1)["at"], F.size("_s")) - h["at"]).cast("bigint").alias("tf")))
+    n = F.size("_s")
+    before = F.concat(F.array(F.lit(None).cast("string")), F.slice("_s", F.lit(1), F.greatest(n - 1, F.lit(0))))
+    fresh = F.zip_with("_s", F.slice(before, F.lit(1), n), lambda x, p: F.struct(
+        x.alias("term"), (p.isNull() | (p != x)).alias("new")))
+    rows = rows.select(doc, *keep, n.cast("bigint").alias("_n"), F.filter(
+        F.transform(fresh, lambda e, i: F.struct(
+            e["term"].alias("term"), i.cast("bigint").alias("at"), e["new"].alias("new"))),
+        lambda e: e["new"]).alias("_h"))
+    starts = F.transform("_h", lambda h: h["at"])
+    ends = F.concat(F.slice(starts, F.lit(2), F.size("_h")), F.array("_n"))
+    counted = F.zip_with("_h", F.slice(ends, F.lit(1), F.size("_h")), lambda h, e: F.struct(
+        h["term"].alias("term"), (e - h["at"]).alias("tf")))
     return rows.select(doc, *keep, F.explode(counted).alias("_c")).select(doc, *keep, "_c.term", "_c.tf")
 
 
@@ -114,11 +123,9 @@ def phrase_table(df, tokens, min_count=fixed.PHRASE_MIN_COUNT, threshold=fixed.P
     words and pairs together.
     """
     words = df.select(F.explode(tokens).alias("w")).groupBy("w").agg(F.count(F.lit(1)).alias("n"))
-    t = _col(tokens)
-    firsts = F.slice(t, F.lit(1), F.greatest(F.size(t) - 1, F.lit(0)))
-    pairs = (df.select(F.explode(F.transform(
-        firsts, lambda x, i: F.struct(x.alias("a"), F.get(t, i + 1).alias("b")))).alias("_p"))
-        .groupBy("_p.a", "_p.b").agg(F.count(F.lit(1)).alias("n_ab")))
+    pairs = (df.select(F.explode(pairs_of(tokens)).alias("_p"))
+             .groupBy(F.col("_p.src").alias("a"), F.col("_p.dst").alias("b"))
+             .agg(F.count(F.lit(1)).alias("n_ab")))
     size = words.agg(F.count(F.lit(1)).alias("_u")).crossJoin(
         F.broadcast(pairs.agg(F.count(F.lit(1)).alias("_b")))).select((F.col("_u") + F.col("_b")).alias("_v"))
     # pairs at or below min_count cannot pass, whatever their words
@@ -135,11 +142,8 @@ def collocations(df, doc, tokens, min_count=fixed.PHRASE_MIN_COUNT, threshold=fi
     """Append ``a_b`` for every phrase found in a document, left to right and
     without overlap."""
     phrases = phrase_table(df, tokens, min_count, threshold) if phrases is None else phrases
-    t = _col(tokens)
-    firsts = F.slice(t, F.lit(1), F.greatest(F.size(t) - 1, F.lit(0)))
-    long = df.select(doc, F.posexplode(F.transform(
-        firsts, lambda x, i: F.struct(x.alias("a"), F.get(t, i + 1).alias("b")))).alias("_pos", "_p")
-    ).select(doc, "_pos", "_p.a", "_p.b")
+    long = df.select(doc, F.posexplode(pairs_of(tokens)).alias("_pos", "_p")).select(
+        doc, "_pos", F.col("_p.src").alias("a"), F.col("_p.dst").alias("b"))
     hits = salted_join(long, phrases.select("a", "b"), ["a", "b"])
     # no longer than the document
     found = hits.groupBy(doc).agg(F.array_sort(F.collect_list(

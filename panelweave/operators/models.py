@@ -24,6 +24,7 @@ from panelweave.operators.features import fit_bow
 from panelweave.operators.joins import pending
 from panelweave.operators.ordering import arg_best, top_terms
 from panelweave.operators.stats import regression_metrics
+from panelweave.session import settle
 
 REGRESSORS = {
     "rand_for": lambda: RandomForestRegressor(seed=fixed.SEED, numTrees=50),
@@ -163,13 +164,19 @@ def fit_lda(df, terms, k=20, seed=fixed.SEED, max_iter=20, min_df=fixed.MIN_DF,
     return bow, lda.fit(counted), counted
 
 
-def topic_assign(model, counted, prefix="topic_", out="pred") -> DataFrame:
-    """Topic shares per document as columns, and the name of the largest."""
+def topic_assign(model, counted, prefix="topic_", out="pred", keep=None, store=True) -> DataFrame:
+    """Topic shares per document as columns, and the name of the largest.
+
+    Scoring is costly and its result feeds several reports, so it is stored
+    once (``keep`` limits the stored columns). That also keeps later filters
+    from being pushed into the scoring expression.
+    """
     k = model.getK()
-    rows = model.transform(counted).withColumn("_t", vector_to_array("topicDistribution"))
-    rows = rows.withColumns({f"{prefix}{i}": F.get("_t", F.lit(i)) for i in range(k)})
-    names = [f"{prefix}{i}" for i in range(k)]
-    return rows.withColumn(out, argmax_col(names)).drop("_t", "topicDistribution", "features")
+    kept = [c for c in (keep or counted.columns) if c != "features"]
+    rows = model.transform(counted).select(*kept, vector_to_array("topicDistribution").alias("_t"))
+    rows = rows.select(*kept, *[F.get("_t", F.lit(i)).alias(f"{prefix}{i}") for i in range(k)])
+    rows = settle(rows) if store else rows
+    return rows.withColumn(out, argmax_col([f"{prefix}{i}" for i in range(k)]))
 
 
 def topic_terms(model, bow, spark, prefix="topic_") -> DataFrame:

@@ -93,7 +93,7 @@ def author_topics_by_period(docs, date, author, terms, periods, doc="doc_id", k=
             rows = rows if values is None else filters.where_in(rows, family, values)
             bow, model, counted = models.fit_lda(
                 rows, terms, k, seed, max_iter, min_df, fixed.MAX_DF, alpha=0.5, eta=0.01)
-            mix = models.author_topic_mix(models.topic_assign(model, counted), author, k)
+            mix = models.author_topic_mix(models.topic_assign(model, counted, keep=[author]), author, k)
             words = models.top_words(models.topic_terms(model, bow, docs.sparkSession), 30)
             parts.append(mix.join(words, "topic").withColumns(
                 {"period": F.lit(name), "family": F.lit(tag)}))
