@@ -100,10 +100,10 @@ def _(t):
 
 @query("threshold_network", f"SELECT least(a, b) AS src, greatest(a, b) AS dst, max(rho) AS weight FROM ({RANKED}" + " UNION ALL ".join(
     f"SELECT '{a}' AS a, '{b}' AS b, {r(f'corr({a}, {b})')} AS rho FROM k" for a in "FOP" for b in "FOP" if a != b)
-    + ") WHERE round(rho, 2) >= 0.2 GROUP BY 1, 2", "G-08")
+    + ") WHERE round(rho, 2) >= -0.3 GROUP BY 1, 2", "G-08")
 def _(t):
     wide = reshape.to_wide(status_weeks(t), "week_start", "series", list("FOP"), "n").dropna()
-    return graph.threshold_network(stats.corr_matrix(wide, list("FOP"), "spearman"), 0.2)
+    return graph.threshold_network(stats.corr_matrix(wide, list("FOP"), "spearman"), -0.3)
 
 
 @query("graph_view", f"WITH {EDGES} SELECT 'multi' AS view, src, dst FROM edges UNION ALL "

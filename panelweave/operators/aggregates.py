@@ -44,7 +44,8 @@ def concat_text(df, keys, text, order, out="text", sep=" ", part="part",
     """
     keys, order = _keys(keys), _cols(order)
     rows = df.where(F.col(text).isNotNull())
-    if largest_group(rows, keys) > max_rows:
+    # counted on the key columns only; the text is not read for it
+    if largest_group(df, keys) > max_rows:
         place = running_total(rows, keys, order, F.lit(1).cast("bigint"), "_p")
         rows = place.withColumn(part, F.floor((F.col("_p") - 1) / max_rows).cast("bigint")).drop("_p")
     else:

@@ -86,11 +86,18 @@ def number_rows(df: DataFrame, keys, order, out="row_number", hot_rows=HOT_ROWS)
     return running_total(df, keys, order, F.lit(1).cast("bigint"), out)
 
 
-def _cut_points(x: DataFrame, slices: int) -> list[float]:
-    """Distinct approximate cut points of column ``x``; at most ``slices``."""
-    cuts = x.agg(F.percentile_approx(
-        "x", [i / slices for i in range(1, slices)], 20 * slices)).first()[0] or []
-    return sorted({float(c) for c in cuts if not math.isinf(c)})
+# A column with no more values than this is ranked as one slice.
+ONE_SLICE = 100_000
+
+
+def _cut_points(x: DataFrame, slices: int) -> tuple[int, list[float]]:
+    """Number of values, and distinct approximate cut points of column ``x``
+    (fewer than ``slices``; none for a short column). One pass."""
+    n, cuts = x.agg(F.count("x"), F.percentile_approx(
+        "x", [i / slices for i in range(1, slices)], 20 * slices)).first()
+    if n <= ONE_SLICE:
+        return n, []
+    return n, sorted({float(c) for c in cuts or [] if not math.isinf(c)})
 
 
 def _sliced(x: DataFrame, cuts: list[float]) -> DataFrame:
@@ -110,15 +117,19 @@ def _values(df: DataFrame, col) -> DataFrame:
 def order_values(df: DataFrame, col, wanted, slices=SLICES) -> tuple[int, dict[int, float]]:
     """Exact order statistics of a column, nulls and NaN left out.
 
-    ``wanted`` maps the number of values n to the 1-based ranks to fetch.
+    ``wanted`` maps the number of values n to the 1-based ranks to fetch. The
+    column is read up to three times, so store a costly input first.
     Returns ``(n, {rank: value})``. Only slice counts (at most ``slices``) and
     the wanted values reach the driver; rows are shuffled only for slices that
     hold a wanted rank, after equal values are merged.
     """
     x = _values(df, col)
-    b = _sliced(x, _cut_points(x, slices))
-    counts = sorted((r["b"], r["count"]) for r in b.groupBy("b").count().collect())
-    n = sum(c for _, c in counts)
+    n, cuts = _cut_points(x, slices)
+    b = _sliced(x, cuts)
+    if cuts:
+        counts = sorted((r["b"], r["count"]) for r in b.groupBy("b").count().collect())
+    else:
+        counts = [(0.0, n)]
     ranks = sorted({r for r in wanted(n) if 1 <= r <= n})
     need, before = [], 0
     for slice_no, count in counts:
@@ -163,7 +174,7 @@ def quantiles(df: DataFrame, col, probs, method="linear", slices=SLICES) -> list
 def average_ranks(df: DataFrame, col, value="value", rank="rank", slices=SLICES) -> DataFrame:
     """One row per distinct value with its average rank over all rows."""
     x = _values(df, col)
-    merged = _sliced(x.groupBy("x").count(), _cut_points(x, slices))
+    merged = _sliced(x.groupBy("x").count(), _cut_points(x, slices)[1])
     heads = merged.groupBy("b").agg(F.sum("count").alias("t"))
     # heads has at most `slices` rows
     heads = heads.select("b", F.coalesce(

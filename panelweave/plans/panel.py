@@ -9,6 +9,7 @@ from panelweave import fixed
 from panelweave.functions import arrays, bins, dates, text
 from panelweave.operators import aggregates, filters, joins, reshape, windows
 from panelweave.operators.spread import quantiles
+from panelweave.session import settle
 
 
 def shift_indicators(panel, entity="entity", week="week_start", score="prediction", max_gap=None) -> DataFrame:
@@ -86,14 +87,17 @@ def regional_exposure(weekly, population, measures, region="region", pop="pop",
                       out_prefix="treat_") -> DataFrame:
     """Largest weekly value per head and region, and flags for values above
     the upper quartile; ``composite`` names two measures to multiply."""
+    # the peaks are unique by construction; only the dimension needs a check
     peak = aggregates.group_max(weekly, region, measures)
-    rows = joins.checked_join(peak, population, region, "left", "1:1")
+    rows = joins.checked_join(peak, population, region, "left", "m:1")
     for m in measures:
         rows = filters.with_rate(rows, m, pop, m)
     flags = list(measures)
     if composite:
         rows = rows.withColumn("composite", F.col(composite[0]) * F.col(composite[1]))
         flags.append("composite")
+    # one row per region, read several times below
+    rows = settle(rows)
     limits = {m: quantiles(rows, m, [0.75])[0] for m in flags}
     return rows.withColumns({f"{out_prefix}{m}": F.col(m) > F.lit(v).cast("double") for m, v in limits.items()})
 

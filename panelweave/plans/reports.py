@@ -12,6 +12,7 @@ from panelweave.functions import text as textfn
 from panelweave.operators import (
     aggregates, decompose, eventstudy, features, filters, graph, joins, models, ordering, reshape, stats, windows,
 )
+from panelweave.session import settle
 
 
 def weekly_series(panel, tags, bins, groups, week="week_start", bin_col="score_bin", value=None) -> DataFrame:
@@ -128,6 +129,8 @@ def validation_curves(panel, outcomes, score="prediction", rates=(), den="n_post
     rows = panel
     for c in rates:
         rows = filters.with_rate(rows, c, den, c)
+    # cut points and fits read the few columns several times
+    rows = settle(rows.select(score, *outcomes))
     points, curves = [], []
     for y in outcomes:
         pair = rows.select(F.col(score).alias("x"), F.col(y).cast("double").alias("y")).dropna()

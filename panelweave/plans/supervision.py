@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from panelweave import fixed
 from panelweave.functions import bins, dates, text, urls
 from panelweave.operators import aggregates, features, filters, joins
+from panelweave.session import settle
 
 
 def post_domains(posts, links, post_id="post_id", text_col="text", url="url", location="location",
@@ -75,9 +76,14 @@ def entity_week_corpus(posts, attrs=None, entity="entity", ts="ts", text_col="te
 
 
 def training_sets(training, entity="entity", week="week_start", text_col="text", order=("ts", "post_id"),
-                  score="final_score", bin_col="score_bin", seed=fixed.SEED) -> tuple[DataFrame, DataFrame]:
+                  score="final_score", bin_col="score_bin", seed=fixed.SEED, store=True) -> tuple[DataFrame, DataFrame]:
     """Merged entity-week texts with their score and a split by entity, and
-    the summary of both forms."""
+    the summary of both forms.
+
+    The training rows are read several times; they are stored first unless
+    they come from a stored table already (``store=False``).
+    """
+    training = settle(training) if store else training
     merged = aggregates.concat_text(training, [entity, week], text_col, list(order), text_col)
     # score and bin are constant within an entity-week
     target = training.groupBy(entity, week).agg(F.min(score).alias(score), F.min(bin_col).alias(bin_col))
