@@ -8,6 +8,7 @@ from __future__ import annotations
 import json
 import os
 import re
+import sys
 import time
 
 HEADLINE = """weekly_entity_score distant_supervision entity_week_corpus shift_indicators
@@ -37,6 +38,7 @@ def main():
         started = time.time()
         queries[name](spark, folder).write.format("noop").mode("overwrite").save()
         times[name] = round(time.time() - started, 3)
+        print(name, times[name], file=sys.stderr, flush=True)
     spark.stop()
     scale = re.search(r"sf([0-9.]+)", folder)
     print(json.dumps({

@@ -12,10 +12,12 @@ from importlib import import_module
 from pyspark.sql import functions as F
 
 from panelweave.session import prepare
+from panelweave.sources.readers import widen
 
 QUERIES: dict = {}
 ORACLES: dict = {}
 AREAS: dict = {}
+TEXT_KEYS = {"documents": "doc_id", "pages": "page_id"}
 
 _MODULES = ("io_queries", "filter_queries", "join_queries", "aggregate_queries", "window_queries",
             "text_queries", "stats_queries", "model_queries", "graph_queries", "stream_queries", "composite_queries")
@@ -47,7 +49,9 @@ class Tables:
         return f"{self.folder}/{name}.parquet"
 
     def __getattr__(self, name):
-        return self.spark.read.parquet(self.path(name))
+        rows = self.spark.read.parquet(self.path(name))
+        # long texts: use all cores even where the table is one small file
+        return widen(rows, TEXT_KEYS[name]) if name in TEXT_KEYS else rows
 
 
 def query(name, sql=None, area=""):

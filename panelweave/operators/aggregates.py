@@ -50,7 +50,7 @@ def concat_text(df, keys, text, order, out="text", sep=" ", part="part",
         rows = place.withColumn(part, F.floor((F.col("_p") - 1) / max_rows).cast("bigint")).drop("_p")
     else:
         rows = rows.withColumn(part, F.lit(0).cast("bigint"))
-    ranked = F.array_sort(F.collect_list(F.struct(
+    ranked = F.sort_array(F.collect_list(F.struct(
         *[c.alias(f"_o{i}") for i, c in enumerate(order)], F.col(text).alias("_t"))))
     return rows.groupBy(*keys, part).agg(
         F.array_join(F.transform(ranked, lambda s: s["_t"]), sep).alias(out))

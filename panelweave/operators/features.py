@@ -41,7 +41,7 @@ def term_counts(df, doc, terms, keep=()) -> DataFrame:
     A document is one row, so its terms are sorted and run lengths taken
     within the row; nothing is shuffled.
     """
-    rows = df.select(doc, *keep, F.array_sort(_col(terms)).alias("_s"))
+    rows = df.select(doc, *keep, F.sort_array(_col(terms)).alias("_s"))
     n = F.size("_s")
     before = F.concat(F.array(F.lit(None).cast("string")), F.slice("_s", F.lit(1), F.greatest(n - 1, F.lit(0))))
     fresh = F.zip_with("_s", F.slice(before, F.lit(1), n), lambda x, p: F.struct(
@@ -146,7 +146,7 @@ def collocations(df, doc, tokens, min_count=fixed.PHRASE_MIN_COUNT, threshold=fi
         doc, "_pos", F.col("_p.src").alias("a"), F.col("_p.dst").alias("b"))
     hits = salted_join(long, phrases.select("a", "b"), ["a", "b"])
     # no longer than the document
-    found = hits.groupBy(doc).agg(F.array_sort(F.collect_list(
+    found = hits.groupBy(doc).agg(F.sort_array(F.collect_list(
         F.struct("_pos", F.concat_ws("_", "a", "b").alias("w")))).alias("_f"))
     chosen = F.aggregate(
         F.col("_f"),

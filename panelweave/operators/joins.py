@@ -134,7 +134,7 @@ def lookup_list(df, arr, table, key, value, out, row_id, hot_rows=HOT_KEY_ROWS)
     long = df.select(*ids, F.posexplode(arr).alias("_pos", "_key"))
     hits = lookup_long(long, "_key", table, key, value, "_val", hot_rows)
     lists = hits.groupBy(*ids).agg(
-        F.transform(F.array_sort(F.collect_list(F.struct("_pos", "_val"))),
+        F.transform(F.sort_array(F.collect_list(F.struct("_pos", "_val"))),
                     lambda s: s["_val"]).alias(out))
     kind = lists.schema[out].dataType
     return df.join(lists, ids, "left").withColumn(

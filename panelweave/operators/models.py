@@ -192,7 +192,7 @@ def top_words(terms, k=20) -> DataFrame:
     """The k heaviest words of each topic as one string."""
     ranked = top_terms(terms, "topic", "term", "weight", k)
     return ranked.groupBy("topic").agg(F.array_join(F.transform(
-        F.array_sort(F.collect_list(F.struct("rank", "term"))), lambda s: s["term"]), ", ").alias("words"))
+        F.sort_array(F.collect_list(F.struct("rank", "term"))), lambda s: s["term"]), ", ").alias("words"))
 
 
 def top_docs(assigned, doc, text, k, prefix="topic_") -> DataFrame:

@@ -18,6 +18,16 @@ def read_posts(spark: SparkSession, path, schema: T.StructType, fmt="csv") -> Da
     return check_schema(spark.read.parquet(path), schema).select(*[f.name for f in schema])
 
 
+def widen(df: DataFrame, key=None) -> DataFrame:
+    """Deal rows over all cores when a scan has fewer splits than cores, as
+    with one small file of long texts. A scan with enough splits is left as
+    it is."""
+    n = df.sparkSession.sparkContext.defaultParallelism
+    if df.rdd.getNumPartitions() >= n:
+        return df
+    return df.repartition(n, key) if key else df.repartition(n)
+
+
 def read_dim_csv(spark, path, schema) -> DataFrame:
     """A small reference table; a byte-order mark at the start is skipped."""
     return spark.read.schema(schema).option("header", True).option("mode", "FAILFAST").csv(path)
