@@ -75,14 +75,12 @@ def test_weekly_score_joins_the_week_before(spark):
     assert got == [(dt.date(2020, 2, 24), 0.0), (dt.date(2020, 3, 2), 0.5)]
 
 
-def test_sources(spark):
-    path = scratch_path(spark, "labels")
+def test_sources(spark, tmp_path):
+    path = f"{tmp_path}/labels.csv"
     rows = spark.createDataFrame([("a.it", "-", 0.5, "newspaper")], schemas.DOMAIN_LABELS)
-    hadoop = spark.sparkContext._jvm.java.nio.file
-    hadoop.Files.createDirectories(hadoop.Paths.get(path))
-    with open(f"{path}/labels.csv", "w", encoding="utf-8-sig") as f:
+    with open(path, "w", encoding="utf-8-sig") as f:
         f.write("domain,polarity_cat,polarity_cont,type\na.it,-,0.5,newspaper\n")
-    assert readers.read_dim_csv(spark, f"{path}/labels.csv", schemas.DOMAIN_LABELS).collect() == rows.collect()
+    assert readers.read_dim_csv(spark, path, schemas.DOMAIN_LABELS).collect() == rows.collect()
     with pytest.raises(schemas.SchemaMismatch):
         schemas.check_schema(rows.drop("type"), schemas.DOMAIN_LABELS)
     calls = []

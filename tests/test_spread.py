@@ -49,7 +49,7 @@ def test_hash_quota(spark, hot):
     cuts = lambda n: [("a", F.round(n * 0.3)), ("b", F.round(n * 0.1)), ("c", n)]
     got = spread.hash_quota(df, "k", "id", cuts, "part", seed=3, slices=8)
     assert got.count() == 3000
-    sizes = got.groupBy("k").pivot("part", ["a", "b"]).count().na.fill(0).toPandas().set_index("k")
+    sizes = got.groupBy("k").pivot("part", ["a", "b"]).count().na.fill(0).toPandas().set_index("k").sort_index()
     n = hot.groupby("k").size()
     half_up = lambda x: np.floor(x + 0.5)
     assert (sizes["a"] == half_up(n * 0.3)).all() and (sizes["b"] == half_up(n * 0.1)).all()

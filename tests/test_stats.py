@@ -66,6 +66,9 @@ def naive_loess(y, width, at):
         gap = np.abs(x - x0)
         reach = gap.max() + max(width - n, 0) // 2
         w = np.where(gap < 0.999 * reach, (1 - (gap / reach) ** 3) ** 3, 0)
+        if (w > 0).sum() == 1:
+            out.append(y[x][w > 0][0])
+            continue
         out.append(np.polyval(np.polyfit(x - x0, y[x], 1, w=np.sqrt(w)), 0))
     return np.array(out)
 

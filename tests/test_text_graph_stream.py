@@ -106,12 +106,14 @@ def test_streams_match_batch(spark):
     rows = spark.range(400).select(
         F.col("id"), (F.col("id") % 7).alias("e"),
         F.expr("timestamp'2024-01-01 00:00:00' + make_dt_interval(0, cast(2 * id as int))").alias("ts"), F.lit(1.0).alias("s"))
-    rows.union(rows.where("id < 40")).repartitionByRange(4, "ts").write.parquet(folder)
-    stream = jobs.deduped(jobs.read_stream(spark, folder, rows.schema, "ts", files_per_trigger=1), "ts", "id", "30 days")
+    # files arrive in order of time; the repeats come last but within the delay
+    for part in ("id < 200", "id >= 200", "id < 40"):
+        rows.where(part).coalesce(1).write.mode("append").parquet(folder)
+    stream = jobs.deduped(jobs.read_stream(spark, folder, rows.schema, "ts", files_per_trigger=1), "ts", "id", "60 days")
     out = scratch_path(spark, "out")
     jobs.append_to(stream, out, scratch_path(spark, "mark")).awaitTermination()
     assert sorted(r["id"] for r in jobs.read_appended(spark, out).collect()) == list(range(400))
-    weekly = jobs.weekly_totals(jobs.read_stream(spark, folder, rows.schema, "ts", files_per_trigger=1), "ts", "e", [F.count(F.lit(1)).alias("n")])
+    weekly = jobs.weekly_totals(jobs.read_stream(spark, folder, rows.schema, "ts", files_per_trigger=1), "ts", "e", [F.count(F.lit(1)).alias("n")], delay="60 days")
     out = scratch_path(spark, "weekly")
     jobs.upsert_to(weekly, out, scratch_path(spark, "mark")).awaitTermination()
     got = {(r["e"], r["week_start"]): r["n"] for r in jobs.read_latest(spark, out, ["e", "week_start"]).collect()}
