@@ -6,6 +6,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from panelweave.functions import dates
+from panelweave.sources.readers import widen
 
 # category -> score and category -> emotion stand-in
 SCORES = {"view": -1.0, "signup": -0.5, "error": 0.0, "click": 0.5, "purchase": 1.0}
@@ -70,7 +71,7 @@ def linked_posts(t):
     text = (F.when(F.col("post_id") % 3 == 0, F.concat(F.lit("see "), url, F.lit(" end")))
             .when(F.col("post_id") % 3 == 1, F.concat(F.lit("see "), url, F.lit(" and http://nowhere.test/x?id=1 end")))
             .otherwise(F.concat(url, F.lit("\t"), url)))
-    return (posts(t).crossJoin(F.broadcast(n)).withColumn("page_id", F.col("post_id") % F.col("n"))
+    return (widen(posts(t), "post_id").crossJoin(F.broadcast(n)).withColumn("page_id", F.col("post_id") % F.col("n"))
             .join(t.pages.select("page_id", "url"), "page_id").withColumn("text", text)
             .drop("n", "url", "page_id", "score"))
 

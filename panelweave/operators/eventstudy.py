@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from panelweave.operators.reshape import to_long
+from panelweave.session import settle
 
 # The result has one coefficient per event distance; more distances than this
 # would make the k x k system, not the data, the problem.
@@ -73,10 +74,10 @@ def event_study(df, outcomes, dist, entity, ref=-7, z=1.96) -> DataFrame:
     """
     outcomes = [outcomes] if isinstance(outcomes, str) else list(outcomes)
     spark = df.sparkSession
-    cells = _cells(df, outcomes, dist, entity)
+    # read by both passes; at most entities x distances rows per outcome
+    cells = settle(_cells(df, outcomes, dist, entity))
     entities = _entities(cells)
-    days = [r[0] for r in df.select(F.col(dist).cast("int").alias("d")).where("d is not null")
-            .distinct().orderBy("d").limit(MAX_DISTANCES + 1).collect()]
+    days = [r[0] for r in cells.select("dist").distinct().orderBy("dist").limit(MAX_DISTANCES + 1).collect()]
     if len(days) > MAX_DISTANCES:
         raise ValueError("too many event distances")
     if ref not in days:

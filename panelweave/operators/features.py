@@ -11,8 +11,9 @@ from pyspark.sql import functions as F
 
 from panelweave import fixed
 from panelweave.functions.arrays import pairs_of
-from panelweave.operators.joins import salted_join
+from panelweave.operators.joins import BROADCAST_ROWS, salted_join
 from panelweave.operators.spread import hash_quota, stable_hash
+from panelweave.session import settle
 
 
 def _col(c) -> Column:
@@ -73,10 +74,20 @@ def filter_vocab(df, terms, no_below=fixed.DICT_NO_BELOW, no_above=fixed.MAX_DF,
     return kept.orderBy(F.desc("tf"), "term").limit(max_terms) if max_terms else kept
 
 
+def _meet(rows, table, on) -> DataFrame:
+    """Rows whose key is in a stored table, by broadcast when that is small."""
+    if table.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
+        return rows.join(F.broadcast(table), on, "left_semi")
+    return salted_join(rows, table, on, "left_semi")
+
+
 def bow_table(df, doc, terms, vocab) -> DataFrame:
-    """Relational bag of words: counts per (document, kept term). Frequent
-    terms are split in the join."""
-    return salted_join(term_counts(df, doc, terms), vocab.select("term"), "term", "left_semi")
+    """Relational bag of words: counts per (document, kept term).
+
+    The vocabulary is stored once. When counted small it is broadcast, so
+    counts are not shuffled at all; else frequent terms are split in the join.
+    """
+    return _meet(term_counts(df, doc, terms), settle(vocab.select("term")), "term")
 
 
 def idf_table(vocab, n_docs) -> DataFrame:
@@ -126,8 +137,9 @@ def phrase_table(df, tokens, min_count=fixed.PHRASE_MIN_COUNT, threshold=fixed.P
     pairs = (df.select(F.explode(pairs_of(tokens)).alias("_p"))
              .groupBy(F.col("_p.src").alias("a"), F.col("_p.dst").alias("b"))
              .agg(F.count(F.lit(1)).alias("n_ab")))
-    size = words.agg(F.count(F.lit(1)).alias("_u")).crossJoin(
-        F.broadcast(pairs.agg(F.count(F.lit(1)).alias("_b")))).select((F.col("_u") + F.col("_b")).alias("_v"))
+    # counted through the same columns as below, so the shuffles are shared
+    size = words.agg(F.count_if(F.col("n") > 0).alias("_u")).crossJoin(
+        F.broadcast(pairs.agg(F.count_if(F.col("n_ab") > 0).alias("_b")))).select((F.col("_u") + F.col("_b")).alias("_v"))
     # pairs at or below min_count cannot pass, whatever their words
     scored = (pairs.where(F.col("n_ab") > min_count)
               .join(words.toDF("a", "n_a"), "a").join(words.toDF("b", "n_b"), "b")
@@ -142,9 +154,10 @@ def collocations(df, doc, tokens, min_count=fixed.PHRASE_MIN_COUNT, threshold=fi
     """Append ``a_b`` for every phrase found in a document, left to right and
     without overlap."""
     phrases = phrase_table(df, tokens, min_count, threshold) if phrases is None else phrases
+    phrases = settle(phrases.select("a", "b"))
     long = df.select(doc, F.posexplode(pairs_of(tokens)).alias("_pos", "_p")).select(
         doc, "_pos", F.col("_p.src").alias("a"), F.col("_p.dst").alias("b"))
-    hits = salted_join(long, phrases.select("a", "b"), ["a", "b"])
+    hits = _meet(long, phrases, ["a", "b"])
     # no longer than the document
     found = hits.groupBy(doc).agg(F.sort_array(F.collect_list(
         F.struct("_pos", F.concat_ws("_", "a", "b").alias("w")))).alias("_f"))

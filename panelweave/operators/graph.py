@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from panelweave.functions.arrays import adjacent_pairs, append
 from panelweave.operators.joins import salted_join
 from panelweave.operators.windows import shift_in_group
+from panelweave.session import settle
 
 
 def cooccurrence_edges(df, tags, category) -> DataFrame:
@@ -120,24 +121,23 @@ def neighbor_overlap(edges, labels, activity=None, order=None) -> DataFrame:
     return out
 
 
-def triangles(edges) -> DataFrame:
-    """Triangles through each node.
+def triangles(edges, both=None) -> DataFrame:
+    """Triangles through each node; ``both`` is the stored ``symmetric`` table.
 
     Edges point from the smaller to the larger degree, so a node's list of
     out-neighbours is no longer than the square root of twice the number of
     edges. Each edge meets the lists of its two ends (hot ends are split) and
     only the shared neighbours, that is real triangles, are written out.
     """
-    both = symmetric(edges)
-    # one shuffle by node gives degrees and stays in place for the join
+    both = settle(symmetric(edges)) if both is None else both
     degree = both.groupBy("node").agg(F.count(F.lit(1)).alias("d"))
     pairs = both.where("node < neighbor")
     ranked = salted_join(pairs, degree.toDF("node", "d1"), "node")
     ranked = salted_join(ranked, degree.toDF("neighbor", "d2"), "neighbor")
     forward = (F.col("d1") < F.col("d2")) | ((F.col("d1") == F.col("d2")) & (F.col("node") < F.col("neighbor")))
-    arcs = ranked.select(
+    arcs = settle(ranked.select(
         F.when(forward, F.col("node")).otherwise(F.col("neighbor")).alias("u"),
-        F.when(forward, F.col("neighbor")).otherwise(F.col("node")).alias("v"))
+        F.when(forward, F.col("neighbor")).otherwise(F.col("node")).alias("v")))
     lists = arcs.groupBy("u").agg(F.collect_list("v").alias("outs"))
     open_arcs = salted_join(arcs, lists.toDF("v", "outs_v"), "v")
     closed = (open_arcs.join(lists.toDF("u", "outs_u"), "u")
@@ -149,7 +149,10 @@ def triangles(edges) -> DataFrame:
 def clustering_coefficient(edges) -> DataFrame:
     """Triangles through a node over its neighbour pairs; 0 below two
     neighbours."""
-    counted = neighbors(edges).join(triangles(edges), "node", "left")
+    # the simple edges are read several times
+    both = settle(symmetric(edges))
+    counted = both.groupBy("node").agg(F.count(F.lit(1)).alias("n_neighbors")).join(
+        triangles(edges, both), "node", "left")
     d, t = F.col("n_neighbors"), F.coalesce(F.col("n_triangles"), F.lit(0).cast("bigint"))
     return counted.select("node", "n_neighbors", t.alias("n_triangles"), F.coalesce(
         F.try_divide(2.0 * t, (d * (d - 1)).cast("double")), F.lit(0.0)).alias("coefficient"))

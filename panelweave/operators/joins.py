@@ -92,6 +92,7 @@ def salted_join(big, side, on, how="inner", hot_rows=HOT_KEY_ROWS, max_hot=MAX_H
     ``spread_by`` (all columns by default) and the matching rows of ``side``
     are copied once per share. Other rows are joined as usual, in the same
     join. Only ``inner``, ``left``, ``left_semi`` and ``left_anti`` make sense.
+    ``big`` is read twice, so store it first where it is costly to compute.
     """
     if how not in ("inner", "left", "left_semi", "left_anti"):
         raise ValueError(f"cannot split a {how} join")

@@ -15,9 +15,11 @@ def post_domains(posts, links, post_id="post_id", text_col="text", url="url", lo
                  keep=()) -> DataFrame:
     """One row per resolved link of a post with its registered domain.
 
-    Links that resolve to nothing or failed are dropped before the join.
+    Links that resolve to nothing or failed are dropped before the join. The
+    long link table, much smaller than the texts, is stored, so that the texts
+    are scanned once although hot links are counted before the join.
     """
-    long = posts.select(post_id, *keep, F.explode(text.extract_urls(text_col)).alias("_url"))
+    long = settle(posts.select(post_id, *keep, F.explode(text.extract_urls(text_col)).alias("_url")))
     usable = links.where(F.col(location).isNotNull() & (F.col(location) != fixed.LINK_ERROR))
     found = joins.lookup_long(long, "_url", usable, url, location, "_location")
     return found.withColumn("domain", urls.registered_domain("_location")).drop("_url", "_location")
