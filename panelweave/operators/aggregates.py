@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from panelweave.functions.dates import week_label, week_start
 from panelweave.operators.spread import (
-    HOT_ROWS, _cols, largest_group, quantiles, running_total, stable_hash,
+    HOT_ROWS, _cols, quantiles, running_total, split_hot, stable_hash,
 )
 
 # A text group up to this many rows is joined in one value.
@@ -43,13 +43,14 @@ def concat_text(df, keys, text, order, out="text", sep=" ", part="part",
     group in order; every other group is one row with part 0.
     """
     keys, order = _keys(keys), _cols(order)
-    rows = df.where(F.col(text).isNotNull())
-    # counted on the key columns only; the text is not read for it
-    if largest_group(df, keys) > max_rows:
-        place = running_total(rows, keys, order, F.lit(1).cast("bigint"), "_p")
-        rows = place.withColumn(part, F.floor((F.col("_p") - 1) / max_rows).cast("bigint")).drop("_p")
-    else:
-        rows = rows.withColumn(part, F.lit(0).cast("bigint"))
+    known = F.col(text).isNotNull()
+    # large groups are found by the key columns alone; no text is read for it
+    plain, hot = split_hot(df, keys, max_rows)
+    rows = plain.where(known).withColumn(part, F.lit(0).cast("bigint"))
+    if hot is not None:
+        place = running_total(hot.where(known), keys, order, F.lit(1).cast("bigint"), "_p")
+        rows = rows.unionByName(place.withColumn(
+            part, F.floor((F.col("_p") - 1) / max_rows).cast("bigint")).drop("_p"))
     ranked = F.sort_array(F.collect_list(F.struct(
         *[c.alias(f"_o{i}") for i, c in enumerate(order)], F.col(text).alias("_t"))))
     return rows.groupBy(*keys, part).agg(

@@ -12,7 +12,7 @@ from panelweave.session import settle
 
 # The result has one coefficient per event distance; more distances than this
 # would make the k x k system, not the data, the problem.
-MAX_DISTANCES = 2_000
+MAX_DISTANCES = 1_000
 
 
 def _cells(df, outcomes, dist, entity) -> DataFrame:

@@ -6,9 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from panelweave.operators.quality import assert_unique
+from panelweave.operators.spread import BROADCAST_ROWS
 
-# A side is broadcast only up to this many rows, counted first.
-BROADCAST_ROWS = 200_000
 # Keys with more rows than this are split over several tasks.
 HOT_KEY_ROWS = 500_000
 # At most this many keys are split; by counting, every other key has less than

@@ -22,6 +22,8 @@ from pyspark.sql import functions as F
 
 from panelweave.session import settle
 
+# A side is broadcast only up to this many rows, counted first.
+BROADCAST_ROWS = 200_000
 # A group up to this many rows is sorted in one task.
 HOT_ROWS = 1_000_000
 SLICES = 256
@@ -32,10 +34,26 @@ def _cols(cols):
     return [F.col(c) if isinstance(c, str) else c for c in cols]
 
 
-def largest_group(df: DataFrame, keys) -> int:
-    """Row count of the largest group (one aggregate over the key columns)."""
-    top = df.groupBy(*_cols(keys)).count().agg(F.max("count")).first()[0]
-    return top or 0
+def null_safe(left: str, right: str, keys) -> Column:
+    """Equality of all keys between two aliases; null equals null."""
+    out = F.lit(True)
+    for k in keys:
+        out = out & F.col(f"{left}.{k}").eqNullSafe(F.col(f"{right}.{k}"))
+    return out
+
+
+def split_hot(df: DataFrame, keys, limit: int):
+    """Rows of groups up to ``limit`` rows, and rows of larger groups (None if
+    there are none). One count over the key columns finds the larger groups;
+    there are at most rows / ``limit`` of them."""
+    hot = settle(df.groupBy(*keys).count().where(F.col("count") > limit).select(*keys))
+    n = hot.limit(BROADCAST_ROWS + 1).count()
+    if n == 0:
+        return df, None
+    side = (F.broadcast(hot) if n <= BROADCAST_ROWS else hot).alias("r")
+    match = null_safe("l", "r", keys)
+    rows = df.alias("l")
+    return rows.join(side, match, "left_anti"), rows.join(side, match, "left_semi")
 
 
 def running_total(df: DataFrame, keys, order, value, out: str, parts: int | None = None) -> DataFrame:
@@ -75,15 +93,21 @@ def running_total(df: DataFrame, keys, order, value, out: str, parts: int | None
 def number_rows(df: DataFrame, keys, order, out="row_number", hot_rows=HOT_ROWS) -> DataFrame:
     """Exact 1-based row number inside each group.
 
-    Groups up to ``hot_rows`` rows use a window; if any group is larger, the
-    whole table goes through ``running_total``.
+    Groups up to ``hot_rows`` rows use a window; rows of larger groups go
+    through ``running_total``.
     """
     keys = [keys] if isinstance(keys, str) else list(keys)
-    rows = largest_group(df, keys) if keys else df.count()
-    if rows <= hot_rows:
+    if keys:
+        plain, hot = split_hot(df, keys, hot_rows)
+    else:
+        plain, hot = (df, None) if df.count() <= hot_rows else (None, df)
+    parts = []
+    if plain is not None:
         window = Window.partitionBy(*keys).orderBy(*_cols(order))
-        return df.withColumn(out, F.row_number().over(window).cast("bigint"))
-    return running_total(df, keys, order, F.lit(1).cast("bigint"), out)
+        parts.append(plain.withColumn(out, F.row_number().over(window).cast("bigint")))
+    if hot is not None:
+        parts.append(running_total(hot, keys, order, F.lit(1).cast("bigint"), out))
+    return parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
 
 
 # A column with no more values than this is ranked as one slice.
@@ -206,7 +230,7 @@ def hash_quota(df: DataFrame, strata, key, cuts, out: str, seed=0, slices=1024)
     strata = [strata] if isinstance(strata, str) else list(strata)
     h = stable_hash(*_cols(key), seed=seed)
     base = df.withColumn("_h", h).withColumn("_s", F.floor(F.col("_h") * slices / F.lit(2 ** 32)))
-    # at most (number of strata) x slices rows
+    # at most (number of strata) x slices rows, read by both branches
     counts = base.groupBy(*strata, "_s").agg(F.count(F.lit(1)).alias("_c"))
     run = Window.partitionBy(*strata).orderBy("_s")
     marks = (counts.withColumn("_hi", F.sum("_c").over(run))
@@ -226,11 +250,10 @@ def hash_quota(df: DataFrame, strata, key, cuts, out: str, seed=0, slices=1024)
         return F.lit(last) if chain is None else chain.otherwise(last)
 
     marks = marks.withColumn("_first", label_at(F.col("_lo") + 1)).withColumn("_last", label_at(F.col("_hi")))
-    same = [F.col(f"l.{k}").eqNullSafe(F.col(f"r.{k}")) for k in [*strata, "_s"]]
-    condition = same[0]
-    for c in same[1:]:
-        condition = condition & c
-    tagged = base.alias("l").join(marks.alias("r"), condition).select(
+    marks = settle(marks)
+    if marks.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
+        marks = F.broadcast(marks)
+    tagged = base.alias("l").join(marks.alias("r"), null_safe("l", "r", [*strata, "_s"])).select(
         "l.*", "r._lo", "r._first", "r._last",
         *[(F.lit(0) + e).alias(f"_e{i}") for i, (_, e) in enumerate(ends)])
     whole = tagged.where(F.col("_first") == F.col("_last")).withColumn(out, F.col("_first"))
