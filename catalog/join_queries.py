@@ -116,14 +116,14 @@ def _(t):
     return joins.balance_panel(counts, "entity", "day")
 
 
-@query("attach_by_id", f"""WITH {POSTS}, a AS (SELECT day, count(*) AS clicks FROM posts WHERE topic = 'click' AND entity < 40 GROUP BY 1),
-  b AS (SELECT day, count(*) AS views FROM posts WHERE topic = 'view' AND entity > 60 GROUP BY 1)
-  SELECT CAST(coalesce(a.day, b.day) AS VARCHAR) AS day, clicks, views FROM a FULL JOIN b ON a.day = b.day""", "J-12")
+@query("attach_by_id", f"""WITH {POSTS}, a AS (SELECT entity, day, count(*) AS clicks FROM posts WHERE topic = 'click' GROUP BY 1, 2),
+  b AS (SELECT entity, day, count(*) AS views FROM posts WHERE topic = 'view' GROUP BY 1, 2)
+  SELECT coalesce(a.entity, b.entity) AS entity, CAST(coalesce(a.day, b.day) AS VARCHAR) AS day, clicks, views FROM a FULL JOIN b ON a.day = b.day AND a.entity = b.entity""", "J-12")
 def _(t):
     p = posts(t)
-    a = p.where("topic = 'click' and entity < 40").groupBy("day").agg(F.count(F.lit(1)).alias("clicks"))
-    b = p.where("topic = 'view' and entity > 60").groupBy("day").agg(F.count(F.lit(1)).alias("views"))
-    return joins.attach_by_id(a, b, "day")
+    a = p.where("topic = 'click'").groupBy("entity", "day").agg(F.count(F.lit(1)).alias("clicks"))
+    b = p.where("topic = 'view'").groupBy("entity", "day").agg(F.count(F.lit(1)).alias("views"))
+    return joins.attach_by_id(a, b, ["entity", "day"])
 
 
 @query("checked_join", "SELECT o_orderkey, c_name FROM orders JOIN customer ON c_custkey = o_custkey", "J-13")

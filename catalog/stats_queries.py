@@ -157,15 +157,15 @@ def _(t):
     return eventstudy.event_study(study_panel(t), ["click", "purchase", "prediction"], "dist", "entity")
 
 
-# The mean of the reference day net of entity effects, for two days only, has a
-# closed form: the within-entity difference of entities seen on both days.
-@query("event_study_two_days", f"""WITH {DAILY}, two AS (SELECT entity, max(prediction) FILTER (WHERE day = DATE '2024-01-09') AS late,
-  max(prediction) FILTER (WHERE day = DATE '2024-01-08') AS early FROM panel WHERE day IN (DATE '2024-01-08', DATE '2024-01-09') GROUP BY 1),
-  d AS (SELECT late - early AS d, late, early FROM two WHERE late IS NOT NULL AND early IS NOT NULL),
-  f AS (SELECT avg(d) AS b, count(*) AS g, avg(late + early) / 2 AS m FROM d), v AS (SELECT sqrt(sum((d - b) ** 2) / max(g) ** 2
-   * max(g) / (max(g) - 1) * (2 * max(g) - 1) / (2 * max(g) - 2)) AS se FROM d, f)
-  SELECT {r('b')} AS b, {r('se')} AS se, g * 2 AS n, g AS clusters FROM f, v""", "ST-04")
-def _(t):
-    rows = study_panel(t).where("day in (date'2024-01-08', date'2024-01-09')")
+# With two periods the estimate has a closed form: the slope of the demeaned
+# outcome on the demeaned "after" flag, with scores summed per entity.
+@query("event_study_before_after", f"""WITH {DAILY}, d AS (SELECT entity, prediction AS y, CASE WHEN day >= DATE '{EVENT}' THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS x,
+   count(*) OVER (PARTITION BY entity) AS n FROM panel),
+  k AS (SELECT entity, x - avg(x) OVER (PARTITION BY entity) AS dx, y - avg(y) OVER (PARTITION BY entity) AS dy FROM d WHERE n > 1),
+  f AS (SELECT sum(dx * dy) / sum(dx * dx) AS b, sum(dx * dx) AS sxx, count(*) AS n, count(DISTINCT entity) AS g FROM k),
+  u AS (SELECT entity, sum(dx * (dy - b * dx)) AS u FROM k, f GROUP BY entity)
+  SELECT {r('b')} AS b, {r('sqrt(sum(u * u) * g / (g - 1) * (n - 1) / (n - 2)) / sxx')} AS se, n, g AS clusters FROM u, f GROUP BY f.b, sxx, n, g""", "ST-04")
+def _(t):
+    rows = panel(t, "day").withColumn("dist", F.when(F.col("day") >= F.lit(EVENT).cast("date"), 0).otherwise(-7))
     out = eventstudy.event_study(rows, "prediction", "dist", "entity")
-    return out.where("dist = -6").select("b", "se", "n", "clusters")
+    return out.where("dist = 0").select("b", "se", "n", "clusters")

@@ -8,7 +8,7 @@ import catalog
 
 FOLDER = "/root/testdata/sf0.001"
 SAMPLE = """weekly_entity_score lookup_list concat_text_parts number_rows_spread quantile_bin chunk_tokens
-clean_post corr_spearman event_study_two_days neighbor_overlap distant_supervision shift_indicators
+clean_post corr_spearman event_study_before_after neighbor_overlap distant_supervision shift_indicators
 regional_exposure bow_tf_idf""".split()
 
 
