@@ -6,10 +6,10 @@ from pyspark.sql import functions as F
 
 from catalog import query
 from catalog.inputs import (
-    DAILY, DOMAIN_SCORES, KINDS, LABELS, PANEL, POSTS, SCORE_CASE, panel, posts, r, domain_scores, score_of,
+    DAILY, KINDS, LABELS, PANEL, POSTS, panel, posts, r, domain_scores,
 )
 from panelweave import fixed
-from panelweave.functions import bins, dates, urls
+from panelweave.functions import bins, urls
 from panelweave.operators import aggregates, features, filters, joins
 
 LABEL_WEEK = "CAST(date_trunc('week', ts - INTERVAL 1 DAY) AS DATE) + 7"

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from catalog import query
-from catalog.inputs import KINDS, PANEL, POSTS, SCORES, panel, posts, r
+from catalog.inputs import PANEL, POSTS, panel, posts, r
 from panelweave import fixed
 from panelweave.operators import filters, quality
 

@@ -5,11 +5,10 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from catalog import query
-from catalog.inputs import EDGES, TAGS, edges, r, status_weeks, tagged
+from catalog.inputs import EDGES, edges, r, status_weeks
 from catalog.stats_queries import RANKED
 from catalog.window_queries import BINNED, binned
 from panelweave import fixed
-from panelweave.functions import text
 from panelweave.operators import graph, reshape, stats
 
 SYM = EDGES + """, sym AS (SELECT DISTINCT node, neighbor FROM (SELECT src AS node, dst AS neighbor FROM edges

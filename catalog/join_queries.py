@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from catalog import query
 from catalog.inputs import (
-    DOMAIN_SCORES, LABELS, LINKED, LINKS, PANEL, POSTS, domain_scores, linked_posts, links, panel, posts, r,
+    LABELS, LINKED, LINKS, PANEL, POSTS, domain_scores, linked_posts, links, panel, posts, r,
 )
 from panelweave.functions import dates, text, urls
 from panelweave.operators import joins, sets

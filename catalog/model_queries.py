@@ -6,11 +6,10 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
 
 from catalog import query
-from catalog.inputs import POSTS, TOKENS, posts, r, tokens
+from catalog.inputs import TOKENS, r, tokens
 from catalog.stream_queries import SCORED, SCORED_SQL, weights
 from panelweave import fixed
-from panelweave.functions import text
-from panelweave.operators import features, joins, models, ordering
+from panelweave.operators import features, models, ordering
 from panelweave.plans import reports
 
 GRAMS = TOKENS + """, grams AS (SELECT doc_id, lang, list_concat(tokens, list_transform(range(1, len(tokens)),

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from catalog import query
 from catalog.inputs import (
-    GROUP_SQL, GROUPS, HOST_SUFFIXES, LINKED, POSTS, STOP, TAGGED, TAGS, TOKENS, linked_posts, r, tagged, tokens,
+    GROUP_SQL, GROUPS, HOST_SUFFIXES, LINKED, STOP, TAGS, TOKENS, linked_posts, r, tagged, tokens,
 )
 from panelweave import fixed
 from panelweave.functions import arrays, text, urls

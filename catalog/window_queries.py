@@ -8,8 +8,7 @@ from catalog import query
 from catalog.inputs import (
     DAILY, EVENT, KINDS, PANEL, POSTS, SCORE_BIN, STATUS_WEEKS, panel, posts, r, status_weeks,
 )
-from panelweave import fixed
-from panelweave.functions import arrays, bins, dates
+from panelweave.functions import bins, dates
 from panelweave.operators import filters, ordering, reshape, spread, windows
 from panelweave.plans import panel as panel_plans
 

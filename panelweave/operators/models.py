@@ -174,7 +174,11 @@ def topic_assign(model, counted, prefix="topic_", out="pred", keep=None, store=T
     k = model.getK()
     kept = [c for c in (keep or counted.columns) if c != "features"]
     rows = model.transform(counted).select(*kept, vector_to_array("topicDistribution").alias("_t"))
-    rows = rows.select(*kept, *[F.get("_t", F.lit(i)).alias(f"{prefix}{i}") for i in range(k)])
+    # a document without any known term comes back as zeros; its shares are even
+    known = F.aggregate("_t", F.lit(0.0), lambda a, x: a + x) > 0
+    rows = rows.select(*kept, "_t", known.alias("_k"))
+    rows = rows.select(*kept, *[
+        F.when(F.col("_k"), F.get("_t", F.lit(i))).otherwise(1.0 / k).alias(f"{prefix}{i}") for i in range(k)])
     rows = settle(rows) if store else rows
     return rows.withColumn(out, argmax_col([f"{prefix}{i}" for i in range(k)]))
 
@@ -209,4 +213,4 @@ def author_topic_mix(assigned, author, k, prefix="topic_", extra=()) -> DataFram
     means = assigned.groupBy(*keys).agg(*[F.avg(n).alias(n) for n in names])
     long = means.unpivot(keys, names, "topic", "value")
     totals = long.groupBy(*keys).agg(F.sum("value").alias("_t"))
-    return long.join(totals, keys).withColumn("value", F.col("value") / F.col("_t")).drop("_t")
+    return long.join(totals, keys).withColumn("value", F.try_divide("value", "_t")).drop("_t")

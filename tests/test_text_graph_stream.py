@@ -133,3 +133,14 @@ def test_pending_scores(spark):
     got = {r["id"]: r["final_pred"] for r in jobs.read_appended(spark, out).collect()}
     assert len(got) == 20 and jobs.read_appended(spark, out).count() == 20
     assert got[2] == 1 and got[10] == 0
+
+
+def test_documents_without_known_terms_get_even_shares(spark):
+    _, df = docs(spark)
+    rows = df.unionByName(spark.createDataFrame([(99, ["never", "seen"])], "id int, t array<string>"))
+    bow, model, counted = models.fit_lda(rows, "t", 3, max_iter=2, min_df=5)
+    assigned = models.topic_assign(model, counted, keep=["id"])
+    odd = assigned.where("id = 99").first()
+    assert all(np.isclose(odd[f"topic_{i}"], 1 / 3) for i in range(3)) and odd["pred"] == "topic_0"
+    shares = models.author_topic_mix(assigned, "id", 3).groupBy("id").agg(F.sum("value").alias("s")).collect()
+    assert len(shares) == 61 and all(np.isclose(r["s"], 1) for r in shares)
