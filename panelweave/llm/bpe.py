@@ -167,7 +167,7 @@ class Encoder:
         self.start = dict(self.known)
 
     def learn(self, rows: list[list]) -> None:
-        fresh = sorted({p for row in rows for p in row} - self.known.keys())
+        fresh = sorted(p for p in {p for row in rows for p in row} if p not in self.known)
         if len(self.known) + len(fresh) > REMEMBERED:
             self.known = dict(self.start)
             fresh = sorted({p for row in rows for p in row if isinstance(p, str)})

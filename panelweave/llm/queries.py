@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from panelweave.llm import bpe, chat, mixing
+from panelweave.llm import bpe, chat, fertility, fingerprint, langid, minhash, mixing, quality, toxicity
 from panelweave.llm.common import WORD, table
 
 
@@ -14,15 +14,42 @@ def vocabulary_file(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op1_toxicity(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return toxicity.classify(docs, table(spark, sf_dir, "labels"))
+
+
 def op2_bpe(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return bpe.encode(docs, vocabulary_file("word_bpe_49k.json"), keep_ids=False)
 
 
+def op3_quality(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return quality.classify(docs, table(spark, sf_dir, "labels"))
+
+
 def op4_chat_format(spark, sf_dir):
     return chat.render(table(spark, sf_dir, "conversations"))
 
 
+def op5_langid(spark, sf_dir):
+    return langid.predict(table(spark, sf_dir, "documents").select("doc_id", "text", "lang"))
+
+
+def op6_minhash(spark, sf_dir):
+    return minhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
+def op7_fingerprint(spark, sf_dir):
+    return fingerprint.with_next(table(spark, sf_dir, "documents"))
+
+
+def op8_fertility(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    return fertility.rules(docs, vocabulary_file("piece_bpe_32k.model"))
+
+
 def op10_mixing(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select("doc_id", "source", mixing.words().alias("size"))
     mixed = mixing.mix(docs)
@@ -30,8 +57,14 @@ def op10_mixing(spark, sf_dir):
 
 
 QUERIES = {
+    "op1_toxicity": op1_toxicity,
     "op2_bpe": op2_bpe,
+    "op3_quality": op3_quality,
     "op4_chat_format": op4_chat_format,
+    "op5_langid": op5_langid,
+    "op6_minhash": op6_minhash,
+    "op7_fingerprint": op7_fingerprint,
+    "op8_fertility": op8_fertility,
     "op10_mixing": op10_mixing,
 }
 
