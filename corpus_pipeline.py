@@ -1,18 +1,42 @@
 """A corpus pipeline of the training-data operators.
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame, which is
-written as Parquet and read again as the next stage's documents.
+written as Parquet and read again as the next stage's documents. Columns of the
+documents table are carried through; others are left out. A document without an
+id takes part in every stage but the near-duplicate one, which keeps it.
 """
 
 from __future__ import annotations
 
-from panelweave.llm import bpe, mixing
+from pyspark.sql import functions as F
+
+from panelweave.llm import bpe, minhash, mixing, suffix, toxicity
 from panelweave.llm.common import stored, table
 from panelweave.llm.queries import vocabulary_file
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
+def drop_toxic(spark, docs, sf_dir):
+    """Leave out documents that the toxicity model rejects."""
+    scored = toxicity.classify(docs, table(spark, sf_dir, "labels"), keep=COLUMNS)
+    return scored.where("predicted = 0").select(*COLUMNS)
+
+
+def drop_near_duplicates(spark, docs, sf_dir):
+    """One document of each near-duplicate group stays. Of rows that repeat the
+    id that stays, one is kept; rows without an id are kept."""
+    groups = minhash.near_duplicates(docs)
+    gone = groups.where("NOT kept AND doc_id IS NOT NULL").select("doc_id").distinct()
+    return docs.select(*COLUMNS).join(gone, "doc_id", "left_anti").select(*COLUMNS)
+
+
+def drop_repeats(spark, docs, sf_dir):
+    """Remove passages that an earlier document, or an earlier place, has."""
+    left = suffix.remove_repeats(docs.select(*COLUMNS), with_text=True)
+    return left.withColumn("n_chars", F.length("text").cast("long")).select(*COLUMNS)
+
+
 def mix(spark, docs, sf_dir):
     """Repeat or leave out documents so that sources meet their targets."""
     sized = docs.select(*COLUMNS, mixing.words().alias("size"))
@@ -24,7 +48,13 @@ def encode(spark, docs, sf_dir):
     return bpe.encode(docs.select(*COLUMNS), vocabulary_file("word_bpe_49k.json"))
 
 
-STAGES = [("mixing", mix), ("bpe", encode)]
+STAGES = [
+    ("toxicity", drop_toxic),
+    ("minhash", drop_near_duplicates),
+    ("suffix", drop_repeats),
+    ("mixing", mix),
+    ("bpe", encode),
+]
 
 # The toxicity, near-duplicate and suffix stages have no SQL form.
 ORACLE_SQL = None

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from panelweave.llm import bpe, chat, fertility, fingerprint, langid, minhash, mixing, quality, toxicity
+from panelweave.llm import bpe, chat, fertility, fingerprint, langid, minhash, mixing, quality, suffix, toxicity
 from panelweave.llm.common import WORD, table
 
 
@@ -50,6 +50,10 @@ def op8_fertility(spark, sf_dir):
     return fertility.rules(docs, vocabulary_file("piece_bpe_32k.model"))
 
 
+def op9_suffix(spark, sf_dir):
+    return suffix.remove_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op10_mixing(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select("doc_id", "source", mixing.words().alias("size"))
     mixed = mixing.mix(docs)
@@ -65,6 +69,7 @@ QUERIES = {
     "op6_minhash": op6_minhash,
     "op7_fingerprint": op7_fingerprint,
     "op8_fertility": op8_fertility,
+    "op9_suffix": op9_suffix,
     "op10_mixing": op10_mixing,
 }
 

@@ -35,6 +35,8 @@ STATES = LETTERS + 1
 # Longest lattice; a longer token is read in pieces of this many characters.
 LONGEST = 4096
 REMEMBERED = 200_000
+# Shortest and longest beginning of a word that is a feature.
+STEM = (3, 8)
 TRIPLE = re.compile(r"(.)\1\1+", re.S)
 SPELT = re.compile(r"(?<!\S)\S(?:[ ._\-*·]\S){2,}(?!\S)")
 WORDS = re.compile(r"[^\W\d_]+")
@@ -176,10 +178,12 @@ def _viterbi(lattices, n: int, lm: LanguageModel) -> list[str]:
 
 
 class Restorer:
-    """Restored words of texts; a task remembers the tokens it met lately."""
+    """What texts hold after restoring: their words, or what ``finish`` makes of
+    a token's words. A task remembers the tokens it met lately."""
 
-    def __init__(self, lm: LanguageModel):
+    def __init__(self, lm: LanguageModel, finish=tuple):
         self.lm = lm
+        self.finish = finish
         self.known: dict[str, tuple] = {}
 
     def tokens(self, text: str) -> set[str]:
@@ -197,7 +201,7 @@ class Restorer:
         for t in fresh:
             core = t.strip(PUNCTUATION)
             if not TRIPLE.search(core) and (core.isalpha() or not any(map(str.isalpha, core))):
-                self.known[t] = (core,) if core.isalpha() else ()
+                self.known[t] = self.finish((core,)) if core.isalpha() else ()
             else:
                 odd.append(t)
         cut = [t[i:i + LONGEST] for t in odd for i in range(0, len(t), LONGEST)]
@@ -205,10 +209,10 @@ class Restorer:
         for t in odd:
             whole = "".join(next(read) for _ in range(0, len(t), LONGEST))
             # The reading and the letters as they stand both count.
-            self.known[t] = tuple(dict.fromkeys(WORDS.findall(whole) + WORDS.findall(t)))
+            self.known[t] = self.finish(tuple(dict.fromkeys(WORDS.findall(whole) + WORDS.findall(t))))
 
     def words(self, texts: list[str]) -> list[set[str]]:
-        """Distinct restored words of each text."""
+        """Distinct restored words of each text, or what ``finish`` made of them."""
         sets = [self.tokens(t) for t in texts]
         out = []
         for at in range(0, len(sets), 256):
@@ -231,8 +235,8 @@ class Restorer:
 
 
 def features(words) -> set[str]:
-    """Words and their first four and five letters."""
-    return {*words, *["4:" + w[:4] for w in words if len(w) >= 4], *["5:" + w[:5] for w in words if len(w) >= 5]}
+    """Words and their beginnings, which tell families of words apart."""
+    return {*words, *["^" + w[:n] for w in words for n in range(STEM[0], min(STEM[1], len(w)) + 1)]}
 
 
 def _slices(texts, size=2_000_000):
@@ -284,8 +288,8 @@ def training_words(docs: DataFrame, labels: DataFrame, label: str, lm: LanguageM
 
 
 def telling_features(rows: DataFrame, least: int, most: int) -> list[str]:
-    """The ``most`` features, seen in ``least`` documents or more, that tell the
-    classes apart best by the likelihood ratio of their document counts."""
+    """The ``most`` features, seen in ``least`` documents or more, that speak
+    for class 1 most clearly by the likelihood ratio of their document counts."""
     import pyarrow as pa
 
     def run(batches):
@@ -318,13 +322,14 @@ def telling_features(rows: DataFrame, least: int, most: int) -> list[str]:
         return F.when(x > 0, x * F.log(x / (n * expected))).otherwise(0.0)
 
     gain = part(F.col("ones"), share) + part(F.col("zeros"), 1 - share)
-    best = table.where(n >= least).select("feature", gain.alias("gain")).orderBy(F.desc("gain"), "feature").limit(most)
+    best = table.where((n >= least) & (F.col("ones") > n * share)).select("feature", gain.alias("gain")).orderBy(F.desc("gain"), "feature").limit(most)
     return sorted(r.feature for r in best.collect())
 
 
-def fit(rows: DataFrame, least: int = 4, most: int = 4000, penalty: float = 0.5, rounds: int = 400) -> tuple[dict, float]:
+def fit(rows: DataFrame, least: int = 4, most: int = 4000, penalty: float = 0.05, rounds: int = 500) -> tuple[dict, float]:
     """Weights of a logistic model on the presence of the telling features, and
-    its intercept. The features' places in the bounded sample reach the driver."""
+    its intercept. Weights are 0 or more: a text is toxic for what it holds, and
+    no harmless words make up for it. The features' places in the bounded sample reach the driver."""
     import pyarrow as pa
 
     names = telling_features(rows, least, most)
@@ -356,13 +361,14 @@ def fit(rows: DataFrame, least: int = 4, most: int = 4000, penalty: float = 0.5,
         grad = np.bincount(col, gap[row], minlength=len(names)) + penalty * ahead_w
         speed_w = 0.9 * speed_w - grad / size
         speed_b = 0.9 * speed_b - gap.sum() / (0.25 * len(y) * width ** 0.5)
-        w, b = w + speed_w, b + speed_b
+        moved = np.maximum(w + speed_w, 0)
+        speed_w, w, b = moved - w, moved, b + speed_b
     return {f: float(x) for f, x in zip(names, w)}, float(b)
 
 
 def classify(docs: DataFrame, labels: DataFrame, label: str = "toxic", folds: int = 5, held: int = 0,
-             most_labelled: int = 60_000) -> DataFrame:
-    """(doc_id, held_out, score, predicted) for every row of ``docs``.
+             most_labelled: int = 60_000, keep=("doc_id",)) -> DataFrame:
+    """Columns ``keep``, held_out, score, predicted for every row of ``docs``.
 
     The language model counts every whole text. The linear model learns from at
     most ``most_labelled`` labelled documents outside the held-out fold; every
@@ -377,19 +383,19 @@ def classify(docs: DataFrame, labels: DataFrame, label: str = "toxic", folds: in
 
     lm = language_model(docs)
     weights, intercept = fit(training_words(docs, labels, label, lm, folds, held, most_labelled))
-    kind = docs.schema["doc_id"].dataType.simpleString()
+    keep = list(dict.fromkeys(["doc_id", *keep]))
+    columns = list(dict.fromkeys([*keep, "text"]))
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*keep).schema.fields)
 
     def run(batches):
-        reader = Restorer(lm)
-        weigh = weights.get
+        reader = Restorer(lm, lambda words: tuple(f for f in features(words) if f in weights))
         for batch in batches:
             z = []
-            for part in _slices(batch.column(1).to_pylist()):
-                for words in reader.words(part):
-                    z.append(intercept + sum(weigh(f, 0.0) for f in features(words)))
+            for part in _slices(batch.column("text").to_pylist()):
+                z.extend(intercept + sum(weights[f] for f in found) for found in reader.words(part))
             score = 1 / (1 + np.exp(-np.clip(np.array(z), -30, 30)))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(score)], names=["doc_id", "score"])
+            yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in keep], pa.array(score, pa.float64())], names=[*keep, "score"])
 
-    scored = docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, score double")
-    return scored.select("doc_id", (fold("doc_id", folds) == held).alias("held_out"), "score",
+    scored = docs.select(*columns).mapInArrow(run, f"{schema}, score double")
+    return scored.select(*keep, (fold("doc_id", folds) == held).alias("held_out"), "score",
                          (F.col("score") >= 0.5).cast("int").alias("predicted"))
