@@ -20,7 +20,7 @@ SHINGLE = 3
 # agrees with chance 0.72, so all 8 of a side differ with chance 3.5e-5.
 HALVES, ROWS = 8, 2
 # Shingles of one block when a cluster of unresolved candidates is compared.
-BLOCK = 1_500_000
+BLOCK = 500_000
 
 MASK = (1 << 64) - 1
 
@@ -144,13 +144,20 @@ def tables(reps: DataFrame) -> DataFrame:
     return pair.select(F.xxhash64("l", "r").alias("key"), "id", "n")
 
 
-def verify(pairs: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
+def candidate_texts(keys: DataFrame, docs: DataFrame) -> DataFrame:
+    """(id, text) of the documents that share a table with another, stored: the
+    texts of the corpus move once, and only these meet the pairs."""
+    ids = keys.select("id").distinct().hint("shuffle_hash")
+    return stored(docs.select(F.col("doc_id").alias("id"), "text").join(ids, "id", "left_semi"), "minhash-texts")
+
+
+def verify(pairs: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
     """The pairs (a, b) whose full shingle sets are similar enough."""
     import pyarrow as pa
 
-    texts = docs.select(F.col("doc_id").alias("d"), "text").repartition("d")
-    met = pairs.join(texts, F.col("a") == F.col("d")).select("a", "b", F.col("text").alias("ta"))
-    met = met.join(texts, F.col("b") == F.col("d")).select("a", "b", "ta", F.col("text").alias("tb"))
+    placed = texts.repartition("id")
+    met = pairs.join(placed, F.col("a") == F.col("id")).select("a", "b", F.col("text").alias("ta"))
+    met = met.join(placed, F.col("b") == F.col("id")).select("a", "b", "ta", F.col("text").alias("tb"))
 
     def run(batches):
         last, held = None, None
@@ -165,7 +172,7 @@ def verify(pairs: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
     return met.mapInArrow(run, "a long, b long").distinct()
 
 
-def resolve(keys: DataFrame, found: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
+def resolve(keys: DataFrame, found: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
     """Further links between documents that share a table key but still lie in
     different components after the first links.
 
@@ -174,7 +181,7 @@ def resolve(keys: DataFrame, found: DataFrame, docs: DataFrame, percent: int) ->
     pairs of blocks of bounded size. Per block pair, only links that join two
     components are returned, so the output grows with the rows, not the pairs.
     """
-    import pandas as pd
+    import pyarrow as pa
 
     met = keys.join(found, "id", "left").select("key", "id", "n", F.coalesce("component", "id").alias("component"))
     met = stored(met, "minhash-keys")
@@ -184,19 +191,20 @@ def resolve(keys: DataFrame, found: DataFrame, docs: DataFrame, percent: int) ->
     one = met.select("id", "n", "component").distinct()
     rows = stored(clusters.join(one, "id"), "minhash-open")
     sizes = rows.groupBy("cluster").agg(F.ceil(F.sum("n") / BLOCK).cast("int").alias("blocks"))
-    rows = rows.join(sizes, "cluster").join(docs.select(F.col("doc_id").alias("id"), "text"), "id")
+    rows = rows.join(sizes, "cluster").join(texts.repartition("id"), "id")
     rows = rows.withColumn("mine", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
     rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     rows = rows.select("cluster", "id", "component", "text", "mine",
                        F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"))
 
-    def compare(part: pd.DataFrame) -> pd.DataFrame:
-        part = part.drop_duplicates("id").sort_values("id")
-        ids, comp, mine = part["id"].to_numpy(), part["component"].to_numpy(), part["mine"].to_numpy()
-        sets = [shingles(t) for t in part["text"]]
+    def compare(part: pa.Table) -> pa.Table:
+        ids, kept = np.unique(part.column("id").to_numpy(), return_index=True)
+        comp, mine = part.column("component").to_numpy()[kept], part.column("mine").to_numpy()[kept]
+        text = part.column("text")
+        sets = [shingles(text[int(i)].as_py()) for i in kept]
         n = np.array(list(map(len, sets)))
-        flat, owner = np.concatenate(sets), np.repeat(np.arange(len(sets)), n)
-        order = np.argsort(flat, kind="stable")
+        flat, owner = np.concatenate(sets), np.repeat(np.arange(len(sets), dtype=np.int32), n)
+        order = np.argsort(flat)
         flat, owner = flat[order], owner[order]
         root = {int(c): int(c) for c in comp}
 
@@ -207,7 +215,7 @@ def resolve(keys: DataFrame, found: DataFrame, docs: DataFrame, percent: int) ->
             return c
 
         out = []
-        across = part["i"].iloc[0] != part["j"].iloc[0]
+        across = part.column("i")[0].as_py() != part.column("j")[0].as_py()
         # The largest component's documents need not look for others themselves.
         values, counts = np.unique(comp, return_counts=True)
         largest = values[counts.argmax()]
@@ -222,9 +230,9 @@ def resolve(keys: DataFrame, found: DataFrame, docs: DataFrame, percent: int) ->
                 if a != b and (not across or mine[x] != mine[y]):
                     root[max(a, b)] = min(a, b)
                     out.append((int(ids[x]), int(ids[y])))
-        return pd.DataFrame(out, columns=["a", "b"], dtype="int64")
+        return pa.table({"a": pa.array([x for x, _ in out], pa.int64()), "b": pa.array([y for _, y in out], pa.int64())})
 
-    return rows.groupBy("cluster", "i", "j").applyInPandas(compare, "a long, b long")
+    return rows.groupBy("cluster", "i", "j").applyInArrow(compare, "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:
@@ -254,9 +262,10 @@ def near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:
     pairs = (keys.join(stars.select("key", "c"), "key").where("id <> c.id")
              .where(100 * F.least("n", "c.n") >= percent * F.greatest("n", "c.n"))
              .select(F.col("id").alias("a"), F.col("c.id").alias("b")).distinct())
-    links = stored(verify(pairs, docs, percent), "minhash-links")
+    texts = candidate_texts(keys, docs)
+    links = stored(verify(pairs, texts, percent), "minhash-links")
     found = components(links, "minhash-first")
-    more = stored(resolve(keys, found, docs, percent), "minhash-more")
+    more = stored(resolve(keys, found, texts, percent), "minhash-more")
     final = components(links.unionByName(more), "minhash-final")
     named = classes.join(final, "id", "left").select("n", "d1", "d2", F.coalesce("component", "id").alias("component"))
     out = rows.join(named, (rows.n == named.n) & (rows.d1 == named.d1) & (rows.d2 == named.d2) & rows.doc_id.isNotNull(), "left").select(
