@@ -168,37 +168,34 @@ def repeated_windows(bodies: list[bytes], rid: np.ndarray, start: np.ndarray):
 
 
 def anchor_rows(docs: DataFrame) -> DataFrame:
-    """(anchor, rid, start, windows, inner, found, known): the runs of all texts.
-    ``inner`` tells that the anchor occurs more than once inside the run.
+    """(anchor, rid, run, found): the runs of all texts by number.
 
-    Anchors that occur twice inside one chunk of a task are known to repeat at
-    once; one run of each stands for them in the count, so a passage shared by
-    many documents adds a row per chunk to it.
+    ``found`` counts the anchor's occurrences, up to 2; 0 marks a run whose
+    anchor is known to repeat. Anchors that occur twice inside one chunk of a
+    task are known at once; one run of each stands for them in the count, so a
+    passage shared by many documents adds a row per chunk to it.
     """
     import pyarrow as pa
 
-    names = ["anchor", "rid", "start", "windows", "inner", "found", "known"]
-
     def run(batches):
         def release(parts):
-            anchor, rid, start, windows, found = (np.concatenate(c) for c in zip(*parts))
+            anchor, rid, number, found = (np.concatenate(c) for c in zip(*parts))
             kinds, first, inverse = np.unique(anchor, return_index=True, return_inverse=True)
             total = np.bincount(inverse, found, minlength=len(kinds)).astype(np.int64)
             witness = np.zeros(len(anchor), bool)
             witness[first] = True
-            known, inner = (total[inverse] > 1) & ~witness, found > 1
-            found = np.where(witness, total[inverse], found)
+            found = np.where(witness, np.minimum(total[inverse], 2), np.where(total[inverse] > 1, 0, found))
             yield pa.RecordBatch.from_arrays(
-                [pa.array(anchor.view(np.int64)), pa.array(rid), pa.array(start.astype(np.int32)), pa.array(windows.astype(np.int32)),
-                 pa.array(inner), pa.array(np.minimum(found, 2).astype(np.int32)), pa.array(known)], names=names)
+                [pa.array(anchor.view(np.int64)), pa.array(rid), pa.array(number.astype(np.int32)), pa.array(found.astype(np.int32))],
+                names=["anchor", "rid", "run", "found"])
 
         parts, size = [], 0
         for batch in batches:
             for rid, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 raw = np.frombuffer(text.encode("utf-8", "surrogatepass"), np.uint8)
                 if len(raw) >= LENGTH:
-                    anchor, start, windows, found = runs(raw)
-                    parts.append((anchor, np.full(len(anchor), rid, np.int64), start, windows, found))
+                    anchor, _, _, found = runs(raw)
+                    parts.append((anchor, np.full(len(anchor), rid, np.int64), np.arange(len(anchor)), found))
                     size += len(raw)
                     if size >= CHUNK:
                         yield from release(parts)
@@ -206,29 +203,27 @@ def anchor_rows(docs: DataFrame) -> DataFrame:
         if parts:
             yield from release(parts)
 
-    return docs.select("rid", "text").mapInArrow(run, "anchor long, rid long, start int, windows int, inner boolean, found int, known boolean")
+    return docs.select("rid", "text").mapInArrow(run, "anchor long, rid long, run int, found int")
 
 
 def repeating_runs(docs: DataFrame) -> DataFrame:
-    """(anchor, rid, start, windows, inner) of the runs whose anchor occurs twice or more."""
+    """(rid, run) of the runs whose anchor occurs twice or more."""
     import pyarrow as pa
 
     # Runs known to repeat need no count and go anywhere; the others meet by anchor.
-    rows = anchor_rows(docs).repartition(F.when(F.col("known"), F.xxhash64("rid", "start")).otherwise(F.col("anchor")))
+    rows = anchor_rows(docs).repartition(F.when(F.col("found") == 0, F.xxhash64("rid", "run")).otherwise(F.col("anchor")))
 
     def run(batches):
         held = list(batches)
         if not held:
             return
         table = pa.Table.from_batches(held).combine_chunks()
-        anchor, found = table.column("anchor").to_numpy(), table.column("found").to_numpy()
-        known = table.column("known").to_numpy(zero_copy_only=False)
-        _, inverse = np.unique(anchor, return_inverse=True)
-        total = np.bincount(inverse, np.where(known, 0, found))
-        keep = known | (total[inverse] > 1)
-        yield from table.filter(pa.array(keep)).select(["anchor", "rid", "start", "windows", "inner"]).to_batches()
+        found = table.column("found").to_numpy()
+        _, inverse = np.unique(table.column("anchor").to_numpy(), return_inverse=True)
+        keep = (found == 0) | (np.bincount(inverse, found)[inverse] > 1)
+        yield from table.select(["rid", "run"]).filter(pa.array(keep)).to_batches()
 
-    return rows.mapInArrow(run, "anchor long, rid long, start int, windows int, inner boolean")
+    return rows.mapInArrow(run, "rid long, run int")
 
 
 def pieces(texts: DataFrame, flagged: DataFrame) -> DataFrame:
@@ -237,7 +232,7 @@ def pieces(texts: DataFrame, flagged: DataFrame) -> DataFrame:
     such a run is repeated throughout."""
     import pyarrow as pa
 
-    lists = flagged.groupBy("rid").agg(F.collect_list(F.struct("start", "windows", "anchor", "inner")).alias("runs"))
+    lists = flagged.groupBy("rid").agg(F.collect_list("run").alias("runs"))
     met = texts.join(lists.withColumnRenamed("rid", "r").hint("shuffle_hash"), F.col("rid") == F.col("r"))
     # All columns of the texts go along, so that the placed texts serve twice.
     met = met.select(*texts.columns, "runs")
@@ -246,20 +241,18 @@ def pieces(texts: DataFrame, flagged: DataFrame) -> DataFrame:
     def run(batches):
         for batch in batches:
             lists_ = batch.column("runs")
-            ends, flat = np.asarray(lists_.offsets), lists_.values
-            start, windows, anchor = (np.asarray(flat.field(i)) for i in range(3))
-            inner = flat.field(3).to_numpy(zero_copy_only=False)
+            ends, numbers = np.asarray(lists_.offsets), np.asarray(lists_.values)
             cols, bodies = [], []
             for i, (rid, text) in enumerate(zip(batch.column("rid").to_pylist(), batch.column("text").to_pylist())):
                 whole = text.encode("utf-8", "surrogatepass")
                 raw = np.frombuffer(whole, np.uint8)
-                a, b = ends[i], ends[i + 1]
-                s = start[a:b].astype(np.int64)
-                e = s + windows[a:b] + LENGTH - 1
+                # Runs are cheaper to find again than to send.
+                anchor, s, windows, found = (x[numbers[ends[i]:ends[i + 1]]] for x in runs(raw))
+                e = s + windows + LENGTH - 1
                 up, down = POWERS.get(len(raw) + 1)
                 sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum(BYTES[raw] * up[:len(raw)])))
                 marks = mix((sums[e] - sums[s]) * down[s] + (e - s).astype(np.uint64)).view(np.int64)
-                cols.append((anchor[a:b], marks, np.full(b - a, rid), s, windows[a:b], inner[a:b]))
+                cols.append((anchor.view(np.int64), marks, np.full(len(s), rid), s, windows, found > 1))
                 bodies.extend(whole[x:y] for x, y in zip(s.tolist(), e.tolist()))
             if not bodies:
                 continue
@@ -273,7 +266,7 @@ def pieces(texts: DataFrame, flagged: DataFrame) -> DataFrame:
             later[line] = ~first & ((rids[line] != rids[head]) | (starts[line] != starts[head]))
             sent = [None if x else y for x, y in zip(later.tolist(), bodies)]
             yield pa.RecordBatch.from_arrays(
-                [pa.array(anchors.astype(np.int64)), pa.array(marks), pa.array(rids.astype(np.int64)), pa.array(starts.astype(np.int32)),
+                [pa.array(anchors), pa.array(marks), pa.array(rids.astype(np.int64)), pa.array(starts.astype(np.int32)),
                  pa.array(wins.astype(np.int32)), pa.array(inners), pa.array(sent, pa.binary())], names=names)
 
     return met.mapInArrow(run, "anchor long, print long, rid long, start int, windows int, inner boolean, body binary")
@@ -392,7 +385,9 @@ def remove_repeats(docs: DataFrame, with_text: bool = False) -> DataFrame:
     docs = docs.drop(*new, "rid")
     rest = [c for c in docs.columns if c != "text"]
     rows = numbered(docs)
-    texts = rows.select("rid", *rest, F.coalesce("text", F.lit("")).alias("text"), F.col("text").isNull().alias("__null")).repartition("rid")
+    texts = rows.select("rid", *rest, F.coalesce("text", F.lit("")).alias("text"), F.col("text").isNull().alias("__null"))
+    # Said once for both uses, so that both read the same placed texts.
+    texts = texts.where("rid IS NOT NULL").repartition("rid")
     flagged = repeating_runs(rows.where("length(text) * 4 >= %d" % LENGTH))
     lists = spans(pieces(texts, flagged)).groupBy("rid").agg(F.collect_list(F.struct("s", "e")).alias("spans"))
     met = texts.join(lists.withColumnRenamed("rid", "r").hint("shuffle_hash"), F.col("rid") == F.col("r"), "left")
