@@ -24,10 +24,10 @@ LOOKALIKES = {
 }
 PUNCTUATION = ".,;:!?\"'()[]{}<>«»“”‘’…"
 SEPARATORS = " .-_*·"
-# Costs of the channel: a sign read as a letter, a separator or sign left out
-# inside a word, a sign kept inside a word and at its edge, a doubled letter
-# read as one.
-READ, SKIP, KEEP, EDGE, SINGLE = 2.0, 1.0, 3.0, 0.3, 0.5
+# Costs of the channel: a sign read as a letter, a sign left out inside a word, a
+# sign kept inside a word and at its edge, a separator left out and kept between
+# letters, a doubled letter read as one.
+READ, SKIP, KEEP, EDGE, JOIN, PART, SINGLE = 2.0, 2.0, 5.0, 0.3, 0.2, 2.5, 0.5
 # Code points below POINTS are counted; the LETTERS most frequent ones form the
 # alphabet of the language model. State 0 is the word boundary.
 POINTS, LETTERS = 2048, 63
@@ -109,9 +109,10 @@ def lattice(token: str, lm: LanguageModel) -> list[list[tuple[int, float, str]]]
             ways = [(lm.code[c], 0.0, c)] if c in lm.code else [(0, 0.0, c)]
         else:
             ways = [(lm.code[x], READ, x) for x in LOOKALIKES.get(c, "") if x in lm.code]
-            ways.append((0, EDGE if edge else (SKIP if c in SEPARATORS else KEEP), " "))
+            part = c in SEPARATORS
+            ways.append((0, EDGE if edge else PART if part else KEEP, " "))
             if not c.isdigit():
-                ways.append((-1, EDGE if edge else SKIP, ""))
+                ways.append((-1, EDGE if edge else JOIN if part else SKIP, ""))
         doubled = i > 0 and token[i - 1] == c and not doubled
         if doubled and c.isalpha():
             ways = [*ways, (-1, SINGLE, "")]

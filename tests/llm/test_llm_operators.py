@@ -226,7 +226,7 @@ def test_quality_moments_match_numpy(spark):
 
 def toxic_corpus(n=400):
     rng = random.Random(4)
-    plain = ["".join(rng.choice("aeiou") + rng.choice("bcdlmnprst") for _ in range(rng.randrange(2, 4))) for _ in range(80)]
+    plain = ["".join(rng.choice("bcdlmnprst") + rng.choice("aeiou") for _ in range(rng.randrange(2, 4))) for _ in range(80)]
     docs, labels = [], []
     for i in range(n):
         words = [rng.choice(plain) for _ in range(30)]
