@@ -20,7 +20,7 @@ SHINGLE = 3
 # agrees with chance 0.72, so all 8 of a side differ with chance 3.5e-5.
 HALVES, ROWS = 8, 2
 # Shingles of one block when a cluster of unresolved candidates is compared.
-BLOCK = 500_000
+BLOCK = 120_000
 
 MASK = (1 << 64) - 1
 
