@@ -47,7 +47,7 @@ def _(t):
     return aggregates.weekly_score(rows, "ts", "entity", "score", "one", label="same_week")
 
 
-@query("concat_text", "SELECT conv_id, CAST(0 AS BIGINT) AS part, string_agg(text, ' ' ORDER BY turn, text) AS text FROM conversations GROUP BY 1", "A-02")
+@query("concat_text", "SELECT conv_id, string_agg(text, ' ' ORDER BY turn, text) AS text FROM conversations GROUP BY 1", "A-02")
 def _(t):
     return aggregates.concat_text(t.conversations, "conv_id", "text", ["turn", "text"])
 
@@ -56,7 +56,7 @@ def _(t):
   (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY doc_id) AS rn FROM documents) GROUP BY 1, 2""", "A-02 split groups")
 def _(t):
     # groups above 20 rows are given in parts here, so the split path is taken
-    out = aggregates.concat_text(t.documents, "lang", "text", ["doc_id"], max_rows=20)
+    out = aggregates.text_parts(t.documents, "lang", "text", ["doc_id"], max_rows=20)
     return out.withColumn("text", F.md5("text"))
 
 
@@ -179,7 +179,7 @@ def _(t):
         "merged": features.grouped_split(panel(t), "entity")}, "split", "entity", "week_start")
 
 
-@query("group_members", "SELECT source, CAST(0 AS BIGINT) AS part, string_agg(doc_id::VARCHAR, ' ' ORDER BY doc_id) AS ids FROM documents GROUP BY 1", "A-19")
+@query("group_members", "SELECT source, string_agg(doc_id::VARCHAR, ' ' ORDER BY doc_id) AS ids FROM documents GROUP BY 1", "A-19")
 def _(t):
     out = aggregates.group_members(t.documents, "source", "doc_id")
     return out.withColumn("ids", F.array_join(F.col("ids").cast("array<string>"), " "))
@@ -187,5 +187,5 @@ def _(t):
 
 @query("group_members_parts", "SELECT lang, doc_id FROM documents", "A-19 split groups")
 def _(t):
-    out = aggregates.group_members(t.documents, "lang", "doc_id", max_rows=25)
+    out = aggregates.member_parts(t.documents, "lang", "doc_id", max_rows=25)
     return out.select("lang", F.explode("ids").alias("doc_id"))

@@ -46,7 +46,7 @@ def _(t):
     return training(t).select("post_id", "entity", "week_start", "topic", "final_score", "score_count", "score_bin", "c_mktsegment")
 
 
-@query("entity_week_corpus", f"""WITH {LINKED} SELECT entity, CAST(week_start AS VARCHAR) AS week_start, CAST(0 AS BIGINT) AS part,
+@query("entity_week_corpus", f"""WITH {LINKED} SELECT entity, CAST(week_start AS VARCHAR) AS week_start,
   string_agg(text, ' ' ORDER BY ts, post_id) AS text, any_value(c_mktsegment) AS c_mktsegment, any_value(c_nationkey)::BIGINT AS c_nationkey
   FROM linked JOIN customer ON c_custkey = entity WHERE topic IN ('click', 'purchase') GROUP BY 1, 2""", "P-02")
 def _(t):
@@ -57,7 +57,7 @@ def _(t):
 SPLIT = "('0x' || substr(md5('42:' || entity), 1, 8))::BIGINT % 1000"
 
 
-@query("training_sets", f"""WITH {TRAIN} SELECT entity, CAST(week_start AS VARCHAR) AS week_start, CAST(0 AS BIGINT) AS part, string_agg(text, ' ' ORDER BY ts, post_id) AS text,
+@query("training_sets", f"""WITH {TRAIN} SELECT entity, CAST(week_start AS VARCHAR) AS week_start, string_agg(text, ' ' ORDER BY ts, post_id) AS text,
   {r('min(s)')} AS final_score, min(score_bin) AS score_bin, CASE WHEN {SPLIT} < 625 THEN 'train' WHEN {SPLIT} < 750 THEN 'val' ELSE 'test' END AS split
   FROM train GROUP BY entity, week_start""", "P-03")
 def _(t):
@@ -119,13 +119,13 @@ MEASURES = ["tot_cases", "tot_deaths", "ics_hosp"]
 
 def regional(t):
     daily = (t.orders.join(t.customer, F.col("o_custkey") == F.col("c_custkey"))
-             .join(F.broadcast(t.nation), F.col("c_nationkey") == F.col("n_nationkey"))
+             .join(t.nation, F.col("c_nationkey") == F.col("n_nationkey"))
              .select(F.col("n_name").alias("region"), F.col("o_orderdate").alias("day"), "o_totalprice", F.col("o_orderkey"),
                      F.col("o_totalprice").alias("price")))
     weekly = panel_plans.weekly_regions(
         daily.withColumn("p2", F.col("o_totalprice")), renames=MERGED,
         maxima={"o_totalprice": "tot_cases", "o_orderkey": "tot_deaths"}, sums={"price": "new_cases"}, means={"p2": "ics_hosp"})
-    names = t.customer.join(F.broadcast(t.nation), F.col("c_nationkey") == F.col("n_nationkey")).select(F.col("n_name").alias("region"))
+    names = t.customer.join(t.nation, F.col("c_nationkey") == F.col("n_nationkey")).select(F.col("n_name").alias("region"))
     pop = filters.recode(names, "region", MERGED).groupBy("region").agg(F.count(F.lit(1)).alias("pop"))
     return weekly, panel_plans.regional_exposure(weekly, pop, MEASURES, composite=("tot_cases", "tot_deaths"))
 
@@ -152,7 +152,7 @@ def _(t):
 def _(t):
     weekly, flags = regional(t)
     rows = (t.orders.join(t.customer, F.col("o_custkey") == F.col("c_custkey"))
-            .join(F.broadcast(t.nation), F.col("c_nationkey") == F.col("n_nationkey"))
+            .join(t.nation, F.col("c_nationkey") == F.col("n_nationkey"))
             .withColumn("week_start", dates.week_start("o_orderdate")).withColumnRenamed("n_name", "region"))
     rows = filters.recode(rows, "region", MERGED).groupBy("c_custkey", "region", "week_start").agg(F.count(F.lit(1)).alias("n"))
     rows = rows.withColumn("dist_label", dates.distance_label(dates.event_distance("week_start", "1998-02-23")))

@@ -10,8 +10,10 @@ from panelweave.operators.spread import (
     HOT_ROWS, _cols, quantiles, running_total, split_hot, stable_hash,
 )
 
-# A text group up to this many rows is joined in one value.
+# Texts of a group are put together in slices of at most this many rows.
 TEXT_ROWS = 20_000
+# Bytes that one value can hold.
+VALUE_BYTES = (1 << 31) - 64
 
 
 def _keys(keys):
@@ -34,27 +36,48 @@ def weekly_score(df, ts, entity, score, count, label="trailing", week="week_star
         .withColumn(out, F.col("score_sum") / F.col("score_count")))
 
 
-def concat_text(df, keys, text, order, out="text", sep=" ", part="part",
-                max_rows=TEXT_ROWS) -> DataFrame:
-    """All texts of a group in one string, in ``order``.
+def _joined(rows, keys, order, text, out, sep) -> DataFrame:
+    ranked = F.sort_array(F.collect_list(F.struct(
+        *[c.alias(f"_o{i}") for i, c in enumerate(order)], F.col(text).alias("_t"))))
+    return rows.groupBy(*keys).agg(F.array_join(F.transform(ranked, lambda s: s["_t"]), sep).alias(out))
+
+
+def _slices(hot, keys, text, order, max_rows, part) -> DataFrame:
+    place = running_total(hot.where(F.col(text).isNotNull()), keys, order, F.lit(1).cast("bigint"), "_p")
+    return place.withColumn(part, F.floor((F.col("_p") - 1) / max_rows).cast("bigint")).drop("_p")
 
-    A group above ``max_rows`` rows is given as several rows numbered by
-    ``part``, each at most ``max_rows`` texts, which together hold the whole
-    group in order; every other group is one row with part 0.
+
+def concat_text(df, keys, text, order, out="text", sep=" ", slice_rows=TEXT_ROWS) -> DataFrame:
+    """All texts of a group in one string, in ``order``: one row per group.
+
+    A group above ``slice_rows`` rows is put together slice by slice, then from
+    its slices, so that no task sorts all of its texts. A group whose text
+    exceeds what one value can hold fails with a message; ``text_parts`` gives
+    such groups as numbered rows of another table.
     """
     keys, order = _keys(keys), _cols(order)
-    known = F.col(text).isNotNull()
     # large groups are found by the key columns alone; no text is read for it
+    plain, hot = split_hot(df, keys, slice_rows)
+    whole = _joined(plain.where(F.col(text).isNotNull()), keys, order, text, out, sep)
+    if hot is None:
+        return whole
+    parts = _joined(_slices(hot, keys, text, order, slice_rows, "_part"), [*keys, "_part"], order, text, "_text", sep)
+    size = F.sum(F.octet_length("_text").cast("bigint") + len(sep.encode()))
+    ranked = F.sort_array(F.collect_list(F.struct("_part", "_text")))
+    joined = F.when(size <= VALUE_BYTES, F.array_join(F.transform(ranked, lambda s: s["_text"]), sep)).otherwise(
+        F.raise_error(F.lit("a group's text exceeds one value; use text_parts")))
+    return whole.unionByName(parts.groupBy(*keys).agg(joined.alias(out)))
+
+
+def text_parts(df, keys, text, order, out="text", sep=" ", part="part", max_rows=TEXT_ROWS) -> DataFrame:
+    """All texts of a group in numbered rows of at most ``max_rows`` texts each,
+    which together hold the group in order. The key is (keys, part)."""
+    keys, order = _keys(keys), _cols(order)
     plain, hot = split_hot(df, keys, max_rows)
-    rows = plain.where(known).withColumn(part, F.lit(0).cast("bigint"))
+    rows = plain.where(F.col(text).isNotNull()).withColumn(part, F.lit(0).cast("bigint"))
     if hot is not None:
-        place = running_total(hot.where(known), keys, order, F.lit(1).cast("bigint"), "_p")
-        rows = rows.unionByName(place.withColumn(
-            part, F.floor((F.col("_p") - 1) / max_rows).cast("bigint")).drop("_p"))
-    ranked = F.sort_array(F.collect_list(F.struct(
-        *[c.alias(f"_o{i}") for i, c in enumerate(order)], F.col(text).alias("_t"))))
-    return rows.groupBy(*keys, part).agg(
-        F.array_join(F.transform(ranked, lambda s: s["_t"]), sep).alias(out))
+        rows = rows.unionByName(_slices(hot, keys, text, order, max_rows, part))
+    return _joined(rows, [*keys, part], order, text, out, sep)
 
 
 def group_sums(df, keys, cols) -> DataFrame:
@@ -92,12 +115,11 @@ def value_counts(df, col, out="n") -> DataFrame:
 
 def element_counts(df, arr, dim, key, value, out="n") -> DataFrame:
     """Counts of listed elements that have a non-zero score, with the side."""
-    from panelweave.operators.joins import small
     counted = (df.select(F.explode(arr).alias(key)).groupBy(key)
                .agg(F.count(F.lit(1)).alias(out)))
     scored = dim.where(F.col(value) != 0).select(
         key, F.when(F.col(value) < 0, "left").otherwise("right").alias("side"))
-    return counted.join(small(scored), key)
+    return counted.join(scored, key)
 
 
 def mean_by_doc(df, doc, pred, label=None) -> DataFrame:
@@ -170,9 +192,9 @@ def best_doc(df, group, score, doc_id) -> DataFrame:
 def best_per_group(df, group, metric, tie=None) -> DataFrame:
     """Rows whose metric equals the group minimum; ``tie`` is an optional
     condition a row must also meet."""
-    keys = _keys(group)
-    best = df.groupBy(*keys).agg(F.min(metric).alias("_best"))
-    rows = df.join(best, keys).where(F.col(metric) == F.col("_best")).drop("_best")
+    from panelweave.operators.joins import with_group
+    rows = with_group(df, group, [F.min(metric).alias("_best")], "inner")
+    rows = rows.where(F.col(metric) == F.col("_best")).drop("_best")
     return rows.where(tie) if tie is not None else rows
 
 
@@ -195,18 +217,23 @@ def split_summary(forms: dict, split, entity, week) -> DataFrame:
     return sizes.join(users, ["form", "split"]).join(weeks, ["form", "split"])
 
 
-def group_members(df, key, id_col, out="ids", part="part", max_rows=HOT_ROWS) -> DataFrame:
-    """Sorted ids of each group.
+def group_members(df, key, id_col, out="ids", slice_rows=HOT_ROWS) -> DataFrame:
+    """Sorted ids of each group: one row per group.
 
-    Groups above ``max_rows`` are given in several rows numbered by ``part``
-    (id hash), so that no list is longer than about ``max_rows``.
+    A group above ``slice_rows`` ids is gathered in slices of its id hash first.
+    ``member_parts`` gives groups too large for one value as numbered rows.
     """
+    parts = member_parts(df, key, id_col, out, "_part", slice_rows)
+    keys = _keys(key)
+    return parts.groupBy(*keys).agg(F.sort_array(F.flatten(F.collect_list(out))).alias(out))
+
+
+def member_parts(df, key, id_col, out="ids", part="part", max_rows=HOT_ROWS) -> DataFrame:
+    """Sorted ids of each group in rows of about ``max_rows`` ids at most,
+    numbered by id hash. The key is (key, part)."""
+    from panelweave.operators.joins import with_group
     keys = _keys(key)
-    sizes = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
-    parts = sizes.where(F.col("_n") > max_rows).select(
-        *keys, F.ceil(F.col("_n") * 1.1 / max_rows).cast("bigint").alias("_k"))
-    from panelweave.operators.joins import small
-    rows = df.join(small(parts), keys, "left").withColumn(
-        part, F.when(F.col("_k").isNull(), F.lit(0)).otherwise(
-            F.pmod(stable_hash(id_col), F.col("_k"))).cast("bigint"))
+    slices = F.greatest(F.ceil(F.count(F.lit(1)) * 1.1 / max_rows), F.lit(1)).cast("bigint").alias("_k")
+    rows = with_group(df.select(*keys, id_col), keys, [slices], "left", max_rows)
+    rows = rows.withColumn(part, F.when(F.col("_k") > 1, F.pmod(stable_hash(id_col), F.col("_k"))).otherwise(F.lit(0)).cast("bigint"))
     return rows.groupBy(*keys, part).agg(F.sort_array(F.collect_list(id_col)).alias(out))

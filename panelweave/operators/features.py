@@ -11,8 +11,8 @@ from pyspark.sql import functions as F
 
 from panelweave import fixed
 from panelweave.functions.arrays import pairs_of
-from panelweave.operators.joins import BROADCAST_ROWS, salted_join
-from panelweave.operators.spread import hash_quota, stable_hash
+from panelweave.operators.joins import salted_join
+from panelweave.operators.spread import fits, hash_quota, stable_hash
 from panelweave.session import settle
 
 
@@ -75,8 +75,8 @@ def filter_vocab(df, terms, no_below=fixed.DICT_NO_BELOW, no_above=fixed.MAX_DF,
 
 
 def _meet(rows, table, on) -> DataFrame:
-    """Rows whose key is in a stored table, by broadcast when that is small."""
-    if table.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
+    """Rows whose key is in a stored table, by broadcast when its bytes are few."""
+    if fits(table):
         return rows.join(F.broadcast(table), on, "left_semi")
     return salted_join(rows, table, on, "left_semi")
 

@@ -6,29 +6,23 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from panelweave.operators.quality import assert_unique
-from panelweave.operators.spread import BROADCAST_ROWS
+from panelweave.session import settle
 
 # Keys with more rows than this are split over several tasks.
 HOT_KEY_ROWS = 500_000
-# At most this many keys are split; by counting, every other key has less than
-# one part in this many of the rows.
-MAX_HOT_KEYS = 1_000
+# The list of such keys is broadcast up to this size; it has at most
+# rows / HOT_KEY_ROWS entries.
+HOT_LIST_BYTES = 64 << 20
 
 
 def _keys(keys):
     return [keys] if isinstance(keys, str) else list(keys)
 
 
-def small(df: DataFrame, limit=BROADCAST_ROWS) -> DataFrame:
-    """Mark ``df`` for broadcast if it is counted to be small, else leave the
-    choice of a shuffle join to the optimizer."""
-    fits = df.limit(limit + 1).count() <= limit
-    return F.broadcast(df) if fits else df
-
-
-def join_entity_week(df, agg, keys=("week_start", "entity")) -> DataFrame:
-    """Attach weekly aggregates; ``agg`` is unique on the keys."""
-    return df.join(agg, _keys(keys), "left")
+def join_entity_week(df, agg, keys=("week_start", "entity"), hot_rows=HOT_KEY_ROWS) -> DataFrame:
+    """Attach weekly aggregates; ``agg`` is unique on the keys. An entity-week
+    with very many rows is split over several tasks."""
+    return salted_join(df, agg, keys, "left", hot_rows)
 
 
 def join_attrs(df, attrs, key, order=None) -> DataFrame:
@@ -40,8 +34,9 @@ def join_attrs(df, attrs, key, order=None) -> DataFrame:
 
 
 def join_dim(df, dim, keys) -> DataFrame:
-    """Left join with a dimension, broadcast when counted small."""
-    return df.join(small(dim), _keys(keys), "left")
+    """Left join with a dimension. Spark broadcasts it by its estimated bytes, or
+    by its bytes as measured while the query runs."""
+    return df.join(dim, _keys(keys), "left")
 
 
 def join_inner(left, right, keys, validate=None) -> DataFrame:
@@ -81,40 +76,65 @@ def checked_join(left, right, on, how="inner", validate=None) -> DataFrame:
     return left.join(right, keys, how)
 
 
-def salted_join(big, side, on, how="inner", hot_rows=HOT_KEY_ROWS, max_hot=MAX_HOT_KEYS,
-                spread_by=None) -> DataFrame:
+def hot_keys(counts, keys, hot_rows=HOT_KEY_ROWS):
+    """Stored (keys, _shares) of the keys above ``hot_rows`` in a table of key
+    counts (``count``), or None if there are none."""
+    hot = settle(counts.where(F.col("count") > hot_rows).select(
+        *keys, F.ceil(F.col("count") / hot_rows).cast("int").alias("_shares")))
+    return None if hot.isEmpty() else hot
+
+
+def _fitting(hot, keys):
+    """The list of hot keys, marked for broadcast if its bytes are few."""
+    size = hot.agg(F.sum(sum((F.octet_length(F.col(k).cast("string")) for k in keys), F.lit(16)))).first()[0]
+    return F.broadcast(hot) if size <= HOT_LIST_BYTES else hot
+
+
+def salted_join(big, side, on, how="inner", hot_rows=HOT_KEY_ROWS, spread_by=None, hot=None) -> DataFrame:
     """Equi-join that splits hot keys of ``big`` over several tasks.
 
-    Key counts find the keys above ``hot_rows``; at most ``max_hot`` of them
-    are kept, and by counting every other key holds less than 1/``max_hot`` of
-    the rows. Rows of a hot key are dealt over numbered shares by the hash of
-    ``spread_by`` (all columns by default) and the matching rows of ``side``
-    are copied once per share. Other rows are joined as usual, in the same
-    join. Only ``inner``, ``left``, ``left_semi`` and ``left_anti`` make sense.
-    ``big`` is read twice, so store it first where it is costly to compute.
+    A count by key finds the keys above ``hot_rows``, all of them (``hot`` hands
+    over a stored list, see ``hot_keys``). Without any, this is a plain join.
+    Else the rows of a hot key are dealt over numbered shares by the hash of
+    ``spread_by`` (all columns by default) and the matching rows of ``side`` are
+    copied once per share. Only ``inner``, ``left``, ``left_semi`` and
+    ``left_anti`` make sense. ``big`` is read twice, so store it first where it
+    is costly to compute.
     """
     if how not in ("inner", "left", "left_semi", "left_anti"):
         raise ValueError(f"cannot split a {how} join")
     keys = _keys(on)
-    hot = (
-        big.groupBy(*keys).count().where(F.col("count") > hot_rows)
-        .orderBy(F.desc("count"), *keys).limit(max_hot)
-        .select(*keys, F.ceil(F.col("count") / hot_rows).cast("int").alias("_shares")))
+    hot = hot_keys(big.groupBy(*keys).count(), keys, hot_rows) if hot is None else hot
+    return _split_join(big, side, keys, how, hot, spread_by)
+
+
+def _split_join(big, side, keys, how, hot, spread_by=None) -> DataFrame:
+    if hot is None:
+        return big.join(side, keys, how)
+    hot = _fitting(hot, keys)
     spread = [F.col(c) for c in (spread_by or [c for c in big.columns])]
     dealt = (
-        big.join(F.broadcast(hot), keys, "left")
+        big.join(hot, keys, "left")
         .withColumn("_share", F.when(
             F.col("_shares").isNotNull(),
             F.pmod(F.xxhash64(*spread), F.col("_shares").cast("bigint")).cast("int")
         ).otherwise(0)).drop("_shares"))
     copied = (
-        side.join(F.broadcast(hot), keys, "left")
+        side.join(hot, keys, "left")
         .withColumn("_share", F.explode(
             F.sequence(F.lit(0), F.coalesce(F.col("_shares"), F.lit(1)) - 1)))
         .drop("_shares"))
     return dealt.join(copied, [*keys, "_share"], how).drop("_share")
 
 
+def with_group(df, keys, aggs, how="left", hot_rows=HOT_KEY_ROWS) -> DataFrame:
+    """Attach group aggregates to every row. The aggregate also counts its rows,
+    so that hot groups are known and split without another pass."""
+    keys = _keys(keys)
+    stored = settle(df.groupBy(*keys).agg(*aggs, F.count(F.lit(1)).alias("count")))
+    return _split_join(df, stored.drop("count"), keys, how, hot_keys(stored, keys, hot_rows))
+
+
 def lookup_long(df, col, table, key, value, out=None, hot_rows=HOT_KEY_ROWS) -> DataFrame:
     """Look one column up in a key-unique table of any size; misses and null
     values are dropped. Hot keys are split."""
@@ -123,64 +143,72 @@ def lookup_long(df, col, table, key, value, out=None, hot_rows=HOT_KEY_ROWS) ->
     return salted_join(df, pairs, col, "inner", hot_rows)
 
 
-def lookup_list(df, arr, table, key, value, out, row_id, hot_rows=HOT_KEY_ROWS) -> DataFrame:
+def lookup_list(df, arr, table, key, value, out, row_id, keep_key=None, hot_rows=HOT_KEY_ROWS) -> DataFrame:
     """Replace each list by the values its elements have in ``table``.
 
     Elements without a value are dropped, order is kept, and a row without any
-    hit keeps an empty list. Prefer ``lookup_long`` where no list is needed.
-    The regrouped lists are no longer than the input lists.
+    hit keeps an empty list. ``keep_key`` also keeps the elements found. The
+    exploded lists are stored once. Prefer ``lookup_long`` where no list is
+    needed. The regrouped lists are no longer than the input lists.
     """
     ids = _keys(row_id)
-    long = df.select(*ids, F.posexplode(arr).alias("_pos", "_key"))
+    long = settle(df.select(*ids, F.posexplode(arr).alias("_pos", "_key")).where(F.col("_key").isNotNull()))
     hits = lookup_long(long, "_key", table, key, value, "_val", hot_rows)
-    lists = hits.groupBy(*ids).agg(
-        F.transform(F.sort_array(F.collect_list(F.struct("_pos", "_val"))),
-                    lambda s: s["_val"]).alias(out))
-    kind = lists.schema[out].dataType
-    return df.join(lists, ids, "left").withColumn(
-        out, F.coalesce(F.col(out), F.array().cast(kind)))
+    found = F.sort_array(F.collect_list(F.struct("_pos", "_val", "_key")))
+    cols = [F.transform(found, lambda s: s["_val"]).alias(out)]
+    if keep_key:
+        cols.append(F.transform(found, lambda s: s["_key"]).alias(keep_key))
+    lists = hits.groupBy(*ids).agg(*cols)
+    empty = {f.name: F.coalesce(F.col(f.name), F.array().cast(f.dataType)) for f in lists.schema if f.name not in ids}
+    return df.drop(*empty).join(lists, ids, "left").withColumns(empty)
 
 
 def lookup_dim(df, arr, dim, key, value, out, row_id, keep_key=None) -> DataFrame:
-    """Scores of the listed keys in a small key-unique table, in list order.
+    """Scores of the listed keys in a key-unique table of any size, in list
+    order; ``keep_key`` also keeps the keys found."""
+    return lookup_list(df, arr, dim, key, value, out, row_id, keep_key)
 
-    A table counted small becomes a one-row map held by every task, so lists
-    need no regrouping; a larger one goes through ``lookup_list``.
-    """
-    pairs = dim.where(F.col(value).isNotNull())
-    if pairs.limit(BROADCAST_ROWS + 1).count() > BROADCAST_ROWS:
-        return lookup_list(df, arr, dim, key, value, out, row_id)
-    table = pairs.agg(F.map_from_entries(F.collect_list(F.struct(key, value))).alias("_m"))
-    hits = F.filter(F.col(arr), lambda x: F.map_contains_key(F.col("_m"), x))
-    cols = {out: F.transform(hits, lambda x: F.element_at(F.col("_m"), x))}
-    if keep_key:
-        cols[keep_key] = hits
-    return df.crossJoin(F.broadcast(table)).withColumns(cols).drop("_m")
+
+def _number(col, kind):
+    if kind == "date":
+        return F.unix_date(col).cast("double")
+    if kind.startswith("timestamp"):
+        return F.unix_micros(F.col(col).cast("timestamp") if isinstance(col, str) else col.cast("timestamp")).cast("double")
+    return (F.col(col) if isinstance(col, str) else col).cast("double")
 
 
 def range_join(df, bounds, col, lb="lb", ub="ub", how="left") -> DataFrame:
     """Attach the interval that holds the value, both ends closed.
 
-    ``bounds`` must be small (checked) and its intervals disjoint.
+    Intervals are disjoint, and of any number. Their span is cut into as many
+    even stretches as there are intervals; since they do not overlap, they cover
+    at most twice that many (interval, stretch) pairs, and a value meets only
+    the intervals of its own stretch.
     """
-    if bounds.limit(BROADCAST_ROWS + 1).count() > BROADCAST_ROWS:
-        raise ValueError("too many intervals; derive the bin from the value instead")
-    return df.join(F.broadcast(bounds), F.col(col).between(F.col(lb), F.col(ub)), how)
+    kinds = dict(bounds.dtypes)
+    bounds = settle(bounds)
+    n, low, high = bounds.agg(F.count(F.lit(1)), F.min(_number(lb, kinds[lb])), F.max(_number(ub, kinds[ub]))).first()
+    width = ((high - low) / n if n and high > low else 0) or 1.0
+    low = low or 0.0
+
+    def stretch(c, kind):
+        return F.floor((_number(c, kind) - F.lit(low)) / F.lit(width))
+
+    pieces = bounds.withColumn("_s", F.explode(F.sequence(stretch(lb, kinds[lb]), stretch(ub, kinds[ub]))))
+    rows = df.withColumn("_at", stretch(col, dict(df.dtypes)[col]))
+    met = (F.col("_at") == F.col("_s")) & F.col(col).between(F.col(lb), F.col(ub))
+    return rows.join(pieces, met, how).drop("_s", "_at")
 
 
-def balance_panel(df, group, time, fill=0, cells=50_000_000) -> DataFrame:
+def balance_panel(df, group, time, fill=0) -> DataFrame:
     """All (group, observed time) pairs; absent cells get ``fill``.
 
     Both lists are distinct values, and their product is the size of the
-    result by definition; it is checked against ``cells`` first.
+    result by definition.
     """
     groups, times = df.select(group).distinct(), df.select(time).distinct()
-    n = groups.count() * times.count()
-    if n > cells:
-        raise ValueError(f"balanced panel would have {n} cells")
     rest = {c: t for c, t in df.dtypes if c not in (group, time)}
-    grid = groups.crossJoin(small(times))
-    out = grid.join(df, [group, time], "left")
+    out = groups.crossJoin(times).join(df, [group, time], "left")
     return out.withColumns({c: F.coalesce(F.col(c), F.lit(fill).cast(t)) for c, t in rest.items()})
 
 

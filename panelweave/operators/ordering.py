@@ -27,10 +27,13 @@ def top_terms(df, topic, term, weight, k, rank="rank") -> DataFrame:
     return _limited(df, _keys(topic), [F.desc(weight), F.col(term)], k, rank)
 
 
-def order_categories(df, col, order, out="order") -> DataFrame:
-    """Sort by an explicit category order; unknown ones come last."""
+def order_categories(df, col, order, out="order", tie=None) -> DataFrame:
+    """Sort by an explicit category order; unknown ones come last. Rows of one
+    category stand by ``tie`` (a hash of the row by default), so that a category
+    with most of the rows is still sorted by many tasks."""
     place = df.withColumn(out, ordinal(col, order))
-    return place.orderBy(F.col(out).asc_nulls_last(), col)
+    ties = [F.xxhash64(*df.columns)] if tie is None else _keys(tie)
+    return place.orderBy(F.col(out).asc_nulls_last(), col, *ties)
 
 
 def arg_best(df, metric, how="max", tie=()) -> DataFrame:

@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from panelweave.operators.joins import salted_join
+from panelweave.operators.joins import HOT_KEY_ROWS, hot_keys, salted_join
 from panelweave.operators.sets import union_ids
 from panelweave.operators.spread import number_rows
+from panelweave.session import settle
 
 
 def one_hot(df, col, values, prefix="") -> DataFrame:
@@ -41,7 +42,15 @@ def label_codes(*columns, label="label", code="code") -> DataFrame:
 def encode_labels(df, cols, codes=None, suffix="_enc") -> DataFrame:
     """Replace labels by alphabetical codes, shared by all columns."""
     cols = [cols] if isinstance(cols, str) else list(cols)
-    codes = label_codes(*[df.select(c) for c in cols]) if codes is None else codes
-    for c in cols:
-        df = salted_join(df, codes.toDF(c, f"{c}{suffix}"), c, "left")
+    # one pass over all columns gives the labels and the hot ones
+    counts = settle(df.select(F.explode(F.array(*[
+        F.struct(F.lit(i).alias("col"), F.col(c).alias("label")) for i, c in enumerate(cols)])).alias("_l"))
+        .groupBy("_l.col", "_l.label").count())
+    codes = settle(label_codes(counts.select("label")) if codes is None else codes)
+    large = counts.where(F.col("count") > HOT_KEY_ROWS)
+    with_hot = {r["col"] for r in large.select("col").distinct().collect()}
+    for i, c in enumerate(cols):
+        hot = hot_keys(large.where(F.col("col") == i).withColumnRenamed("label", c), [c]) if i in with_hot else None
+        side = codes.toDF(c, f"{c}{suffix}")
+        df = df.join(side, c, "left") if hot is None else salted_join(df, side, c, "left", hot=hot)
     return df

@@ -8,7 +8,7 @@ is proven small; a group holding a large share of the rows needs another way:
   before it.
 * ``order_values`` finds exact order statistics from slice counts and reads
   only the slices that hold a wanted rank.
-* ``average_ranks`` ranks distinct values slice by slice.
+* ``average_ranks`` ranks distinct values by a running total of their counts.
 * ``hash_quota`` gives exact per-stratum quotas from counts of hash slices.
 """
 
@@ -22,11 +22,14 @@ from pyspark.sql import functions as F
 
 from panelweave.session import settle
 
-# A side is broadcast only up to this many rows, counted first.
-BROADCAST_ROWS = 200_000
+# A stored side is broadcast only up to this many bytes, measured first.
+BROADCAST_BYTES = 32 << 20
 # A group up to this many rows is sorted in one task.
 HOT_ROWS = 1_000_000
-SLICES = 256
+# Rows that a slice is meant to hold, and most slices cut in one pass; a slice
+# that is still too large is cut again.
+SLICE_ROWS = 100_000
+MOST_SLICES = 2_000
 
 
 def _cols(cols):
@@ -42,15 +45,26 @@ def null_safe(left: str, right: str, keys) -> Column:
     return out
 
 
+def fits(stored: DataFrame) -> bool:
+    """Whether a stored table's rows take few enough bytes to broadcast."""
+    size = F.lit(16).cast("bigint")
+    for f in stored.schema.fields:
+        size = size + F.coalesce(F.octet_length(F.col(f"`{f.name}`").cast("string")), F.lit(0)) + 8
+    return (stored.agg(F.sum(size)).first()[0] or 0) <= BROADCAST_BYTES
+
+
+def slice_count(n: int) -> int:
+    return max(1, min(MOST_SLICES, math.ceil(n / SLICE_ROWS)))
+
+
 def split_hot(df: DataFrame, keys, limit: int):
     """Rows of groups up to ``limit`` rows, and rows of larger groups (None if
     there are none). One count over the key columns finds the larger groups;
     there are at most rows / ``limit`` of them."""
     hot = settle(df.groupBy(*keys).count().where(F.col("count") > limit).select(*keys))
-    n = hot.limit(BROADCAST_ROWS + 1).count()
-    if n == 0:
+    if hot.isEmpty():
         return df, None
-    side = (F.broadcast(hot) if n <= BROADCAST_ROWS else hot).alias("r")
+    side = (F.broadcast(hot) if fits(hot) else hot).alias("r")
     match = null_safe("l", "r", keys)
     rows = df.alias("l")
     return rows.join(side, match, "left_anti"), rows.join(side, match, "left_semi")
@@ -63,7 +77,8 @@ def running_total(df: DataFrame, keys, order, value, out: str, parts: int | None
     the same slices. ``order`` must be unique within a group.
     """
     keys, order = list(keys), _cols(order)
-    parts = parts or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    least = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    parts = parts or max(least, math.ceil(df.count() / HOT_ROWS))
     value = F.col(value) if isinstance(value, str) else value
     placed = df.withColumn("_v", value)
     if keys:
@@ -110,18 +125,12 @@ def number_rows(df: DataFrame, keys, order, out="row_number", hot_rows=HOT_ROWS)
     return parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
 
 
-# A column with no more values than this is ranked as one slice.
-ONE_SLICE = 100_000
-
-
-def _cut_points(x: DataFrame, slices: int) -> tuple[int, list[float]]:
-    """Number of values, and distinct approximate cut points of column ``x``
-    (fewer than ``slices``; none for a short column). One pass."""
-    n, cuts = x.agg(F.count("x"), F.percentile_approx(
-        "x", [i / slices for i in range(1, slices)], 20 * slices)).first()
-    if n <= ONE_SLICE:
-        return n, []
-    return n, sorted({float(c) for c in cuts or [] if not math.isinf(c)})
+def _cut_points(x: DataFrame, slices: int) -> list[float]:
+    """Distinct approximate cut points of column ``x``, fewer than ``slices``."""
+    if slices < 2:
+        return []
+    cuts = x.agg(F.percentile_approx("x", [i / slices for i in range(1, slices)], 20 * slices)).first()[0]
+    return sorted({float(c) for c in cuts or [] if not math.isinf(c)})
 
 
 def _sliced(x: DataFrame, cuts: list[float]) -> DataFrame:
@@ -138,39 +147,49 @@ def _values(df: DataFrame, col) -> DataFrame:
     return x.where(F.col("x").isNotNull() & ~F.isnan("x"))
 
 
-def order_values(df: DataFrame, col, wanted, slices=SLICES) -> tuple[int, dict[int, float]]:
+def _ranked(x: DataFrame, n: int, ranks: list[int], slices: int | None) -> dict[int, float]:
+    """{rank: value} of column ``x`` with ``n`` values."""
+    b = _sliced(x, _cut_points(x, slices or slice_count(n)))
+    # at most `slices` rows
+    counts = sorted((r["b"], r["count"]) for r in b.groupBy("b").count().collect())
+    out, need, before = {}, [], 0
+    for slice_no, count in counts:
+        local = [r - before for r in ranks if before < r <= before + count]
+        if local and slices is None and SLICE_ROWS * 4 < count < n:
+            deeper = _ranked(b.where(F.col("b") == slice_no).select("x"), count, local, None)
+            out |= {r + before: v for r, v in deeper.items()}
+        else:
+            need += [(slice_no, r + before, r) for r in local]
+        before += count
+    if need:
+        targets = x.sparkSession.createDataFrame(need, "b double, rank bigint, local bigint")
+        held = b.where(F.col("b").isin(sorted({s for s, _, _ in need}))).groupBy("b", "x").count()
+        upto = F.sum("count").over(Window.partitionBy("b").orderBy("x"))
+        held = held.withColumn("hi", upto).withColumn("lo", F.col("hi") - F.col("count"))
+        # one row per wanted rank
+        hits = held.join(F.broadcast(targets), "b").where(
+            (F.col("lo") < F.col("local")) & (F.col("local") <= F.col("hi")))
+        out |= {r["rank"]: r["x"] for r in hits.select("rank", "x").collect()}
+    return out
+
+
+def order_values(df: DataFrame, col, wanted, slices=None) -> tuple[int, dict[int, float]]:
     """Exact order statistics of a column, nulls and NaN left out.
 
     ``wanted`` maps the number of values n to the 1-based ranks to fetch. The
-    column is read up to three times, so store a costly input first.
-    Returns ``(n, {rank: value})``. Only slice counts (at most ``slices``) and
+    number of slices follows from n; a slice that holds a wanted rank and far
+    more rows than meant is cut again. The column is read a few times, so store
+    a costly input first. Returns ``(n, {rank: value})``. Only slice counts and
     the wanted values reach the driver; rows are shuffled only for slices that
     hold a wanted rank, after equal values are merged.
     """
     x = _values(df, col)
-    n, cuts = _cut_points(x, slices)
-    b = _sliced(x, cuts)
-    if cuts:
-        counts = sorted((r["b"], r["count"]) for r in b.groupBy("b").count().collect())
-    else:
-        counts = [(0.0, n)]
+    n = x.count()
     ranks = sorted({r for r in wanted(n) if 1 <= r <= n})
-    need, before = [], 0
-    for slice_no, count in counts:
-        need += [(slice_no, r, r - before) for r in ranks if before < r <= before + count]
-        before += count
-    if not need:
-        return n, {}
-    targets = df.sparkSession.createDataFrame(need, "b double, rank bigint, local bigint")
-    held = b.where(F.col("b").isin([s for s, _, _ in need])).groupBy("b", "x").count()
-    upto = F.sum("count").over(Window.partitionBy("b").orderBy("x"))
-    held = held.withColumn("hi", upto).withColumn("lo", F.col("hi") - F.col("count"))
-    hits = held.join(F.broadcast(targets), "b").where(
-        (F.col("lo") < F.col("local")) & (F.col("local") <= F.col("hi")))
-    return n, {r["rank"]: r["x"] for r in hits.select("rank", "x").collect()}
-
-
-def quantiles(df: DataFrame, col, probs, method="linear", slices=SLICES) -> list[float]:
+    return n, _ranked(x, n, ranks, slices) if ranks else {}
+
+
+def quantiles(df: DataFrame, col, probs, method="linear", slices=None) -> list[float]:
     """Exact quantiles. ``linear`` interpolates between neighbours;
     ``averaged`` takes the next value, or the mean of two at a whole position
     (the rule of the statistics package behind the validation curves)."""
@@ -195,21 +214,19 @@ def quantiles(df: DataFrame, col, probs, method="linear", slices=SLICES) -> list
     return [value[a] + (value[b] - value[a]) * w if w else value[a] for a, b, w in spots(n)]
 
 
-def average_ranks(df: DataFrame, col, value="value", rank="rank", slices=SLICES) -> DataFrame:
-    """One row per distinct value with its average rank over all rows."""
-    x = _values(df, col)
-    merged = _sliced(x.groupBy("x").count(), _cut_points(x, slices)[1])
-    heads = merged.groupBy("b").agg(F.sum("count").alias("t"))
-    # heads has at most `slices` rows
-    heads = heads.select("b", F.coalesce(
-        F.sum("t").over(Window.orderBy("b").rowsBetween(Window.unboundedPreceding, -1)),
-        F.lit(0)).alias("before"))
-    upto = F.sum("count").over(Window.partitionBy("b").orderBy("x"))
-    return (
-        merged.withColumn("upto", upto).join(F.broadcast(heads), "b")
-        .select(F.col("x").alias(value),
-                (F.col("before") + F.col("upto") - F.col("count")
-                 + (F.col("count") + 1) / 2).alias(rank)))
+def average_ranks(df: DataFrame, col, value="value", rank="rank", keys=(), weight=None) -> DataFrame:
+    """One row per distinct value with its average rank over all rows (of its
+    group by ``keys``). ``weight`` counts a row several times.
+
+    Equal values are merged first; the running count of the distinct values is
+    range-placed, so neither a long column nor a hot value meets in one task.
+    """
+    keys = [keys] if isinstance(keys, str) else list(keys)
+    col = F.col(col) if isinstance(col, str) else col
+    x = df.select(*keys, col.cast("double").alias("x"), (F.col(weight) if weight else F.lit(1)).alias("w"))
+    merged = x.where(F.col("x").isNotNull() & ~F.isnan("x")).groupBy(*keys, "x").agg(F.sum("w").cast("bigint").alias("count"))
+    placed = running_total(settle(merged), keys, ["x"], "count", "upto")
+    return placed.select(*keys, F.col("x").alias(value), (F.col("upto") - F.col("count") + (F.col("count") + 1) / 2).alias(rank))
 
 
 def stable_hash(*cols, seed=0) -> Column:
@@ -219,15 +236,19 @@ def stable_hash(*cols, seed=0) -> Column:
     return F.conv(F.substring(F.md5(text), 1, 8), 16, 10).cast("bigint")
 
 
-def hash_quota(df: DataFrame, strata, key, cuts, out: str, seed=0, slices=1024) -> DataFrame:
+def hash_quota(df: DataFrame, strata, key, cuts, out: str, seed=0, slices=None) -> DataFrame:
     """Label rows by exact position in the hash order of their stratum.
 
     ``cuts`` maps a size Column to a list of ``(label, size Column)``; labels
     are dealt in that order and the last one takes the rest. Positions come
     from counts per (stratum, hash slice); only slices that hold a limit are
-    shuffled and sorted, each about 1/``slices`` of a stratum.
+    shuffled and sorted, each about 1/``slices`` of a stratum; the number of
+    slices follows from the largest stratum.
     """
     strata = [strata] if isinstance(strata, str) else list(strata)
+    if slices is None:
+        largest = df.groupBy(*strata).count().agg(F.max("count")).first()[0] or 1
+        slices = 1 << max(0, math.ceil(math.log2(max(1, largest / SLICE_ROWS))))
     h = stable_hash(*_cols(key), seed=seed)
     base = df.withColumn("_h", h).withColumn("_s", F.floor(F.col("_h") * slices / F.lit(2 ** 32)))
     # at most (number of strata) x slices rows, read by both branches
@@ -251,7 +272,7 @@ def hash_quota(df: DataFrame, strata, key, cuts, out: str, seed=0, slices=1024)
 
     marks = marks.withColumn("_first", label_at(F.col("_lo") + 1)).withColumn("_last", label_at(F.col("_hi")))
     marks = settle(marks)
-    if marks.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
+    if fits(marks):
         marks = F.broadcast(marks)
     tagged = base.alias("l").join(marks.alias("r"), null_safe("l", "r", [*strata, "_s"])).select(
         "l.*", "r._lo", "r._first", "r._last",

@@ -6,9 +6,10 @@ import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from panelweave.operators.joins import salted_join
+from panelweave.operators.joins import hot_keys, salted_join
 from panelweave.operators.spread import average_ranks, quantiles
 from panelweave.operators.windows import quantile_bin
+from panelweave.session import settle
 
 
 def _keys(keys):
@@ -135,11 +136,12 @@ def corr_pair(df, x, y, method="pearson", out="rho") -> DataFrame:
     if method == "pearson":
         both = df.where(a.isNotNull() & b.isNotNull())
         return both.agg(F.corr(a, b).alias(out))
-    pairs = (df.select(a.alias("_x"), b.alias("_y")).dropna()
-             .groupBy("_x", "_y").agg(F.count(F.lit(1)).alias("_n")))
-    rows = df.select(a.alias("_x"), b.alias("_y")).dropna()
-    joined = (pairs.join(average_ranks(rows, "_x", "_x", "_rx"), "_x")
-              .join(average_ranks(rows, "_y", "_y", "_ry"), "_y"))
+    pairs = settle(df.select(a.alias("_x"), b.alias("_y")).dropna()
+                   .groupBy("_x", "_y").agg(F.count(F.lit(1)).alias("_n")))
+    joined = pairs
+    for value, rank in (("_x", "_rx"), ("_y", "_ry")):
+        side = average_ranks(pairs, value, value, rank, weight="_n")
+        joined = salted_join(joined, side, value, hot=hot_keys(pairs.groupBy(value).count(), [value]))
     # ranks have the known mean (n + 1) / 2
     centre = F.broadcast(pairs.agg(((F.sum("_n") + 1) / 2).alias("_c")))
     dx, dy, w = F.col("_rx") - F.col("_c"), F.col("_ry") - F.col("_c"), F.col("_n")
@@ -147,29 +149,22 @@ def corr_pair(df, x, y, method="pearson", out="rho") -> DataFrame:
         F.sum(w * dx * dy), F.sqrt(F.sum(w * dx * dx)) * F.sqrt(F.sum(w * dy * dy))).alias(out))
 
 
-# Tables up to this many rows are ranked in one window.
-SHORT_ROWS = 100_000
-
-
 def rank_columns(df, cols, partition=()) -> DataFrame:
-    """Average ranks of each column; nulls stay null.
+    """Average ranks of each column (within ``partition``); nulls stay null.
 
-    A table counted short (such as one row per period) is ranked by a window,
-    a longer one by ``average_ranks`` and joins on the value.
+    All columns are ranked in one pass: unpivoted to (row, column, value),
+    ranked by column, and pivoted back. The table is read once and stored.
     """
-    out = df
-    if not partition and df.limit(SHORT_ROWS + 1).count() > SHORT_ROWS:
-        for c in cols:
-            out = out.withColumn(c, F.col(c).cast("double"))
-            out = salted_join(out, average_ranks(df, c, c, f"_r_{c}"), c, "left")
-        return out.drop(*cols).withColumnsRenamed({f"_r_{c}": c for c in cols})
-    for c in cols:
-        # nulls are ranked apart and emptied again, so they move no other rank
-        w = Window.partitionBy(*_keys(partition), F.col(c).isNull())
-        rank = F.rank().over(w.orderBy(c))
-        ties = F.count(F.lit(1)).over(Window.partitionBy(*_keys(partition), c))
-        out = out.withColumn(f"_r_{c}", F.when(F.col(c).isNotNull(), rank + (ties - 1) / 2))
-    return out.drop(*cols).withColumnsRenamed({f"_r_{c}": c for c in cols})
+    cols, keys = list(cols), _keys(partition)
+    rows = settle(df.withColumn("_row", F.monotonically_increasing_id()))
+    long = rows.select("_row", *keys, F.explode(F.array(*[
+        F.struct(F.lit(c).alias("_col"), F.col(f"`{c}`").cast("double").alias("_v")) for c in cols])).alias("_e")).select(
+        "_row", *keys, "_e._col", "_e._v").where(F.col("_v").isNotNull())
+    on = [*keys, "_col", "_v"]
+    ranks = average_ranks(long, "_v", "_v", "_r", keys=[*keys, "_col"])
+    ranked = salted_join(long, ranks, on)
+    wide = ranked.groupBy("_row").pivot("_col", cols).agg(F.first("_r"))
+    return rows.drop(*cols).join(wide, "_row", "left").drop("_row")
 
 
 def corr_matrix(df, cols, method="pearson", a="a", b="b", out="rho") -> DataFrame:

@@ -3,7 +3,7 @@
 Lags and moving means run over panels that are unique on (entity, week), or on
 (group, week), so a window group holds at most one row per week. Whole-group
 statistics over unaggregated rows use an aggregate and a join instead of a
-window, so that a large group is never held by one task.
+window; the join splits groups that the aggregate counted as large.
 """
 
 from __future__ import annotations
@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from panelweave.operators.joins import small
+from panelweave.operators.joins import with_group
 from panelweave.operators.spread import number_rows as _number_rows
 from panelweave.operators.spread import quantiles
 
@@ -45,17 +45,12 @@ def shift_in_group(df, entity, time, col, out) -> DataFrame:
     return rows.withColumn(out, F.lag(col).over(w)).where(F.col(out).isNotNull())
 
 
-def _with_group(df, keys, aggs) -> DataFrame:
-    """Attach group aggregates to every row by aggregate and join."""
-    return df.join(df.groupBy(*keys).agg(*aggs), keys, "left")
-
-
 def entity_span(df, entity, time, event=None, first="min_date", last="max_date",
                 out="active_both") -> DataFrame:
     """First and last active week on each row, and whether the event date lies
     between them."""
     keys = _keys(entity)
-    spans = _with_group(df, keys, [F.min(time).alias(first), F.max(time).alias(last)])
+    spans = with_group(df, keys, [F.min(time).alias(first), F.max(time).alias(last)])
     if event is None:
         return spans
     day = F.lit(event).cast("date")
@@ -73,7 +68,7 @@ def region_week_stats(df, keys, maxima=(), sums=(), means=()) -> DataFrame:
 def share_of(df, group, value, out="share", total=None) -> DataFrame:
     """Value divided by the total of its group; ``total`` also keeps that."""
     keys = _keys(group)
-    rows = _with_group(df, keys, [F.sum(value).alias("_total")])
+    rows = with_group(df, keys, [F.sum(value).alias("_total")])
     rows = rows.withColumn(out, F.try_divide(F.col(value).cast("double"), F.col("_total").cast("double")))
     return rows.withColumnRenamed("_total", total) if total else rows.drop("_total")
 
@@ -101,8 +96,7 @@ def quantile_bin(df, col, n, out="bin", method="averaged") -> DataFrame:
 
 def bin_means(df, bin_col, cols: dict) -> DataFrame:
     """Mean of each column per bin, on every row."""
-    means = df.groupBy(bin_col).agg(*[F.avg(c).alias(o) for c, o in cols.items()])
-    return df.join(small(means), bin_col, "left")
+    return with_group(df, bin_col, [F.avg(c).alias(o) for c, o in cols.items()])
 
 
 def first_per_key(df, key, order) -> DataFrame:

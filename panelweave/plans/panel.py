@@ -64,7 +64,7 @@ def add_calendar(panel, week="week_start", event=fixed.EVENT_DATE, base_month=2)
     rows = panel.crossJoin(F.broadcast(first)).withColumn("_bi", dates.biweek_index(week, "_first"))
     # a bin is two weeks: at most one row per two weeks of the time range
     starts = rows.groupBy("_bi").agg(F.min(week).alias("biweek"))
-    rows = rows.join(joins.small(starts), "_bi", "left").drop("_bi", "_first")
+    rows = rows.join(starts, "_bi", "left").drop("_bi", "_first")
     rows = rows.withColumns({
         "dist": dates.event_distance(week, event),
         "dist_bi": dates.event_distance("biweek", event),

@@ -34,7 +34,7 @@ def weekly_alignment(posts, links, labels, post_id="post_id", entity="entity", t
     if remove_centre:
         labels = labels.where(F.col(score) != 0)
     scored = post_domains(posts, links, post_id, text_col, keep=[entity, ts]).join(
-        joins.small(labels.select(F.col(domain).alias("domain"), F.col(score).alias("_score"))), "domain")
+        labels.select(F.col(domain).alias("domain"), F.col(score).alias("_score")), "domain")
     return aggregates.weekly_score(
         scored.withColumn("_one", F.lit(1).cast("bigint")), ts, entity, "_score", "_one", label=label)
 
@@ -59,9 +59,9 @@ def distant_supervision(posts, links, labels, attrs=None, topics=None, post_id="
 
 
 def entity_week_corpus(posts, attrs=None, entity="entity", ts="ts", text_col="text", order=("ts", "post_id"),
-                       topics=None, topic="topic", org=None, org_col="is_org", sort=True) -> DataFrame:
-    """One text per entity and week (see ``concat_text`` for very large
-    groups), with entity attributes."""
+                       topics=None, topic="topic", org=None, org_col="is_org", sort=False) -> DataFrame:
+    """One text per entity and week, with entity attributes; entities without
+    attributes are left out. ``sort`` orders the table by entity and week."""
     rows = posts
     if org is not None:
         rows = filters.where_eq(rows, org_col, org)
@@ -72,9 +72,8 @@ def entity_week_corpus(posts, attrs=None, entity="entity", ts="ts", text_col="te
     if attrs is not None:
         rest = [c for c in attrs.columns if c != entity]
         info = aggregates.dedupe(attrs, entity, rest)
-        merged = joins.join_outer_indicator(corpus, info, entity)
-        corpus = merged.where("_merge = 'both'").drop("_merge")
-    return corpus.orderBy(entity, "week_start", "part") if sort else corpus
+        corpus = corpus.join(info, entity)
+    return corpus.orderBy(entity, "week_start") if sort else corpus
 
 
 def training_sets(training, entity="entity", week="week_start", text_col="text", order=("ts", "post_id"),

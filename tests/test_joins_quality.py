@@ -46,8 +46,51 @@ def test_outer_indicator_and_balance(spark):
     df = spark.createDataFrame([("a", 1, 2.0), ("b", 2, 3.0)], "g string, t int, v double")
     assert sorted(map(tuple, joins.balance_panel(df, "g", "t").collect())) == [
         ("a", 1, 2.0), ("a", 2, 0.0), ("b", 1, 0.0), ("b", 2, 3.0)]
-    with pytest.raises(ValueError):
-        joins.balance_panel(df, "g", "t", cells=3)
+
+
+def test_lookup_dim_keeps_columns_and_order(spark):
+    df = spark.createDataFrame([(1, ["b", "x", "a", "b"]), (2, []), (3, None), (4, ["x"])], "id int, l array<string>")
+    dim = spark.createDataFrame([("a", 1.0), ("b", 2.0), ("c", None)], "k string, v double")
+    got = {r["id"]: (r["s"], r["kept"]) for r in joins.lookup_dim(df, "l", dim, "k", "v", "s", "id", "kept").collect()}
+    assert got == {1: ([2.0, 1.0, 2.0], ["b", "a", "b"]), 2: ([], []), 3: ([], []), 4: ([], [])}
+
+
+def test_range_join_with_many_uneven_intervals(spark):
+    bounds = [(0, 3), (4, 4), (5, 900), (901, 901), (950, 960)] + [(2000 + 2 * i, 2001 + 2 * i) for i in range(200)]
+    side = spark.createDataFrame([(a, b, f"{a}") for a, b in bounds], "lb int, ub int, name string")
+    rows = spark.range(-5, 2500).withColumnRenamed("id", "x")
+    got = {r["x"]: r["name"] for r in joins.range_join(rows, side, "x").collect()}
+    want = {x: next((str(a) for a, b in bounds if a <= x <= b), None) for x in range(-5, 2500)}
+    assert got == want
+    days = spark.createDataFrame([(dt.date(2020, 1, 5),), (None,)], "d date")
+    weeks = spark.createDataFrame([(dt.date(2020, 1, 1), dt.date(2020, 1, 7))], "lb date, ub date")
+    assert [r["lb"] for r in joins.range_join(days, weeks, "d").orderBy("d").collect()] == [None, dt.date(2020, 1, 1)]
+    assert joins.range_join(days, weeks.where("false"), "d").count() == 2
+
+
+def largest_part(df):
+    """Rows of the fullest partition and of all."""
+    sizes = df.rdd.mapPartitions(lambda it: [sum(1 for _ in it)]).collect()
+    return max(sizes), sum(sizes)
+
+
+def test_hot_group_is_split_in_joins_with_its_aggregate(spark):
+    plain = {"spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.autoBroadcastJoinThreshold": "-1",
+             "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    for k, v in plain.items():
+        spark.conf.set(k, v)
+    try:
+        df = spark.range(20_000).select(F.when(F.col("id") % 4 > 0, F.lit(0)).otherwise(F.col("id") % 50).alias("k"), "id")
+        spans = joins.with_group(df, "k", [F.max("id").alias("top")], hot_rows=1_000)
+        most, total = largest_part(spans)
+        assert total == 20_000 and most < 15_000
+        assert spans.where("k = 0").select("top").distinct().collect()[0][0] == 19_999
+        agg = df.groupBy("k").agg(F.count("id").alias("n"))
+        most, total = largest_part(joins.join_entity_week(df, agg, ["k"], hot_rows=1_000))
+        assert total == 20_000 and most < 15_000
+    finally:
+        for k in plain:
+            spark.conf.unset(k)
 
 
 def test_windows(spark):
