@@ -11,6 +11,7 @@ from catalog.inputs import (
 )
 from catalog.stats_queries import cubic_sql, study_panel
 from catalog.window_queries import cut_sql
+from panelweave import fixed
 from panelweave.functions import dates
 from panelweave.operators import filters
 from panelweave.plans import panel as panel_plans
@@ -204,8 +205,17 @@ def _(t):
 
 @query("text_topics", None, "P-09")
 def _(t):
-    assigned, terms, best = reports.text_topics(t.documents.select("doc_id", "text", "source"), "doc_id", "text", k=4, max_iter=3, phrases=True)
-    return assigned.groupBy(F.col("pred").alias("topic")).agg(F.count(F.lit(1)).alias("n_docs")).join(best.select("topic", "doc_id", "share"), "topic", "full_outer")
+    assigned, terms, best = reports.text_topics(t.documents.select("doc_id", "text", "source"), "doc_id", "text", phrases=True)
+    sizes = assigned.groupBy(F.col("pred").alias("topic")).agg(F.count(F.lit(1)).alias("n_docs"))
+    return sizes.join(best.select("topic", "doc_id", "share"), "topic", "full_outer")
+
+
+@query("text_topic_series", None, "P-09 ST-17")
+def _(t):
+    rows = t.documents.select("doc_id", "text", F.date_add(
+        F.lit("2020-01-06").cast("date"), (7 * (F.col("doc_id") % 30)).cast("int")).alias("week_start"))
+    assigned = reports.text_topics(rows, "doc_id", "text")[0]
+    return reports.topic_share_series(assigned.select("week_start", "pred"), fixed.MACRO_TOPICS)
 
 
 @query("event_study_report", None, "P-10 ST-04")

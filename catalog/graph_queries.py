@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from catalog import query
-from catalog.inputs import EDGES, edges, r, status_weeks
+from catalog.inputs import EDGES, edges, r, status_weeks, tagged
 from catalog.stats_queries import RANKED
 from catalog.window_queries import BINNED, binned
 from panelweave import fixed
@@ -65,19 +65,19 @@ def _(t):
     return graph.symmetric(edges(t))
 
 
-ACTIVE = {"left": 10, "center": 20, "right": 40}
 ORDER = {"left": -1.0, "right": 1.0}
 
 
 @query("neighbor_overlap", f"""WITH {SYM}, l AS (SELECT unnest({LABELS}) AS x), n AS (SELECT x, count(neighbor) AS n FROM l LEFT JOIN sym ON node = x GROUP BY 1),
   c AS (SELECT a.x AS orig, b.x AS direc, (SELECT count(*) FROM sym p JOIN sym q ON p.neighbor = q.neighbor WHERE p.node = a.x AND q.node = b.x) AS comm FROM l a, l b WHERE a.x <> b.x),
-  act AS (SELECT * FROM (VALUES ('left', 10), ('center', 20), ('right', 40)) v(x, k))
+  act AS (SELECT category AS x, count(*) AS k FROM tagged GROUP BY 1)
   SELECT orig, direc, comm, a.n AS n_nodes1, b.n AS n_nodes2, {r('comm / a.n')} AS perc, {r('comm / (a.n + b.n - 2 - comm)')} AS nover,
   {r('comm / a.n * (a.n / b.n)')} AS perc2, p.k AS n_orig, q.k AS n_direc, {r('a.n / p.k')} AS prov, {r('b.n / q.k')} AS prov2,
   {r('(b.n / q.k) / (a.n / p.k)')} AS perc_act, CASE direc WHEN 'left' THEN -1.0 WHEN 'right' THEN 1.0 ELSE 0.0 END::DOUBLE AS "order"
   FROM c JOIN n a ON a.x = orig JOIN n b ON b.x = direc JOIN act p ON p.x = orig JOIN act q ON q.x = direc""", "G-05")
 def _(t):
-    return graph.neighbor_overlap(edges(t), LABELS, ACTIVE, ORDER)
+    active = graph.label_activity(tagged(t), F.array("category"), LABELS)
+    return graph.neighbor_overlap(edges(t), LABELS, active, ORDER)
 
 
 @query("clustering_coefficient", f"""WITH {SYM}, d AS (SELECT node, count(*) AS n FROM sym GROUP BY 1),

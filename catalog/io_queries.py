@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from catalog import query
-from catalog.inputs import KINDS, PANEL, panel, r
+from catalog.inputs import KINDS, PANEL, TOKENS, panel, r
 from panelweave.session import scratch_path
 from panelweave.sources import readers, writers
 
@@ -105,7 +105,7 @@ def _(t):
     return writers.compute_or_load(t.spark, path, again)
 
 
-@query("fit_or_load", None, "IO-09")
+@query("fit_or_load", f"WITH {TOKENS} SELECT doc_id, CAST(len(tokens) AS DOUBLE) AS n_tokens FROM tok", "IO-09")
 def _(t):
     from pyspark.ml import Pipeline, PipelineModel
 

@@ -9,7 +9,8 @@ from catalog import query
 from catalog.inputs import TOKENS, r, tokens
 from catalog.stream_queries import SCORED, SCORED_SQL, weights
 from panelweave import fixed
-from panelweave.operators import features, models, ordering
+from panelweave.functions.bins import ordinal
+from panelweave.operators import features, models
 from panelweave.plans import reports
 
 GRAMS = TOKENS + """, grams AS (SELECT doc_id, lang, list_concat(tokens, list_transform(range(1, len(tokens)),
@@ -128,6 +129,18 @@ def _(t):
     return features.grouped_split(t.events, "user_id").select("event_id", "user_id", "split")
 
 
+BALANCED = f"""WITH c AS (SELECT user_id, event_type, count(*) AS n FROM events GROUP BY 1, 2),
+  g AS (SELECT user_id, event_type FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY n DESC, event_type) AS k FROM c) WHERE k = 1),
+  o AS (SELECT user_id, row_number() OVER (PARTITION BY event_type ORDER BY {HASHED.format(k='user_id')}, user_id) AS p,
+   count(*) OVER (PARTITION BY event_type) AS n FROM g)"""
+
+
+@query("balanced_split", f"""{BALANCED} SELECT event_id, user_id, CASE WHEN p <= round(n * 0.625) THEN 'train'
+  WHEN p <= round(n * 0.625) + round(n * 0.125) THEN 'val' ELSE 'test' END AS split FROM events JOIN o USING (user_id)""", "ST-13")
+def _(t):
+    return features.balanced_split(t.events, "user_id", "event_type").select("event_id", "user_id", "split")
+
+
 @query("balance_report", f"""WITH s AS (SELECT {GROUPED} AS split, event_type FROM events) SELECT split, event_type, count(*) AS n,
   {r('count(*) / sum(count(*)) OVER (PARTITION BY split)')} AS share FROM s GROUP BY 1, 2""", "ST-13")
 def _(t):
@@ -143,15 +156,15 @@ def scored_docs(t):
 @query("train_regressors", None, "ST-14")
 def _(t):
     rows = scored_docs(t)
-    bow = features.fit_bow(rows.where("split = 'train'"), "terms", 500)
-    return models.train_regressors(rows, bow, "target", models=("lasso", "rand_for"), methods=("frequency", "tf_idf"))
+    bow = features.fit_bow(rows.where("split = 'train'"), "terms")
+    return models.train_regressors(rows, bow, "target")
 
 
 @query("tune_regressors", None, "ST-14")
 def _(t):
     rows = scored_docs(t)
-    bow = features.fit_bow(rows.where("split = 'train'"), "terms", 200)
-    return models.train_regressors(rows, bow, "target", models=("lasso",), methods=("onehot",), search=3, folds=3)
+    bow = features.fit_bow(rows.where("split = 'train'"), "terms")
+    return models.train_regressors(rows, bow, "target", models=("lasso",), methods=("onehot",), search=10, folds=5)
 
 
 RUNS = """runs AS (SELECT p_brand AS run, avg(p_retailprice) AS f1, min(p_size) AS gap FROM part GROUP BY 1)"""
@@ -175,10 +188,10 @@ def _(t):
 
 @query("fit_lda_topics", None, "ST-16")
 def _(t):
-    bow, model, counted = models.fit_lda(grams(t), "terms", 5, max_iter=5, max_features=2000)
+    bow, model, counted = models.fit_lda(grams(t), "terms")
     assigned = models.topic_assign(model, counted, keep=["doc_id", "text"])
     words = models.top_words(models.topic_terms(model, bow, t.spark), 20)
-    best = models.top_docs(assigned, "doc_id", "text", 5).select("topic", "doc_id", "share")
+    best = models.top_docs(assigned, "doc_id", "text", 20).select("topic", "doc_id", "share")
     sizes = assigned.groupBy(F.col("pred").alias("topic")).agg(F.count(F.lit(1)).alias("n_docs"))
     return words.join(best, "topic").join(sizes, "topic", "left")
 
@@ -199,19 +212,20 @@ def _(t):
     return reports.topic_share_series(rows, fixed.MACRO_TOPICS)
 
 
-@query("author_topic_mix", f"""WITH s AS (SELECT label, embedding FROM embeddings), l AS (SELECT label, unnest(embedding[1:4]) AS v, unnest(range(4)) AS i FROM s),
+@query("author_topic_mix", f"""WITH s AS (SELECT label, embedding FROM embeddings), l AS (SELECT label, unnest(embedding) AS v, unnest(range(len(embedding))) AS i FROM s),
   m AS (SELECT label, i, avg(abs(CAST(v AS DOUBLE))) AS v FROM l GROUP BY 1, 2)
   SELECT label::BIGINT AS label, 'topic_' || i AS topic, {r('v / sum(v) OVER (PARTITION BY label)')} AS value FROM m""", "ST-18")
 def _(t):
-    rows = t.embeddings.select("label", *[F.abs(F.get("embedding", F.lit(i)).cast("double")).alias(f"topic_{i}") for i in range(4)])
-    return models.author_topic_mix(rows, "label", 4)
+    n = t.embeddings.agg(F.max(F.size("embedding"))).first()[0]
+    rows = t.embeddings.select("label", *[F.abs(F.get("embedding", F.lit(i)).cast("double")).alias(f"topic_{i}") for i in range(n)])
+    return models.author_topic_mix(rows, "label", n)
 
 
-@query("macro_mix", f"""WITH l AS (SELECT label, 'topic_' || i AS topic, abs(CAST(v AS DOUBLE)) AS v FROM (SELECT label, unnest(embedding[1:4]) AS v, unnest(range(4)) AS i FROM embeddings)),
+@query("macro_mix", f"""WITH l AS (SELECT label, 'topic_' || i AS topic, abs(CAST(v AS DOUBLE)) AS v FROM (SELECT label, unnest(embedding) AS v, unnest(range(len(embedding))) AS i FROM embeddings)),
   m AS (SELECT label, CASE topic WHEN 'topic_0' THEN 'A' WHEN 'topic_2' THEN 'A' WHEN 'topic_1' THEN 'B' ELSE 'Other' END AS macro, sum(v) AS s FROM l GROUP BY 1, 2)
   SELECT 'all' AS period, label::BIGINT AS label, macro, {r('s')} AS value, {r('s / sum(s) OVER (PARTITION BY label)')} AS share FROM m""", "ST-18 W-05")
 def _(t):
-    long = t.embeddings.select("label", F.posexplode(F.slice("embedding", 1, 4)).alias("i", "v")).select(
+    long = t.embeddings.select("label", F.posexplode("embedding").alias("i", "v")).select(
         F.lit("all").alias("period"), "label", F.concat(F.lit("topic_"), "i").alias("topic"), F.abs(F.col("v").cast("double")).alias("value"))
     return reports.macro_mix(long, {"A": ["topic_0", "topic_2"], "B": ["topic_1"]}, author="label")
 
@@ -220,8 +234,8 @@ def _(t):
 def _(t):
     docs = grams(t).withColumn("day", F.date_add(F.lit("2024-01-01").cast("date"), (F.col("doc_id") % 366).cast("int")))
     return reports.author_topics_by_period(
-        docs, "day", "lang", "terms", {k: fixed.AUTHOR_PERIODS[k] for k in ("first_lock", "summer")},
-        k=4, max_iter=3, min_df=5)
+        docs, "day", "lang", "terms", fixed.AUTHOR_PERIODS, min_df=5,
+        families={"first": [f"src{i}" for i in range(10)], "second": [f"src{i}" for i in range(10, 20)]}, family="source")
 
 
 @query("score_batches", SCORED_SQL, "ST-19")
@@ -242,13 +256,13 @@ def _(t):
 @query("text_score_model", None, "ST-20")
 def _(t):
     train = scored_docs(t).where("split = 'train'")
-    model = models.text_score_model(train, "terms", "target", 1 << 12)
+    model = models.text_score_model(train, "terms", "target")
     return models.apply_score(model, grams(t)).select("doc_id", "prediction")
 
 
 @query("multiclass_text_model", None, "ST-21")
 def _(t):
     names = ["en", "fr", "de", "es"]
-    rows = ordering.order_categories(grams(t), "lang", names, "class").withColumn("class", F.col("class").cast("double"))
-    model = models.multiclass_text_model(rows, "terms", "class", 1 << 12)
-    return models.apply_classes(model, rows, names).select("doc_id", "lang", "final_pred", *[f"topic_{i}" for i in range(4)])
+    rows = features.grouped_split(grams(t).withColumn("class", ordinal("lang", names).cast("double")), "doc_id")
+    model = models.multiclass_text_model(rows.where("split = 'train'"), "terms", "class")
+    return models.apply_classes(model, rows, names).select("doc_id", "lang", "split", "final_pred", *[f"topic_{i}" for i in range(4)])

@@ -110,6 +110,16 @@ def _(t):
     return stats.corr_matrix(wide, list("FOP"), "spearman")
 
 
+LONG_RANKED = "WITH k AS (SELECT " + ", ".join(
+    f"rank() OVER (ORDER BY {c}) + (count(*) OVER (PARTITION BY {c}) - 1) / 2 AS {c}" for c in COLS) + " FROM lineitem) "
+
+
+@query("corr_matrix_spearman_rows", LONG_RANKED + " UNION ALL ".join(
+    f"SELECT '{a}' AS a, '{b}' AS b, {r(f'corr({a}, {b})')} AS rho FROM k" for a in COLS for b in COLS), "ST-06")
+def _(t):
+    return stats.corr_matrix(t.lineitem.select(*COLS), COLS, "spearman")
+
+
 @query("detrend_moving", f"""WITH {STATUS_WEEKS}, f AS (SELECT series, week_start, n - avg(n) OVER (PARTITION BY series ORDER BY week_start ROWS BETWEEN 3 PRECEDING AND 3 FOLLOWING) AS flat,
   (row_number() OVER (PARTITION BY series ORDER BY week_start) - 1) % 2 AS phase FROM sw)
   SELECT series, CAST(week_start AS VARCHAR) AS week_start, {r('flat - avg(flat) OVER (PARTITION BY series, phase)')} AS resid FROM f""", "ST-07")

@@ -181,11 +181,11 @@ def _(t):
   FROM (SELECT DISTINCT week_start FROM sw)), m AS (SELECT b, min(week_start) AS biweek FROM k GROUP BY b)
   SELECT series, CAST(sw.week_start AS VARCHAR) AS week_start, CAST(biweek AS VARCHAR) AS biweek,
   date_diff('day', DATE '1998-02-23', sw.week_start) AS dist, date_diff('day', DATE '1998-02-23', biweek) AS dist_bi,
-  month(sw.week_start) AS month, month(sw.week_start) - 2 AS dist_month, date_diff('day', DATE '1998-02-23', sw.week_start) || ' days' AS dist_label
+  month(sw.week_start) AS month, month(sw.week_start) - 2 AS dist_month, date_diff('day', DATE '1998-02-23', sw.week_start) || ' days' AS dist_label, (month(sw.week_start) - 2) || ' months' AS dist_month_label
   FROM sw JOIN k USING (week_start) JOIN m USING (b)""", "D-04 D-05 D-06")
 def _(t):
     rows = panel_plans.add_calendar(status_weeks(t), event="1998-02-23")
-    return rows.select("series", "week_start", "biweek", "dist", "dist_bi", "month", "dist_month", "dist_label")
+    return rows.select("series", "week_start", "biweek", "dist", "dist_bi", "month", "dist_month", "dist_label", "dist_month_label")
 
 
 @query("month_of", "SELECT o_orderkey, month(o_orderdate) AS month, month(o_orderdate) - 2 AS dist_month FROM orders", "D-05")

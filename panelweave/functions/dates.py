@@ -51,6 +51,6 @@ def event_distance(col, event) -> Column:
     return F.datediff(_col(col), event)
 
 
-def distance_label(distance) -> Column:
-    """Text form of a day distance, as in ``-7 days``."""
-    return F.concat(_col(distance).cast("string"), F.lit(" days"))
+def distance_label(distance, unit="days") -> Column:
+    """Text form of a distance, as in ``-7 days``."""
+    return F.concat(_col(distance).cast("string"), F.lit(f" {unit}"))

@@ -1,7 +1,8 @@
 """Detrending of many weekly series.
 
-A series holds one value per week, so its length is the number of weeks; this
-is checked before any series is handed to one task.
+A series holds one value per week, so its length is the number of weeks; that
+is checked before a series is handed to one task. Not meant for rows that are
+not one per period.
 """
 
 from __future__ import annotations
@@ -14,9 +15,6 @@ from pyspark.sql import functions as F
 from panelweave import fixed
 from panelweave.operators.quality import assert_unique
 
-# About 2,000 years of weeks.
-MAX_POINTS = 100_000
-
 
 def loess(y, width, at=None):
     """Local linear fit with tricube weights on an even grid.
@@ -70,9 +68,6 @@ def seasonal_trend(y, period=fixed.STL_PERIOD, seasonal=fixed.STL_SEASONAL, roun
 
 def _check(df, series, week):
     assert_unique(df, [series, week])
-    longest = df.groupBy(series).count().agg(F.max("count")).first()[0] or 0
-    if longest > MAX_POINTS:
-        raise ValueError(f"a series holds {longest} points")
 
 
 def detrend_residual(df, series, week, value, period=fixed.STL_PERIOD,

@@ -10,11 +10,6 @@ from pyspark.sql import functions as F
 from panelweave.operators.reshape import to_long
 from panelweave.session import settle
 
-# The result has one coefficient per event distance; more distances than this
-# would make the k x k system, not the data, the problem.
-MAX_DISTANCES = 1_000
-
-
 def _cells(df, outcomes, dist, entity) -> DataFrame:
     """Counts and sums per (outcome, entity, distance); partial sums are merged
     before the shuffle, so an entity has at most one row per distance."""
@@ -28,12 +23,14 @@ def _cells(df, outcomes, dist, entity) -> DataFrame:
 
 
 def _entities(cells) -> DataFrame:
-    """One row per (outcome, entity) with its list of distances; entities seen
-    once carry no within-variation and are left out."""
-    return (cells.groupBy("outcome", "entity")
+    """One row per (outcome, entity) with parallel arrays of its distances,
+    counts and sums; entities seen once carry no within-variation and are left
+    out."""
+    rows = (cells.groupBy("outcome", "entity")
             .agg(F.sum("n").alias("n_i"), F.sum("s").alias("s_i"),
                  F.collect_list(F.struct("dist", "n", "s")).alias("cells"))
             .where("n_i > 1"))
+    return rows.select("outcome", "n_i", "s_i", *[F.col(f"cells.{c}").alias(c) for c in ("dist", "n", "s")])
 
 
 def _partials(entities, schema, work) -> DataFrame:
@@ -77,23 +74,19 @@ def event_study(df, outcomes, dist, entity, ref=-7, z=1.96) -> DataFrame:
     # read by both passes; at most entities x distances rows per outcome
     cells = settle(_cells(df, outcomes, dist, entity))
     entities = _entities(cells)
-    days = [r[0] for r in cells.select("dist").distinct().orderBy("dist").limit(MAX_DISTANCES + 1).collect()]
-    if len(days) > MAX_DISTANCES:
-        raise ValueError("too many event distances")
+    days = [r[0] for r in cells.select("dist").distinct().orderBy("dist").collect()]
     if ref not in days:
         raise ValueError(f"reference distance {ref} not present")
-    place = {d: i for i, d in enumerate(days)}
-    k, r = len(days), place[ref]
+    grid = np.array(days)
+    k, r = len(days), days.index(ref)
     schema = "outcome string, i int, j int, v double"
 
     def dense(rows):
-        size = [len(c) for c in rows["cells"]]
-        row = np.repeat(np.arange(len(rows)), size)
-        flat = [x for c in rows["cells"] for x in c]
-        col = np.fromiter((place[x["dist"]] for x in flat), int, len(flat))
+        row = np.repeat(np.arange(len(rows)), rows["dist"].str.len())
+        col = np.searchsorted(grid, np.concatenate(rows["dist"].to_numpy()))
         c, s = np.zeros((len(rows), k)), np.zeros((len(rows), k))
-        c[row, col] = np.fromiter((x["n"] for x in flat), float, len(flat))
-        s[row, col] = np.fromiter((x["s"] for x in flat), float, len(flat))
+        c[row, col] = np.concatenate(rows["n"].to_numpy())
+        s[row, col] = np.concatenate(rows["s"].to_numpy())
         return c, s, rows["n_i"].to_numpy()[:, None], rows["s_i"].to_numpy()[:, None]
 
     def gram(_, rows):

@@ -16,6 +16,10 @@ from panelweave.operators.spread import fits, hash_quota, stable_hash
 from panelweave.session import settle
 
 
+# Joins the words of a pair; no token holds it.
+PAIR_MARK = "\x01"
+
+
 def _col(c) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
@@ -133,19 +137,19 @@ def phrase_table(df, tokens, min_count=fixed.PHRASE_MIN_COUNT, threshold=fixed.P
     score = (n_ab - min_count) * V / (n_a * n_b), V the number of distinct
     words and pairs together.
     """
-    words = df.select(F.explode(tokens).alias("w")).groupBy("w").agg(F.count(F.lit(1)).alias("n"))
-    pairs = (df.select(F.explode(pairs_of(tokens)).alias("_p"))
-             .groupBy(F.col("_p.src").alias("a"), F.col("_p.dst").alias("b"))
-             .agg(F.count(F.lit(1)).alias("n_ab")))
-    # counted through the same columns as below, so the shuffles are shared
-    size = words.agg(F.count_if(F.col("n") > 0).alias("_u")).crossJoin(
-        F.broadcast(pairs.agg(F.count_if(F.col("n_ab") > 0).alias("_b")))).select((F.col("_u") + F.col("_b")).alias("_v"))
+    # one scan: words and pairs (joined by a mark) are counted inside the row first
+    both = df.select(F.concat(F.col(tokens), F.transform(
+        pairs_of(tokens), lambda p: F.concat(p["src"], F.lit(PAIR_MARK), p["dst"]))).alias("_t"))
+    counts = settle(term_stats(both, "_t").select("term", F.col("tf").alias("n")))
+    size = counts.count()
+    is_pair = F.col("term").contains(PAIR_MARK)
+    words = counts.where(~is_pair)
     # pairs at or below min_count cannot pass, whatever their words
-    scored = (pairs.where(F.col("n_ab") > min_count)
-              .join(words.toDF("a", "n_a"), "a").join(words.toDF("b", "n_b"), "b")
-              .crossJoin(F.broadcast(size))
-              .withColumn("score", (F.col("n_ab") - min_count) * F.col("_v").cast("double")
-                          / F.col("n_a") / F.col("n_b")))
+    pairs = counts.where(is_pair & (F.col("n") > min_count)).select(
+        F.split_part("term", F.lit(PAIR_MARK), F.lit(1)).alias("a"),
+        F.split_part("term", F.lit(PAIR_MARK), F.lit(2)).alias("b"), F.col("n").alias("n_ab"))
+    scored = (pairs.join(words.toDF("a", "n_a"), "a").join(words.toDF("b", "n_b"), "b")
+              .withColumn("score", (F.col("n_ab") - min_count) * F.lit(float(size)) / F.col("n_a") / F.col("n_b")))
     return scored.where(F.col("score") > threshold).select("a", "b", "n_ab", "n_a", "n_b", "score")
 
 
@@ -196,6 +200,24 @@ def grouped_split(df, group, shares=fixed.GROUPED_SHARES, seed=fixed.SEED, out="
     return df.withColumn(out, chain.otherwise(shares[-1][0]))
 
 
+def balanced_split(df, group, stratum, shares=fixed.GROUPED_SHARES, seed=fixed.SEED, out="split") -> DataFrame:
+    """Split that never shares a group and has the shares within each stratum.
+
+    A group belongs to the stratum of most of its rows (the smallest of equal
+    ones); the groups of a stratum are dealt in hash order with exact sizes,
+    the last share taking the rest. ``balance_report`` shows the outcome.
+    """
+    cells = df.groupBy(group, stratum).agg(F.count(F.lit(1)).alias("_n"))
+    first = F.min_by(F.col(stratum), F.struct(-F.col("_n"), F.col(stratum)))
+    groups = settle(cells.groupBy(group).agg(first.alias("_stratum")))
+
+    def sizes(n):
+        return [(label, F.round(n * share)) for label, share in shares]
+
+    dealt = hash_quota(groups, "_stratum", group, sizes, out, seed).select(group, out)
+    return salted_join(df, dealt, group, "left")
+
+
 def balance_report(df, split, stratum) -> DataFrame:
     """Share of each stratum within each split."""
     counts = df.groupBy(split, stratum).agg(F.count(F.lit(1)).alias("n"))

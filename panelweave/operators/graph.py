@@ -87,11 +87,19 @@ def neighbors(edges, nodes=None) -> DataFrame:
     return counted.where(F.col("node").isin(list(nodes))) if nodes is not None else counted
 
 
+def label_activity(tagged, tags, labels) -> dict:
+    """Rows that carry each label, counted from the tagged posts; a list that
+    names a label twice counts once. One number per label reaches the driver."""
+    row = tagged.agg(*[F.count_if(F.array_contains(tags, v)).alias(f"n{i}") for i, v in enumerate(labels)]).first()
+    return dict(zip(labels, row))
+
+
 def neighbor_overlap(edges, labels, activity=None, order=None) -> DataFrame:
     """Common neighbours of every ordered pair of listed label nodes.
 
     Only edges that touch a label are read; one pass sums a flag product per
-    pair. ``activity`` (label -> rows) adds the activity-scaled ratios.
+    pair. ``activity`` (label -> rows, see ``label_activity``) adds the
+    activity-scaled ratios.
     """
     labels = list(labels)
     near = symmetric(edges).where(F.col("node").isin(labels))

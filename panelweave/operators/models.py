@@ -56,7 +56,8 @@ def train_regressors(df, bow, label, split="split", models=tuple(REGRESSORS), me
     """
     out = None
     for method in methods:
-        rows = bow.transform(df, method).select(split, label, "features", *([fold_col] if fold_col else []))
+        # read by every model and fold, and again for scoring
+        rows = settle(bow.transform(df, method).select(split, label, "features", *([fold_col] if fold_col else [])))
         train = rows.where(F.col(split) == "train")
         for name in models:
             estimator = REGRESSORS[name]().setFeaturesCol("features").setLabelCol(label)
@@ -69,6 +70,7 @@ def train_regressors(df, bow, label, split="split", models=tuple(REGRESSORS), me
             table = regression_metrics(scored, label, "prediction", [split]).select(
                 F.lit(method).alias("method"), F.lit(name).alias("model"), split,
                 F.lit(bool(search)).alias("tuned"), "MAE", "MSE", "R2")
+            table = settle(table)
             out = table if out is None else out.unionByName(table)
     return out
 
@@ -153,10 +155,11 @@ def linear_scorer(weights, bias, vector, doc):
 
 def fit_lda(df, terms, k=20, seed=fixed.SEED, max_iter=20, min_df=fixed.MIN_DF, max_df=1.0,
             max_features=fixed.MAX_FEATURES, alpha=None, eta=None):
-    """Counted n-grams and a topic model; returns (bow, model, features)."""
+    """Counted n-grams and a topic model; returns (bow, model, features). Every
+    pass of the fit reads all documents."""
     bow = fit_bow(df, terms, max_features, min_df, max_df)
-    counted = bow.transform(df, "frequency")
-    lda = LDA(k=k, seed=seed, maxIter=max_iter, optimizer="online", featuresCol="features")
+    counted = settle(bow.transform(df, "frequency"))
+    lda = LDA(k=k, seed=seed, maxIter=max_iter, optimizer="online", featuresCol="features", subsamplingRate=1.0)
     if alpha is not None:
         lda = lda.setDocConcentration([alpha])
     if eta is not None:

@@ -72,7 +72,8 @@ def add_calendar(panel, week="week_start", event=fixed.EVENT_DATE, base_month=2)
         "dist_month": dates.month_distance(week, base_month),
     })
     return rows.withColumns({"dist_label": dates.distance_label("dist"),
-                             "dist_bi_label": dates.distance_label("dist_bi")})
+                             "dist_bi_label": dates.distance_label("dist_bi"),
+                             "dist_month_label": dates.distance_label("dist_month", "months")})
 
 
 def weekly_regions(daily, region="region", day="day", renames=None, maxima=(), sums=(), means=()) -> DataFrame:
@@ -109,7 +110,7 @@ def apply_treatment(panel, weekly, flags, measure="composite", region="region",
     treated = flags.select(region, F.col(f"{prefix}{measure}").cast("int").alias("treat"))
     rows = joins.join_dim(joins.join_dim(panel, weekly, [region, week]), treated, region)
     rows = rows.withColumn("treat", F.coalesce("treat", F.lit(0)))
-    for c in ("dist_label", "dist_bi_label"):
+    for c in ("dist_label", "dist_bi_label", "dist_month_label"):
         if c in rows.columns:
             rows = rows.withColumn(f"{c}_treat", F.concat(c, F.lit("_treat")))
     return rows
