@@ -22,7 +22,7 @@ LOOKALIKES = {
     "0": "o", "1": "il", "2": "z", "3": "e", "4": "a", "5": "s", "6": "bg", "7": "t", "8": "b", "9": "g",
     "@": "a", "$": "s", "!": "i", "|": "il", "+": "t", "(": "c", "€": "e", "£": "l", "¡": "i",
 }
-PUNCTUATION = ".,;:!?\"'()[]{}<>«»“”‘’…"
+PUNCTUATION = ".,;:!?\"'()[]{}<>«»“”‘’…#%&*=^~_/\\-"
 SEPARATORS = " .-_*·"
 # Costs of the channel: a sign read as a letter, a sign left out inside a word, a
 # sign kept inside a word and at its edge, a separator left out and kept between
@@ -240,6 +240,24 @@ def features(words) -> set[str]:
     return {*words, *["^" + w[:n] for w in words for n in range(STEM[0], min(STEM[1], len(w)) + 1)]}
 
 
+class Active:
+    """The features of words that have a weight, without building the others."""
+
+    def __init__(self, weights: dict):
+        self.words = {f for f in weights if f[0] != "^"}
+        self.stems = [(n, {f[1:] for f in weights if f[0] == "^" and len(f) == n + 1}) for n in range(STEM[0], STEM[1] + 1)]
+        self.starts = {f.removeprefix("^")[:STEM[0]] for f in weights}
+
+    def __call__(self, words) -> tuple:
+        out = []
+        for w in words:
+            if w[:STEM[0]] in self.starts:
+                if w in self.words:
+                    out.append(w)
+                out.extend("^" + w[:n] for n, known in self.stems if w[:n] in known and len(w) >= n)
+        return tuple(out)
+
+
 def _slices(texts, size=2_000_000):
     part, n = [], 0
     for t in texts:
@@ -364,11 +382,11 @@ def fit(rows: DataFrame, least: int = 4, most: int = 4000, penalty: float = 0.05
         speed_b = 0.9 * speed_b - gap.sum() / (0.25 * len(y) * width ** 0.5)
         moved = np.maximum(w + speed_w, 0)
         speed_w, w, b = moved - w, moved, b + speed_b
-    return {f: float(x) for f, x in zip(names, w)}, float(b)
+    return {f: float(x) for f, x in zip(names, w) if x > 0}, float(b)
 
 
 def classify(docs: DataFrame, labels: DataFrame, label: str = "toxic", folds: int = 5, held: int = 0,
-             most_labelled: int = 60_000, keep=("doc_id",)) -> DataFrame:
+             most_labelled: int = 30_000, keep=("doc_id",)) -> DataFrame:
     """Columns ``keep``, held_out, score, predicted for every row of ``docs``.
 
     The language model counts every whole text. The linear model learns from at
@@ -389,7 +407,7 @@ def classify(docs: DataFrame, labels: DataFrame, label: str = "toxic", folds: in
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*keep).schema.fields)
 
     def run(batches):
-        reader = Restorer(lm, lambda words: tuple(f for f in features(words) if f in weights))
+        reader = Restorer(lm, Active(weights))
         for batch in batches:
             z = []
             for part in _slices(batch.column("text").to_pylist()):
