@@ -110,7 +110,7 @@ def measure(docs: DataFrame, path: str) -> DataFrame:
     return docs.select("doc_id", "text", lang.alias("lang")).mapInArrow(run, schema).withColumnRenamed("script", "band")
 
 
-def rules(docs: DataFrame, path: str, width: float = 4.0, least_words: int = 20, most_repeated: int = 30,
+def rules(docs: DataFrame, path: str, width: float = 5.0, least_words: int = 20, most_repeated: int = 30,
           enough: int = 50) -> DataFrame:
     """Per document: doc_id, n_words, word_chars, n_symbols, n_dup_lines,
     n_repeat_words, base_failed, kept, and the measures.
