@@ -11,8 +11,32 @@ from panelweave.session import scratch_path
 from panelweave.streaming import jobs
 
 
-def _events(t):
-    return jobs.read_stream(t.spark, t.folder, t.events.schema, "ts", "events.parquet")
+FILES = 4
+
+
+def _files(t, table, order, extra=None):
+    """A table as FILES files in ascending ``order``, written one after another,
+    so that a stream that takes one file at a time sees FILES batches.
+    ``extra`` adds rows to a file, given its number and all of its rows."""
+    folder = scratch_path(t.spark, "files")
+    low, high = table.agg(F.min(order), F.max(order)).first()
+    part = F.least(F.floor((order - low) / ((high - low) / FILES + 1e-9)), F.lit(FILES - 1))
+    rows = table.withColumn("_part", part)
+    for i in range(FILES):
+        file = rows.where(F.col("_part") == i)
+        if extra:
+            file = file.unionByName(extra(i, rows))
+        file.drop("_part").coalesce(1).write.parquet(f"{folder}/{i}")
+    return f"{folder}/*"
+
+
+def _stream(t, path, schema):
+    return t.spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(path)
+
+
+def _events(t, extra=None):
+    path = _files(t, t.events, F.unix_micros(F.col("ts").cast("timestamp")).cast("double"), extra)
+    return jobs.read_stream(t.spark, path, t.events.schema, "ts", files_per_trigger=1)
 
 
 def _run(t, start, stream):
@@ -23,12 +47,34 @@ def _run(t, start, stream):
 
 @query("stream_dedupe", f"SELECT event_id, user_id, event_type, {r('value')} AS value FROM events", "SS-01")
 def _(t):
-    # every event arrives twice
-    twice = _events(t).withColumn("copy", F.explode(F.array(F.lit(1), F.lit(2)))).drop("copy")
-    out = _run(t, jobs.append_to, jobs.deduped(twice, "ts", "event_id"))
+    # every event arrives again, half with its own file and half with the next one
+    def again(i, rows):
+        now, before = F.col("event_id") % 2 == 0, F.col("event_id") % 2 == 1
+        return rows.where(((F.col("_part") == i) & now) | ((F.col("_part") == i - 1) & before))
+
+    out = _run(t, jobs.append_to, jobs.deduped(_events(t, again), "ts", "event_id", "30 days"))
     return jobs.read_appended(t.spark, out).select("event_id", "user_id", "event_type", "value")
 
 
+FIRST_DAY = "CAST(ts AS DATE) = (SELECT CAST(min(ts) AS DATE) FROM events)"
+
+
+@query("stream_late_rows", f"SELECT event_id, user_id, 'on time' AS kind FROM events UNION ALL "
+       f"SELECT event_id + 1000000000, user_id, 'late' FROM events WHERE {FIRST_DAY}", "SS-01 SS-02")
+def _(t):
+    # the events of the first day come once more, under other ids, with the last file
+    first = t.events.agg(F.min("ts").cast("date")).first()[0]
+
+    def late(i, rows):
+        old = rows.where((F.col("ts").cast("date") == F.lit(first)) & F.lit(i == FILES - 1))
+        return old.withColumn("event_id", F.col("event_id") + 1_000_000_000)
+
+    out, side, mark = scratch_path(t.spark, "on-time"), scratch_path(t.spark, "late"), scratch_path(t.spark, "mark")
+    jobs.split_late(_events(t, late), "ts", out, side, mark, delay_days=10).awaitTermination()
+    kinds = [jobs.read_appended(t.spark, p).select("event_id", "user_id", F.lit(k).alias("kind")) for p, k in ((out, "on time"), (side, "late"))]
+    return kinds[0].unionByName(kinds[1])
+
+
 def _weekly(t, label):
     rows = _events(t).withColumn("score", score_of("event_type"))
     stream = jobs.weekly_totals(rows, "ts", "user_id", [
@@ -63,8 +109,10 @@ SCORED = "vec_id bigint, topic_0 double, topic_1 double, topic_2 double, final_p
 @query("stream_score_pending", SCORED_SQL, "SS-03")
 def _(t):
     dim = t.embeddings.select(F.size("embedding")).first()[0]
-    stream = (t.spark.readStream.schema(t.embeddings.schema).option("pathGlobFilter", "embeddings.parquet")
-              .parquet(t.folder))
+    # a tenth of the vectors returns with each following file
+    path = _files(t, t.embeddings, F.col("vec_id").cast("double"),
+                  lambda i, rows: rows.where((F.col("_part") < i) & (F.col("vec_id") % 10 == 0)))
+    stream = _stream(t, path, t.embeddings.schema)
     w, b = weights(dim)
     out, mark = scratch_path(t.spark, "scores"), scratch_path(t.spark, "mark")
     jobs.score_pending(stream, out, mark, linear_scorer(w, b, "embedding", "vec_id"), SCORED, "vec_id").awaitTermination()

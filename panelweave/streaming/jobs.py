@@ -41,6 +41,28 @@ def weekly_totals(stream, ts, entity, aggs, label="same_week", delay="14 days")
     return grouped.withColumn("week_start", week).drop("_w")
 
 
+def split_late(stream, ts, out, late, checkpoint, delay_days=14):
+    """Write rows on time to ``out`` and late rows to ``late``.
+
+    A row is late if it is older than the largest time of earlier batches by
+    more than the delay: what a watermark of that delay may drop without a
+    trace. Each batch stores its largest time (one row), so a replayed batch
+    sees the same limit.
+    """
+    def write(df, batch):
+        spark, marks = df.sparkSession, f"{out}-marks"
+        limit = F.lit(None).cast("timestamp")
+        if batch > 0:
+            seen = spark.read.option("basePath", marks).parquet(f"{marks}/batch=*").where(F.col("batch") < batch)
+            limit = F.lit(seen.agg(F.max("top") - F.expr(f"INTERVAL {delay_days} DAYS")).first()[0]).cast("timestamp")
+        old = F.coalesce(F.col(ts) < limit, F.lit(False))
+        df.where(~old).write.mode("overwrite").parquet(_batch_folder(out, batch))
+        df.where(old).write.mode("overwrite").parquet(_batch_folder(late, batch))
+        df.agg(F.max(ts).alias("top")).write.mode("overwrite").parquet(_batch_folder(marks, batch))
+    return (stream.writeStream.foreachBatch(write).outputMode("append")
+            .option("checkpointLocation", checkpoint).trigger(availableNow=True).start())
+
+
 def _batch_folder(out, batch):
     return f"{out}/batch={batch}"
 
@@ -76,20 +98,12 @@ def read_appended(spark, out) -> DataFrame:
 def score_pending(stream, out, checkpoint, model_fn, schema, key):
     """Score rows that no earlier batch has scored, then append the scores.
 
-    The stream checkpoint replaces resume files; rows that return under a known
-    id are left out by an anti-join with the scored ids.
+    The stream checkpoint replaces resume files. The ids scored so far are keyed
+    state of the stream, so a batch looks up its own ids and reads no earlier
+    output; a replayed batch gets the same rows again and rewrites its folder.
     """
-    spark = stream.sparkSession
-
     def write(df, batch):
-        fresh = df.dropDuplicates([key])
-        done = None
-        if batch > 0:
-            # a replayed batch must not see its own earlier output
-            done = (spark.read.option("basePath", out).parquet(f"{out}/batch=*")
-                    .where(F.col("batch") < batch).select(key))
-        score_batches(fresh, model_fn, schema, done, key).write.mode("overwrite").parquet(
-            _batch_folder(out, batch))
+        score_batches(df, model_fn, schema).write.mode("overwrite").parquet(_batch_folder(out, batch))
 
-    return (stream.writeStream.foreachBatch(write).outputMode("append")
+    return (stream.dropDuplicates([key]).writeStream.foreachBatch(write).outputMode("append")
             .option("checkpointLocation", checkpoint).trigger(availableNow=True).start())
