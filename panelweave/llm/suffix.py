@@ -6,14 +6,19 @@ A byte goes if it lies in a string of LENGTH bytes that also starts earlier.
    ANCHOR-byte strings inside it. Equal windows have equal anchors, so windows
    whose anchor is found once in the corpus cannot repeat and are left out.
    Neighbouring windows with one anchor form a run.
-2. The runs of one anchor meet as pieces of text. Equal pieces travel once, with
-   their first place: the other places are repeated throughout.
-3. Different pieces of an anchor are laid out as one text, whose Burrows-Wheeler
-   transform is expanded from the empty string by one byte to the left at a
-   time, breadth first. Level l yields the places where neighbours in suffix
-   order have exactly l bytes in common; the search stops below LENGTH, and what
-   was not separated by then shares LENGTH bytes or more.
+2. The runs of one anchor are pieces of text. Equal pieces are merged by a print
+   of their bytes: all places but the first are repeated throughout. The first
+   places stay, where an anchor has several different pieces.
+3. Those pieces are laid out as one text, whose Burrows-Wheeler transform is
+   expanded from the empty string by one byte to the left at a time, breadth
+   first. Level l yields the places where neighbours in suffix order have exactly
+   l bytes in common; the search stops below LENGTH, and what was not separated
+   by then shares LENGTH bytes or more.
 4. In each such class all starts but the first are repeated.
+
+An anchor with very many runs (a passage of a large share of the documents) is
+known from its exact count; its runs go on as single windows, named by their own
+hash, so that no task holds them together.
 """
 
 from __future__ import annotations
@@ -29,10 +34,11 @@ from panelweave.llm.minhash import BYTES, POWERS, mix
 
 LENGTH, ANCHOR = 100, 32
 SPAN = LENGTH - ANCHOR + 1
-# Bytes whose transform is formed together, and most pieces in it.
-BATCH_BYTES, BATCH_PIECES = 1_000_000, 60_000
-# Bytes of sorted pieces that a task holds before it searches them.
-HELD_BYTES = 3_000_000
+# Bytes whose transform is formed together, and pieces in it before those of the
+# last anchor; with HOT_RUNS more there are fewer than 65,280, so symbols fit 16 bits.
+BATCH_BYTES, BATCH_PIECES = 1_000_000, 15_000
+# An anchor with more runs than this is split into windows.
+HOT_RUNS = 50_000
 # Text whose anchors are counted together before the shuffle.
 CHUNK = 16_000_000
 
@@ -167,16 +173,38 @@ def repeated_windows(bodies: list[bytes], rid: np.ndarray, start: np.ndarray):
     return piece[line], offset[line]
 
 
+def _rows(names, *columns):
+    import pyarrow as pa
+
+    return pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c) for c in columns], names=names)
+
+
+def _complete(batches, names, size):
+    """Batches of about ``size`` rows of a sorted stream as numpy columns, cut
+    where the first column changes."""
+    held, n = [], 0
+    for batch in batches:
+        held.append([batch.column(c).to_numpy(zero_copy_only=False) for c in names])
+        n += batch.num_rows
+        if n < size:
+            continue
+        whole = [np.concatenate(c) for c in zip(*held)]
+        cut = np.searchsorted(whole[0], whole[0][-1])
+        if cut:
+            yield [c[:cut] for c in whole]
+        held, n = [[c[cut:] for c in whole]], len(whole[0]) - cut
+    if held:
+        yield [np.concatenate(c) for c in zip(*held)]
+
+
 def anchor_rows(docs: DataFrame) -> DataFrame:
     """(anchor, rid, run, found): the runs of all texts by number.
 
-    ``found`` counts the anchor's occurrences, up to 2; 0 marks a run whose
-    anchor is known to repeat. Anchors that occur twice inside one chunk of a
-    task are known at once; one run of each stands for them in the count, so a
+    ``found`` counts the anchor's occurrences; 0 marks a run whose anchor is
+    known to repeat. Anchors that occur twice inside one chunk of a task are
+    known at once; one run of each stands for all of them in the count, so a
     passage shared by many documents adds a row per chunk to it.
     """
-    import pyarrow as pa
-
     def run(batches):
         def release(parts):
             anchor, rid, number, found = (np.concatenate(c) for c in zip(*parts))
@@ -184,10 +212,8 @@ def anchor_rows(docs: DataFrame) -> DataFrame:
             total = np.bincount(inverse, found, minlength=len(kinds)).astype(np.int64)
             witness = np.zeros(len(anchor), bool)
             witness[first] = True
-            found = np.where(witness, np.minimum(total[inverse], 2), np.where(total[inverse] > 1, 0, found))
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(anchor.view(np.int64)), pa.array(rid), pa.array(number.astype(np.int32)), pa.array(found.astype(np.int32))],
-                names=["anchor", "rid", "run", "found"])
+            found = np.where(witness, total[inverse], np.where(total[inverse] > 1, 0, found))
+            return _rows(["anchor", "rid", "run", "found"], anchor.view(np.int64), rid, number.astype(np.int32), found.astype(np.int32))
 
         parts, size = [], 0
         for batch in batches:
@@ -198,149 +224,196 @@ def anchor_rows(docs: DataFrame) -> DataFrame:
                     parts.append((anchor, np.full(len(anchor), rid, np.int64), np.arange(len(anchor)), found))
                     size += len(raw)
                     if size >= CHUNK:
-                        yield from release(parts)
+                        yield release(parts)
                         parts, size = [], 0
         if parts:
-            yield from release(parts)
+            yield release(parts)
 
     return docs.select("rid", "text").mapInArrow(run, "anchor long, rid long, run int, found int")
 
 
 def repeating_runs(docs: DataFrame) -> DataFrame:
-    """(rid, run) of the runs whose anchor occurs twice or more."""
-    import pyarrow as pa
-
+    """(anchor, rid, run, total) of the runs whose anchor occurs twice or more,
+    with its count in the corpus (0 where it was known without counting)."""
+    names = ["anchor", "rid", "run", "found"]
     # Runs known to repeat need no count and go anywhere; the others meet by anchor.
-    rows = anchor_rows(docs).repartition(F.when(F.col("found") == 0, F.xxhash64("rid", "run")).otherwise(F.col("anchor")))
+    rows = (anchor_rows(docs)
+            .repartition(F.when(F.col("found") == 0, F.xxhash64("rid", "run")).otherwise(F.col("anchor")))
+            .sortWithinPartitions("anchor"))
 
     def run(batches):
-        held = list(batches)
-        if not held:
-            return
-        table = pa.Table.from_batches(held).combine_chunks()
-        found = table.column("found").to_numpy()
-        _, inverse = np.unique(table.column("anchor").to_numpy(), return_inverse=True)
-        keep = (found == 0) | (np.bincount(inverse, found)[inverse] > 1)
-        yield from table.select(["rid", "run"]).filter(pa.array(keep)).to_batches()
-
-    return rows.mapInArrow(run, "rid long, run int")
-
-
-def pieces(texts: DataFrame, flagged: DataFrame) -> DataFrame:
-    """(anchor, print, rid, start, windows, inner, body): the repeating runs with their
-    bytes, or without bytes if an equal piece stands before them in the task:
-    such a run is repeated throughout."""
+        for anchor, rid, number, found in _complete(batches, names, 500_000):
+            head = np.ones(len(anchor), bool)
+            head[1:] = anchor[1:] != anchor[:-1]
+            group = np.cumsum(head) - 1
+            total = np.bincount(group, found).astype(np.int64)[group]
+            keep = (found == 0) | (total > 1)
+            total = np.where(found == 0, 0, np.minimum(total, 2 ** 31 - 1)).astype(np.int32)
+            yield _rows(["anchor", "rid", "run", "total"], anchor[keep], rid[keep], number[keep], total[keep])
+
+    return rows.mapInArrow(run, "anchor long, rid long, run int, total int")
+
+
+def run_lists(flagged: DataFrame) -> DataFrame:
+    """(rid, runs): the repeating runs of each document; a run of a hot anchor
+    as minus its number less one."""
+    hot = flagged.where(F.col("total") > HOT_RUNS).select("anchor").distinct()
+    number = F.col("run")
+    if not hot.isEmpty():
+        flagged = flagged.join(hot.withColumn("hot", F.lit(True)), "anchor", "left")
+        number = F.when(F.col("hot"), -number - 1).otherwise(number)
+    return flagged.groupBy("rid").agg(F.collect_list(number).alias("runs"))
+
+
+def _polynomial(raw: np.ndarray):
+    up, down = POWERS.get(len(raw) + 1)
+    return np.concatenate((np.zeros(1, np.uint64), np.cumsum(BYTES[raw] * up[:len(raw)]))), down
+
+
+def pieces(texts: DataFrame, lists: DataFrame) -> DataFrame:
+    """(key, print, rid, s, e, inner): the repeating runs as byte ranges, with a
+    print of their bytes. ``inner`` tells that the anchor occurs more than once
+    in the run. Without a key if an equal piece stands before it in the batch:
+    such a range is repeated throughout."""
     import pyarrow as pa
 
-    lists = flagged.groupBy("rid").agg(F.collect_list("run").alias("runs"))
     met = texts.join(lists.withColumnRenamed("rid", "r").hint("shuffle_hash"), F.col("rid") == F.col("r"))
-    # All columns of the texts go along, so that the placed texts serve twice.
+    # All columns of the texts go along, so that the placed texts serve again.
     met = met.select(*texts.columns, "runs")
-    names = ["anchor", "print", "rid", "start", "windows", "inner", "body"]
 
     def run(batches):
         for batch in batches:
             lists_ = batch.column("runs")
             ends, numbers = np.asarray(lists_.offsets), np.asarray(lists_.values)
-            cols, bodies = [], []
+            cols = []
             for i, (rid, text) in enumerate(zip(batch.column("rid").to_pylist(), batch.column("text").to_pylist())):
-                whole = text.encode("utf-8", "surrogatepass")
-                raw = np.frombuffer(whole, np.uint8)
+                raw = np.frombuffer(text.encode("utf-8", "surrogatepass"), np.uint8)
                 # Runs are cheaper to find again than to send.
-                anchor, s, windows, found = (x[numbers[ends[i]:ends[i + 1]]] for x in runs(raw))
+                number = numbers[ends[i]:ends[i + 1]]
+                hot = number < 0
+                anchor, s, windows, found = (x[np.where(hot, -number - 1, number)] for x in runs(raw))
+                if hot.any():
+                    times = np.where(hot, windows, 1)
+                    step = np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times)
+                    anchor, s, windows, found, hot = (np.repeat(x, times) for x in (anchor, s, windows, found, hot))
+                    s, windows, found = s + step, np.where(hot, 1, windows), np.where(hot, 1, found)
                 e = s + windows + LENGTH - 1
-                up, down = POWERS.get(len(raw) + 1)
-                sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum(BYTES[raw] * up[:len(raw)])))
-                marks = mix((sums[e] - sums[s]) * down[s] + (e - s).astype(np.uint64)).view(np.int64)
-                cols.append((anchor.view(np.int64), marks, np.full(len(s), rid), s, windows, found > 1))
-                bodies.extend(whole[x:y] for x, y in zip(s.tolist(), e.tolist()))
-            if not bodies:
+                sums, down = _polynomial(raw)
+                marks = mix((sums[e] - sums[s]) * down[s] + (e - s).astype(np.uint64))
+                key = np.where(hot, marks, anchor)
+                cols.append((key.view(np.int64), marks.view(np.int64), np.full(len(s), rid, np.int64), s, e, found > 1))
+            if not cols:
                 continue
-            anchors, marks, rids, starts, wins, inners = (np.concatenate(c) for c in zip(*cols))
-            line = np.lexsort((starts, rids, marks, anchors))
-            first = np.ones(len(line), bool)
-            first[1:] = (anchors[line][1:] != anchors[line][:-1]) | (marks[line][1:] != marks[line][:-1])
-            # A row repeated with its id stands at the same place: not later.
-            head = line[np.maximum.accumulate(np.where(first, np.arange(len(line)), 0))]
+            key, marks, rid, s, e, inner = (np.concatenate(c) for c in zip(*cols))
+            line = np.lexsort((s, rid, marks, key))
             later = np.zeros(len(line), bool)
-            later[line] = ~first & ((rids[line] != rids[head]) | (starts[line] != starts[head]))
-            sent = [None if x else y for x, y in zip(later.tolist(), bodies)]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(anchors), pa.array(marks), pa.array(rids.astype(np.int64)), pa.array(starts.astype(np.int32)),
-                 pa.array(wins.astype(np.int32)), pa.array(inners), pa.array(sent, pa.binary())], names=names)
+            later[line] = _later(key[line], marks[line], rid[line], s[line])[1]
+            yield _rows(["key", "print", "rid", "s", "e", "inner"], pa.array(key, mask=later), marks, rid, s.astype(np.int32), e.astype(np.int32), inner)
+
+    return met.mapInArrow(run, "key long, print long, rid long, s int, e int, inner boolean")
+
 
-    return met.mapInArrow(run, "anchor long, print long, rid long, start int, windows int, inner boolean, body binary")
+def _later(key, mark, rid, s):
+    """For sorted rows: first of its key and print; equal to the first but at
+    another place (a row repeated with its id stands at the same one)."""
+    first = np.ones(len(key), bool)
+    first[1:] = (key[1:] != key[:-1]) | (mark[1:] != mark[:-1])
+    head = np.maximum.accumulate(np.where(first, np.arange(len(key)), 0))
+    return first, ~first & ((rid != rid[head]) | (s != s[head]))
 
 
-def spans(found: DataFrame) -> DataFrame:
-    """(rid, s, e): byte ranges to remove, from all pieces."""
+def marks_of(found: DataFrame) -> DataFrame:
+    """(rid, marks): byte ranges that are repeated throughout (without a key),
+    and first places of pieces that have to be searched (with one)."""
     import pyarrow as pa
 
-    # Pieces meet by anchor; those without bytes are settled and go anywhere.
-    met = (found.repartition(F.when(F.col("body").isNull(), F.xxhash64("rid", "start")).otherwise(F.col("anchor")))
-           .sortWithinPartitions("anchor", "print", "rid", "start"))
-
-    def emit(rid, s, e):
-        return pa.RecordBatch.from_arrays([pa.array(rid.astype(np.int64)), pa.array(s.astype(np.int32)), pa.array(e.astype(np.int32))],
-                                          names=["rid", "s", "e"])
-
-    def search(bodies, anchor, rid, start, inner):
-        """Spans of the first places of pieces whose anchors have more than one
-        piece, or that hold their anchor more than once."""
-        anchor, inner = np.array(anchor), np.array(inner, bool)
-        rid, start = np.array(rid, np.int64), np.array(start, np.int64)
-        equal = anchor[1:] == anchor[:-1]
-        inner[1:] |= equal
-        inner[:-1] |= equal
-        at = np.flatnonzero(inner)
-        size = 0
-        chosen: list[int] = []
-        for i, j in zip(at.tolist(), [*at[1:].tolist(), None]):
-            chosen.append(i)
-            size += len(bodies[i])
-            new = j is None or anchor[j] != anchor[i]
-            if new and (size >= BATCH_BYTES or len(chosen) >= BATCH_PIECES // 2 or j is None):
-                yield from flush(chosen, bodies, rid, start)
-                chosen, size = [], 0
-
-    def flush(chosen, bodies, rid, start):
-        at = np.array(chosen)
-        piece, offset = repeated_windows([bodies[i] for i in chosen], rid[at], start[at])
-        if len(piece):
-            head = np.ones(len(piece), bool)
-            head[1:] = (piece[1:] != piece[:-1]) | (offset[1:] != offset[:-1] + 1)
-            tail = np.append(head[1:], True)
-            s = start[at][piece[head]] + offset[head]
-            yield emit(rid[at][piece[head]], s, start[at][piece[tail]] + offset[tail] + LENGTH)
+    names = ["key", "print", "rid", "s", "e", "inner"]
+    open_ = found.repartition(F.when(F.col("key").isNull(), F.xxhash64("rid", "s")).otherwise(F.col("key")))
+    open_ = open_.withColumn("settled", F.col("key").isNull()).withColumn("key", F.coalesce("key", F.lit(-(1 << 63)).cast("long")))
+    open_ = open_.sortWithinPartitions("settled", "key", "print", "rid", "s")
 
     def run(batches):
-        held = ([], [], [], [], [])
-        size, last = 0, None
+        def pure(batches):
+            # Settled rows come last and are passed on as they are.
+            for batch in batches:
+                done = np.asarray(batch.column("settled").to_numpy(zero_copy_only=False))
+                passed.append(batch.filter(pa.array(done)))
+                yield batch.filter(pa.array(~done))
+
+        passed: list = []
+        for key, mark, rid, s, e, inner in _complete((b for b in pure(batches) if b.num_rows), names, 200_000):
+            first, later = _later(key, mark, rid, s)
+            head = np.ones(len(key), bool)
+            head[1:] = key[1:] != key[:-1]
+            group = np.cumsum(head) - 1
+            several = (np.bincount(group, first) > 1)[group]
+            lead = first & (several | inner)
+            keep = lead | later
+            yield _rows(["rid", "s", "e", "key"], rid[keep], s[keep], e[keep], pa.array(key[keep], mask=~lead[keep]))
+            yield from release(passed)
+        yield from release(passed)
+
+    def release(passed):
+        for batch in passed:
+            if batch.num_rows:
+                none = pa.nulls(batch.num_rows, pa.int64())
+                yield _rows(["rid", "s", "e", "key"], batch.column("rid"), batch.column("s"), batch.column("e"), none)
+        passed.clear()
+
+    rows = open_.mapInArrow(run, "rid long, s int, e int, key long").where("rid IS NOT NULL")
+    return rows.groupBy("rid").agg(F.collect_list(F.struct("s", "e", "key")).alias("marks"))
+
+
+def searched(texts: DataFrame, marks: DataFrame) -> DataFrame:
+    """(rid, spans): byte ranges of the first places that start earlier inside
+    another piece, by interval expansion."""
+    import pyarrow as pa
+
+    met = texts.join(marks.withColumnRenamed("rid", "r").hint("shuffle_hash"), F.col("rid") == F.col("r"))
+    met = met.select(*texts.columns, "marks")
+
+    def cut(batches):
         for batch in batches:
-            anchor, mark, rid, start, windows, inner = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(6))
-            bodies = batch.column(6).to_pylist()
-            settled = np.array([b is None for b in bodies], bool)
-            out = [[], [], []]
-            for i in np.flatnonzero(~settled).tolist():
-                if last and last[:2] == (anchor[i], mark[i]):
-                    if last[2:] != (rid[i], start[i]):
-                        for column, value in zip(out, (rid[i], start[i], start[i] + windows[i] + LENGTH - 1)):
-                            column.append(value)
-                    continue
-                if size >= HELD_BYTES and last and last[0] != anchor[i]:
-                    yield from search(*held)
-                    held, size = ([], [], [], [], []), 0
-                last = (anchor[i], mark[i], rid[i], start[i])
-                for column, value in zip(held, (bodies[i], anchor[i], rid[i], start[i], inner[i])):
-                    column.append(value)
-                size += len(bodies[i])
-            rids, s, e = (np.concatenate((a, np.array(b, np.int64))) for a, b in zip(
-                (rid[settled], start[settled], start[settled] + windows[settled] + LENGTH - 1), out))
-            yield emit(rids, s, e)
-        if held[0]:
-            yield from search(*held)
-
-    return met.mapInArrow(run, "rid long, s int, e int")
+            lists_ = batch.column("marks")
+            ends, flat = np.asarray(lists_.offsets), lists_.values
+            start, stop = np.asarray(flat.field("s")), np.asarray(flat.field("e"))
+            has = flat.field("key").is_valid().to_numpy(zero_copy_only=False)
+            at = np.flatnonzero(has)
+            at = at[(at >= ends[0]) & (at < ends[-1])]
+            if not len(at):
+                continue
+            owner = np.searchsorted(ends, at, "right") - 1
+            texts_ = {i: batch.column("text")[i].as_py().encode("utf-8", "surrogatepass") for i in np.unique(owner).tolist()}
+            bodies = [texts_[i][a:b] for i, a, b in zip(owner.tolist(), start[at].tolist(), stop[at].tolist())]
+            yield _rows(["key", "rid", "s", "body"], flat.field("key").take(pa.array(at)), batch.column("rid").take(pa.array(owner)),
+                        start[at], pa.array(bodies, pa.binary()))
+
+    rows = (met.mapInArrow(cut, "key long, rid long, s int, body binary")
+            .repartition("key").sortWithinPartitions("key", "rid", "s"))
+
+    def run(batches):
+        for key, rid, s, body in _complete(batches, ["key", "rid", "s", "body"], 10_000):
+            same = np.ones(len(key), bool)  # a row repeated with its id
+            same[1:] = (key[1:] != key[:-1]) | (rid[1:] != rid[:-1]) | (s[1:] != s[:-1])
+            key, rid, s, body = (x[same] for x in (key, rid, s.astype(np.int64), body))
+            size = np.cumsum([len(b) for b in body])
+            at = 0
+            while at < len(key):
+                last = max(at + 1, int(np.searchsorted(size, (size[at - 1] if at else 0) + BATCH_BYTES)))
+                last = min(last, at + BATCH_PIECES, len(key))
+                last = int(np.searchsorted(key, key[last - 1], "right"))
+                yield search(list(body[at:last]), rid[at:last], s[at:last])
+                at = last
+
+    def search(bodies, rid, s):
+        piece, offset = repeated_windows(bodies, rid, s)
+        head = np.ones(len(piece), bool)
+        head[1:] = (piece[1:] != piece[:-1]) | (offset[1:] != offset[:-1] + 1)
+        tail = np.append(head[1:], True)[:len(piece)]
+        begin, end = s[piece[head]] + offset[head], s[piece[tail]] + offset[tail] + LENGTH
+        return _rows(["rid", "s", "e"], rid[piece[head]], begin.astype(np.int32), end.astype(np.int32))
+
+    return rows.mapInArrow(run, "rid long, s int, e int").groupBy("rid").agg(F.collect_list(F.struct("s", "e")).alias("spans"))
 
 
 def numbered(docs: DataFrame) -> DataFrame:
@@ -388,17 +461,19 @@ def remove_repeats(docs: DataFrame, with_text: bool = False) -> DataFrame:
     texts = rows.select("rid", *rest, F.coalesce("text", F.lit("")).alias("text"), F.col("text").isNull().alias("__null"))
     # Said once for both uses, so that both read the same placed texts.
     texts = texts.where("rid IS NOT NULL").repartition("rid")
-    flagged = repeating_runs(rows.where("length(text) * 4 >= %d" % LENGTH))
-    lists = spans(pieces(texts, flagged)).groupBy("rid").agg(F.collect_list(F.struct("s", "e")).alias("spans"))
-    met = texts.join(lists.withColumnRenamed("rid", "r").hint("shuffle_hash"), F.col("rid") == F.col("r"), "left")
+    flagged = stored(repeating_runs(rows.where("length(text) * 4 >= %d" % LENGTH)), "suffix-runs")
+    marks = marks_of(pieces(texts, run_lists(flagged)))
+    met = texts
+    for ranges in (marks, searched(texts, marks)):
+        met = met.join(ranges.withColumnRenamed("rid", "r").hint("shuffle_hash"), F.col("rid") == F.col("r"), "left").drop("r")
 
     def run(batches):
         for batch in batches:
             out, left = [], []
-            for text, null, found in zip(*(batch.column(c).to_pylist() for c in ("text", "__null", "spans"))):
+            for text, null, marks_, found in zip(*(batch.column(c).to_pylist() for c in ("text", "__null", "marks", "spans"))):
                 raw = text.encode("utf-8", "surrogatepass")
                 edge = np.zeros(len(raw) + 1, np.int32)
-                for x in found or ():
+                for x in [*(x for x in marks_ or () if x["key"] is None), *(found or ())]:
                     edge[x["s"]] += 1
                     edge[x["e"]] -= 1
                 gone = np.cumsum(edge[:-1]) > 0
@@ -417,4 +492,4 @@ def remove_repeats(docs: DataFrame, with_text: bool = False) -> DataFrame:
 
     kinds = [f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*rest).schema.fields]
     schema = ", ".join(kinds + ["text string"] * with_text + ["n_bytes long, n_removed long, n_spans long, kept_sha256 string"])
-    return met.select(*rest, "text", "__null", "spans").mapInArrow(run, schema)
+    return met.select(*rest, "text", "__null", "marks", "spans").mapInArrow(run, schema)

@@ -473,7 +473,10 @@ def gone_brute(rows, length=100):
     return out
 
 
-def test_repeats_match_brute_force(spark):
+@pytest.mark.parametrize("hot, batch", [(50_000, 1_000_000), (2, 1_000_000), (50_000, 300)])
+def test_repeats_match_brute_force(spark, monkeypatch, hot, batch):
+    monkeypatch.setattr(suffix, "HOT_RUNS", hot)
+    monkeypatch.setattr(suffix, "BATCH_BYTES", batch)
     rng = random.Random(10)
     word = lambda: "".join(rng.choice("abcdéß") for _ in range(rng.randrange(1, 7)))
     prose = lambda n: " ".join(word() for _ in range(n))
