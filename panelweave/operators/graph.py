@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from panelweave.functions.arrays import adjacent_pairs, append
-from panelweave.operators.joins import salted_join
+from panelweave.operators.joins import hot_keys, salted_join
 from panelweave.operators.windows import shift_in_group
 from panelweave.session import settle
 
@@ -132,25 +132,29 @@ def neighbor_overlap(edges, labels, activity=None, order=None) -> DataFrame:
 def triangles(edges, both=None) -> DataFrame:
     """Triangles through each node; ``both`` is the stored ``symmetric`` table.
 
-    Edges point from the smaller to the larger degree, so a node's list of
-    out-neighbours is no longer than the square root of twice the number of
-    edges. Each edge meets the lists of its two ends (hot ends are split) and
-    only the shared neighbours, that is real triangles, are written out.
+    Edges point from the smaller to the larger degree, so a node has no more
+    out-neighbours than the square root of twice the number of edges. Pairs of
+    out-neighbours are formed inside a node's row, and those that are an edge
+    themselves close a triangle; no list travels to another task.
     """
     both = settle(symmetric(edges)) if both is None else both
-    degree = both.groupBy("node").agg(F.count(F.lit(1)).alias("d"))
+    degree = settle(both.groupBy("node").agg(F.count(F.lit(1)).alias("count")))
     pairs = both.where("node < neighbor")
-    ranked = salted_join(pairs, degree.toDF("node", "d1"), "node")
-    ranked = salted_join(ranked, degree.toDF("neighbor", "d2"), "neighbor")
+    # a node's degree bounds its rows on either side, so one list of hot nodes serves both joins
+    hot = hot_keys(degree, ["node"])
+    ranked = salted_join(pairs, degree.toDF("node", "d1"), "node", hot=hot) if hot is not None else pairs.join(degree.toDF("node", "d1"), "node")
+    side = degree.toDF("neighbor", "d2")
+    ranked = (salted_join(ranked, side, "neighbor", hot=hot.withColumnRenamed("node", "neighbor")) if hot is not None
+              else ranked.join(side, "neighbor"))
     forward = (F.col("d1") < F.col("d2")) | ((F.col("d1") == F.col("d2")) & (F.col("node") < F.col("neighbor")))
-    arcs = settle(ranked.select(
+    arcs = ranked.select(
         F.when(forward, F.col("node")).otherwise(F.col("neighbor")).alias("u"),
-        F.when(forward, F.col("neighbor")).otherwise(F.col("node")).alias("v")))
-    lists = arcs.groupBy("u").agg(F.collect_list("v").alias("outs"))
-    open_arcs = salted_join(arcs, lists.toDF("v", "outs_v"), "v")
-    closed = (open_arcs.join(lists.toDF("u", "outs_u"), "u")
-              .select("u", "v", F.explode(F.array_intersect("outs_u", "outs_v")).alias("w")))
-    return (closed.select(F.explode(F.array("u", "v", "w")).alias("node"))
+        F.when(forward, F.col("neighbor")).otherwise(F.col("node")).alias("v"))
+    lists = arcs.groupBy("u").agg(F.sort_array(F.collect_list("v")).alias("outs")).where(F.size("outs") > 1)
+    first = lists.select("u", F.posexplode("outs").alias("i", "node"), "outs")
+    wedges = first.select("u", "node", F.explode(F.slice("outs", F.col("i") + 2, F.size("outs"))).alias("neighbor"))
+    closed = wedges.join(pairs, ["node", "neighbor"], "left_semi")
+    return (closed.select(F.explode(F.array("u", "node", "neighbor")).alias("node"))
             .groupBy("node").agg(F.count(F.lit(1)).alias("n_triangles")))
 
 

@@ -40,10 +40,12 @@ def read_csv_dir(spark, folder, schema, pattern="*.csv") -> DataFrame:
             .option("pathGlobFilter", pattern).csv(folder))
 
 
-def read_shards(spark, folder, schema, shard="shard", pattern=r"shard[=_](\d+)") -> DataFrame:
-    """All shards below a folder with the shard number taken from the path;
-    shards that vanish during the read are skipped."""
-    rows = (spark.read.schema(schema).option("ignoreMissingFiles", True)
+def read_shards(spark, folder, schema, shard="shard", pattern=r"shard[=_](\d+)", skip_missing=False) -> DataFrame:
+    """All shards below a folder with the shard number taken from the path.
+
+    A shard that vanishes during the read fails it; with ``skip_missing`` it is
+    left out, and ``missing_shards`` names the shards without rows."""
+    rows = (spark.read.schema(schema).option("ignoreMissingFiles", skip_missing)
             .option("recursiveFileLookup", True).parquet(folder))
     return rows.withColumn(shard, F.regexp_extract(F.input_file_name(), pattern, 1).cast("int"))
 
