@@ -238,6 +238,45 @@ def _(t):
     return eventstudy.event_wide(study, ["click", "purchase"])
 
 
+STORED = f"""study AS (SELECT event_type AS outcome, CAST(date_diff('day', DATE '{EVENT}', CAST(ts AS DATE)) AS INTEGER) AS dist,
+   avg(value) AS b, count(*) / 100.0::DOUBLE AS se, max(value) AS ul, min(value) AS ll FROM events GROUP BY 1, 2)"""
+
+
+def stored_study(t):
+    """A table in the form of an event study, read from the events."""
+    return t.events.groupBy(
+        F.col("event_type").alias("outcome"), dates.event_distance(F.to_date("ts"), EVENT).cast("int").alias("dist")).agg(
+        F.avg("value").alias("b"), (F.count(F.lit(1)) / 100.0).alias("se"), F.max("value").alias("ul"), F.min("value").alias("ll"))
+
+
+@query("event_wide_stored", f"WITH {STORED} SELECT dist, " + ", ".join(
+    f"{r(f'max(CASE WHEN outcome = {chr(39)}{o}{chr(39)} THEN {c} END)')} AS {c}{o}" for o in ("click", "purchase") for c in ("b", "se", "ul", "ll"))
+    + " FROM study GROUP BY dist", "P-10 R-03")
+def _(t):
+    from panelweave.operators import eventstudy
+    return eventstudy.event_wide(stored_study(t), ["click", "purchase"])
+
+
+@query("compare_outcomes_stored", f"""WITH {STORED}, w AS (SELECT dist, max(CASE WHEN outcome = 'click' THEN CASE WHEN dist = -7 THEN 0.0 ELSE b END END) AS x,
+   max(CASE WHEN outcome = 'purchase' THEN CASE WHEN dist = -7 THEN 0.0 ELSE b END END) AS y FROM study GROUP BY dist),
+  p AS (SELECT x, y, rank() OVER (ORDER BY x) + (count(*) OVER (PARTITION BY x) - 1) / 2 AS a, rank() OVER (ORDER BY y) + (count(*) OVER (PARTITION BY y) - 1) / 2 AS c
+   FROM w WHERE x IS NOT NULL AND y IS NOT NULL),
+  m AS (SELECT count(*) AS n, regr_slope(y, x) AS slope, regr_intercept(y, x) AS intercept, regr_sxx(y, x) AS sxx, regr_syy(y, x) AS syy, regr_sxy(y, x) AS sxy,
+   corr(x, y) AS pearson, corr(a, c) AS spearman FROM p)
+  SELECT n, {r('slope')} AS slope, {r('intercept')} AS intercept, {r('sqrt((syy - slope * sxy) / (n - 2) / sxx)')} AS se, {r('pearson')} AS pearson, {r('spearman')} AS spearman FROM m""", "P-10 ST-02 ST-06")
+def _(t):
+    return reports.compare_outcomes(stored_study(t), "click", "purchase")
+
+
+@query("event_cells", f"""WITH {DAILY}, l AS (SELECT entity, CAST(date_diff('day', DATE '{EVENT}', day) AS INTEGER) AS dist, 'prediction' AS outcome, CAST(prediction AS DOUBLE) AS y FROM panel
+   UNION ALL SELECT entity, CAST(date_diff('day', DATE '{EVENT}', day) AS INTEGER), 'n_posts', CAST(n_posts AS DOUBLE) FROM panel)
+  SELECT outcome, entity, dist, CAST(count(*) AS DOUBLE) AS n, {r('sum(y)')} AS s FROM l GROUP BY 1, 2, 3""", "ST-04")
+def _(t):
+    from panelweave.operators import eventstudy
+    rows = panel(t, "day").withColumn("dist", dates.event_distance("day", EVENT))
+    return eventstudy.event_cells(rows, ["prediction", "n_posts"], "dist", "entity")
+
+
 RATES = DAILY + ", rates AS (SELECT prediction, click / n_posts AS click, purchase / n_posts AS purchase FROM panel)"
 
 

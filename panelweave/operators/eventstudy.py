@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from panelweave.operators.reshape import to_long
 from panelweave.session import settle
 
-def _cells(df, outcomes, dist, entity) -> DataFrame:
+def event_cells(df, outcomes, dist, entity) -> DataFrame:
     """Counts and sums per (outcome, entity, distance); partial sums are merged
     before the shuffle, so an entity has at most one row per distance."""
     long = to_long(
@@ -72,7 +72,7 @@ def event_study(df, outcomes, dist, entity, ref=-7, z=1.96) -> DataFrame:
     outcomes = [outcomes] if isinstance(outcomes, str) else list(outcomes)
     spark = df.sparkSession
     # read by both passes; at most entities x distances rows per outcome
-    cells = settle(_cells(df, outcomes, dist, entity))
+    cells = settle(event_cells(df, outcomes, dist, entity))
     entities = _entities(cells)
     days = [r[0] for r in cells.select("dist").distinct().orderBy("dist").collect()]
     if ref not in days:
