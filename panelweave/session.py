@@ -19,7 +19,7 @@ SETTINGS = {
 
 
 def build_session(app="panelweave", master=None, **extra) -> SparkSession:
-    builder = SparkSession.builder.appName(app)
+    builder = SparkSession.builder.appName(app).config("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
     if master:
         builder = builder.master(master)
     for key, value in {**SETTINGS, **extra}.items():
@@ -53,9 +53,27 @@ def shared_folder(spark: SparkSession) -> str:
     return folder
 
 
+# Paths handed out so far, by application.
+_HANDED_OUT: dict[str, list[str]] = {}
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A new, unused path below the shared folder."""
-    return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+    path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+    _HANDED_OUT.setdefault(spark.sparkContext.applicationId, []).append(path)
+    return path
+
+
+def discard_scratch(spark: SparkSession) -> int:
+    """Delete the tables this application stored below the shared folder; call
+    it when no DataFrame that reads them is needed any more. Returns their
+    number. Checkpoints go by themselves once nothing refers to them."""
+    paths = _HANDED_OUT.pop(spark.sparkContext.applicationId, [])
+    conf = spark.sparkContext._jsc.hadoopConfiguration()
+    for path in paths:
+        where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        where.getFileSystem(conf).delete(where, True)
+    return len(paths)
 
 
 def settle(df: DataFrame) -> DataFrame:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from panelweave import schemas
 from panelweave.operators import aggregates, filters, joins, ordering, quality, windows
-from panelweave.session import scratch_path
+from panelweave.session import discard_scratch, scratch_path
 from panelweave.sources import readers, writers
 
 
@@ -138,3 +138,12 @@ def test_sources(spark, tmp_path):
     shards = writers.write_sharded(df, scratch_path(spark, "shards"), 5, "id")
     back = readers.read_shards(spark, shards, df.schema)
     assert back.count() == 1000 and readers.missing_shards(back.where("shard <> 2"), 5).collect()[0][0] == 2
+
+
+def test_discard_scratch(spark):
+    import os
+    path = scratch_path(spark, "gone")
+    spark.range(3).write.parquet(path)
+    local = path.removeprefix("file:")
+    assert os.path.isdir(local) and discard_scratch(spark) >= 1 and not os.path.exists(local)
+    assert discard_scratch(spark) == 0
