@@ -8,6 +8,7 @@ id takes part in every stage but the near-duplicate one, which keeps it.
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from panelweave.llm import bpe, minhash, mixing, suffix, toxicity
@@ -24,11 +25,15 @@ def drop_toxic(spark, docs, sf_dir):
 
 
 def drop_near_duplicates(spark, docs, sf_dir):
-    """One document of each near-duplicate group stays. Of rows that repeat the
-    id that stays, one is kept; rows without an id are kept."""
+    """One document of each near-duplicate group stays; of rows that share the
+    id that stays, one. Rows without an id are kept."""
     groups = minhash.near_duplicates(docs)
     gone = groups.where("NOT kept AND doc_id IS NOT NULL").select("doc_id").distinct()
-    return docs.select(*COLUMNS).join(gone, "doc_id", "left_anti").select(*COLUMNS)
+    left = docs.select(*COLUMNS).join(gone, "doc_id", "left_anti").select(*COLUMNS)
+    if docs.where("doc_id IS NOT NULL").groupBy("doc_id").count().where("count > 1").isEmpty():
+        return left
+    first = Window.partitionBy("doc_id").orderBy(F.xxhash64("text"), F.col("text"))
+    return left.withColumn("__n", F.row_number().over(first)).where("__n = 1 OR doc_id IS NULL").select(*COLUMNS)
 
 
 def drop_repeats(spark, docs, sf_dir):
