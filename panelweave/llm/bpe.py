@@ -28,7 +28,7 @@ SUFFIX = "</w>"
 NO_RANK = np.int64(1) << 40
 # Characters indexed together, and encoded strings a task remembers.
 INDEX_CHARS = 1_500_000
-REMEMBERED = 400_000
+REMEMBERED = 250_000
 
 
 def byte_symbols() -> list[str]:
@@ -72,8 +72,9 @@ def vocabulary(path: str) -> Vocabulary:
     return Vocabulary(path)
 
 
-def merge_all(strings: list[bytes], v: Vocabulary) -> list[np.ndarray]:
-    """Token ids of each non-empty string, by the pair occurrence index."""
+def merge_all(strings: list[bytes], v: Vocabulary) -> list[bytes]:
+    """Token ids of each non-empty string as little-endian 32-bit integers, by
+    the pair occurrence index."""
     sizes = np.fromiter(map(len, strings), np.int64, len(strings))
     ends = np.cumsum(sizes)
     raw = np.frombuffer(b"".join(strings), np.uint8)
@@ -140,9 +141,9 @@ def merge_all(strings: list[bytes], v: Vocabulary) -> list[np.ndarray]:
                 else:
                     index[value] = [part]
                     heapq.heappush(active, value)
-    ids = sym[alive].astype("<u4")
-    counts = np.add.reduceat(alive.astype(np.int64), ends - sizes)
-    return np.split(ids, np.cumsum(counts)[:-1])
+    whole = sym[alive].astype("<u4").tobytes()
+    stops = np.cumsum(4 * np.add.reduceat(alive.astype(np.int64), ends - sizes)).tolist()
+    return [whole[a:b] for a, b in zip([0, *stops], stops)]
 
 
 def pieces(text: str, v: Vocabulary) -> list:
@@ -163,7 +164,7 @@ class Encoder:
 
     def __init__(self, path: str):
         self.v = vocabulary(path)
-        self.known: dict = {i: np.array([i], "<u4") for i in self.v.special.values()}
+        self.known: dict = {i: i.to_bytes(4, "little") for i in self.v.special.values()}
         self.start = dict(self.known)
 
     def learn(self, rows: list[list]) -> None:
@@ -174,22 +175,28 @@ class Encoder:
         if fresh:
             self.known.update(zip(fresh, merge_all([p.encode() for p in fresh], self.v)))
 
-    def encode(self, texts: list[str]):
-        """Yield the ids of each text."""
+    def groups(self, texts: list[str]):
+        """Yield lists of the ids, as bytes, of consecutive texts."""
         waiting, chars = [], 0
         for text in texts:
             waiting.append(pieces(text, self.v))
             chars += len(text)
             if chars >= INDEX_CHARS:
-                yield from self.release(waiting)
+                yield self.release(waiting)
                 waiting, chars = [], 0
-        yield from self.release(waiting)
+        if waiting:
+            yield self.release(waiting)
+
+    def release(self, rows) -> list[bytes]:
+        self.learn(rows)
+        known = self.known
+        return [b"".join([known[p] for p in row]) for row in rows]
 
-    def release(self, rows):
-        if rows:
-            self.learn(rows)
-        for row in rows:
-            yield np.concatenate([self.known[p] for p in row]) if row else np.empty(0, "<u4")
+    def encode(self, texts: list[str]):
+        """Yield the ids of each text."""
+        for group in self.groups(texts):
+            for ids in group:
+                yield np.frombuffer(ids, "<u4")
 
     def decode(self, ids: np.ndarray) -> str:
         """The file names no decoder, so tokens are joined by a space."""
@@ -216,16 +223,18 @@ def encode(docs: DataFrame, path: str, keep_ids: bool = True, text: str = "text"
     def run(batches):
         encoder = Encoder(path)
         for batch in batches:
-            texts = [x or "" for x in batch.column(text).to_pylist()]
-            out = []
-            for ids in encoder.encode(texts):
-                decoded = encoder.decode(ids)
-                row = (len(ids), hashlib.sha256(ids.tobytes()).hexdigest(), hashlib.sha256(decoded.encode()).hexdigest())
-                out.append((*row, ids.tolist(), decoded) if keep_ids else row)
-            cols = list(zip(*out)) or [()] * len(new)
-            kinds = [pa.int64(), pa.string(), pa.string(), pa.list_(pa.int32()), pa.string()]
-            made = [pa.array(list(c), k) for c, k in zip(cols, kinds)]
-            yield pa.RecordBatch.from_arrays([batch.column(c) for c in rest] + made, names=rest + new)
+            at = 0
+            for group in encoder.groups([x or "" for x in batch.column(text).to_pylist()]):
+                part = batch.slice(at, len(group))
+                at += len(group)
+                counts = [len(ids) // 4 for ids in group]
+                decoded = [encoder.decode(np.frombuffer(ids, "<u4")) for ids in group]
+                made = [pa.array(counts, pa.int64()), pa.array([hashlib.sha256(ids).hexdigest() for ids in group], pa.string()),
+                        pa.array([hashlib.sha256(x.encode()).hexdigest() for x in decoded], pa.string())]
+                if keep_ids:
+                    flat = pa.array(np.frombuffer(b"".join(group), "<u4").astype(np.int32))
+                    made += [pa.ListArray.from_arrays(pa.array(np.cumsum([0, *counts]), pa.int32()), flat), pa.array(decoded, pa.string())]
+                yield pa.RecordBatch.from_arrays([part.column(c) for c in rest] + made, names=rest + new)
 
     columns = list(dict.fromkeys([*rest, text]))
     return docs.select(*[F.col(f"`{c}`") for c in columns]).mapInArrow(run, f"{schema}, {extra}" if schema else extra)

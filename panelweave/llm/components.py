@@ -8,19 +8,27 @@ from pyspark.sql import functions as F
 from panelweave.llm.common import stored
 
 
+def _open(edges: DataFrame) -> bool:
+    """Whether some id points to two others, or to one that points on."""
+    ends = edges.select(F.col("a").alias("id"), F.lit(1).alias("out"), F.lit(0).alias("in")).unionByName(
+        edges.select(F.col("b").alias("id"), F.lit(0).alias("out"), F.lit(1).alias("in")))
+    found = ends.groupBy("id").agg(F.sum("out").alias("out"), F.max("in").alias("in"))
+    return not found.where("out > 1 OR (out > 0 AND in > 0)").isEmpty()
+
+
 def components(links: DataFrame, name: str = "links") -> DataFrame:
     """(id, component) for every id in ``links`` (a, b): the smallest id reachable.
 
     Alternating large-star and small-star rounds: every id points its larger
-    neighbours, then its smaller ones, to the smallest id it sees, until nothing
-    changes. The number of rounds grows with the logarithm of the longest chain.
-    Each round is written to the shared folder, so lineage stays short.
+    neighbours, then its smaller ones, to the smallest id it sees, until every
+    id points straight to its root. The number of rounds grows with the logarithm
+    of the longest chain. Each round is written to the shared folder, so lineage
+    stays short.
     """
     edges = stored(links.select("a", "b").where("a <> b").select(
         F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), f"{name}-0")
     count = 0
-    before = None
-    while True:
+    while _open(edges):
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("u"), F.least("a", "m").alias("m"))
         large = both.join(least, F.col("a") == F.col("u")).where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
@@ -29,10 +37,5 @@ def components(links: DataFrame, name: str = "links") -> DataFrame:
         small = met.select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(met.select("a", F.col("m").alias("b")))
         count += 1
         edges = stored(small.where("a <> b").distinct(), f"{name}-{count}")
-        state = edges.agg(F.count(F.lit(1)), F.sum(F.col("a").cast("decimal(38,0)")), F.sum(F.col("b").cast("decimal(38,0)")),
-                          F.bit_xor(F.xxhash64("a", "b"))).first()
-        if state == before:
-            break
-        before = state
     roots = edges.select(F.col("b").alias("id")).distinct().select("id", F.col("id").alias("component"))
     return edges.select(F.col("a").alias("id"), F.col("b").alias("component")).unionByName(roots)
