@@ -149,9 +149,10 @@ def _values(df: DataFrame, col) -> DataFrame:
 
 def _ranked(x: DataFrame, n: int, ranks: list[int], slices: int | None) -> dict[int, float]:
     """{rank: value} of column ``x`` with ``n`` values."""
-    b = _sliced(x, _cut_points(x, slices or slice_count(n)))
+    cuts = _cut_points(x, slices or slice_count(n))
+    b = _sliced(x, cuts)
     # at most `slices` rows
-    counts = sorted((r["b"], r["count"]) for r in b.groupBy("b").count().collect())
+    counts = sorted((r["b"], r["count"]) for r in b.groupBy("b").count().collect()) if cuts else [(0.0, n)]
     out, need, before = {}, [], 0
     for slice_no, count in counts:
         local = [r - before for r in ranks if before < r <= before + count]
