@@ -5,7 +5,7 @@ from __future__ import annotations
 import hashlib
 
 import numpy as np
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from panelweave.llm.common import stored
@@ -145,10 +145,9 @@ def with_next(docs: DataFrame) -> DataFrame:
     # One row per part: its first text, and its last row still to be compared.
     ends = made.where("tail IS NOT NULL").select("doc_id", "part", "head", "tail")
     parts = [r.part for r in ends.select("part").orderBy("part").collect()]
-    follows = dict(zip(parts, parts[1:] + parts[:1]))
-    nexts = F.create_map(*[F.lit(x) for pair in follows.items() for x in pair]) if follows else F.create_map().cast("map<int,int>")
+    follows = docs.sparkSession.createDataFrame(list(zip(parts, parts[1:] + parts[:1])), "part int, after int")
     heads = ends.select(F.col("part").alias("after"), F.col("head").alias("following"))
-    pairs = ends.select("doc_id", "tail", F.element_at(nexts, F.col("part")).alias("after")).join(heads, "after")
+    pairs = ends.select("doc_id", "tail", "part").join(follows, "part").join(heads, "after")
 
     def close(batches):
         for batch in batches:
