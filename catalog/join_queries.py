@@ -44,10 +44,11 @@ def _(t):
 
 @query("join_outer_indicator", """SELECT coalesce(d.doc_id, l.doc_id) AS doc_id, CASE WHEN d.doc_id IS NULL THEN 'right_only'
   WHEN l.doc_id IS NULL THEN 'left_only' ELSE 'both' END AS _merge
-  FROM (SELECT doc_id FROM documents WHERE lang = 'en') d FULL JOIN labels l ON d.doc_id = l.doc_id""", "J-05")
+  FROM (SELECT doc_id FROM documents) d FULL JOIN (SELECT CASE WHEN quality = 0 THEN -1 - doc_id ELSE doc_id END AS doc_id FROM labels) l ON d.doc_id = l.doc_id""", "J-05")
 def _(t):
-    return joins.join_outer_indicator(
-        t.documents.where("lang = 'en'").select("doc_id"), t.labels, "doc_id").select("doc_id", "_merge")
+    # labels of low quality get ids that no document has
+    ids = t.labels.select(F.when(F.col("quality") == 0, -1 - F.col("doc_id")).otherwise(F.col("doc_id")).alias("doc_id"))
+    return joins.join_outer_indicator(t.documents.select("doc_id"), ids, "doc_id").select("doc_id", "_merge")
 
 
 @query("keep_present", "SELECT event_id FROM events WHERE user_id IN (SELECT c_custkey FROM customer "
@@ -132,11 +133,12 @@ def _(t):
     return joins.checked_join(t.orders, dim, "o_custkey", "inner", "m:1").select("o_orderkey", "c_name")
 
 
-@query("merge_dicts", """WITH o AS (SELECT doc_id, 'old' AS v FROM documents WHERE lang = 'en'), n AS (SELECT doc_id, 'new' AS v FROM labels)
+@query("merge_dicts", """WITH o AS (SELECT doc_id, lang AS v FROM documents), n AS (SELECT doc_id * 2 AS doc_id, 'new' AS v FROM labels)
   SELECT coalesce(o.doc_id, n.doc_id) AS doc_id, coalesce(o.v, n.v) AS v FROM o FULL JOIN n ON o.doc_id = n.doc_id""", "J-14")
 def _(t):
-    old = t.documents.where("lang = 'en'").select("doc_id", F.lit("old").alias("v"))
-    return joins.merge_dicts(t.labels.select("doc_id", F.lit("new").alias("v")), old, "doc_id")
+    old = t.documents.select("doc_id", F.col("lang").alias("v"))
+    new = t.labels.select((F.col("doc_id") * 2).alias("doc_id"), F.lit("new").alias("v"))
+    return joins.merge_dicts(new, old, "doc_id")
 
 
 @query("merge_batches", f"SELECT user_id, arg_max(event_type, event_id) AS event_type, {r('arg_max(value, event_id)')} AS value "
