@@ -34,7 +34,7 @@ POINTS, LETTERS = 2048, 63
 STATES = LETTERS + 1
 # Longest lattice; a longer token is read in pieces of this many characters.
 LONGEST = 4096
-REMEMBERED = 200_000
+REMEMBERED = 150_000
 # Shortest and longest beginning of a word that is a feature.
 STEM = (3, 8)
 TRIPLE = re.compile(r"(.)\1\1+", re.S)
@@ -74,7 +74,7 @@ def bigram_counts(docs: DataFrame) -> DataFrame:
             for text in batch.column(0).to_pylist():
                 texts.append(text or "")
                 size += len(texts[-1])
-                if size > 4_000_000:
+                if size > 1_500_000:
                     add(texts)
                     texts, size = [], 0
             add(texts)
@@ -258,7 +258,7 @@ class Active:
         return tuple(out)
 
 
-def _slices(texts, size=2_000_000):
+def _slices(texts, size=1_000_000):
     part, n = [], 0
     for t in texts:
         part.append(t or "")
@@ -325,7 +325,7 @@ def telling_features(rows: DataFrame, least: int, most: int) -> list[str]:
         for batch in batches:
             for y, words in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 counts[y].update(features(words))
-                if len(counts[0]) + len(counts[1]) > 400_000:
+                if len(counts[0]) + len(counts[1]) > 150_000:
                     yield from release()
         yield from release()
 
