@@ -16,6 +16,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from panelweave.llm.common import WORD, stored
+from panelweave.operators.joins import salted_join
+from panelweave.operators.spread import fits
 
 WORDS = re.compile(WORD)
 SYMBOLS = re.compile(r"[#*$%&|<>]")
@@ -136,10 +138,11 @@ def rules(docs: DataFrame, path: str, width: float = 5.0, least_words: int = 20,
     sound = rows.where(~F.col("base_failed"))
     every = sound.agg(*[q.alias(m) for m, q in zip(measures, quartiles)]).first()
     bands = sound.groupBy("band").agg(F.count(F.lit(1)).alias("n"), *quartiles)
-    bands = bands.select(F.col("band").alias("b"), *[
+    bands = bands.select("band", *[
         F.when((F.col("n") >= enough) | F.lit(every[m] is None), F.col(m + "_q"))
         .otherwise(F.array(*[F.lit(float(x)) for x in every[m] or ()])).alias(m + "_q") for m in measures])
-    met = rows.join(bands, F.col("band") == F.col("b"), "left")
+    bands = stored(bands, "fertility-bands")
+    met = rows.join(F.broadcast(bands), "band", "left") if fits(bands) else salted_join(rows, bands, "band", "left")
 
     def within(m, floor, both=True):
         low, high = F.col(m + "_q")[0], F.col(m + "_q")[2]
