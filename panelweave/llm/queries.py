@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from panelweave.llm import bpe, chat, fertility, fingerprint, langid, minhash, mixing, quality, suffix, toxicity
-from panelweave.llm.common import WORD, table
+from panelweave.llm.common import WORD, stored, table
 
 
 def vocabulary_file(name: str) -> str:
@@ -56,7 +56,7 @@ def op9_suffix(spark, sf_dir):
 
 def op10_mixing(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select("doc_id", "source", mixing.words().alias("size"))
-    mixed = mixing.mix(docs)
+    mixed = mixing.mix(stored(docs, "mixing-sizes"))  # texts are counted once
     return mixed.select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"))
 
 
