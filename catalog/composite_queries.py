@@ -226,9 +226,8 @@ def _(t):
 
 @query("compare_outcomes", None, "P-10 ST-02 ST-06")
 def _(t):
-    from panelweave.operators import eventstudy
-    study = eventstudy.event_study(study_panel(t), ["click", "purchase"], "dist", "entity")
-    return reports.compare_outcomes(study, "click", "purchase")
+    rows = panel(t, "day").withColumn("dist", dates.event_distance("day", EVENT))
+    return reports.study_with_comparisons(rows, ["click", "purchase", "prediction"], ["click", "purchase"])[1]
 
 
 @query("event_wide", None, "P-10 R-03")
@@ -257,15 +256,23 @@ def _(t):
     return eventstudy.event_wide(stored_study(t), ["click", "purchase"])
 
 
-@query("compare_outcomes_stored", f"""WITH {STORED}, w AS (SELECT dist, max(CASE WHEN outcome = 'click' THEN CASE WHEN dist = -7 THEN 0.0 ELSE b END END) AS x,
-   max(CASE WHEN outcome = 'purchase' THEN CASE WHEN dist = -7 THEN 0.0 ELSE b END END) AS y FROM study GROUP BY dist),
-  p AS (SELECT x, y, rank() OVER (ORDER BY x) + (count(*) OVER (PARTITION BY x) - 1) / 2 AS a, rank() OVER (ORDER BY y) + (count(*) OVER (PARTITION BY y) - 1) / 2 AS c
-   FROM w WHERE x IS NOT NULL AND y IS NOT NULL),
-  m AS (SELECT count(*) AS n, regr_slope(y, x) AS slope, regr_intercept(y, x) AS intercept, regr_sxx(y, x) AS sxx, regr_syy(y, x) AS syy, regr_sxy(y, x) AS sxy,
-   corr(x, y) AS pearson, corr(a, c) AS spearman FROM p)
-  SELECT n, {r('slope')} AS slope, {r('intercept')} AS intercept, {r('sqrt((syy - slope * sxy) / (n - 2) / sxx)')} AS se, {r('pearson')} AS pearson, {r('spearman')} AS spearman FROM m""", "P-10 ST-02 ST-06")
+def pair_sql(x, y):
+    return f"""SELECT n, {r('slope')} AS slope, {r('intercept')} AS intercept, {r('sqrt((syy - slope * sxy) / (n - 2) / sxx)')} AS se,
+  {r('pearson')} AS pearson, {r('spearman')} AS spearman, '{x}' AS x, '{y}' AS y FROM
+  (SELECT count(*) AS n, regr_slope(y, x) AS slope, regr_intercept(y, x) AS intercept, regr_sxx(y, x) AS sxx, regr_syy(y, x) AS syy, regr_sxy(y, x) AS sxy,
+    corr(x, y) AS pearson, corr(a, c) AS spearman FROM
+   (SELECT x, y, rank() OVER (ORDER BY x) + (count(*) OVER (PARTITION BY x) - 1) / 2 AS a, rank() OVER (ORDER BY y) + (count(*) OVER (PARTITION BY y) - 1) / 2 AS c
+    FROM (SELECT dist, max(CASE WHEN outcome = '{x}' THEN z END) AS x, max(CASE WHEN outcome = '{y}' THEN z END) AS y FROM zeroed GROUP BY dist)
+    WHERE x IS NOT NULL AND y IS NOT NULL))"""
+
+
+OUTCOMES = ["click", "purchase", "signup"]
+
+
+@query("compare_outcomes_stored", f"WITH {STORED}, zeroed AS (SELECT dist, outcome, CASE WHEN dist = -7 THEN 0.0 ELSE b END AS z FROM study) "
+       + " UNION ALL ".join(pair_sql(x, y) for i, x in enumerate(OUTCOMES) for y in OUTCOMES[i + 1:]), "P-10 ST-02 ST-06")
 def _(t):
-    return reports.compare_outcomes(stored_study(t), "click", "purchase")
+    return reports.compare_all(stored_study(t), OUTCOMES)
 
 
 @query("event_cells", f"""WITH {DAILY}, l AS (SELECT entity, CAST(date_diff('day', DATE '{EVENT}', day) AS INTEGER) AS dist, 'prediction' AS outcome, CAST(prediction AS DOUBLE) AS y FROM panel

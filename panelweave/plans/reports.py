@@ -119,6 +119,20 @@ def compare_outcomes(study, x, y, dist="dist", ref=-7) -> DataFrame:
         stats.corr_pair(wide, x, y, "spearman", "spearman"))
 
 
+def study_with_comparisons(panel, outcomes, rates=(), den="n_posts", dist="dist", entity="entity", ref=-7):
+    """The whole report: the event study of all outcomes, stored, and every pair
+    of outcomes compared. Returns (study, comparisons)."""
+    study = settle(event_study_report(panel, outcomes, rates, den, dist, entity, ref))
+    return study, compare_all(study, outcomes, dist, ref)
+
+
+def compare_all(study, outcomes, dist="dist", ref=-7) -> DataFrame:
+    """``compare_outcomes`` for every pair of outcomes, one row each."""
+    pairs = [(x, y) for i, x in enumerate(outcomes) for y in list(outcomes)[i + 1:]]
+    rows = [compare_outcomes(study, x, y, dist, ref).withColumns({"x": F.lit(x), "y": F.lit(y)}) for x, y in pairs]
+    return reduce(lambda a, b: a.unionByName(b), rows)
+
+
 def validation_curves(panel, outcomes, score="prediction", rates=(), den="n_posts", n=20,
                       rounding=None) -> tuple[DataFrame, DataFrame]:
     """Binned means and the fitted cubic for each outcome.
