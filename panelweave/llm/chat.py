@@ -11,7 +11,8 @@ OPEN, CLOSE, END = "<|start|>", "<|end|>\n", "<|conversation_end|>\n"
 
 
 def prefix_hashes(turns: DataFrame) -> DataFrame:
-    """(conv_id, k, n, h, g): two 64-bit hashes of the first k of n turns.
+    """(conv_id, turn, k, n, h, g): two 64-bit hashes of the first k of n turns,
+    with the number of the last of them.
 
     A turn's hash covers its number, role and text; a prefix is the exclusive-or
     of its turns' hashes, so it rolls forward in one step per turn. Blocks of
@@ -33,20 +34,20 @@ def prefix_hashes(turns: DataFrame) -> DataFrame:
     inside = Window.partitionBy("conv_id", "block").orderBy("turn", "h", "g")
     met = rows.join(blocks, F.col("conv_id").eqNullSafe(F.col("c")) & F.col("block").eqNullSafe(F.col("b")))
     return met.select(
-        "conv_id", "n", (F.col("bn") + F.row_number().over(inside)).alias("k"),
+        "conv_id", "turn", "n", (F.col("bn") + F.row_number().over(inside)).alias("k"),
         F.col("bh").bitwiseXOR(F.bit_xor("h").over(inside)).alias("h"),
         F.col("bg").bitwiseXOR(F.bit_xor("g").over(inside)).alias("g"))
 
 
 def maximal(turns: DataFrame) -> DataFrame:
-    """(conv_id, n_turns) of conversations that no longer one begins with; of
-    equal conversations the smallest id stays. Equal prefixes are merged before
+    """(conv_id, n_turns, top) of conversations that no longer one begins with,
+    with their last turn; of equal conversations the smallest id stays. Equal prefixes are merged before
     the anti-join, so neither side has a hot key."""
     prefixes = prefix_hashes(turns)
     whole = (prefixes.where("k = n").groupBy("n", "h", "g")
-             .agg(F.min(F.struct(F.col("conv_id").isNull(), "conv_id"))["conv_id"].alias("conv_id")))
+             .agg(F.min(F.struct(F.col("conv_id").isNull(), "conv_id"))["conv_id"].alias("conv_id"), F.max("turn").alias("top")))
     longer = prefixes.where("k < n").select(F.col("k").alias("n"), "h", "g").distinct()
-    return whole.join(longer, ["n", "h", "g"], "left_anti").select("conv_id", F.col("n").alias("n_turns"))
+    return whole.join(longer, ["n", "h", "g"], "left_anti").select("conv_id", F.col("n").alias("n_turns"), "top")
 
 
 def render(conversations: DataFrame, opening=OPEN, closing=CLOSE, ending=END) -> DataFrame:
@@ -66,8 +67,6 @@ def render(conversations: DataFrame, opening=OPEN, closing=CLOSE, ending=END) ->
     turns = conversations.select(
         "conv_id", F.coalesce(F.col("turn").cast("long"), F.lit(-1).cast("long")).alias("turn"), "role", "text").distinct()
     keep = maximal(turns).withColumnRenamed("conv_id", "c")
-    tops = turns.groupBy(F.col("conv_id").alias("t")).agg(F.max("turn").alias("top"))
-    keep = keep.join(tops, F.col("c").eqNullSafe(F.col("t"))).drop("t")
     met = turns.join(keep, F.col("conv_id").eqNullSafe(F.col("c")))
     text = F.concat(
         F.lit(opening), F.coalesce(F.col("role"), F.lit("none")), F.lit("\n"), F.coalesce(F.col("text"), F.lit("")),
