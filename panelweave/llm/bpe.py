@@ -20,6 +20,8 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from panelweave.llm.common import bound_batches
+
 # Fixed values of the vocabulary's file format: its white space, its split
 # pattern and the suffix of a word's last symbol.
 SPACES = regex.compile("[\t-\r \x85\xa0  -     　]+")
@@ -214,6 +216,7 @@ def encode(docs: DataFrame, path: str, keep_ids: bool = True, text: str = "text"
     """
     import pyarrow as pa
 
+    bound_batches(docs.sparkSession)
     extra = "n_tokens long, ids_sha256 string, decoded_sha256 string" + (", ids array<int>, decoded string" if keep_ids else "")
     new = [x.split()[0] for x in extra.split(", ")]
     docs = docs.drop(*[c for c in new if c != text])

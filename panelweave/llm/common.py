@@ -22,6 +22,19 @@ def fold(doc_id, folds: int) -> Column:
     return (F.crc32(text.cast("binary")) % folds).cast("int")
 
 
+# Bytes of texts that a Python task is handed at a time, whatever their lengths.
+BATCH_BYTES = 8 << 20
+
+
+def bound_batches(spark: SparkSession) -> None:
+    """Cut the session's Arrow batches by bytes, so that long texts do not add
+    up in a task. A smaller limit set by the user stays."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    now = spark.conf.get(key, None)
+    if not (now or "").isdigit() or not 0 < int(now) <= BATCH_BYTES:
+        spark.conf.set(key, str(BATCH_BYTES))
+
+
 def stored(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` below the shared folder and read it back, so that later
     steps neither repeat the work nor depend on the executors that did it."""

@@ -15,7 +15,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from panelweave.llm.common import WORD, stored
+from panelweave.llm.common import WORD, bound_batches, stored
 from panelweave.operators.joins import salted_join
 from panelweave.operators.spread import fits
 
@@ -128,6 +128,7 @@ def rules(docs: DataFrame, path: str, width: float = 5.0, least_words: int = 20,
     Texts without a language use the main script's bands. Repeated rows are
     judged alike; other columns are ignored; an empty table gives an empty one.
     """
+    bound_batches(docs.sparkSession)
     rows = stored(measure(docs, path), "fertility")
     failed = (F.col("n_words") < least_words) | (100 * F.col("n_repeat_words") > most_repeated * F.col("n_words"))
     rows = rows.withColumn("base_failed", failed)

@@ -8,7 +8,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from panelweave.llm.common import stored
+from panelweave.llm.common import bound_batches, stored
 
 BUCKETS = 128
 # Offsets of the bytes of a triplet inside a sliding window of five bytes.
@@ -110,6 +110,7 @@ def with_next(docs: DataFrame) -> DataFrame:
     import pyarrow as pa
 
     kind = docs.schema["doc_id"].dataType.simpleString()
+    bound_batches(docs.sparkSession)
     rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     placed = rows.repartitionByRange("doc_id", F.xxhash64("text")).sortWithinPartitions("doc_id", "text")
     schema = f"doc_id {kind}, {KINDS}, part int, head string, tail string"

@@ -15,7 +15,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from panelweave.llm.common import fold
+from panelweave.llm.common import bound_batches, fold
 
 WINDOW = 256
 WIDTHS = (2, 3, 4, 5)
@@ -173,6 +173,7 @@ def predict(docs: DataFrame, folds: int = 4, held: int = 2, per_language: int =
     """
     import pyarrow as pa
 
+    bound_batches(docs.sparkSession)
     x, y, languages = sample_windows(docs, "lang", folds, held, per_language, per_text)
     net = train(x, y, languages) if languages else None
     kind = docs.schema["doc_id"].dataType.simpleString()

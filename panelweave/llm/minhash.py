@@ -12,7 +12,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from panelweave.llm.common import stored
+from panelweave.llm.common import bound_batches, stored
 from panelweave.llm.components import components
 
 SHINGLE = 3
@@ -251,6 +251,7 @@ def near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:
     a null component and are not kept. Other columns are ignored; an empty table
     gives an empty one.
     """
+    bound_batches(docs.sparkSession)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     rows = stored(signatures(docs), "minhash-signatures")
     real = rows.where("n > 0 AND doc_id IS NOT NULL")

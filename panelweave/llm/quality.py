@@ -9,7 +9,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from panelweave.llm.common import fold, stored
+from panelweave.llm.common import bound_batches, fold, stored
 
 SYMBOLS = "#*$%&|<>"
 MARKS = "!?"
@@ -154,6 +154,7 @@ def classify(docs: DataFrame, labels: DataFrame, label: str = "quality", folds:
     """
     import pyarrow as pa
 
+    bound_batches(docs.sparkSession)
     stats = stored(with_statistics(docs), "quality-stats")
     y = (labels.where(F.col(label).isin(0, 1)).groupBy("doc_id").agg(F.max(label).cast("int").alias("y")))
     model = fit(stats.where(fold("doc_id", folds) != held).join(y, "doc_id"))

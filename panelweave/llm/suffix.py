@@ -29,7 +29,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from panelweave.llm.common import stored
+from panelweave.llm.common import bound_batches, stored
 from panelweave.llm.minhash import BYTES, POWERS, mix
 
 LENGTH, ANCHOR = 100, 32
@@ -454,6 +454,7 @@ def remove_repeats(docs: DataFrame, with_text: bool = False) -> DataFrame:
     """
     import pyarrow as pa
 
+    bound_batches(docs.sparkSession)
     new = ["n_bytes", "n_removed", "n_spans", "kept_sha256"]
     docs = docs.drop(*new, "rid")
     rest = [c for c in docs.columns if c != "text"]

@@ -15,7 +15,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from panelweave.llm.common import fold, stored
+from panelweave.llm.common import bound_batches, fold, stored
 
 # Look-alike signs and the letters they may stand for.
 LOOKALIKES = {
@@ -400,6 +400,7 @@ def classify(docs: DataFrame, labels: DataFrame, label: str = "toxic", folds: in
     """
     import pyarrow as pa
 
+    bound_batches(docs.sparkSession)
     lm = language_model(docs)
     weights, intercept = fit(training_words(docs, labels, label, lm, folds, held, most_labelled))
     keep = list(dict.fromkeys(["doc_id", *keep]))
