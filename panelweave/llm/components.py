@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from panelweave.llm.common import stored
+from panelweave.operators.joins import salted_join
+from panelweave.operators.spread import fits
 
 
 def _open(edges: DataFrame) -> bool:
@@ -19,9 +21,8 @@ def _open(edges: DataFrame) -> bool:
 def components(links: DataFrame, name: str = "links") -> DataFrame:
     """(id, component) for every id in ``links`` (a, b): the smallest id reachable.
 
-    Alternating large-star and small-star rounds: every id points its larger
-    neighbours, then its smaller ones, to the smallest id it sees, until every
-    id points straight to its root. The number of rounds grows with the logarithm
+    Links point from larger to smaller ids. Large-star and small-star rounds
+    alternate until every id points straight to its root. The number of rounds grows with the logarithm
     of the longest chain. Each round is written to the shared folder, so lineage
     stays short.
     """
@@ -29,9 +30,12 @@ def components(links: DataFrame, name: str = "links") -> DataFrame:
         F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), f"{name}-0")
     count = 0
     while _open(edges):
-        both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("u"), F.least("a", "m").alias("m"))
-        large = both.join(least, F.col("a") == F.col("u")).where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
+        # Large star: what points to an id points on to the smallest id that this points to.
+        least = stored(edges.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("b"), "m"), f"{name}-least-{count}")
+        # Very many may point to one id: its links are not gathered by a shuffle.
+        met = edges.join(F.broadcast(least), "b", "left") if fits(least) else salted_join(edges, least, "b", "left")
+        large = met.select("a", F.coalesce("m", "b").alias("b")).distinct()
+        # Small star: what an id points to points to the smallest of them.
         least = large.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("u"), "m")
         met = large.join(least, F.col("a") == F.col("u"))
         small = met.select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(met.select("a", F.col("m").alias("b")))
