@@ -3,7 +3,8 @@
 A public vocabulary with byte fallback measures how well a text is covered:
 characters per token, share of byte-fallback tokens and entropy of the tokens.
 Bands for the three measures come from all documents of a language (or, with no
-language, of the main script); a text outside its bands is rejected.
+language, of the main script) and of like length; a text outside its bands is
+rejected.
 """
 
 from __future__ import annotations
@@ -112,7 +113,7 @@ def measure(docs: DataFrame, path: str) -> DataFrame:
     return docs.select("doc_id", "text", lang.alias("lang")).mapInArrow(run, schema).withColumnRenamed("script", "band")
 
 
-def rules(docs: DataFrame, path: str, width: float = 5.0, least_words: int = 20, most_repeated: int = 30,
+def rules(docs: DataFrame, path: str, width: float = 2.0, least_words: int = 20, most_repeated: int = 30,
           enough: int = 50) -> DataFrame:
     """Per document: doc_id, n_words, word_chars, n_symbols, n_dup_lines,
     n_repeat_words, base_failed, kept, and the measures.
@@ -121,37 +122,59 @@ def rules(docs: DataFrame, path: str, width: float = 5.0, least_words: int = 20,
     ``most_repeated`` percent of words in repeated windows. Of the rest, a text
     is kept while its three measures lie inside the bands of its language:
     characters per token and entropy within ``width`` interquartile ranges of
-    the quartiles (entropy is taken against its value for the text's length),
-    byte share at most the upper bound. Quartiles come from all texts of the
-    language that pass the base; a language with fewer than ``enough`` of them
-    uses those of all languages. Null texts count as empty and fail the base.
-    Texts without a language use the main script's bands. Repeated rows are
-    judged alike; other columns are ignored; an empty table gives an empty one.
+    the quartiles, byte share at most the upper bound. Quartiles come from the
+    texts that pass the base, texts with equal measures once, so that copies do
+    not narrow a band. A text is held against texts of its language and like
+    length: the nearest doubling of the token count, at most one away, with
+    ``enough`` texts; else against such texts of all languages; else against
+    texts of any length, of its language if there are ``enough``, with entropy
+    less half the logarithm of the length.
+    Null texts count as empty and fail the base. Texts without a language use
+    the main script's bands. Repeated rows are judged alike; other columns are
+    ignored; an empty table gives an empty one.
     """
     bound_batches(docs.sparkSession)
     rows = stored(measure(docs, path), "fertility")
     failed = (F.col("n_words") < least_words) | (100 * F.col("n_repeat_words") > most_repeated * F.col("n_words"))
     rows = rows.withColumn("base_failed", failed)
-    # Entropy grows with the logarithm of the number of tokens.
-    rows = rows.withColumn("spread", F.col("entropy") - F.log2(F.greatest(F.col("n_tokens"), F.lit(1))) * 0.5)
-    measures = ("chars_per_token", "byte_share", "spread")
-    quartiles = [F.percentile_approx(m, [0.25, 0.5, 0.75], 1000).alias(m + "_q") for m in measures]
-    sound = rows.where(~F.col("base_failed"))
-    every = sound.agg(*[q.alias(m) for m, q in zip(measures, quartiles)]).first()
-    bands = sound.groupBy("band").agg(F.count(F.lit(1)).alias("n"), *quartiles)
-    bands = bands.select("band", *[
-        F.when((F.col("n") >= enough) | F.lit(every[m] is None), F.col(m + "_q"))
-        .otherwise(F.array(*[F.lit(float(x)) for x in every[m] or ()])).alias(m + "_q") for m in measures])
-    bands = stored(bands, "fertility-bands")
+    log = F.log2(F.greatest(F.col("n_tokens"), F.lit(1)))
+    rows = rows.withColumns({"length": F.round(log).cast("int"), "spread": F.col("entropy") - log * 0.5})
+    measures = ("chars_per_token", "byte_share", "entropy", "spread")
+    quartiles = F.struct(*[F.percentile_approx(m, [0.25, 0.5, 0.75], 1000).alias(m) for m in measures]).alias("q")
+    sound = rows.where(~F.col("base_failed")).select("band", "length", *measures).distinct()
+    sound = stored(sound, "fertility-sound")
+    counted = (F.count(F.lit(1)).alias("n"), quartiles)
+    near = F.col("n") >= enough
+
+    # by language and length, by length, by language, and all
+    classes = sound.groupBy("band", "length").agg(*counted).where(near).groupBy("band").agg(
+        F.collect_list(F.struct("length", "q")).alias("own"))
+    whole = sound.groupBy("band").agg(*counted).select("band", F.when(near, F.col("q")).alias("any"))
+    bands = stored(whole.join(classes, "band", "left"), "fertility-bands")
+    shared = sound.groupBy("length").agg(*counted).where(near).agg(F.collect_list(F.struct("length", "q")).alias("shared"))
+    shared = stored(shared.crossJoin(sound.agg(quartiles.alias("every"))), "fertility-shared")
     met = rows.join(F.broadcast(bands), "band", "left") if fits(bands) else salted_join(rows, bands, "band", "left")
+    met = met.crossJoin(F.broadcast(shared))
 
-    def within(m, floor, both=True):
-        low, high = F.col(m + "_q")[0], F.col(m + "_q")[2]
-        room = F.greatest(high - low, F.lit(floor)) * width
+    def nearest(classes):
+        away = F.array_min(F.transform(classes, lambda s: F.struct(
+            F.abs(s["length"] - F.col("length")).alias("away"), s["length"].alias("length"), s["q"].alias("q"))))
+        return F.when(away["away"] <= 1, away["q"])
+
+    met = met.withColumn("like", F.coalesce(nearest(F.col("own")), nearest(F.col("shared"))))
+    met = met.withColumn("loose", F.coalesce("any", "every"))
+
+    def within(quarters, m, floor, both=True):
+        low, high = F.col(quarters)[m][0], F.col(quarters)[m][2]
+        room = F.greatest((high - low) * width, F.lit(floor))
         inside = F.col(m) <= high + room
         return inside & (F.col(m) >= low - room) if both else inside
 
-    verdict = within("chars_per_token", 0.1) & within("byte_share", 0.02, both=False) & within("spread", 0.2)
+    def verdict(quarters, entropy):
+        return (within(quarters, "chars_per_token", 0.05) & within(quarters, "byte_share", 0.05, both=False)
+                & within(quarters, entropy, 0.1))
+
+    kept = F.when(F.col("like").isNotNull(), verdict("like", "entropy")).otherwise(verdict("loose", "spread"))
     return met.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed",
-                      (~F.col("base_failed") & F.coalesce(verdict, F.lit(True))).alias("kept"),
+                      (~F.col("base_failed") & F.coalesce(kept, F.lit(True))).alias("kept"),
                       "n_tokens", "chars_per_token", "byte_share", "entropy")

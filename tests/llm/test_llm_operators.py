@@ -454,6 +454,27 @@ def test_fertility_rejects_unreadable_text(spark):
     assert all(got[i]["kept"] for i in range(120) if not got[i]["base_failed"])
 
 
+def test_fertility_rejects_ordinary_junk(spark):
+    rng = random.Random(17)
+    words = ("house river table window garden people market letter summer winter music teacher village doctor bridge engine "
+             "paper mountain story number question animal kitchen station the of and to in is that it was for on are with as "
+             "his they at be this have from or one had by word but not what all were we when your can said there use each "
+             "which she do how their if will up other about out many then them these so some her would make like him into").split()
+    weights = [1 / (k % 40 + 3) for k in range(len(words))]
+    prose = lambda n: " ".join(rng.choices(words, weights, k=n))
+    rows = [(i, prose(rng.choice((50, 70, 150, 300, 600))), "en", "a") for i in range(900)]
+    rows += [(2000 + i, rows[0][1], "en", "a") for i in range(600)]  # copies do not narrow the bands
+    cells = lambda n: " ".join(rng.choice(["|", "12", "|", "7", "--", "|", "0.5"]) for _ in range(n))
+    spam = lambda n: " ".join(rng.choice(["buy", "cheap", "watches", "now", "click", "here"]) for _ in range(n))
+    codes = lambda n: " ".join("%06x" % rng.randrange(1 << 24) for _ in range(n))
+    rows += [(1000 + i, make_junk(rng.choice((150, 300))), "en", "a") for i, make_junk in enumerate([cells, spam, codes] * 10)]
+    got = {r["doc_id"]: r for r in rows_of(fertility.rules(make(spark, rows), public_tokenizers.path("piece_bpe_32k.model")))}
+    assert not any(got[i]["base_failed"] for i in got)
+    assert not any(got[1000 + i]["kept"] for i in range(30))
+    assert sum(not got[i]["kept"] for i in range(900)) <= 18
+    assert all(got[2000 + i]["kept"] == got[0]["kept"] for i in range(600))
+
+
 # Suffix removal
 
 def gone_brute(rows, length=100):
