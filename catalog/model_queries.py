@@ -164,7 +164,7 @@ def _(t):
 def _(t):
     rows = scored_docs(t)
     bow = features.fit_bow(rows.where("split = 'train'"), "terms")
-    return models.train_regressors(rows, bow, "target", models=("lasso",), methods=("onehot",), search=10, folds=5)
+    return models.train_regressors(rows, bow, "target", search=10, folds=5)
 
 
 RUNS = """runs AS (SELECT p_brand AS run, avg(p_retailprice) AS f1, min(p_size) AS gap FROM part GROUP BY 1)"""

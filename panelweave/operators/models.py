@@ -31,12 +31,15 @@ REGRESSORS = {
     "lasso": lambda: LinearRegression(elasticNetParam=1.0, regParam=0.1),
     "boosted": lambda: GBTRegressor(seed=fixed.SEED, maxIter=20),
 }
+# Depths beyond 30 and no bound at all are one point: Spark's trees end at 30.
 GRIDS = {
-    "rand_for": {"numTrees": [20, 50, 100], "maxDepth": [5, 10, 15], "minInstancesPerNode": [1, 2, 4],
-                 "featureSubsetStrategy": ["auto", "sqrt"]},
+    "rand_for": {"numTrees": [100, 200, 300, 400, 500], "maxDepth": [10, 20, 30], "minInstancesPerNode": [1, 2, 4],
+                 "featureSubsetStrategy": ["all", "sqrt"], "subsamplingRate": [0.01, 0.21, 0.41, 0.61, 0.81, 1.0]},
     "lasso": {"regParam": [round(0.1 * i, 1) for i in range(11)]},
-    "boosted": {"maxIter": [10, 20, 50], "maxDepth": [2, 4, 6], "stepSize": [0.01, 0.1, 0.3],
-                "subsamplingRate": [0.4, 0.7, 1.0]},
+    "boosted": {"maxIter": [100, 200, 300, 400, 500], "maxDepth": [2, 3, 4, 6, 7, 9, 10, 11, 13, 14, 16],
+                "stepSize": [round(0.01 + 0.11 * i, 2) for i in range(10)],
+                "subsamplingRate": [0.1, 0.325, 0.55, 0.775, 1.0],
+                "featureSubsetStrategy": [*[f"0.{i}" for i in range(1, 10)], "all"]},
 }
 
 

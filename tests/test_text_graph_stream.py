@@ -144,3 +144,26 @@ def test_documents_without_known_terms_get_even_shares(spark):
     assert all(np.isclose(odd[f"topic_{i}"], 1 / 3) for i in range(3)) and odd["pred"] == "topic_0"
     shares = models.author_topic_mix(assigned, "id", 3).groupBy("id").agg(F.sum("value").alias("s")).collect()
     assert len(shares) == 61 and all(np.isclose(r["s"], 1) for r in shares)
+
+
+def test_search_tunes_every_model_on_every_encoding(spark, monkeypatch):
+    import catalog
+    from catalog import model_queries
+    _, df = docs(spark)
+    rows = df.withColumns({"target": F.col("id") % 2 * 1.0, "split": F.when(F.col("id") < 40, "train").otherwise("test")})
+    monkeypatch.setattr(model_queries, "scored_docs", lambda t: rows.withColumnRenamed("t", "terms"))
+    asked = []
+    real = models.train_regressors
+    monkeypatch.setattr(models, "train_regressors", lambda *a, **k: asked.append((a, k)) or real(*a, **{**k, "search": 1, "folds": 2}))
+    space = models.GRIDS
+    for name, grid in space.items():
+        for point in models._draws(models.REGRESSORS[name](), grid, 10, 1):
+            models.REGRESSORS[name]().copy(point)._transfer_params_to_java()
+    assert max(space["rand_for"]["numTrees"]) == max(space["boosted"]["maxIter"]) == 500
+    assert max(space["rand_for"]["maxDepth"]) == 30 and max(space["boosted"]["maxDepth"]) == 16
+    monkeypatch.setattr(models, "GRIDS", {"rand_for": {"numTrees": [3]}, "lasso": {"regParam": [0.1]}, "boosted": {"maxIter": [2]}})
+    got = catalog.load()[0]["tune_regressors"](spark, "/root/testdata/sf0.001").collect()
+    assert asked[0][1] == {"search": 10, "folds": 5}
+    assert sorted((r["method"], r["model"], r["split"]) for r in got) == sorted(itertools.product(
+        ("frequency", "onehot", "tf_idf"), ("rand_for", "lasso", "boosted"), ("train", "test")))
+    assert all(r["tuned"] for r in got)
