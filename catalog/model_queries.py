@@ -230,11 +230,23 @@ def _(t):
     return reports.macro_mix(long, {"A": ["topic_0", "topic_2"], "B": ["topic_1"]}, author="label")
 
 
+# From so many documents on, each period and family can fill the dictionary of terms in 50 documents.
+DICTIONARY_ROWS = 10_000
+
+
+def grams_and_phrases(t):
+    """Word n-grams, and the phrases found in each document after them."""
+    rows = features.collocations(tokens(t).withColumn("words", F.col("tokens")), "doc_id", "tokens")
+    found = F.slice("tokens", F.size("words") + 1, F.size("tokens") - F.size("words"))
+    return rows.withColumn("terms", F.concat(features.ngrams("words"), found)).drop("words")
+
+
 @query("author_topics_by_period", None, "ST-18")
 def _(t):
-    docs = grams(t).withColumn("day", F.date_add(F.lit("2024-01-01").cast("date"), (F.col("doc_id") % 366).cast("int")))
+    min_df = fixed.DICT_NO_BELOW if t.documents.count() >= DICTIONARY_ROWS else 5
+    docs = grams_and_phrases(t).withColumn("day", F.date_add(F.lit("2024-01-01").cast("date"), (F.col("doc_id") % 366).cast("int")))
     return reports.author_topics_by_period(
-        docs, "day", "lang", "terms", fixed.AUTHOR_PERIODS, min_df=5,
+        docs, "day", "lang", "terms", fixed.AUTHOR_PERIODS, min_df=min_df,
         families={"first": [f"src{i}" for i in range(10)], "second": [f"src{i}" for i in range(10, 20)]}, family="source")
 
 

@@ -167,3 +167,25 @@ def test_search_tunes_every_model_on_every_encoding(spark, monkeypatch):
     assert sorted((r["method"], r["model"], r["split"]) for r in got) == sorted(itertools.product(
         ("frequency", "onehot", "tf_idf"), ("rand_for", "lasso", "boosted"), ("train", "test")))
     assert all(r["tuned"] for r in got)
+
+
+def test_author_topics_use_phrases_and_the_large_dictionary(spark, monkeypatch):
+    import catalog
+    from catalog import model_queries
+    _, df = docs(spark)
+    rows = df.toDF("doc_id", "tokens").withColumns({"lang": F.lit("en"), "source": F.lit("src1")})
+    rows = rows.withColumn("tokens", F.concat(
+        F.transform(F.sequence(F.lit(0), F.lit(29)), lambda i: F.concat(F.lit("only"), i, F.lit("in"), "doc_id")),
+        F.array(*map(F.lit, ["red", "fox"])), "tokens")).cache()
+    monkeypatch.setattr(model_queries, "tokens", lambda t: rows)
+    asked = []
+    monkeypatch.setattr(reports, "author_topics_by_period", lambda d, *a, **k: asked.append((d, k)) or d.select("doc_id"))
+    run = catalog.load()[0]["author_topics_by_period"]
+    run(spark, "/root/testdata/sf0.001")
+    monkeypatch.setattr(model_queries, "DICTIONARY_ROWS", 100)
+    run(spark, "/root/testdata/sf0.001")
+    assert [k["min_df"] for _, k in asked] == [5, 50]
+    plain = {r["doc_id"]: r["terms"] for r in rows.select("doc_id", features.ngrams("tokens").alias("terms")).collect()}
+    for r in asked[0][0].collect():
+        n = len(plain[r["doc_id"]])
+        assert r["terms"][:n] == plain[r["doc_id"]] and "red_fox" in r["terms"][n:]
