@@ -4,8 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from panelweave.llm import bpe, chat, fertility, fingerprint, langid, minhash, mixing, quality, suffix, toxicity
+from panelweave.llm import bpe, chat, fertility, fingerprint, langid, minhash, mixing, quality, resample, suffix, token_orc, toxicity, whitening
 from panelweave.llm.common import WORD, stored, table
+from panelweave.session import scratch_path
 
 
 def vocabulary_file(name: str) -> str:
@@ -60,6 +61,21 @@ def op10_mixing(spark, sf_dir):
     return mixed.select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"))
 
 
+def op11_resample(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return resample.resample(docs, table(spark, sf_dir, "benchmark"))
+
+
+def op12_token_orc(spark, sf_dir):
+    folder = scratch_path(spark, "token-orc")
+    token_orc.write(table(spark, sf_dir, "documents").select("doc_id", "text"), vocabulary_file("word_bpe_49k.json"), folder)
+    return token_orc.digests(token_orc.read(spark, folder))
+
+
+def op13_whitening(spark, sf_dir):
+    return whitening.whiten(table(spark, sf_dir, "embeddings"))
+
+
 QUERIES = {
     "op1_toxicity": op1_toxicity,
     "op2_bpe": op2_bpe,
@@ -71,8 +87,14 @@ QUERIES = {
     "op8_fertility": op8_fertility,
     "op9_suffix": op9_suffix,
     "op10_mixing": op10_mixing,
+    "op11_resample": op11_resample,
+    "op12_token_orc": op12_token_orc,
+    "op13_whitening": op13_whitening,
 }
 
+SPLIT_WORDS = ("regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), "
+               r"'[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')")
+
 SQL = {
     "op4_chat_format": f"""
 WITH t AS (
@@ -124,5 +146,45 @@ WITH d AS (
 SELECT doc_id, size, source_size, target,
   CAST((floor(i * rate + u) - floor((i - 1) * rate + u)) * size AS BIGINT) AS taken
 FROM r
+""",
+    "op11_resample": f"""
+WITH RECURSIVE table_ AS (
+  SELECT i, list_reduce(list_prepend(i, range(8)), lambda c, k: CASE WHEN c % 2 = 1 THEN xor(c // 2, 3988292384) ELSE c // 2 END) AS v
+  FROM range(256) AS r(i)
+), crc_table AS MATERIALIZED (SELECT list(v ORDER BY i) AS l FROM table_
+), src AS MATERIALIZED (
+  SELECT 0 AS part, doc_id AS id, row_number() OVER () AS r, {SPLIT_WORDS} AS w FROM documents
+), tgt AS MATERIALIZED (SELECT {SPLIT_WORDS} AS w FROM benchmark
+), swords AS MATERIALIZED (SELECT r, unnest(w) AS w FROM src
+), twords AS MATERIALIZED (SELECT unnest(w) AS w FROM tgt
+), distinct_words AS (SELECT w FROM swords UNION SELECT w FROM twords
+), hexed AS (SELECT w, hex(encode(w)) AS h FROM distinct_words
+), bucketed AS MATERIALIZED (
+  SELECT w, xor(list_reduce(list_prepend(4294967295, list_transform(range(0, len(h) // 2), lambda k: CAST(('0x' || substr(h, 2 * k + 1, 2)) AS BIGINT))),
+    lambda c, b: xor(c // 256, l[xor(c % 256, b) + 1])), 4294967295) % 10000 AS bucket
+  FROM hexed, crc_table
+), s AS (SELECT bucket, count(*) AS n FROM swords JOIN bucketed USING (w) GROUP BY bucket
+), t AS (SELECT bucket, count(*) AS n FROM twords JOIN bucketed USING (w) GROUP BY bucket
+), gains AS (
+  SELECT s.bucket, CAST(floor(1000 * ln((coalesce(t.n, 0) + 1)::DOUBLE * ((SELECT count(*) FROM swords) + 10000)
+    / ((s.n + 1)::DOUBLE * ((SELECT count(*) FROM twords) + 10000)))) AS BIGINT) AS gain
+  FROM s LEFT JOIN t USING (bucket)
+), weights AS (
+  SELECT r, count(*) AS n_features, CAST(sum(gain) AS BIGINT) AS total FROM swords JOIN bucketed USING (w) JOIN gains USING (bucket) GROUP BY r
+), scored AS (
+  SELECT id AS doc_id, coalesce(n_features, 0) AS n_features,
+    coalesce((total - ((total % n_features) + n_features) % n_features) // n_features, 0) AS weight,
+    CAST(('0x' || substr(sha256('2024:' || coalesce(CAST(id AS VARCHAR), '')), 1, 8)) AS BIGINT) AS h
+  FROM src LEFT JOIN weights USING (r)
+), noisy AS (
+  SELECT doc_id, n_features, weight, weight + CAST(floor(-1000 * ln(-ln((h + 0.5::DOUBLE) / 4294967296.0::DOUBLE))) AS BIGINT) AS score FROM scored
+), placed AS (
+  SELECT *, row_number() OVER (PARTITION BY n_features >= 20 ORDER BY score DESC, doc_id NULLS LAST) AS place,
+    10 * count(*) OVER (PARTITION BY n_features >= 20) // 100 AS drawn
+  FROM noisy
+)
+SELECT doc_id, n_features, CAST(weight AS BIGINT) AS weight, CAST(score AS BIGINT) AS score,
+  CASE WHEN n_features >= 20 AND place <= drawn THEN place END AS rank
+FROM placed
 """,
 }
