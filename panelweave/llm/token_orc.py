@@ -29,6 +29,8 @@ from panelweave.llm.common import bound_batches
 SCHEMA = "doc_id long, part int, first long, n_tokens int, ids array<int>"
 # Text that one file holds, about.
 FILE_BYTES = 128 << 20
+# Most files; their totals, 24 bytes a file, are broadcast.
+MOST_FILES = 1 << 20
 # Strings between spaces that a task remembers, and characters of the longest.
 REMEMBERED, LONGEST = 400_000, 64
 # Below this code point a letter is Latin and composed.
@@ -115,7 +117,7 @@ def write(docs: DataFrame, vocabulary: str, folder: str, end_id: int = 2, file_b
     spark = docs.sparkSession
     bound_batches(spark)
     size = docs.agg(F.sum(F.octet_length(text))).first()[0] or 0
-    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // file_bytes))
+    parts = min(max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // file_bytes)), MOST_FILES)
     rows = docs.select("doc_id", F.col(text).alias("text"), F.xxhash64(text).alias("print"), F.monotonically_increasing_id().alias("row"))
     order = [F.asc_nulls_first("doc_id"), F.col("print"), F.col("row")]
     rows = rows.repartitionByRange(parts, *order).sortWithinPartitions(*order).select("doc_id", "text")
@@ -143,11 +145,11 @@ def read(spark: SparkSession, folder: str) -> DataFrame:
     """The stored documents: doc_id, start, n_tokens, ids. ``start`` counts the
     ids of all documents before. A filter on doc_id reaches the files."""
     rows = spark.read.schema(SCHEMA).orc(folder)
-    # one row per file
+    # one row per file, at most MOST_FILES
     totals = rows.groupBy("part").agg(F.sum("n_tokens").alias("total"))
     before = F.sum("total").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1))
     bases = totals.select("part", F.coalesce(before, F.lit(0)).alias("base"))
-    return rows.join(bases, "part").select("doc_id", (F.col("base") + F.col("first")).alias("start"), F.col("n_tokens").cast("long").alias("n_tokens"), "ids")
+    return rows.join(F.broadcast(bases), "part").select("doc_id", (F.col("base") + F.col("first")).alias("start"), F.col("n_tokens").cast("long").alias("n_tokens"), "ids")
 
 
 def lookup(spark: SparkSession, folder: str, ids) -> DataFrame:
