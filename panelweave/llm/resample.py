@@ -70,7 +70,7 @@ class Head:
         return out
 
 
-def _counted(texts: DataFrame, keys_of, kind: str) -> DataFrame:
+def _counted(texts: DataFrame, keys_of) -> DataFrame:
     """(key, n): how often each key that ``keys_of`` makes of a text occurs."""
     import pyarrow as pa
 
@@ -89,17 +89,26 @@ def _counted(texts: DataFrame, keys_of, kind: str) -> DataFrame:
         if found:
             yield release()
 
-    return texts.mapInArrow(run, f"key {kind}, n long").groupBy("key").agg(F.sum("n").alias("n"))
+    return texts.mapInArrow(run, "key binary, n long").groupBy("key").agg(F.sum("n").alias("n"))
 
 
 def head_of(texts: DataFrame, ngrams: int, head: int = HEAD, pairs: int = HEAD_PAIRS) -> Head:
     """The head of the vocabulary of a one-column table of texts. At most
     ``head`` words of at most HEAD_BYTES bytes, and ``pairs`` pairs of them,
     reach the driver."""
-    def most(counts, n):
-        return [bytes(r[0]) for r in counts.where("n > 1").orderBy(F.desc("n"), "key").limit(n).collect()]
-
-    top = most(_counted(texts, lambda row: row, "binary").where(F.octet_length("key") <= HEAD_BYTES), head) if head else []
+    def most(counts, n, name):
+        # Whole steps of frequency, an eighth of a doubling each, from the top
+        # while they fit; a hundred or so steps reach the driver.
+        counts = stored(counts.where("n > 1").withColumn("step", F.floor(F.log2("n") * 8)), name)
+        room, least = n, None
+        for step, size in sorted(((r.step, r["count"]) for r in counts.groupBy("step").count().collect()), reverse=True):
+            room -= size
+            if room < 0:
+                break
+            least = step
+        return [] if least is None else [bytes(r[0]) for r in counts.where(F.col("step") >= least).select("key").collect()]
+
+    top = most(_counted(texts, lambda row: row).where(F.octet_length("key") <= HEAD_BYTES), head, "resample-words") if head else []
     if ngrams < 2 or not top or not pairs:
         return Head(top)
     known = texts.sparkSession.sparkContext.broadcast(frozenset(top))
@@ -108,7 +117,7 @@ def head_of(texts: DataFrame, ngrams: int, head: int = HEAD, pairs: int = HEAD_P
         inside = known.value
         return [a + b" " + b for a, b in zip(row, row[1:]) if a in inside and b in inside]
 
-    return Head(top, [tuple(p.split(b" ")) for p in most(_counted(texts, neighbours, "binary"), pairs)])
+    return Head(top, [tuple(p.split(b" ")) for p in most(_counted(texts, neighbours), pairs, "resample-pairs")])
 
 
 def bucket_totals(texts: DataFrame, head, ngrams: int, buckets: int) -> list[int]:

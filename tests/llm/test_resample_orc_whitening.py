@@ -82,8 +82,10 @@ def test_resample_repeated_rows_and_empty_tables(spark):
 
 def test_head_is_the_most_frequent(spark):
     rows = documents(spark, [(i, "the cat the dog " * 3 + f"only{i}") for i in range(20)]).select("text")
-    head = resample.head_of(rows, 2, head=3, pairs=2)
-    assert set(head.state) == {b"the", b"cat", b"dog"} and set(head.pair) == {(b"the", b"cat"), (b"cat", b"the")}
+    head = resample.head_of(rows, 2, head=3, pairs=3)
+    assert set(head.state) == {b"the", b"cat", b"dog"} and set(head.pair) == {(b"the", b"cat"), (b"cat", b"the"), (b"the", b"dog")}
+    # steps of frequency enter whole, or not at all
+    assert set(resample.head_of(rows, 1, head=2).state) == {b"the"} and not resample.head_of(rows, 1, head=0).state
     assert head.pair[b"the", b"cat"] == zlib.crc32(b"the cat") and head.values([b"the", b"new"], 2)[-1] == zlib.crc32(b"the new")
 
 
