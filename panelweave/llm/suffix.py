@@ -16,9 +16,11 @@ A byte goes if it lies in a string of LENGTH bytes that also starts earlier.
    by then shares LENGTH bytes or more.
 4. In each such class all starts but the first are repeated.
 
-An anchor with very many runs (a passage of a large share of the documents) is
-known from its exact count; its runs go on as single windows, named by their own
-hash, so that no task holds them together.
+An anchor that occurs very often (a passage of a large share of the documents)
+is known from its exact count. Its pieces are merged over whole tasks before they
+meet. An anchor that still has very many *different* pieces after that has them
+compared as single windows, named by a print of their own, so that no task holds
+them together.
 """
 
 from __future__ import annotations
@@ -35,10 +37,12 @@ from panelweave.llm.minhash import BYTES, POWERS, mix
 LENGTH, ANCHOR = 100, 32
 SPAN = LENGTH - ANCHOR + 1
 # Bytes whose transform is formed together, and pieces in it before those of the
-# last anchor; with HOT_RUNS more there are fewer than 65,280, so symbols fit 16 bits.
+# last anchor; with HOT_PIECES more there are fewer than 65,280, so symbols fit 16 bits.
 BATCH_BYTES, BATCH_PIECES = 1_000_000, 15_000
-# An anchor with more runs than this is split into windows.
-HOT_RUNS = 50_000
+# The pieces of an anchor found more often than this are merged by task, up to so
+# many remembered; an anchor with more different pieces is split into windows.
+HOT_RUNS, SEEN = 50_000, 500_000
+HOT_PIECES = 50_000
 # Text whose anchors are counted together before the shuffle.
 CHUNK = 16_000_000
 
@@ -273,8 +277,9 @@ def _polynomial(raw: np.ndarray):
 def pieces(texts: DataFrame, lists: DataFrame) -> DataFrame:
     """(key, print, rid, s, e, inner): the repeating runs as byte ranges, with a
     print of their bytes. ``inner`` tells that the anchor occurs more than once
-    in the run. Without a key if an equal piece stands before it in the batch:
-    such a range is repeated throughout."""
+    in the run. Without a key if an equal piece stands before it in the batch, or
+    in the task if the anchor is hot: such a range is repeated throughout, and
+    those of a text that touch are one row."""
     import pyarrow as pa
 
     met = texts.join(lists.withColumnRenamed("rid", "r").hint("shuffle_hash"), F.col("rid") == F.col("r"))
@@ -282,6 +287,7 @@ def pieces(texts: DataFrame, lists: DataFrame) -> DataFrame:
     met = met.select(*texts.columns, "runs")
 
     def run(batches):
+        seen: dict = {}
         for batch in batches:
             lists_ = batch.column("runs")
             ends, numbers = np.asarray(lists_.offsets), np.asarray(lists_.values)
@@ -292,27 +298,47 @@ def pieces(texts: DataFrame, lists: DataFrame) -> DataFrame:
                 number = numbers[ends[i]:ends[i + 1]]
                 hot = number < 0
                 anchor, s, windows, found = (x[np.where(hot, -number - 1, number)] for x in runs(raw))
-                if hot.any():
-                    times = np.where(hot, windows, 1)
-                    step = np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times)
-                    anchor, s, windows, found, hot = (np.repeat(x, times) for x in (anchor, s, windows, found, hot))
-                    s, windows, found = s + step, np.where(hot, 1, windows), np.where(hot, 1, found)
                 e = s + windows + LENGTH - 1
                 sums, down = _polynomial(raw)
                 marks = mix((sums[e] - sums[s]) * down[s] + (e - s).astype(np.uint64))
-                key = np.where(hot, marks, anchor)
-                cols.append((key.view(np.int64), marks.view(np.int64), np.full(len(s), rid, np.int64), s, e, found > 1))
+                cols.append((anchor.view(np.int64), marks.view(np.int64), np.full(len(s), rid, np.int64), s, e, found > 1, hot))
             if not cols:
                 continue
-            key, marks, rid, s, e, inner = (np.concatenate(c) for c in zip(*cols))
+            key, marks, rid, s, e, inner, hot = (np.concatenate(c) for c in zip(*cols))
             line = np.lexsort((s, rid, marks, key))
             later = np.zeros(len(line), bool)
             later[line] = _later(key[line], marks[line], rid[line], s[line])[1]
-            yield _rows(["key", "print", "rid", "s", "e", "inner"], pa.array(key, mask=later), marks, rid, s.astype(np.int32), e.astype(np.int32), inner)
+            for i in np.flatnonzero(hot & ~later).tolist():
+                name, place = (int(key[i]), int(marks[i])), (int(rid[i]), int(s[i]))
+                first = seen.get(name, place)
+                later[i] = first < place
+                if len(seen) < SEEN or name in seen:
+                    seen[name] = min(first, place)
+            open_ = ~later
+            begin, stop, owner = _joined(rid[later], s[later], e[later])
+            rest = len(owner)
+            none, no = np.zeros(rest, np.int64), np.zeros(rest, bool)
+            yield _rows(["key", "print", "rid", "s", "e", "inner"],
+                        pa.array(np.append(key[open_], none), mask=np.append(np.zeros(int(open_.sum()), bool), ~no)), np.append(marks[open_], none),
+                        np.append(rid[open_], owner), np.append(s[open_], begin).astype(np.int32), np.append(e[open_], stop).astype(np.int32), np.append(inner[open_], no))
 
     return met.mapInArrow(run, "key long, print long, rid long, s int, e int, inner boolean")
 
 
+def _joined(rid, s, e):
+    """(s, e, rid) of byte ranges, those of a text that touch as one."""
+    line = np.lexsort((e, s, rid))
+    rid, s, e = rid[line], s[line], e[line]
+    if not len(rid):
+        return s, e, rid
+    # Ends so far inside a text: texts are set apart by more than any length.
+    apart = np.cumsum(np.append(False, rid[1:] != rid[:-1])) << 40
+    reach = np.maximum.accumulate(e + apart)
+    head = np.append(True, s[1:] + apart[1:] > reach[:-1])
+    tail = np.append(head[1:], True)
+    return s[head], (reach - apart)[tail], rid[head]
+
+
 def _later(key, mark, rid, s):
     """For sorted rows: first of its key and print; equal to the first but at
     another place (a row repeated with its id stands at the same one)."""
@@ -324,7 +350,8 @@ def _later(key, mark, rid, s):
 
 def marks_of(found: DataFrame) -> DataFrame:
     """(rid, marks): byte ranges that are repeated throughout (without a key),
-    and first places of pieces that have to be searched (with one)."""
+    and first places of pieces that have to be searched (with one); ``wide``
+    where their anchor has too many to lay them out together."""
     import pyarrow as pa
 
     names = ["key", "print", "rid", "s", "e", "inner"]
@@ -346,10 +373,10 @@ def marks_of(found: DataFrame) -> DataFrame:
             head = np.ones(len(key), bool)
             head[1:] = key[1:] != key[:-1]
             group = np.cumsum(head) - 1
-            several = (np.bincount(group, first) > 1)[group]
-            lead = first & (several | inner)
+            different = np.bincount(group, first)[group]
+            lead = first & ((different > 1) | inner)
             keep = lead | later
-            yield _rows(["rid", "s", "e", "key"], rid[keep], s[keep], e[keep], pa.array(key[keep], mask=~lead[keep]))
+            yield _rows(["rid", "s", "e", "key", "wide"], rid[keep], s[keep], e[keep], pa.array(key[keep], mask=~lead[keep]), (different > HOT_PIECES)[keep])
             yield from release(passed)
         yield from release(passed)
 
@@ -357,11 +384,11 @@ def marks_of(found: DataFrame) -> DataFrame:
         for batch in passed:
             if batch.num_rows:
                 none = pa.nulls(batch.num_rows, pa.int64())
-                yield _rows(["rid", "s", "e", "key"], batch.column("rid"), batch.column("s"), batch.column("e"), none)
+                yield _rows(["rid", "s", "e", "key", "wide"], batch.column("rid"), batch.column("s"), batch.column("e"), none, np.zeros(batch.num_rows, bool))
         passed.clear()
 
-    rows = open_.mapInArrow(run, "rid long, s int, e int, key long").where("rid IS NOT NULL")
-    return rows.groupBy("rid").agg(F.collect_list(F.struct("s", "e", "key")).alias("marks"))
+    rows = open_.mapInArrow(run, "rid long, s int, e int, key long, wide boolean").where("rid IS NOT NULL")
+    return rows.groupBy("rid").agg(F.collect_list(F.struct("s", "e", "key", "wide")).alias("marks"))
 
 
 def searched(texts: DataFrame, marks: DataFrame) -> DataFrame:
@@ -384,19 +411,39 @@ def searched(texts: DataFrame, marks: DataFrame) -> DataFrame:
                 continue
             owner = np.searchsorted(ends, at, "right") - 1
             texts_ = {i: batch.column("text")[i].as_py().encode("utf-8", "surrogatepass") for i in np.unique(owner).tolist()}
+            wide = flat.field("wide").to_numpy(zero_copy_only=False)[at]
+            rids = batch.column("rid").to_numpy()
+            if wide.any():
+                yield from windows(owner[wide], start[at[wide]], stop[at[wide]], texts_, rids)
+                at, owner = at[~wide], owner[~wide]
             bodies = [texts_[i][a:b] for i, a, b in zip(owner.tolist(), start[at].tolist(), stop[at].tolist())]
-            yield _rows(["key", "rid", "s", "body"], flat.field("key").take(pa.array(at)), batch.column("rid").take(pa.array(owner)),
-                        start[at], pa.array(bodies, pa.binary()))
+            yield _rows(["key", "rid", "s", "body"], flat.field("key").take(pa.array(at)), rids[owner], start[at], pa.array(bodies, pa.binary()))
+
+    def windows(owner, start, stop, texts_, rids):
+        for i in np.unique(owner).tolist():
+            sums, down = _polynomial(np.frombuffer(texts_[i], np.uint8))
+            own = owner == i
+            s = np.unique(np.concatenate([np.arange(a, b - LENGTH + 1) for a, b in zip(start[own].tolist(), stop[own].tolist())]))
+            key = mix((sums[s + LENGTH] - sums[s]) * down[s] + np.uint64(LENGTH)).view(np.int64)
+            yield _rows(["key", "rid", "s", "body"], key, np.full(len(s), rids[i], np.int64), s.astype(np.int32), pa.nulls(len(s), pa.binary()))
 
     rows = (met.mapInArrow(cut, "key long, rid long, s int, body binary")
-            .repartition("key").sortWithinPartitions("key", "rid", "s"))
+            .repartition("key").sortWithinPartitions("key", F.col("body").isNull(), "rid", "s"))
 
     def run(batches):
         for key, rid, s, body in _complete(batches, ["key", "rid", "s", "body"], 10_000):
+            single = np.fromiter((b is None for b in body), bool, len(body))
+            if single.any():
+                # Windows with their own print: all places but the first are repeated.
+                later = _later(key[single], key[single], rid[single], s[single])[1]
+                begin = s[single][later].astype(np.int64)
+                begin, stop, owner = _joined(rid[single][later], begin, begin + LENGTH)
+                yield _rows(["rid", "s", "e"], owner, begin.astype(np.int32), stop.astype(np.int32))
+                key, rid, s, body = (x[~single] for x in (key, rid, s, body))
             same = np.ones(len(key), bool)  # a row repeated with its id
             same[1:] = (key[1:] != key[:-1]) | (rid[1:] != rid[:-1]) | (s[1:] != s[:-1])
             key, rid, s, body = (x[same] for x in (key, rid, s.astype(np.int64), body))
-            size = np.cumsum([len(b) for b in body])
+            size = np.cumsum(np.fromiter(map(len, body), np.int64, len(body)))
             at = 0
             while at < len(key):
                 last = max(at + 1, int(np.searchsorted(size, (size[at - 1] if at else 0) + BATCH_BYTES)))

@@ -494,9 +494,10 @@ def gone_brute(rows, length=100):
     return out
 
 
-@pytest.mark.parametrize("hot, batch", [(50_000, 1_000_000), (2, 1_000_000), (50_000, 300)])
-def test_repeats_match_brute_force(spark, monkeypatch, hot, batch):
+@pytest.mark.parametrize("hot, pieces, batch", [(50_000, 50_000, 1_000_000), (2, 2, 1_000_000), (2, 50_000, 1_000_000), (50_000, 50_000, 300)])
+def test_repeats_match_brute_force(spark, monkeypatch, hot, pieces, batch):
     monkeypatch.setattr(suffix, "HOT_RUNS", hot)
+    monkeypatch.setattr(suffix, "HOT_PIECES", pieces)
     monkeypatch.setattr(suffix, "BATCH_BYTES", batch)
     rng = random.Random(10)
     word = lambda: "".join(rng.choice("abcdéß") for _ in range(rng.randrange(1, 7)))
@@ -530,6 +531,25 @@ def test_repeats_odd_rows(odd, none):
     assert suffix.remove_repeats(none).count() == 0
 
 
+def test_pieces_of_a_common_passage_are_few(spark, monkeypatch):
+    monkeypatch.setattr(suffix, "HOT_RUNS", 50)
+    rng = random.Random(13)
+    prose = lambda n: " ".join("".join(rng.choice("abcdefgh") for _ in range(6)) for _ in range(n))
+    passage = prose(85)
+    docs = make(spark, [(i, prose(30) + " " + passage + " " + prose(30), "en", "a") for i in range(400)]).repartition(4)
+    texts = suffix.numbered(docs).select("rid", "text").repartition(4, "rid")
+    flagged = suffix.stored(suffix.repeating_runs(texts), "test-runs")
+    found = suffix.pieces(texts, suffix.run_lists(flagged)).collect()
+    # a few rows for each text and its edges, and the passage once a task
+    runs = flagged.count()
+    assert runs > 400 * 12 and len(found) <= 400 * 5 and sum(r["key"] is not None for r in found) <= 400 * 4 + 4 * 40
+
+
+def test_joined_ranges():
+    rid, s, e = (np.array(c, np.int64) for c in ([2, 1, 1, 1, 2], [0, 50, 0, 151, 7], [5, 150, 60, 160, 9]))
+    assert [c.tolist() for c in suffix._joined(rid, s, e)] == [[0, 151, 0, 7], [150, 160, 5, 9], [1, 1, 2, 2]]
+
+
 def test_boundaries_give_common_prefixes():
     rng = random.Random(11)
     texts = [bytes(rng.choice(b"ab") for _ in range(rng.randrange(5, 60))) for _ in range(30)]
