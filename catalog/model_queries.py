@@ -42,9 +42,7 @@ def _(t):
 
 @query("bow_table", f"WITH {VOCAB} SELECT doc_id, term, tc.tf FROM tc JOIN vocab USING (term)", "ST-09 ST-10")
 def _(t):
-    rows = grams(t)
-    vocab = features.filter_vocab(rows, "terms", fixed.MIN_DF, fixed.MAX_DF, fixed.MAX_FEATURES)
-    return features.bow_table(rows, "doc_id", "terms", vocab)
+    return features.counted_bow(grams(t), "doc_id", "terms")
 
 
 @query("idf_table", f"WITH {VOCAB} SELECT term, df, tf, {r('ln((1 + (SELECT count(*) FROM documents)) / (1 + df)) + 1')} AS idf FROM vocab", "ST-09")
@@ -167,6 +165,13 @@ def _(t):
     return models.train_regressors(rows, bow, "target", search=10, folds=5)
 
 
+@query("tune_lasso", None, "ST-14")
+def _(t):
+    rows = scored_docs(t)
+    bow = features.fit_bow(rows.where("split = 'train'"), "terms")
+    return models.train_regressors(rows, bow, "target", models=("lasso",), search=10, folds=5)
+
+
 RUNS = """runs AS (SELECT p_brand AS run, avg(p_retailprice) AS f1, min(p_size) AS gap FROM part GROUP BY 1)"""
 
 
@@ -230,10 +235,6 @@ def _(t):
     return reports.macro_mix(long, {"A": ["topic_0", "topic_2"], "B": ["topic_1"]}, author="label")
 
 
-# From so many documents on, each period and family can fill the dictionary of terms in 50 documents.
-DICTIONARY_ROWS = 10_000
-
-
 def grams_and_phrases(t):
     """Word n-grams, and the phrases found in each document after them."""
     rows = features.collocations(tokens(t).withColumn("words", F.col("tokens")), "doc_id", "tokens")
@@ -243,10 +244,9 @@ def grams_and_phrases(t):
 
 @query("author_topics_by_period", None, "ST-18")
 def _(t):
-    min_df = fixed.DICT_NO_BELOW if t.documents.count() >= DICTIONARY_ROWS else 5
     docs = grams_and_phrases(t).withColumn("day", F.date_add(F.lit("2024-01-01").cast("date"), (F.col("doc_id") % 366).cast("int")))
     return reports.author_topics_by_period(
-        docs, "day", "lang", "terms", fixed.AUTHOR_PERIODS, min_df=min_df,
+        docs, "day", "lang", "terms", fixed.AUTHOR_PERIODS,
         families={"first": [f"src{i}" for i in range(10)], "second": [f"src{i}" for i in range(10, 20)]}, family="source")
 
 
@@ -272,6 +272,52 @@ def _(t):
     return models.apply_score(model, grams(t)).select("doc_id", "prediction")
 
 
+@query("text_score_held_out", None, "ST-20 ST-01")
+def _(t):
+    rows = scored_docs(t)
+    model = models.text_score_model(rows.where("split = 'train'"), "terms", "target")
+    return models.held_out_errors(models.apply_score(model, rows), "target", "prediction")
+
+
+# A stored model: weights that follow from the document frequency of a term.
+WEIGHT_SQL = ", w AS (SELECT g AS grp, term, CAST((df * (2 * g + 3) + tf) % 11 - <low> AS DOUBLE) / 8 AS weight FROM vocab, (SELECT unnest(range(<n>)) AS g))"
+APPLIED = VOCAB + WEIGHT_SQL + """, s AS (SELECT doc_id, grp, sum(tc.tf * weight) AS v FROM tc JOIN w USING (term) GROUP BY 1, 2),
+  a AS (SELECT doc_id, grp, coalesce(v, 0) AS v FROM documents CROSS JOIN (SELECT DISTINCT grp FROM w) LEFT JOIN s USING (doc_id, grp))"""
+
+
+def applied(n, low):
+    return APPLIED.replace("<n>", str(n)).replace("<low>", str(low))
+
+
+def stored_weights(t, n, low):
+    vocab = features.filter_vocab(grams(t), "terms", fixed.MIN_DF, fixed.MAX_DF, fixed.MAX_FEATURES)
+    g = F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("grp")
+    rows = vocab.select("term", "df", "tf", g)
+    return rows.select("grp", "term", (((F.col("df") * (2 * F.col("grp") + 3) + F.col("tf")) % 11 - low).cast("double") / 8).alias("weight"))
+
+
+@query("text_score_applied", f"WITH {applied(1, 5)} SELECT doc_id, {r('tanh(v / 100)')} AS prediction FROM a", "ST-20")
+def _(t):
+    scores = models.apply_weights(grams(t), "doc_id", "terms", stored_weights(t, 1, 5), "grp")
+    return scores.select("doc_id", F.tanh(F.col("score") / 100).alias("prediction"))
+
+
+@query("text_classes_applied", f"""WITH {applied(3, 5)} SELECT doc_id, grp AS class, {r('v')} AS score FROM
+  (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY v DESC, grp) AS k FROM a) WHERE k = 1""", "ST-21")
+def _(t):
+    scores = models.apply_weights(grams(t), "doc_id", "terms", stored_weights(t, 3, 5), "grp")
+    return models.best_group(scores, "doc_id", "grp").withColumnRenamed("grp", "class")
+
+
+@query("topics_applied", f"""WITH {applied(4, 0)} SELECT doc_id, 'topic_' || grp AS topic,
+  {r('CASE WHEN sum(v) OVER (PARTITION BY doc_id) > 0 THEN v / sum(v) OVER (PARTITION BY doc_id) ELSE 0.25 END')} AS share FROM a""", "ST-16 P-09")
+def _(t):
+    scores = models.apply_weights(grams(t), "doc_id", "terms", stored_weights(t, 4, 0), "grp")
+    total = scores.groupBy("doc_id").agg(F.sum("score").alias("total"))
+    share = F.when(F.col("total") > 0, F.col("score") / F.col("total")).otherwise(0.25)
+    return scores.join(total, "doc_id").select("doc_id", F.concat(F.lit("topic_"), "grp").alias("topic"), share.alias("share"))
+
+
 @query("multiclass_text_model", None, "ST-21")
 def _(t):
     names = ["en", "fr", "de", "es"]

@@ -7,36 +7,41 @@ from pyspark.sql import functions as F
 from catalog import query
 from catalog.inputs import POSTS, r, score_of
 from panelweave.operators.models import linear_scorer
-from panelweave.session import scratch_path
+from panelweave.session import scratch_path, settle
 from panelweave.streaming import jobs
 
 
 FILES = 4
 
 
+# Files that make up a quarter, written and read by as many tasks.
+SPLIT = 2
+
+
 def _files(t, table, order, extra=None):
-    """A table as FILES files in ascending ``order``, written one after another,
-    so that a stream that takes one file at a time sees FILES batches.
-    ``extra`` adds rows to a file, given its number and all of its rows."""
+    """A table as FILES quarters in ascending ``order``, each of SPLIT files,
+    written one after another, so that a stream that takes SPLIT files at a time
+    sees FILES batches. ``extra`` adds rows to a quarter, given its number and
+    all of its rows. The table is stored by quarter first and read by quarter."""
     folder = scratch_path(t.spark, "files")
     low, high = table.agg(F.min(order), F.max(order)).first()
     part = F.least(F.floor((order - low) / ((high - low) / FILES + 1e-9)), F.lit(FILES - 1))
-    rows = table.withColumn("_part", part)
+    rows = settle(table.withColumn("_part", part.cast("bigint")))
     for i in range(FILES):
         file = rows.where(F.col("_part") == i)
         if extra:
             file = file.unionByName(extra(i, rows))
-        file.drop("_part").coalesce(1).write.parquet(f"{folder}/{i}")
+        file.drop("_part").repartition(SPLIT).write.parquet(f"{folder}/{i}")
     return f"{folder}/*"
 
 
 def _stream(t, path, schema):
-    return t.spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(path)
+    return t.spark.readStream.schema(schema).option("maxFilesPerTrigger", SPLIT).parquet(path)
 
 
 def _events(t, extra=None):
     path = _files(t, t.events, F.unix_micros(F.col("ts").cast("timestamp")).cast("double"), extra)
-    return jobs.read_stream(t.spark, path, t.events.schema, "ts", files_per_trigger=1)
+    return jobs.read_stream(t.spark, path, t.events.schema, "ts", files_per_trigger=SPLIT)
 
 
 def _run(t, start, stream):

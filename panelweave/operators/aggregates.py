@@ -7,11 +7,14 @@ from pyspark.sql import functions as F
 
 from panelweave.functions.dates import week_label, week_start
 from panelweave.operators.spread import (
-    HOT_ROWS, _cols, quantiles, running_total, split_hot, stable_hash,
+    HOT_ROWS, _cols, null_safe, quantiles, running_total, split_hot, stable_hash,
 )
+from panelweave.session import settle
 
-# Texts of a group are put together in slices of at most this many rows.
+# Texts of a group are put together in slices of at most this many rows, and of
+# about this many bytes: a slice ends with the text that passes the limit.
 TEXT_ROWS = 20_000
+TEXT_BYTES = 32 << 20
 # Bytes that one value can hold.
 VALUE_BYTES = (1 << 31) - 64
 
@@ -42,42 +45,61 @@ def _joined(rows, keys, order, text, out, sep) -> DataFrame:
     return rows.groupBy(*keys).agg(F.array_join(F.transform(ranked, lambda s: s["_t"]), sep).alias(out))
 
 
-def _slices(hot, keys, text, order, max_rows, part) -> DataFrame:
-    place = running_total(hot.where(F.col(text).isNotNull()), keys, order, F.lit(1).cast("bigint"), "_p")
-    return place.withColumn(part, F.floor((F.col("_p") - 1) / max_rows).cast("bigint")).drop("_p")
+def _bytes(text, sep):
+    return F.octet_length(text).cast("bigint") + len(sep.encode())
 
 
-def concat_text(df, keys, text, order, out="text", sep=" ", slice_rows=TEXT_ROWS) -> DataFrame:
+def _slices(hot, keys, text, order, sep, max_rows, max_bytes) -> DataFrame:
+    """Rows with ``_part``, a pair that counts full slices by rows and by bytes;
+    both grow with the order, so pairs stand in order as well."""
+    hot = hot.where(F.col(text).isNotNull()).withColumn("_size", _bytes(text, sep))
+    place = running_total(hot, keys, order, [F.lit(1).cast("bigint"), "_size"], ["_p", "_q"])
+    part = F.struct(F.floor((F.col("_p") - 1) / max_rows).cast("bigint").alias("rows"),
+                    F.floor((F.col("_q") - F.col("_size")) / max_bytes).cast("bigint").alias("bytes"))
+    return place.withColumn("_part", part).drop("_p", "_q", "_size")
+
+
+def concat_text(df, keys, text, order, out="text", sep=" ", slice_rows=TEXT_ROWS, slice_bytes=None) -> DataFrame:
     """All texts of a group in one string, in ``order``: one row per group.
 
-    A group above ``slice_rows`` rows is put together slice by slice, then from
-    its slices, so that no task sorts all of its texts. A group whose text
-    exceeds what one value can hold fails with a message; ``text_parts`` gives
-    such groups as numbered rows of another table.
+    A group above ``slice_rows`` rows or ``slice_bytes`` bytes is put together
+    slice by slice, then from its slices, so that no task sorts all of its
+    texts. A group whose text exceeds what one value can hold fails with a
+    message; ``text_parts`` gives such groups as numbered rows of another table.
     """
-    keys, order = _keys(keys), _cols(order)
-    # large groups are found by the key columns alone; no text is read for it
-    plain, hot = split_hot(df, keys, slice_rows)
+    keys, order, slice_bytes = _keys(keys), _cols(order), slice_bytes or TEXT_BYTES
+    plain, hot = split_hot(df, keys, slice_rows, _bytes(text, sep), slice_bytes)
     whole = _joined(plain.where(F.col(text).isNotNull()), keys, order, text, out, sep)
     if hot is None:
         return whole
-    parts = _joined(_slices(hot, keys, text, order, slice_rows, "_part"), [*keys, "_part"], order, text, "_text", sep)
-    size = F.sum(F.octet_length("_text").cast("bigint") + len(sep.encode()))
-    ranked = F.sort_array(F.collect_list(F.struct("_part", "_text")))
-    joined = F.when(size <= VALUE_BYTES, F.array_join(F.transform(ranked, lambda s: s["_text"]), sep)).otherwise(
-        F.raise_error(F.lit("a group's text exceeds one value; use text_parts")))
+    parts = _joined(_slices(hot, keys, text, order, sep, slice_rows, slice_bytes), [*keys, "_part"], order, text, "_text", sep)
+    # The sizes are added up apart, so that a text too large is never put together.
+    size = hot.groupBy(*keys).agg((F.sum(_bytes(text, sep)) <= VALUE_BYTES).alias("_fits"))
+    parts = parts.alias("l").join(size.alias("r"), null_safe("l", "r", keys)).select("l.*", F.when(
+        F.col("r._fits"), F.col("l._text")).otherwise(F.raise_error(F.lit("a group's text exceeds one value; use text_parts"))).alias("_whole"))
+    ranked = F.sort_array(F.collect_list(F.struct("_part", F.col("_whole").alias("_text"))))
+    joined = F.array_join(F.transform(ranked, lambda s: s["_text"]), sep)
     return whole.unionByName(parts.groupBy(*keys).agg(joined.alias(out)))
 
 
-def text_parts(df, keys, text, order, out="text", sep=" ", part="part", max_rows=TEXT_ROWS) -> DataFrame:
-    """All texts of a group in numbered rows of at most ``max_rows`` texts each,
-    which together hold the group in order. The key is (keys, part)."""
-    keys, order = _keys(keys), _cols(order)
-    plain, hot = split_hot(df, keys, max_rows)
+def text_parts(df, keys, text, order, out="text", sep=" ", part="part", max_rows=TEXT_ROWS, max_bytes=None) -> DataFrame:
+    """All texts of a group in numbered rows, which together hold the group in
+    order. A row holds at most ``max_rows`` texts and, but for its last text, at
+    most ``max_bytes`` bytes. The key is (keys, part)."""
+    keys, order, max_bytes = _keys(keys), _cols(order), max_bytes or TEXT_BYTES
+    plain, hot = split_hot(df, keys, max_rows, _bytes(text, sep), max_bytes)
     rows = plain.where(F.col(text).isNotNull()).withColumn(part, F.lit(0).cast("bigint"))
-    if hot is not None:
-        rows = rows.unionByName(_slices(hot, keys, text, order, max_rows, part))
-    return _joined(rows, [*keys, part], order, text, out, sep)
+    whole = _joined(rows, [*keys, part], order, text, out, sep)
+    if hot is None:
+        return whole
+    sliced = settle(_slices(hot, keys, text, order, sep, max_rows, max_bytes))
+    # pairs become numbers; one small row per slice
+    names = sliced.select(*keys, "_part").distinct()
+    place = F.row_number().over(Window.partitionBy(*keys).orderBy("_part")) - 1
+    names = names.withColumn(part, place.cast("bigint"))
+    found = _joined(sliced, [*keys, "_part"], order, text, out, sep)
+    met = found.alias("l").join(names.alias("r"), null_safe("l", "r", [*keys, "_part"]))
+    return whole.unionByName(met.select(*[F.col(f"l.{k}").alias(k) for k in keys], f"r.{part}", f"l.{out}"))
 
 
 def group_sums(df, keys, cols) -> DataFrame:

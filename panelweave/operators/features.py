@@ -69,6 +69,12 @@ def term_stats(df, terms) -> DataFrame:
     return rows.groupBy("term").agg(F.count(F.lit(1)).alias("df"), F.sum("tf").alias("tf"))
 
 
+def term_stats_by(df, key, terms) -> DataFrame:
+    """``term_stats`` for each value of a column: (key, term, df, tf)."""
+    rows = term_counts(df, key, terms)
+    return rows.groupBy(key, "term").agg(F.count(F.lit(1)).alias("df"), F.sum("tf").alias("tf"))
+
+
 def filter_vocab(df, terms, no_below=fixed.DICT_NO_BELOW, no_above=fixed.MAX_DF, max_terms=None) -> DataFrame:
     """Terms in at least ``no_below`` documents and at most the share
     ``no_above`` of them; optionally the ``max_terms`` most frequent."""
@@ -94,6 +100,17 @@ def bow_table(df, doc, terms, vocab) -> DataFrame:
     return _meet(term_counts(df, doc, terms), settle(vocab.select("term")), "term")
 
 
+def counted_bow(df, doc, terms, no_below=fixed.MIN_DF, no_above=fixed.MAX_DF, max_terms=fixed.MAX_FEATURES) -> DataFrame:
+    """``bow_table`` over the table's own vocabulary. The counts are stored once
+    and give the vocabulary as well, so texts are read a single time."""
+    counts = settle(term_counts(df, doc, terms))
+    stats = counts.groupBy("term").agg(F.count(F.lit(1)).alias("df"), F.sum("tf").alias("tf"))
+    total = df.agg(F.count(F.lit(1)).alias("_n"))
+    kept = stats.crossJoin(F.broadcast(total)).where((F.col("df") >= no_below) & (F.col("df") <= F.col("_n") * no_above))
+    kept = kept.orderBy(F.desc("tf"), "term").limit(max_terms) if max_terms else kept
+    return _meet(counts, settle(kept.select("term")), "term")
+
+
 def idf_table(vocab, n_docs) -> DataFrame:
     """Smoothed inverse document frequency ``ln((1 + n) / (1 + df)) + 1``."""
     return vocab.withColumn("idf", F.log((F.lit(1.0) + n_docs) / (1.0 + F.col("df"))) + 1)
@@ -153,14 +170,57 @@ def phrase_table(df, tokens, min_count=fixed.PHRASE_MIN_COUNT, threshold=fixed.P
     return scored.where(F.col("score") > threshold).select("a", "b", "n_ab", "n_a", "n_b", "score")
 
 
+# Bits a phrase takes in the filter, and bytes of the largest one; more phrases
+# share its bits, so that more pairs pass and are then looked up in vain.
+PHRASE_BITS, FILTER_BYTES, FILTER_HASHES = 32, 1 << 20, 3
+
+
+def phrase_filter(phrases):
+    """A Bloom filter of (a, b) as a function from two Columns to a condition,
+    or None without phrases. Its bits are set by an aggregate; at most
+    FILTER_BYTES reach the driver and become a constant of the plan."""
+    n = phrases.count()
+    if not n:
+        return None
+    bits = 64
+    while bits < min(n * PHRASE_BITS, FILTER_BYTES * 8):
+        bits *= 2
+
+    def places(a, b):
+        h = F.xxhash64(a, b)
+        # 21 bits of the hash each time, so up to 2 million bits are told apart; larger filters use more of it
+        step = 64 // FILTER_HASHES
+        return [F.pmod(F.shiftrightunsigned(h, i * step) if bits <= 1 << step else F.xxhash64(h, F.lit(i)), F.lit(bits)) for i in range(FILTER_HASHES)]
+
+    at = phrases.select(F.explode(F.array(*places(F.col("a"), F.col("b")))).alias("p")).distinct()
+    words = at.groupBy(F.floor(F.col("p") / 64).cast("int").alias("w")).agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("bigint"), (F.col("p") % 64).cast("int"))).alias("v"))
+    held = {r["w"]: r["v"] for r in words.collect()}
+    table = F.split(F.lit(",".join(str(held.get(i, 0)) for i in range(bits // 64))), ",").cast("array<bigint>")
+
+    def may_hold(a, b):
+        tests = [F.call_function("shiftrightunsigned", F.get(table, F.floor(p / 64).cast("int")), (p % 64).cast("int")).bitwiseAND(
+            F.lit(1).cast("bigint")) == 1 for p in places(a, b)]
+        return tests[0] & tests[1] & tests[2]
+
+    return may_hold
+
+
 def collocations(df, doc, tokens, min_count=fixed.PHRASE_MIN_COUNT, threshold=fixed.PHRASE_THRESHOLD,
                  phrases=None) -> DataFrame:
     """Append ``a_b`` for every phrase found in a document, left to right and
-    without overlap."""
+    without overlap.
+
+    Neighbours are tested against a filter of the phrases inside the row, so
+    that little more than the phrases themselves is exploded and looked up.
+    """
     phrases = phrase_table(df, tokens, min_count, threshold) if phrases is None else phrases
     phrases = settle(phrases.select("a", "b"))
-    long = df.select(doc, F.posexplode(pairs_of(tokens)).alias("_pos", "_p")).select(
-        doc, "_pos", F.col("_p.src").alias("a"), F.col("_p.dst").alias("b"))
+    may_hold = phrase_filter(phrases)
+    if may_hold is None:
+        return df
+    near = candidate_pairs(tokens, may_hold)
+    long = df.select(doc, F.explode(near).alias("_p")).select(
+        doc, F.col("_p.pos").alias("_pos"), F.col("_p.a").alias("a"), F.col("_p.b").alias("b"))
     hits = _meet(long, phrases, ["a", "b"])
     # no longer than the document
     found = hits.groupBy(doc).agg(F.sort_array(F.collect_list(
@@ -176,6 +236,12 @@ def collocations(df, doc, tokens, min_count=fixed.PHRASE_MIN_COUNT, threshold=fi
         tokens, F.concat(F.col(tokens), F.coalesce("_added", F.array().cast("array<string>")))).drop("_added")
 
 
+def candidate_pairs(tokens, may_hold) -> Column:
+    """(pos, a, b) of the neighbours that pass a phrase filter."""
+    placed = F.transform(pairs_of(tokens), lambda p, i: F.struct(i.alias("pos"), p["src"].alias("a"), p["dst"].alias("b")))
+    return F.filter(placed, lambda p: may_hold(p["a"], p["b"]))
+
+
 def stratified_split(df, strata, key, kept=fixed.KEPT_SHARE, test=fixed.TEST_SHARE, val=fixed.VAL_SHARE,
                      seed=fixed.SEED, out="split") -> DataFrame:
     """Nested stratified split with exact sizes per stratum: unused, then test,

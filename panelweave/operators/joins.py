@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import math
+
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from panelweave.operators.quality import assert_unique
+from panelweave.operators.spread import HOT_ROWS, fits
 from panelweave.session import settle
 
 # Keys with more rows than this are split over several tasks.
@@ -20,8 +23,12 @@ def _keys(keys):
 
 
 def join_entity_week(df, agg, keys=("week_start", "entity"), hot_rows=HOT_KEY_ROWS) -> DataFrame:
-    """Attach weekly aggregates; ``agg`` is unique on the keys. An entity-week
-    with very many rows is split over several tasks."""
+    """Attach weekly aggregates; ``agg`` is unique on the keys and stored first.
+    Few bytes are broadcast; else an entity-week with very many rows is split
+    over several tasks."""
+    agg = settle(agg)
+    if fits(agg):
+        return df.join(F.broadcast(agg), _keys(keys), "left")
     return salted_join(df, agg, keys, "left", hot_rows)
 
 
@@ -90,11 +97,11 @@ def _fitting(hot, keys):
     return F.broadcast(hot) if size <= HOT_LIST_BYTES else hot
 
 
-def salted_join(big, side, on, how="inner", hot_rows=HOT_KEY_ROWS, spread_by=None, hot=None) -> DataFrame:
+def salted_join(big, side, on, how="inner", hot_rows=HOT_KEY_ROWS, spread_by=None, hot="count") -> DataFrame:
     """Equi-join that splits hot keys of ``big`` over several tasks.
 
     A count by key finds the keys above ``hot_rows``, all of them (``hot`` hands
-    over a stored list, see ``hot_keys``). Without any, this is a plain join.
+    over what ``hot_keys`` found before). Without any, this is a plain join.
     Else the rows of a hot key are dealt over numbered shares by the hash of
     ``spread_by`` (all columns by default) and the matching rows of ``side`` are
     copied once per share. Only ``inner``, ``left``, ``left_semi`` and
@@ -104,7 +111,7 @@ def salted_join(big, side, on, how="inner", hot_rows=HOT_KEY_ROWS, spread_by=Non
     if how not in ("inner", "left", "left_semi", "left_anti"):
         raise ValueError(f"cannot split a {how} join")
     keys = _keys(on)
-    hot = hot_keys(big.groupBy(*keys).count(), keys, hot_rows) if hot is None else hot
+    hot = hot_keys(big.groupBy(*keys).count(), keys, hot_rows) if isinstance(hot, str) else hot
     return _split_join(big, side, keys, how, hot, spread_by)
 
 
@@ -169,35 +176,94 @@ def lookup_dim(df, arr, dim, key, value, out, row_id, keep_key=None) -> DataFram
     return lookup_list(df, arr, dim, key, value, out, row_id, keep_key)
 
 
+# Interval starts are broadcast up to this many, and searched by halving.
+FEW_INTERVALS = 100_000
+# Types whose values are exact as doubles.
+_EXACT = ("date", "timestamp", "timestamp_ntz", "tinyint", "smallint", "int", "float", "double")
+
+
 def _number(col, kind):
+    col = F.col(col)
     if kind == "date":
         return F.unix_date(col).cast("double")
     if kind.startswith("timestamp"):
-        return F.unix_micros(F.col(col).cast("timestamp") if isinstance(col, str) else col.cast("timestamp")).cast("double")
-    return (F.col(col) if isinstance(col, str) else col).cast("double")
+        return F.unix_micros(col.cast("timestamp")).cast("double")
+    return col.cast("double")
 
 
-def range_join(df, bounds, col, lb="lb", ub="ub", how="left") -> DataFrame:
+def range_join(df, bounds, col, lb="lb", ub="ub", how="left", few=FEW_INTERVALS) -> DataFrame:
     """Attach the interval that holds the value, both ends closed.
 
-    Intervals are disjoint, and of any number. Their span is cut into as many
-    even stretches as there are intervals; since they do not overlap, they cover
-    at most twice that many (interval, stretch) pairs, and a value meets only
-    the intervals of its own stretch.
+    Intervals are disjoint, of any number and any widths; where two touch, the
+    later one takes the value. A value can only lie in the last interval that
+    starts at or before it, so this is a sorted as-of join, and the work is rows
+    plus intervals however the intervals lie. Up to ``few`` starts are counted
+    and then broadcast; more go through ``carry_forward``. ``how`` is ``left``
+    or ``inner``. Null values, and NaN, lie in no interval; an interval without
+    a start holds nothing.
+    """
+    if how not in ("left", "inner"):
+        raise ValueError(f"cannot look intervals up in a {how} join")
+    kinds, wanted = dict(bounds.dtypes), dict(df.dtypes)[col]
+    bounds = settle(bounds.where(F.col(lb).isNotNull()))
+    cols = [F.col(f"_b.{c}").alias(c) for c in bounds.columns]
+    payload = bounds.select(F.col(lb).alias("_at"), F.struct(*[F.col(f"`{c}`") for c in bounds.columns]).alias("_b"))
+    # a timestamp with a zone and one without, say, are left to Spark's own widening
+    exact = wanted in _EXACT and kinds[lb] in _EXACT and (wanted == kinds[lb] or not {"date", "timestamp", "timestamp_ntz"} & {wanted, kinds[lb]})
+    if exact and bounds.count() <= few:
+        met = _by_halving(df, payload, col, wanted, kinds[lb])
+    else:
+        met = carry_forward(df, payload, col)
+    inside = F.coalesce(F.col(col).between(F.col(f"_b.{lb}"), F.col(f"_b.{ub}")), F.lit(False))
+    if how == "inner":
+        return met.where(inside).select(*[F.col(f"`{c}`") for c in df.columns], *cols)
+    found = met.withColumn("_b", F.when(inside, F.col("_b")))
+    return found.select(*[F.col(f"`{c}`") for c in df.columns], *cols)
+
+
+def _by_halving(df, payload, col, kind, start_kind) -> DataFrame:
+    """Add ``_b``, the payload of the last start at or before the value, for
+    starts that the driver can hold: the place among them joins a broadcast."""
+    from pyspark.ml.feature import Bucketizer
+
+    numbered = payload.select(_number("_at", start_kind).alias("_n"), "_b").where(~F.isnan("_n"))
+    starts = sorted({r["_n"] for r in numbered.select("_n").collect()})
+    splits = [-math.inf, *[x for x in starts if not math.isinf(x)], math.inf]
+    rows = df.withColumn("_x", _number(col, kind))
+    if len(splits) < 3 or len(splits) - 1 != len(starts) + 1:
+        return carry_forward(df, payload, col)
+    cut = Bucketizer(splits=splits, inputCol="_x", outputCol="_place", handleInvalid="keep")
+    table = cut.transform(numbered.withColumnRenamed("_n", "_x")).select("_place", "_b")
+    table = table.groupBy("_place").agg(F.first("_b").alias("_b"))
+    return cut.transform(rows).join(F.broadcast(table), "_place", "left").drop("_x", "_place")
+
+
+def carry_forward(df, payload, col, parts=None) -> DataFrame:
+    """Add ``_b``, the payload of the last start at or before the value.
+
+    ``payload`` has (``_at``, ``_b``). Rows and starts are placed together by
+    range of value, starts first, and stored; inside a slice the last start is
+    carried forward, and one row per slice hands it on. Rows of one hot value
+    are placed by their hash, so they span several slices.
     """
-    kinds = dict(bounds.dtypes)
-    bounds = settle(bounds)
-    n, low, high = bounds.agg(F.count(F.lit(1)), F.min(_number(lb, kinds[lb])), F.max(_number(ub, kinds[ub]))).first()
-    width = ((high - low) / n if n and high > low else 0) or 1.0
-    low = low or 0.0
-
-    def stretch(c, kind):
-        return F.floor((_number(c, kind) - F.lit(low)) / F.lit(width))
-
-    pieces = bounds.withColumn("_s", F.explode(F.sequence(stretch(lb, kinds[lb]), stretch(ub, kinds[ub]))))
-    rows = df.withColumn("_at", stretch(col, dict(df.dtypes)[col]))
-    met = (F.col("_at") == F.col("_s")) & F.col(col).between(F.col(lb), F.col(ub))
-    return rows.join(pieces, met, how).drop("_s", "_at")
+    least = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    parts = parts or max(least, math.ceil(df.count() / HOT_ROWS))
+    hashed = [F.col(f"`{c}`") for c, t in df.dtypes if "map<" not in t]
+    rows = df.select(F.col(f"`{col}`").alias("_at"), F.lit(1).alias("_kind"), F.xxhash64(*hashed).alias("_salt"),
+                     F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("_r"))
+    starts = payload.select("_at", F.lit(0).alias("_kind"), F.lit(0).cast("bigint").alias("_salt"), "_b")
+    both = rows.unionByName(starts, allowMissingColumns=True)
+    order = [F.asc_nulls_first("_at"), F.col("_kind"), F.col("_salt")]
+    placed = settle(both.repartitionByRange(parts, *order).withColumn("_slice", F.spark_partition_id()))
+    upto = Window.partitionBy("_slice").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    # at most one row per slice
+    last = placed.where("_kind = 0").groupBy("_slice").agg(F.max_by("_b", "_at").alias("_b"))
+    slices = placed.select("_slice").distinct().join(last, "_slice", "left")
+    earlier = Window.orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
+    handed = slices.select("_slice", F.last("_b", ignorenulls=True).over(earlier).alias("_handed"))
+    carried = placed.withColumn("_b", F.last("_b", ignorenulls=True).over(upto)).where("_kind = 1")
+    return (carried.join(handed, "_slice").withColumn("_b", F.coalesce("_b", "_handed"))
+            .select("_r.*", "_b"))
 
 
 def balance_panel(df, group, time, fill=0) -> DataFrame:

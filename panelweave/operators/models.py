@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import itertools
 import random
+from functools import reduce
 
 import pandas as pd
 from pyspark.ml import Pipeline
@@ -19,10 +20,12 @@ from pyspark.sql import functions as F
 
 from panelweave import fixed
 from panelweave.functions.arrays import argmax_col
+from panelweave.operators import lasso
 from panelweave.operators.aggregates import best_doc
-from panelweave.operators.features import fit_bow
-from panelweave.operators.joins import pending
+from panelweave.operators.features import fit_bow, term_counts
+from panelweave.operators.joins import pending, salted_join
 from panelweave.operators.ordering import arg_best, top_terms
+from panelweave.operators.spread import fits
 from panelweave.operators.stats import regression_metrics
 from panelweave.session import settle
 
@@ -43,39 +46,67 @@ GRIDS = {
 }
 
 
-def _draws(estimator, grid, n, seed):
+def _points(grid, n, seed) -> list[dict]:
     """``n`` random points of a parameter grid, without repeats."""
     points = [dict(zip(grid, values)) for values in itertools.product(*grid.values())]
     random.Random(seed).shuffle(points)
-    return [{estimator.getParam(k): v for k, v in p.items()} for p in points[:n]]
+    return points[:n]
+
+
+def _draws(estimator, grid, n, seed):
+    return [{estimator.getParam(k): v for k, v in p.items()} for p in _points(grid, n, seed)]
 
 
 def train_regressors(df, bow, label, split="split", models=tuple(REGRESSORS), methods=("frequency", "onehot", "tf_idf"),
-                     search=None, folds=5, fold_col=None, seed=fixed.SEED) -> DataFrame:
+                     search=None, folds=5, fold_col=None, seed=fixed.SEED, key="doc_id") -> DataFrame:
     """Fit each model on each encoding and score it on every split.
 
     ``search`` is the number of random parameter draws (no tuning if None).
+    The tuned lasso fits all draws, folds and encodings in one run
+    (``lasso.search``; folds by the hash of ``key``, or ``fold_col`` from 0);
+    the trees are tuned one fit at a time.
     Result rows: method, model, split, tuned, MAE, MSE, R2.
     """
-    out = None
-    for method in methods:
+    def encoded(method):
         # read by every model and fold, and again for scoring
-        rows = settle(bow.transform(df, method).select(split, label, "features", *([fold_col] if fold_col else [])))
-        train = rows.where(F.col(split) == "train")
+        extra = [c for c in (fold_col, key) if c and c in df.columns]
+        return settle(bow.transform(df, method).select(*dict.fromkeys([split, label, "features", *extra])))
+
+    def table(scored, method, name):
+        return settle(regression_metrics(scored, label, "prediction", [split]).select(
+            F.lit(method).alias("method"), F.lit(name).alias("model"), split,
+            F.lit(bool(search)).alias("tuned"), "MAE", "MSE", "R2"))
+
+    rows = {m: encoded(m) for m in methods}
+    out = []
+    if search and "lasso" in models:
+        out += [table(scored, m, "lasso") for m, scored in _tuned_lasso(rows, bow, label, split, search, folds, fold_col, seed, key)]
+    for method in methods:
+        train = rows[method].where(F.col(split) == "train")
         for name in models:
+            if search and name == "lasso":
+                continue
             estimator = REGRESSORS[name]().setFeaturesCol("features").setLabelCol(label)
             if search:
                 estimator = CrossValidator(
                     estimator=estimator, estimatorParamMaps=_draws(estimator, GRIDS[name], search, seed),
                     evaluator=RegressionEvaluator(labelCol=label, metricName="mae"),
                     numFolds=folds, seed=seed, foldCol=fold_col or "", parallelism=2)
-            scored = estimator.fit(train).transform(rows)
-            table = regression_metrics(scored, label, "prediction", [split]).select(
-                F.lit(method).alias("method"), F.lit(name).alias("model"), split,
-                F.lit(bool(search)).alias("tuned"), "MAE", "MSE", "R2")
-            table = settle(table)
-            out = table if out is None else out.unionByName(table)
-    return out
+            out.append(table(estimator.fit(train).transform(rows[method]), method, name))
+    return reduce(lambda a, b: a.unionByName(b), out)
+
+
+def _tuned_lasso(rows, bow, label, split, search, folds, fold_col, seed, key):
+    """(method, scored rows) for every encoding."""
+    draws = [p["regParam"] for p in _points(GRIDS["lasso"], search, seed)]
+    fold = F.col(fold_col).cast("int") if fold_col else lasso.fold_of(key, folds, seed)
+    keep = [split, label]
+    every = lasso.stored_rows(rows, label, keep, fold)
+    size = {m: len(bow.vocabulary) for m in rows}
+    train = settle(every.where(F.col(split) == "train").select("method", "fold", "y", "at", "value"))
+    _, chosen = lasso.search(train, size, draws, folds)
+    scored = settle(lasso.predict_many(every, chosen, ["method", *keep]).withColumn("prediction", F.get("predictions", F.lit(0))))
+    return [(m, scored.where(F.col("method") == m)) for m in rows]
 
 
 def select_best(results, metric="f1", how="max", tie=()) -> DataFrame:
@@ -122,6 +153,42 @@ def apply_classes(model, df, names, prefix="topic_", out="final_pred") -> DataFr
     return rows.withColumn(out, named).drop("_tf", "features", "_raw", "_prob", "_class", "_p")
 
 
+def apply_weights(df, doc, terms, weights, group="class", out="score") -> DataFrame:
+    """Apply a model kept as a table (group, term, weight): for each document
+    and group the sum of counts times weights, 0 without a known term.
+
+    The groups are classes, topics or one score. Counts are taken inside the
+    row; a table of few bytes is broadcast, else frequent terms are split.
+    """
+    weights = settle(weights.select(group, "term", "weight"))
+    counts = term_counts(df, doc, terms)
+    if fits(weights):
+        met = counts.join(F.broadcast(weights), "term")
+    else:
+        met = salted_join(settle(counts), weights, "term")
+    sums = met.groupBy(doc, group).agg(F.sum(F.col("tf") * F.col("weight")).alias(out))
+    # documents x groups is the size of the result
+    grid = df.select(doc).crossJoin(F.broadcast(weights.select(group).distinct()))
+    return grid.join(sums, [doc, group], "left").withColumn(out, F.coalesce(out, F.lit(0.0)))
+
+
+def best_group(scores, doc, group="class", score="score") -> DataFrame:
+    """The group with the highest score of each document; the smallest of equal ones."""
+    return scores.groupBy(doc).agg(
+        F.min_by(F.struct(group, score), F.struct(-F.col(score), F.col(group))).alias("_b")).select(doc, f"_b.{group}", f"_b.{score}")
+
+
+def held_out_errors(df, label, prediction, split="split") -> DataFrame:
+    """Error of a model on every split beside that of the constant that fits the
+    training split best; ``better`` tells whether the model's is smaller."""
+    centre = df.where(F.col(split) == "train").agg(F.avg(label).alias("_c"))
+    rows = df.where(F.col(label).isNotNull()).crossJoin(F.broadcast(centre))
+    gap, flat = F.col(label) - F.col(prediction), F.col(label) - F.col("_c")
+    out = rows.groupBy(split).agg(F.count(F.lit(1)).alias("n"), F.avg(F.abs(gap)).alias("MAE"), F.avg(gap * gap).alias("MSE"),
+                                  F.avg(F.abs(flat)).alias("MAE_constant"), F.avg(flat * flat).alias("MSE_constant"))
+    return out.withColumn("better", F.col("MSE") < F.col("MSE_constant"))
+
+
 def score_batches(df, model_fn, schema, done=None, key=None) -> DataFrame:
     """Run a Python model over the pending rows, batch by batch.
 

@@ -16,7 +16,6 @@ from __future__ import annotations
 
 import math
 
-from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -57,11 +56,15 @@ def slice_count(n: int) -> int:
     return max(1, min(MOST_SLICES, math.ceil(n / SLICE_ROWS)))
 
 
-def split_hot(df: DataFrame, keys, limit: int):
+def split_hot(df: DataFrame, keys, limit: int, size: Column | None = None, most: int = 0):
     """Rows of groups up to ``limit`` rows, and rows of larger groups (None if
     there are none). One count over the key columns finds the larger groups;
-    there are at most rows / ``limit`` of them."""
-    hot = settle(df.groupBy(*keys).count().where(F.col("count") > limit).select(*keys))
+    there are at most rows / ``limit`` of them. Where ``size`` is given, groups
+    whose sizes add up to more than ``most`` are large as well."""
+    large = F.count(F.lit(1)) > limit
+    if size is not None:
+        large = large | (F.sum(size) > most)
+    hot = settle(df.groupBy(*keys).agg(F.coalesce(large, F.lit(False)).alias("_large")).where("_large").select(*keys))
     if hot.isEmpty():
         return df, None
     side = (F.broadcast(hot) if fits(hot) else hot).alias("r")
@@ -70,17 +73,19 @@ def split_hot(df: DataFrame, keys, limit: int):
     return rows.join(side, match, "left_anti"), rows.join(side, match, "left_semi")
 
 
-def running_total(df: DataFrame, keys, order, value, out: str, parts: int | None = None) -> DataFrame:
+def running_total(df: DataFrame, keys, order, value, out, parts: int | None = None) -> DataFrame:
     """Inclusive running sum of ``value`` inside each group, in ``order``.
 
     Rows are range-placed by (keys, order) and stored, so that both passes see
-    the same slices. ``order`` must be unique within a group.
+    the same slices. ``order`` must be unique within a group. ``value`` and
+    ``out`` may be lists of the same length.
     """
+    outs, values = ([out], [value]) if isinstance(out, str) else (list(out), list(value))
     keys, order = list(keys), _cols(order)
     least = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     parts = parts or max(least, math.ceil(df.count() / HOT_ROWS))
-    value = F.col(value) if isinstance(value, str) else value
-    placed = df.withColumn("_v", value)
+    sums = {f"_v{i}": F.col(v) if isinstance(v, str) else v for i, v in enumerate(values)}
+    placed = df.withColumns(sums)
     if keys:
         placed = placed.withColumn("_k", F.struct(*keys))
     else:
@@ -89,20 +94,16 @@ def running_total(df: DataFrame, keys, order, value, out: str, parts: int | None
         placed.repartitionByRange(parts, F.col("_k"), *order)
         .withColumn("_slice", F.spark_partition_id()))
     # at most one row per (group, slice)
-    totals = placed.groupBy("_k", "_slice").agg(F.sum("_v").alias("_t"))
-    before = totals.select(
-        "_k", "_slice",
-        F.coalesce(
-            F.sum("_t").over(Window.partitionBy("_k").orderBy("_slice")
-                             .rowsBetween(Window.unboundedPreceding, -1)),
-            F.lit(0)).alias("_before"))
+    totals = placed.groupBy("_k", "_slice").agg(*[F.sum(v).alias(f"_t{v}") for v in sums])
+    earlier = Window.partitionBy("_k").orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
+    before = totals.select("_k", "_slice", *[F.coalesce(F.sum(f"_t{v}").over(earlier), F.lit(0)).alias(f"_before{v}") for v in sums])
     within = (Window.partitionBy("_k", "_slice").orderBy(*order)
               .rowsBetween(Window.unboundedPreceding, 0))
     return (
-        placed.withColumn(out, F.sum("_v").over(within))
+        placed.withColumns({o: F.sum(v).over(within) for o, v in zip(outs, sums)})
         .join(before, ["_k", "_slice"])
-        .withColumn(out, F.col(out) + F.col("_before"))
-        .drop("_k", "_slice", "_v", "_before"))
+        .withColumns({o: F.col(o) + F.col(f"_before{v}") for o, v in zip(outs, sums)})
+        .drop("_k", "_slice", *sums, *[f"_before{v}" for v in sums]))
 
 
 def number_rows(df: DataFrame, keys, order, out="row_number", hot_rows=HOT_ROWS) -> DataFrame:
@@ -125,108 +126,179 @@ def number_rows(df: DataFrame, keys, order, out="row_number", hot_rows=HOT_ROWS)
     return parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
 
 
-def _cut_points(x: DataFrame, slices: int) -> list[float]:
-    """Distinct approximate cut points of column ``x``, fewer than ``slices``."""
-    if slices < 2:
-        return []
-    cuts = x.agg(F.percentile_approx("x", [i / slices for i in range(1, slices)], 20 * slices)).first()[0]
-    return sorted({float(c) for c in cuts or [] if not math.isinf(c)})
+# Cut points taken in the first pass over the columns.
+FIRST_CUTS = 64
 
 
-def _sliced(x: DataFrame, cuts: list[float]) -> DataFrame:
-    """Add ``b``, the number of cut points at or below ``x``."""
-    splits = [-math.inf, *cuts, math.inf]
-    if len(splits) < 3:
-        return x.withColumn("b", F.lit(0.0))
-    return Bucketizer(splits=splits, inputCol="x", outputCol="b").transform(x)
+def _bucket(x: Column, cuts: list[float]) -> Column:
+    """Number of cut points below ``x``, by halving."""
+    if not cuts:
+        return F.lit(0)
+    mid = len(cuts) // 2
+    return F.when(x <= F.lit(cuts[mid]), _bucket(x, cuts[:mid])).otherwise(_bucket(x, cuts[mid + 1:]) + (mid + 1))
 
 
-def _values(df: DataFrame, col) -> DataFrame:
-    col = F.col(col) if isinstance(col, str) else col
-    x = df.select(col.cast("double").alias("x"))
-    return x.where(F.col("x").isNotNull() & ~F.isnan("x"))
-
-
-def _ranked(x: DataFrame, n: int, ranks: list[int], slices: int | None) -> dict[int, float]:
-    """{rank: value} of column ``x`` with ``n`` values."""
-    cuts = _cut_points(x, slices or slice_count(n))
-    b = _sliced(x, cuts)
-    # at most `slices` rows
-    counts = sorted((r["b"], r["count"]) for r in b.groupBy("b").count().collect()) if cuts else [(0.0, n)]
-    out, need, before = {}, [], 0
-    for slice_no, count in counts:
-        local = [r - before for r in ranks if before < r <= before + count]
-        if local and slices is None and SLICE_ROWS * 4 < count < n:
-            deeper = _ranked(b.where(F.col("b") == slice_no).select("x"), count, local, None)
-            out |= {r + before: v for r, v in deeper.items()}
-        else:
-            need += [(slice_no, r + before, r) for r in local]
-        before += count
+def _finite(cuts) -> list[float]:
+    return sorted({float(c) for c in cuts or [] if c is not None and not math.isinf(c)})
+
+
+def _cells(x: DataFrame, cuts: dict[str, list[float]]) -> DataFrame:
+    """(name, b, x) of all columns in long form, b the slice of the value."""
+    cells = [F.struct(F.lit(c).alias("name"), _bucket(F.col(c), points).cast("int").alias("b"), F.col(c).alias("x")) for c, points in cuts.items()]
+    return x.select(F.explode(F.array(*cells)).alias("c")).select("c.*").where(F.col("x").isNotNull())
+
+
+def _literal(spark, names, rows) -> DataFrame:
+    """A few rows as a table; they are part of the plan."""
+    cells = [F.struct(*[F.lit(v).alias(n) for n, v in zip(names, row)]) for row in rows]
+    return spark.range(1).select(F.explode(F.array(*cells)).alias("c")).select("c.*")
+
+
+def _ranked(x: DataFrame, sizes: dict[str, int], cuts: dict[str, list[float]], wanted: dict[str, list[int]], slices) -> dict[str, dict[int, float]]:
+    """{column: {rank: value}}. One count over the slices of all columns, and
+    one job for the slices that hold a wanted rank; slices that hold far more
+    rows than meant are cut again, all columns together."""
+    counts = {c: {0: sizes[c]} for c in wanted}
+    if any(cuts[c] for c in wanted):
+        # at most (columns) x (cuts + 1) rows
+        found = _cells(x, {c: cuts[c] for c in wanted}).groupBy("name", "b").count().collect()
+        counts = {c: {r["b"]: r["count"] for r in found if r["name"] == c} for c in wanted}
+    out: dict = {c: {} for c in wanted}
+    need, deep = [], {}
+    for c, ranks in wanted.items():
+        before = 0
+        for b, count in sorted(counts[c].items()):
+            local = [r - before for r in ranks if before < r <= before + count]
+            if local and slices is None and SLICE_ROWS * 4 < count < sizes[c]:
+                deep[f"{c}_{b}"] = (c, b, count, before, local)
+            else:
+                need += [(c, b, r + before, r) for r in local]
+            before += count
     if need:
-        targets = x.sparkSession.createDataFrame(need, "b double, rank bigint, local bigint")
-        held = b.where(F.col("b").isin(sorted({s for s, _, _ in need}))).groupBy("b", "x").count()
-        upto = F.sum("count").over(Window.partitionBy("b").orderBy("x"))
+        spots: dict = {}
+        for c, b, *_ in need:
+            spots.setdefault(c, set()).add(b)
+        held = _cells(x, {c: cuts[c] for c in spots})
+        inside = F.lit(False)
+        for c, some in spots.items():
+            if len(some) < len(counts[c]):
+                inside = inside | ((F.col("name") == c) & F.col("b").isin(sorted(some)))
+            else:
+                inside = inside | (F.col("name") == c)
+        held = held.where(inside).groupBy("name", "b", "x").count()
+        upto = F.sum("count").over(Window.partitionBy("name", "b").orderBy("x"))
         held = held.withColumn("hi", upto).withColumn("lo", F.col("hi") - F.col("count"))
         # one row per wanted rank
-        hits = held.join(F.broadcast(targets), "b").where(
-            (F.col("lo") < F.col("local")) & (F.col("local") <= F.col("hi")))
-        out |= {r["rank"]: r["x"] for r in hits.select("rank", "x").collect()}
+        targets = F.broadcast(_literal(x.sparkSession, ["name", "b", "rank", "local"], need))
+        hits = held.join(targets, ["name", "b"]).where((F.col("lo") < F.col("local")) & (F.col("local") <= F.col("hi")))
+        for r in hits.select("name", "rank", "x").collect():
+            out[r["name"]][r["rank"]] = r["x"]
+    if deep:
+        inner = x.select(*[F.when(_bucket(F.col(c), cuts[c]) == b, F.col(c)).alias(k) for k, (c, b, *_) in deep.items()])
+        counted = {k: v[2] for k, v in deep.items()}
+        got = _ranked(inner, counted, _cut_points(inner, {k: slice_count(n) for k, n in counted.items()}), {k: v[4] for k, v in deep.items()}, None)
+        for k, (c, _, _, before, _) in deep.items():
+            out[c] |= {r + before: v for r, v in got[k].items()}
     return out
 
 
-def order_values(df: DataFrame, col, wanted, slices=None) -> tuple[int, dict[int, float]]:
-    """Exact order statistics of a column, nulls and NaN left out.
-
-    ``wanted`` maps the number of values n to the 1-based ranks to fetch. The
-    number of slices follows from n; a slice that holds a wanted rank and far
-    more rows than meant is cut again. The column is read a few times, so store
-    a costly input first. Returns ``(n, {rank: value})``. Only slice counts and
-    the wanted values reach the driver; rows are shuffled only for slices that
-    hold a wanted rank, after equal values are merged.
+def _cut_points(x: DataFrame, slices: dict[str, int]) -> dict[str, list[float]]:
+    """Distinct approximate cut points of each column, fewer than its slices."""
+    wide = {c: n for c, n in slices.items() if n > 1}
+    if not wide:
+        return {c: [] for c in slices}
+    row = x.agg(*[F.percentile_approx(c, [i / n for i in range(1, n)], 20 * n).alias(c) for c, n in wide.items()]).first()
+    return {c: _finite(row[c]) if c in wide else [] for c in slices}
+
+
+def order_values_many(df: DataFrame, wanted: dict, slices=None) -> dict[str, tuple[int, dict[int, float]]]:
+    """Exact order statistics of many columns, nulls and NaN left out.
+
+    ``wanted`` maps a name to a column and a function from its number of values
+    to the 1-based ranks to fetch. Rows are read three times whatever the number
+    of columns (sizes and cut points, slice counts, wanted slices), and once more
+    where slices are cut again, so store a costly input first. Only slice counts
+    and the wanted values reach the driver; rows are shuffled only for slices
+    that hold a wanted rank, after equal values are merged. Returns
+    ``{name: (n, {rank: value})}``.
     """
-    x = _values(df, col)
-    n = x.count()
-    ranks = sorted({r for r in wanted(n) if 1 <= r <= n})
-    return n, _ranked(x, n, ranks, slices) if ranks else {}
+    names = {f"x{i}": name for i, name in enumerate(wanted)}
 
+    def value(c):
+        x = (F.col(c) if isinstance(c, str) else c).cast("double")
+        return F.when(~F.isnan(x), x)
 
-def quantiles(df: DataFrame, col, probs, method="linear", slices=None) -> list[float]:
-    """Exact quantiles. ``linear`` interpolates between neighbours;
-    ``averaged`` takes the next value, or the mean of two at a whole position
-    (the rule of the statistics package behind the validation curves)."""
-    def spots(n):
-        for p in probs:
-            if method == "linear":
-                h = (n - 1) * p
-                low = math.floor(h + 1e-9)
-                yield low + 1, min(low + 2, n), max(h - low, 0.0)
+    x = df.select(*[value(wanted[name][0]).alias(c) for c, name in names.items()])
+    many = slices or FIRST_CUTS
+    probs = [i / many for i in range(1, many)]
+    row = x.agg(*[F.count(c).alias(f"n{c}") for c in names],
+                *([F.percentile_approx(c, probs, 20 * many).alias(f"q{c}") for c in names] if probs else [])).first()
+    sizes = {c: row[f"n{c}"] for c in names}
+    ranks = {c: sorted({r for r in wanted[name][1](sizes[c]) if 1 <= r <= sizes[c]}) for c, name in names.items()}
+    # a column that fits one slice needs no cutting
+    cuts = {c: _finite(row[f"q{c}"]) if probs and (slices or sizes[c] > SLICE_ROWS * 4) else [] for c in names}
+    found = _ranked(x, sizes, cuts, {c: r for c, r in ranks.items() if r}, slices) if any(ranks.values()) else {}
+    return {name: (sizes[c], found.get(c, {})) for c, name in names.items()}
+
+
+def order_values(df: DataFrame, col, wanted, slices=None) -> tuple[int, dict[int, float]]:
+    """``order_values_many`` for one column: ``(n, {rank: value})``."""
+    return order_values_many(df, {"x": (col, wanted)}, slices)["x"]
+
+
+def _spots(n: int, probs, method):
+    for p in probs:
+        if method == "linear":
+            h = (n - 1) * p
+            low = math.floor(h + 1e-9)
+            yield low + 1, min(low + 2, n), max(h - low, 0.0)
+        else:
+            h = n * p
+            near = round(h)
+            if abs(h - near) < 1e-9:
+                yield max(near, 1), min(near + 1, n), 0.5 if 0 < near < n else 0.0
             else:
-                h = n * p
-                near = round(h)
-                if abs(h - near) < 1e-9:
-                    yield max(near, 1), min(near + 1, n), 0.5 if 0 < near < n else 0.0
-                else:
-                    yield math.ceil(h), math.ceil(h), 0.0
+                yield math.ceil(h), math.ceil(h), 0.0
+
+
+def quantiles_many(df: DataFrame, wanted: dict, method="linear", slices=None) -> dict[str, list[float]]:
+    """Exact quantiles of many columns: ``wanted`` maps a name to a column and
+    its probabilities. ``linear`` interpolates between neighbours; ``averaged``
+    takes the next value, or the mean of two at a whole position (the rule of
+    the statistics package behind the validation curves)."""
+    def ranks(probs):
+        return lambda n: [r for a, b, _ in _spots(n, probs, method) for r in (a, b)]
+
+    found = order_values_many(df, {name: (c, ranks(probs)) for name, (c, probs) in wanted.items()}, slices)
+    out = {}
+    for name, (_, probs) in wanted.items():
+        n, value = found[name]
+        out[name] = [value[a] + (value[b] - value[a]) * w if w else value[a] for a, b, w in _spots(n, probs, method)] if n else [None for _ in probs]
+    return out
 
-    n, value = order_values(
-        df, col, lambda n: [r for a, b, _ in spots(n) for r in (a, b)], slices)
-    if n == 0:
-        return [None for _ in probs]
-    return [value[a] + (value[b] - value[a]) * w if w else value[a] for a, b, w in spots(n)]
+
+def quantiles(df: DataFrame, col, probs, method="linear", slices=None) -> list[float]:
+    """``quantiles_many`` for one column."""
+    return quantiles_many(df, {"x": (col, probs)}, method, slices)["x"]
 
 
 def average_ranks(df: DataFrame, col, value="value", rank="rank", keys=(), weight=None) -> DataFrame:
     """One row per distinct value with its average rank over all rows (of its
     group by ``keys``). ``weight`` counts a row several times.
 
-    Equal values are merged first; the running count of the distinct values is
-    range-placed, so neither a long column nor a hot value meets in one task.
+    Equal values are merged first; the running count of more than HOT_ROWS
+    distinct values is range-placed, so neither a long column nor a hot value
+    meets in one task.
     """
     keys = [keys] if isinstance(keys, str) else list(keys)
     col = F.col(col) if isinstance(col, str) else col
     x = df.select(*keys, col.cast("double").alias("x"), (F.col(weight) if weight else F.lit(1)).alias("w"))
     merged = x.where(F.col("x").isNotNull() & ~F.isnan("x")).groupBy(*keys, "x").agg(F.sum("w").cast("bigint").alias("count"))
-    placed = running_total(settle(merged), keys, ["x"], "count", "upto")
+    merged = settle(merged)
+    if merged.count() <= HOT_ROWS:
+        placed = merged.withColumn("upto", F.sum("count").over(Window.partitionBy(*keys).orderBy("x")))
+    else:
+        placed = running_total(merged, keys, ["x"], "count", "upto")
     return placed.select(*keys, F.col("x").alias(value), (F.col("upto") - F.col("count") + (F.col("count") + 1) / 2).alias(rank))
 
 

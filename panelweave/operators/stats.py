@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from panelweave.operators.joins import hot_keys, salted_join
-from panelweave.operators.spread import average_ranks, quantiles
+from panelweave.operators.spread import average_ranks, fits, quantiles
 from panelweave.operators.windows import quantile_bin
 from panelweave.session import settle
 
@@ -102,6 +102,41 @@ def ols(df, xs, y, cov="nonrobust") -> dict:
             "se": np.sqrt(np.diag(covariance)), "n": n, "ssr": ssr}
 
 
+def ols_by(df, key, xs, y) -> dict:
+    """{key: {names, beta, n}}: least squares with an intercept for every group.
+
+    Two aggregates serve all groups: means, then centred cross products. Groups
+    without enough distinct rows are left out. One row per group reaches the
+    driver.
+    """
+    names, cols = list(xs), [*xs, y]
+    rows = df.select(key, *[F.col(c).cast("double").alias(c) for c in cols]).dropna()
+    means = {r[key]: r for r in rows.groupBy(key).agg(F.count(F.lit(1)).alias("_n"), *[F.avg(c).alias(c) for c in cols]).collect()}
+    if not means:
+        return {}
+
+    def mean(c):
+        chain = None
+        for k, m in means.items():
+            chain = (F.when if chain is None else chain.when)(F.col(key) == F.lit(k), F.lit(m[c]))
+        return chain
+
+    centred = rows.select(key, *[(F.col(c) - mean(c)).alias(c) for c in cols])
+    pairs = [(a, b) for i, a in enumerate(cols) for b in cols[i:]]
+    sums = centred.groupBy(key).agg(*[F.sum(F.col(a) * F.col(b)).alias(f"s{i}") for i, (a, b) in enumerate(pairs)]).collect()
+    out = {}
+    for r in sums:
+        cross = {p: r[f"s{i}"] for i, (a, b) in enumerate(pairs) for p in ((a, b), (b, a))}
+        gram = np.array([[cross[a, b] for b in names] for a in names])
+        m = means[r[key]]
+        if np.linalg.matrix_rank(gram) < len(names):
+            continue
+        beta = np.linalg.solve(gram, np.array([cross[a, y] for a in names]))
+        const = m[y] - float(beta @ np.array([m[c] for c in names]))
+        out[r[key]] = {"names": [*names, "const"], "beta": np.append(beta, const), "n": m["_n"]}
+    return out
+
+
 def ols_table(df, xs, y, cov="nonrobust") -> DataFrame:
     """``ols`` as rows (term, b, se); k rows."""
     fit = ols(df, xs, y, cov)
@@ -138,10 +173,18 @@ def corr_pair(df, x, y, method="pearson", out="rho") -> DataFrame:
         return both.agg(F.corr(a, b).alias(out))
     pairs = settle(df.select(a.alias("_x"), b.alias("_y")).dropna()
                    .groupBy("_x", "_y").agg(F.count(F.lit(1)).alias("_n")))
+    # both columns are ranked in one pass, in long form
+    long = pairs.select("_n", F.explode(F.array(*[
+        F.struct(F.lit(c).alias("_col"), F.col(c).alias("_v")) for c in ("_x", "_y")])).alias("_e")).select("_n", "_e.*")
+    ranks = settle(average_ranks(long, "_v", "_v", "_r", keys="_col", weight="_n"))
+    small = fits(ranks)
     joined = pairs
     for value, rank in (("_x", "_rx"), ("_y", "_ry")):
-        side = average_ranks(pairs, value, value, rank, weight="_n")
-        joined = salted_join(joined, side, value, hot=hot_keys(pairs.groupBy(value).count(), [value]))
+        side = ranks.where(F.col("_col") == value).select(F.col("_v").alias(value), F.col("_r").alias(rank))
+        if small:
+            joined = joined.join(F.broadcast(side), value)
+        else:
+            joined = salted_join(joined, side, value, hot=hot_keys(pairs.groupBy(value).count(), [value]))
     # ranks have the known mean (n + 1) / 2
     centre = F.broadcast(pairs.agg(((F.sum("_n") + 1) / 2).alias("_c")))
     dx, dy, w = F.col("_rx") - F.col("_c"), F.col("_ry") - F.col("_c"), F.col("_n")
@@ -167,26 +210,50 @@ def rank_columns(df, cols, partition=()) -> DataFrame:
     return rows.drop(*cols).join(wide, "_row", "left").drop("_row")
 
 
+def pair_sums(df, cols) -> DataFrame:
+    """(i, j, n, mx, my, sxx, syy, sxy): centred second moments of every pair of
+    the listed columns over the rows that have both.
+
+    Values are centred at the column means first. A batch of rows gives the sums
+    of all pairs as a few matrix products of values and masks; partial sums of
+    k x k blocks are then merged by pair. The plan does not grow with the columns.
+    """
+    import pandas as pd
+
+    cols, k = list(cols), len(cols)
+    rows = df.select(*[F.col(f"`{c}`").cast("double").alias(f"c{i}") for i, c in enumerate(cols)])
+    centre = np.array([v or 0.0 for v in rows.agg(*[F.avg(F.nanvl(f"c{i}", F.lit(None).cast("double"))) for i in range(k)]).first()])
+    i, j = (np.repeat(np.arange(k), k), np.tile(np.arange(k), k))
+
+    def run(batches):
+        total = np.zeros((6, k, k))
+        for batch in batches:
+            x = batch.to_numpy(float) - centre
+            there = ~np.isnan(x)
+            x, m = np.where(there, x, 0.0), there.astype(float)
+            total += [m.T @ m, x.T @ m, m.T @ x, (x * x).T @ m, m.T @ (x * x), x.T @ x]
+        yield pd.DataFrame({"i": i, "j": j, **{c: t.ravel() for c, t in zip(["n", "x", "y", "xx", "yy", "xy"], total)}})
+
+    parts = rows.mapInPandas(run, "i long, j long, n double, x double, y double, xx double, yy double, xy double")
+    sums = parts.groupBy("i", "j").agg(*[F.sum(c).alias(c) for c in ("n", "x", "y", "xx", "yy", "xy")])
+    mean = lambda c: F.try_divide(c, "n")
+    return sums.select(
+        "i", "j", F.col("n").cast("bigint").alias("n"), mean("x").alias("mx"), mean("y").alias("my"),
+        (F.col("xx") - F.col("x") * mean("x")).alias("sxx"), (F.col("yy") - F.col("y") * mean("y")).alias("syy"),
+        (F.col("xy") - F.col("x") * mean("y")).alias("sxy"))
+
+
 def corr_matrix(df, cols, method="pearson", a="a", b="b", out="rho") -> DataFrame:
     """All pairs of the listed columns in long form.
 
     ``df`` is wide, one row per period, as after ``to_wide``. All pair sums are
-    taken in one pass; no pairs of rows are formed.
+    taken in one pass (``pair_sums``); no pairs of rows are formed.
     """
     cols = list(cols)
     rows = rank_columns(df, cols) if method == "spearman" else df
-    upper = [(i, j) for i in range(len(cols)) for j in range(i, len(cols))]
-
-    def pair(i, j):
-        x, y = F.col(f"`{cols[i]}`").cast("double"), F.col(f"`{cols[j]}`").cast("double")
-        both = x.isNotNull() & y.isNotNull()
-        return F.corr(F.when(both, x), F.when(both, y)).alias(f"p{i}_{j}")
-
-    wide = rows.agg(*[pair(i, j) for i, j in upper])
-    cells = [F.struct(F.lit(cols[i]).alias(a), F.lit(cols[j]).alias(b),
-                      F.col(f"p{min(i, j)}_{max(i, j)}").alias(out))
-             for i in range(len(cols)) for j in range(len(cols))]
-    return wide.select(F.explode(F.array(*cells)).alias("_c")).select("_c.*")
+    name = lambda c: F.element_at(F.array(*[F.lit(v) for v in cols]), (F.col(c) + 1).cast("int"))
+    rho = F.try_divide("sxy", F.sqrt(F.col("sxx")) * F.sqrt(F.col("syy")))
+    return pair_sums(rows, cols).select(name("i").alias(a), name("j").alias(b), rho.alias(out))
 
 
 def confusion(df, y, yhat, values=None) -> DataFrame:

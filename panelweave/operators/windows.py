@@ -8,7 +8,7 @@ window; the join splits groups that the aggregate counted as large.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from panelweave.operators.joins import with_group
@@ -85,13 +85,16 @@ def number_rows(df, group, order, out="row_number", **options) -> DataFrame:
     return _number_rows(df, _keys(group), order, out, **options)
 
 
+def bin_number(col, cuts) -> Column:
+    """1 + the number of cut points below the value; null stays null."""
+    col, cuts = (F.col(col) if isinstance(col, str) else col), [c for c in cuts if c is not None]
+    return F.when(col.isNotNull(), sum(((col > F.lit(float(c))).cast("int") for c in cuts), F.lit(1)))
+
+
 def quantile_bin(df, col, n, out="bin", method="averaged") -> DataFrame:
     """Equal-frequency bins 1..n from exact cut points; equal values share a
     bin, and a value equal to a cut point belongs to the lower bin."""
-    cuts = [c for c in quantiles(df, col, [i / n for i in range(1, n)], method) if c is not None]
-    above = F.size(F.filter(F.array(*[F.lit(float(c)) for c in cuts]),
-                            lambda c: c < F.col(col))) if cuts else F.lit(0)
-    return df.withColumn(out, F.when(F.col(col).isNotNull(), above + 1))
+    return df.withColumn(out, bin_number(col, quantiles(df, col, [i / n for i in range(1, n)], method)))
 
 
 def bin_means(df, bin_col, cols: dict) -> DataFrame:

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from panelweave import fixed
 from panelweave.functions import arrays, bins, dates, text
 from panelweave.operators import aggregates, filters, joins, reshape, windows
-from panelweave.operators.spread import quantiles
+from panelweave.operators.spread import quantiles_many
 from panelweave.session import settle
 
 
@@ -99,8 +99,8 @@ def regional_exposure(weekly, population, measures, region="region", pop="pop",
         flags.append("composite")
     # one row per region, read several times below
     rows = settle(rows)
-    limits = {m: quantiles(rows, m, [0.75])[0] for m in flags}
-    return rows.withColumns({f"{out_prefix}{m}": F.col(m) > F.lit(v).cast("double") for m, v in limits.items()})
+    limits = quantiles_many(rows, {m: (m, [0.75]) for m in flags})
+    return rows.withColumns({f"{out_prefix}{m}": F.col(m) > F.lit(v[0]).cast("double") for m, v in limits.items()})
 
 
 def apply_treatment(panel, weekly, flags, measure="composite", region="region", week="week_start",

@@ -4,14 +4,15 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from panelweave import fixed
 from panelweave.functions import text as textfn
 from panelweave.operators import (
-    aggregates, decompose, eventstudy, features, filters, graph, joins, models, ordering, reshape, stats, windows,
+    aggregates, decompose, eventstudy, features, filters, graph, joins, models, ordering, reshape, stats, topics, windows,
 )
+from panelweave.operators.spread import quantiles_many
 from panelweave.session import settle
 
 
@@ -84,21 +85,25 @@ def author_topics_by_period(docs, date, author, terms, periods, doc="doc_id", k=
                             families=None, family=None, min_df=fixed.DICT_NO_BELOW, seed=fixed.SEED) -> DataFrame:
     """One topic model per period (and topic family), averaged per author.
 
-    ``families`` maps a family name to the values of column ``family``.
+    ``families`` maps a family name to the values of column ``family``. All
+    models are fitted together (``topics.fit_many``): a document stands once for
+    each model it belongs to, and every pass serves all models. A model without
+    a term in ``min_df`` documents has no rows.
     """
     families = families or {"all": None}
-    parts = []
+    models_of = {}
     for name, months in periods.items():
         for tag, values in families.items():
-            rows = docs.where(F.month(date).isin(list(months)))
-            rows = rows if values is None else filters.where_in(rows, family, values)
-            bow, model, counted = models.fit_lda(
-                rows, terms, k, seed, max_iter, min_df, fixed.MAX_DF, alpha=0.5, eta=0.01)
-            mix = models.author_topic_mix(models.topic_assign(model, counted, keep=[author]), author, k)
-            words = models.top_words(models.topic_terms(model, bow, docs.sparkSession), 30)
-            parts.append(mix.join(words, "topic").withColumns(
-                {"period": F.lit(name), "family": F.lit(tag)}))
-    return reduce(lambda a, b: a.unionByName(b), parts)
+            inside = F.month(date).isin(list(months))
+            models_of[f"{name}/{tag}"] = inside if values is None else inside & F.col(family).isin(list(values))
+    rows = docs.select(doc, author, terms, F.explode(F.filter(F.array(*[
+        F.when(F.coalesce(c, F.lit(False)), F.lit(m)) for m, c in models_of.items()]), lambda m: m.isNotNull())).alias("model"))
+    fitted = topics.fit_many(rows, "model", terms, k, max_iter, min_df, fixed.MAX_DF, fixed.MAX_FEATURES, 0.5, 0.01, seed, keep=[author])
+    mix = models.author_topic_mix(fitted.shares, author, k, extra=["model"])
+    words = fitted.terms.withColumn("topic", F.concat_ws("/", "model", "topic"))
+    words = models.top_words(words, 30).withColumn("model", F.substring_index("topic", "/", 2)).withColumn("topic", F.substring_index("topic", "/", -1))
+    part = lambda n: F.split_part("model", F.lit("/"), F.lit(n))
+    return mix.join(words, ["model", "topic"]).withColumn("period", part(1)).withColumn("family", part(2)).drop("model")
 
 
 def event_study_report(panel, outcomes, rates=(), den="n_posts", dist="dist", entity="entity", ref=-7) -> DataFrame:
@@ -127,10 +132,34 @@ def study_with_comparisons(panel, outcomes, rates=(), den="n_posts", dist="dist"
 
 
 def compare_all(study, outcomes, dist="dist", ref=-7) -> DataFrame:
-    """``compare_outcomes`` for every pair of outcomes, one row each."""
-    pairs = [(x, y) for i, x in enumerate(outcomes) for y in list(outcomes)[i + 1:]]
-    rows = [compare_outcomes(study, x, y, dist, ref).withColumns({"x": F.lit(x), "y": F.lit(y)}) for x, y in pairs]
-    return reduce(lambda a, b: a.unionByName(b), rows)
+    """``compare_outcomes`` for every pair of outcomes, one row each.
+
+    The study, one row per distance and outcome, is joined with itself by
+    distance; moments and ranks of all pairs are taken at once. A pair's rows
+    are the distances, so its window is small.
+    """
+    order = F.create_map(*[F.lit(v) for i, c in enumerate(outcomes) for v in (c, i)])
+    zeroed = study.where(F.col("outcome").isin(list(outcomes))).groupBy(dist, "outcome").agg(
+        F.max(F.when(F.col(dist) == ref, 0.0).otherwise(F.col("b"))).alias("b")).where(F.col("b").isNotNull())
+    zeroed = settle(zeroed.withColumn("i", F.element_at(order, F.col("outcome"))))
+    left, right = zeroed.select(dist, *[F.col(c).alias(f"{c}_x") for c in ("outcome", "b", "i")]), zeroed
+    pairs = left.join(right, dist).where("i_x < i").select(
+        F.col("outcome_x").alias("x"), F.col("outcome").alias("y"), F.col("b_x").alias("_a"), F.col("b").alias("_b"))
+
+    def rank(c):
+        ties = F.count(F.lit(1)).over(Window.partitionBy("x", "y", c))
+        return F.rank().over(Window.partitionBy("x", "y").orderBy(c)) + (ties - 1) / 2
+
+    keys = ["x", "y"]
+    ranked = pairs.withColumns({"_ra": rank("_a"), "_rb": rank("_b")})
+    line = stats.ols_simple(pairs, "_a", "_b", keys)
+    rho = ranked.groupBy(*keys).agg(F.corr("_a", "_b").alias("pearson"), F.corr("_ra", "_rb").alias("spearman"))
+    # a pair without a common distance has a row of nothing
+    names = list(outcomes)
+    every = study.sparkSession.range(1).select(F.explode(F.array(*[
+        F.struct(F.lit(x).alias("x"), F.lit(y).alias("y")) for i, x in enumerate(names) for y in names[i + 1:]])).alias("c")).select("c.*")
+    out = every.join(line, keys, "left").join(rho, keys, "left")
+    return out.select(F.coalesce("n", F.lit(0)).cast("bigint").alias("n"), "slope", "intercept", "se", "pearson", "spearman", "x", "y")
 
 
 def validation_curves(panel, outcomes, score="prediction", rates=(), den="n_posts", n=20,
@@ -144,19 +173,36 @@ def validation_curves(panel, outcomes, score="prediction", rates=(), den="n_post
     for c in rates:
         rows = filters.with_rate(rows, c, den, c)
     # cut points and fits read the few columns several times
-    rows = settle(rows.select(score, *outcomes))
-    points, curves = [], []
-    for y in outcomes:
-        pair = rows.select(F.col(score).alias("x"), F.col(y).cast("double").alias("y")).dropna()
-        points.append(stats.binscatter(pair, "x", "y", n).withColumn("outcome", F.lit(y)))
-        poly = pair.withColumn("x2", F.pow("x", F.lit(2.0))).withColumn("x3", F.pow("x", F.lit(3.0)))
-        fit = stats.ols(poly, ["x", "x2", "x3"], "y")
-        digits = (rounding or fixed.CURVE_ROUNDING).get(y, 4)
-        inner = stats.within_percentiles(stats.ols_predict(poly, fit), "x")
-        curves.append(inner.select(
-            F.lit(y).alias("outcome"), F.round("x", 3).alias("x"), F.round("yhat", digits).alias("yhat")).distinct())
-    union = lambda parts: reduce(lambda a, b: a.unionByName(b), parts)
-    return union(points), union(curves)
+    rows = settle(rows.select(F.col(score).cast("double").alias("x"), *[F.col(y).cast("double").alias(f"y{i}") for i, y in enumerate(outcomes)]))
+    names = dict(enumerate(outcomes))
+    probs = [i / n for i in range(1, n)] + [0.01, 0.99]
+    # an outcome has the scores of its own rows; all outcomes are cut, binned and fitted together
+    cuts = quantiles_many(rows, {i: (F.when(F.col(f"y{i}").isNotNull(), F.col("x")), probs) for i in names}, "averaged")
+
+    def each(make):
+        chain = None
+        for i in names:
+            chain = (F.when if chain is None else chain.when)(F.col("i") == i, make(i))
+        return chain
+
+    long = rows.select("x", F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.col(f"y{i}").alias("y")) for i in names])).alias("c"))
+    long = long.select("x", "c.*").dropna()
+    title = each(lambda i: F.lit(names[i]))
+    points = long.withColumn("bin", each(lambda i: windows.bin_number("x", cuts[i][:-2]))).groupBy("i", "bin").agg(
+        F.count(F.lit(1)).alias("n"), F.avg("x").alias("x_mean"), F.avg("y").alias("y_mean"))
+    poly = long.withColumn("x2", F.pow("x", F.lit(2.0))).withColumn("x3", F.pow("x", F.lit(3.0)))
+    fits = stats.ols_by(poly, "i", ["x", "x2", "x3"], "y")
+
+    def fitted(i):
+        if i not in fits:
+            return F.lit(None).cast("double")
+        beta = [float(b) for b in fits[i]["beta"]]
+        value = F.lit(beta[3]) + F.col("x") * beta[0] + F.col("x2") * beta[1] + F.col("x3") * beta[2]
+        return F.round(value, (rounding or fixed.CURVE_ROUNDING).get(names[i], 4))
+
+    inner = each(lambda i: (F.col("x") > F.lit(cuts[i][-2])) & (F.col("x") <= F.lit(cuts[i][-1])))
+    curve = poly.where(inner).select(title.alias("outcome"), F.round("x", 3).alias("x"), each(fitted).alias("yhat")).distinct()
+    return points.select("bin", "n", "x_mean", "y_mean", title.alias("outcome")), curve.where(F.col("yhat").isNotNull())
 
 
 def model_comparison(metrics, titles=None, methods=None, order=fixed.MODEL_ORDER, metric="MAE",

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from panelweave import fixed
 from panelweave.functions import bins, dates, text, urls
-from panelweave.operators import aggregates, features, filters, joins
+from panelweave.operators import aggregates, features, filters, joins, spread
 from panelweave.session import settle
 
 
@@ -44,15 +44,20 @@ def distant_supervision(posts, links, labels, attrs=None, topics=None, post_id="
                         label="trailing") -> DataFrame:
     """Posts of entity-weeks with enough scored links, with score and bin.
 
-    The weekly score uses posts of all topics; the topic filter comes after.
+    The weekly score uses posts of all topics. Only then are posts of other
+    topics and entity-weeks with too few links left out, both before the join.
     """
     weekly = weekly_alignment(posts, links, labels, post_id, entity, ts, text_col, label=label)
-    rows = joins.join_entity_week(
-        posts.withColumn("week_start", dates.week_start(ts)), weekly, ["week_start", entity])
-    rows = filters.flag_min(rows, "score_count", min_count)
-    if topics is not None:
-        rows = filters.where_in(rows, topic, topics)
-    rows = rows.where("target_train")
+    weekly = settle(filters.flag_min(weekly, "score_count", min_count).where("target_train"))
+    rows = posts if topics is None else filters.where_in(posts, topic, topics)
+    keys = ["week_start", entity]
+    rows = rows.withColumn("week_start", dates.week_start(ts))
+    if spread.fits(weekly):
+        rows = rows.join(F.broadcast(weekly), keys)
+    else:
+        # hot keys are counted among the rows that the join keeps
+        kept = rows.select(*keys).join(weekly.select(*keys), keys, "left_semi").groupBy(*keys).count()
+        rows = joins.salted_join(rows, weekly, keys, hot=joins.hot_keys(kept, keys))
     if attrs is not None:
         rows = joins.join_attrs(rows, attrs, entity)
     return rows.withColumn("score_bin", bins.cut_right("final_score"))

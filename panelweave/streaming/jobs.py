@@ -46,19 +46,17 @@ def split_late(stream, ts, out, late, checkpoint, delay_days=14):
 
     A row is late if it is older than the largest time of earlier batches by
     more than the delay: what a watermark of that delay may drop without a
-    trace. Each batch stores its largest time (one row), so a replayed batch
-    sees the same limit.
+    trace. Each batch stores the largest time so far (one row), so a batch reads
+    one earlier mark and a replayed batch sees the same limit.
     """
     def write(df, batch):
         spark, marks = df.sparkSession, f"{out}-marks"
-        limit = F.lit(None).cast("timestamp")
-        if batch > 0:
-            seen = spark.read.option("basePath", marks).parquet(f"{marks}/batch=*").where(F.col("batch") < batch)
-            limit = F.lit(seen.agg(F.max("top") - F.expr(f"INTERVAL {delay_days} DAYS")).first()[0]).cast("timestamp")
-        old = F.coalesce(F.col(ts) < limit, F.lit(False))
+        top = spark.read.parquet(_batch_folder(marks, batch - 1)).first()[0] if batch > 0 else None
+        top = F.lit(top).cast("timestamp")
+        old = F.coalesce(F.col(ts) < top - F.expr(f"INTERVAL {delay_days} DAYS"), F.lit(False))
         df.where(~old).write.mode("overwrite").parquet(_batch_folder(out, batch))
         df.where(old).write.mode("overwrite").parquet(_batch_folder(late, batch))
-        df.agg(F.max(ts).alias("top")).write.mode("overwrite").parquet(_batch_folder(marks, batch))
+        df.agg(F.greatest(F.max(ts), top).alias("top")).write.mode("overwrite").parquet(_batch_folder(marks, batch))
     return (stream.writeStream.foreachBatch(write).outputMode("append")
             .option("checkpointLocation", checkpoint).trigger(availableNow=True).start())
 
@@ -95,15 +93,41 @@ def read_appended(spark, out) -> DataFrame:
     return spark.read.option("basePath", out).parquet(f"{out}/batch=*").drop("batch")
 
 
+# The state of long-lived streams lies in RocksDB: on the executors' disks, with
+# bounded memory, and by its changes in the stream's checkpoint.
+STATE = {
+    "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
+    "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled": "true",
+    "spark.sql.streaming.stateStore.rocksdb.boundedMemoryUsage": "true",
+    "spark.sql.streaming.stateStore.rocksdb.trackTotalNumberOfRows": "false",
+}
+
+
+def start_on_disk(spark, start):
+    """Call ``start`` with the session's state store set to ``STATE``; a stream
+    keeps the settings it was started with, and the session gets its own back."""
+    before = {key: spark.conf.get(key, None) for key in STATE}
+    for key, value in STATE.items():
+        spark.conf.set(key, value)
+    try:
+        return start()
+    finally:
+        for key, value in before.items():
+            spark.conf.unset(key) if value is None else spark.conf.set(key, value)
+
+
 def score_pending(stream, out, checkpoint, model_fn, schema, key):
     """Score rows that no earlier batch has scored, then append the scores.
 
     The stream checkpoint replaces resume files. The ids scored so far are keyed
-    state of the stream, so a batch looks up its own ids and reads no earlier
-    output; a replayed batch gets the same rows again and rewrites its folder.
+    state of the stream, dealt by id over the state partitions and kept in
+    RocksDB, so a batch looks up its own ids, reads no earlier output, and needs
+    no more memory however many ids there are; a replayed batch gets the same
+    rows again and rewrites its folder.
     """
     def write(df, batch):
         score_batches(df, model_fn, schema).write.mode("overwrite").parquet(_batch_folder(out, batch))
 
-    return (stream.dropDuplicates([key]).writeStream.foreachBatch(write).outputMode("append")
-            .option("checkpointLocation", checkpoint).trigger(availableNow=True).start())
+    writer = (stream.dropDuplicates([key]).writeStream.foreachBatch(write).outputMode("append")
+              .option("checkpointLocation", checkpoint).trigger(availableNow=True))
+    return start_on_disk(stream.sparkSession, writer.start)
