@@ -99,8 +99,8 @@ def with_next(docs: DataFrame) -> DataFrame:
     """Every document compared with its edited text and with the next document.
 
     The next document is the next row by ascending doc_id (null first; rows with
-    one id by their text, so repeated rows follow one another); the first row
-    follows the last. A single row follows itself. A null text counts as empty.
+    one id by a hash of their text, so repeated rows follow one another); the
+    first row follows the last. A single row follows itself. A null text counts as empty.
     Other columns are ignored; an empty table gives an empty one.
 
     Rows are placed by range of doc_id and sorted, and a task passes through its
@@ -112,7 +112,7 @@ def with_next(docs: DataFrame) -> DataFrame:
     kind = docs.schema["doc_id"].dataType.simpleString()
     bound_batches(docs.sparkSession)
     rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    placed = rows.repartitionByRange("doc_id", F.xxhash64("text")).sortWithinPartitions("doc_id", "text")
+    placed = rows.repartitionByRange("doc_id", F.xxhash64("text")).sortWithinPartitions("doc_id", F.xxhash64("text"), "text")
     schema = f"doc_id {kind}, {KINDS}, part int, head string, tail string"
     fields = [pa.int64(), pa.string(), pa.string(), pa.string(), pa.float64(), pa.float64(), pa.int32(), pa.string(), pa.string()]
 

@@ -75,12 +75,37 @@ def _mask() -> np.ndarray:
     return (place[:, None] < widths[None, :]).astype(np.float32)
 
 
+def gradients(net: Network, x: np.ndarray, y: np.ndarray) -> dict[str, np.ndarray]:
+    """Of the mean negative log-probability of classes ``y``."""
+    b, width = len(x), net.filters.shape[1]
+    patches = net.patches(x)
+    maps = (patches @ net.filters).reshape(b, -1, width)
+    best = maps.argmax(1)
+    pre = np.take_along_axis(maps, best[:, None, :], 1)[:, 0] + net.bias
+    top = np.maximum(pre, 0)
+    z = top @ net.out + net.shift
+    p = np.exp(z - z.max(1, keepdims=True))
+    p /= p.sum(1, keepdims=True)
+    p[np.arange(b), y] -= 1
+    p /= b
+    dpre = (p @ net.out.T) * (pre > 0)
+    # Each filter learns from the one place where it was largest.
+    where = np.arange(b)[:, None] * maps.shape[1] + best
+    seen = patches[where.ravel()].reshape(b, width, -1)
+    grads = {"out": top.T @ p, "shift": p.sum(0), "bias": dpre.sum(0), "filters": np.einsum("bf,bfd->df", dpre, seen) * _mask()}
+    back = (dpre[:, :, None] * net.filters.T[None]).reshape(b, width, WIDEST, EMBED)
+    bytes_at = x[np.arange(b)[:, None, None], best[:, :, None] + np.arange(WIDEST)]
+    grads["embed"] = np.zeros_like(net.embed)
+    np.add.at(grads["embed"], bytes_at.ravel(), back.reshape(-1, EMBED))
+    return grads
+
+
 def train(x: np.ndarray, y: np.ndarray, languages: list, rounds: int = 6, rate: float = 0.004, seed: int = 7) -> Network:
     """Fit by Adam on windows ``x`` and class numbers ``y``."""
     rng = np.random.default_rng(seed)
-    mask, width = _mask(), len(WIDTHS) * FILTERS
+    width = len(WIDTHS) * FILTERS
     net = Network(
-        rng.normal(0, 0.3, (256, EMBED)).astype(np.float32), (rng.normal(0, 0.25, (WIDEST * EMBED, width)) * mask).astype(np.float32),
+        rng.normal(0, 0.3, (256, EMBED)).astype(np.float32), (rng.normal(0, 0.25, (WIDEST * EMBED, width)) * _mask()).astype(np.float32),
         np.zeros(width, np.float32), rng.normal(0, 0.1, (width, len(languages))).astype(np.float32),
         np.zeros(len(languages), np.float32), languages)
     names = ("embed", "filters", "bias", "out", "shift")
@@ -91,27 +116,7 @@ def train(x: np.ndarray, y: np.ndarray, languages: list, rounds: int = 6, rate:
         order = rng.permutation(len(x))
         for at in range(0, len(order), BATCH):
             rows = order[at:at + BATCH]
-            xb, yb, b = x[rows], y[rows], len(rows)
-            patches = net.patches(xb)
-            maps = (patches @ net.filters).reshape(b, -1, width)
-            best = maps.argmax(1)
-            pre = np.take_along_axis(maps, best[:, None, :], 1)[:, 0] + net.bias
-            top = np.maximum(pre, 0)
-            z = top @ net.out + net.shift
-            p = np.exp(z - z.max(1, keepdims=True))
-            p /= p.sum(1, keepdims=True)
-            p[np.arange(b), yb] -= 1
-            p /= b
-            dpre = (p @ net.out.T) * (pre > 0)
-            # Each filter learns from the one place where it was largest.
-            where = (np.arange(b)[:, None] * maps.shape[1] + best)
-            seen = patches[where.ravel()].reshape(b, width, -1)
-            grads = {"out": top.T @ p, "shift": p.sum(0), "bias": dpre.sum(0),
-                     "filters": np.einsum("bf,bfd->df", dpre, seen) * mask}
-            back = (dpre[:, :, None] * net.filters.T[None]).reshape(b, width, WIDEST, EMBED)
-            bytes_at = xb[np.arange(b)[:, None, None], best[:, :, None] + np.arange(WIDEST)]
-            grads["embed"] = np.zeros_like(net.embed)
-            np.add.at(grads["embed"], bytes_at.ravel(), back.reshape(-1, EMBED))
+            grads = gradients(net, x[rows], y[rows])
             step += 1
             for k in names:
                 g = grads[k]

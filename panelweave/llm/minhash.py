@@ -39,7 +39,7 @@ def _row(seed: int, n: int, odd: bool = False) -> np.ndarray:
 BYTES = _row(1, 256)
 BASE = np.uint64(_splitmix(2) | 1)
 BACK = np.uint64(pow(int(BASE), -1, 1 << 64))
-PLACES = _row(3, SHINGLE, odd=True)
+PLACES = _row(3, 16, odd=True)
 FACTORS = _row(4, 2 * HALVES * ROWS, odd=True)
 SHIFTS = _row(5, 2 * HALVES * ROWS)
 IS_WORD = np.ones(256, bool)
@@ -71,8 +71,9 @@ class Powers:
 POWERS = Powers()
 
 
-def shingles(text: str | None) -> np.ndarray:
-    """Distinct 64-bit hashes of the word shingles of a whole text, ascending."""
+def shingles(text: str | None, width: int = SHINGLE) -> np.ndarray:
+    """Distinct 64-bit hashes of the shingles of ``width`` words (16 at most) of
+    a whole text, ascending."""
     raw = np.frombuffer((text or "").encode("utf-8", "surrogatepass").translate(LOWER), np.uint8)
     edges = np.diff(IS_WORD[raw].view(np.int8), prepend=0, append=0)
     starts, ends = np.flatnonzero(edges == 1), np.flatnonzero(edges == -1)
@@ -81,7 +82,7 @@ def shingles(text: str | None) -> np.ndarray:
     up, down = POWERS.get(len(raw) + 1)
     sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum(BYTES[raw] * up[:len(raw)])))
     words = mix((sums[ends] - sums[starts]) * down[starts] + (ends - starts).astype(np.uint64))
-    size = min(SHINGLE, len(words))
+    size = min(width, len(words))
     total = np.full(len(words) - size + 1, np.uint64(size))
     for k in range(size):
         total += words[k:len(words) - size + 1 + k] * PLACES[k]
@@ -108,7 +109,7 @@ def similar(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
     return 100 * both >= percent * (len(a) + len(b) - both)
 
 
-def signatures(docs: DataFrame) -> DataFrame:
+def signatures(docs: DataFrame, width: int = SHINGLE) -> DataFrame:
     """(doc_id, n, d1, d2, bands): set size, two digests of the set, bands."""
     import pyarrow as pa
 
@@ -116,7 +117,7 @@ def signatures(docs: DataFrame) -> DataFrame:
         for batch in batches:
             rows = []
             for text in batch.column(1).to_pylist():
-                found = shingles(text)
+                found = shingles(text, width)
                 if len(found):
                     rows.append((len(found), int(np.bitwise_xor.reduce(found).view(np.int64)),
                                  int(mix(found).sum().view(np.int64)), signature(found).view(np.int64).tolist()))
@@ -151,7 +152,7 @@ def candidate_texts(keys: DataFrame, docs: DataFrame) -> DataFrame:
     return stored(docs.select(F.col("doc_id").alias("id"), "text").join(ids, "id", "left_semi"), "minhash-texts")
 
 
-def verify(pairs: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
+def verify(pairs: DataFrame, texts: DataFrame, percent: int, width: int = SHINGLE) -> DataFrame:
     """The pairs (a, b) whose full shingle sets are similar enough."""
     import pyarrow as pa
 
@@ -165,14 +166,14 @@ def verify(pairs: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
             keep = []
             for b, ta, tb in zip(*(batch.column(i).to_pylist() for i in (1, 2, 3))):
                 if b != last:
-                    last, held = b, shingles(tb)
-                keep.append(similar(shingles(ta), held, percent))
+                    last, held = b, shingles(tb, width)
+                keep.append(similar(shingles(ta, width), held, percent))
             yield batch.filter(pa.array(keep, pa.bool_())).select(["a", "b"])
 
     return met.mapInArrow(run, "a long, b long").distinct()
 
 
-def resolve(keys: DataFrame, found: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
+def resolve(keys: DataFrame, found: DataFrame, texts: DataFrame, percent: int, width: int = SHINGLE) -> DataFrame:
     """Further links between documents that share a table key but still lie in
     different components after the first links.
 
@@ -201,7 +202,7 @@ def resolve(keys: DataFrame, found: DataFrame, texts: DataFrame, percent: int) -
         ids, kept = np.unique(part.column("id").to_numpy(), return_index=True)
         comp, mine = part.column("component").to_numpy()[kept], part.column("mine").to_numpy()[kept]
         text = part.column("text")
-        sets = [shingles(text[int(i)].as_py()) for i in kept]
+        sets = [shingles(text[int(i)].as_py(), width) for i in kept]
         n = np.array(list(map(len, sets)))
         flat, owner = np.concatenate(sets), np.repeat(np.arange(len(sets), dtype=np.int32), n)
         order = np.argsort(flat)
@@ -235,25 +236,25 @@ def resolve(keys: DataFrame, found: DataFrame, texts: DataFrame, percent: int) -
     return rows.groupBy("cluster", "i", "j").applyInArrow(compare, "a long, b long")
 
 
-def near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:
+def near_duplicates(docs: DataFrame, percent: int = 85, width: int = SHINGLE) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) for every row of ``docs``.
 
-    Documents link if 100 * shared >= percent * all of their distinct 3-word
-    shingles; a component is named by its smallest id, and kept is that row.
+    Documents link if 100 * shared >= percent * all of their distinct shingles
+    of ``width`` words; a component is named by its smallest id, and kept is that row.
     Equal sets are one class, linked without comparing; classes meet in the
     tensored tables, each table links its members to its smallest id, and links
     are confirmed on full sets. What still shares a table across components is
     then compared completely.
 
     Null, empty and wordless texts have no shingles and link with nothing.
-    Fewer than three words are one shingle. Repeated rows of an id are linked;
+    Fewer than ``width`` words are one shingle. Repeated rows of an id are linked;
     each has kept true if the id names its component. Rows with a null id have
     a null component and are not kept. Other columns are ignored; an empty table
     gives an empty one.
     """
     bound_batches(docs.sparkSession)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    rows = stored(signatures(docs), "minhash-signatures")
+    rows = stored(signatures(docs, width), "minhash-signatures")
     real = rows.where("n > 0 AND doc_id IS NOT NULL")
     classes = stored(real.groupBy("n", "d1", "d2").agg(F.min("doc_id").alias("id")), "minhash-classes")
     reps = real.join(classes.select(F.col("n").alias("n_"), F.col("d1").alias("e1"), F.col("d2").alias("e2"), "id"),
@@ -264,9 +265,9 @@ def near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:
              .where(100 * F.least("n", "c.n") >= percent * F.greatest("n", "c.n"))
              .select(F.col("id").alias("a"), F.col("c.id").alias("b")).distinct())
     texts = candidate_texts(keys, docs)
-    links = stored(verify(pairs, texts, percent), "minhash-links")
+    links = stored(verify(pairs, texts, percent, width), "minhash-links")
     found = components(links, "minhash-first")
-    more = stored(resolve(keys, found, texts, percent), "minhash-more")
+    more = stored(resolve(keys, found, texts, percent, width), "minhash-more")
     final = components(links.unionByName(more), "minhash-final")
     named = classes.join(final, "id", "left").select("n", "d1", "d2", F.coalesce("component", "id").alias("component"))
     out = rows.join(named, (rows.n == named.n) & (rows.d1 == named.d1) & (rows.d2 == named.d2) & rows.doc_id.isNotNull(), "left").select(

@@ -1,7 +1,8 @@
 """Toxicity by noisy-channel deobfuscation.
 
-A token that mixes letters with look-alike signs, repeats a character three
-times or is spelt out with separators becomes a lattice of characters. Viterbi
+A token that mixes letters with look-alike signs, consists of such signs without
+being a number, repeats a character three times or is spelt out with separators
+becomes a lattice of characters. Viterbi
 decoding under a character language model of the corpus picks the likeliest
 reading; the restored words are then scored by a linear model.
 """
@@ -20,14 +21,15 @@ from panelweave.llm.common import bound_batches, fold, stored
 # Look-alike signs and the letters they may stand for.
 LOOKALIKES = {
     "0": "o", "1": "il", "2": "z", "3": "e", "4": "a", "5": "s", "6": "bg", "7": "t", "8": "b", "9": "g",
-    "@": "a", "$": "s", "!": "i", "|": "il", "+": "t", "(": "c", "€": "e", "£": "l", "¡": "i",
+    "@": "a", "$": "s", "!": "i", "|": "il", "+": "t", "(": "c", "€": "e", "£": "l", "¡": "i", "#": "h",
 }
 PUNCTUATION = ".,;:!?\"'()[]{}<>«»“”‘’…#%&*=^~_/\\-"
 SEPARATORS = " .-_*·"
 # Costs of the channel: a sign read as a letter, a sign left out inside a word, a
 # sign kept inside a word and at its edge, a separator left out and kept between
-# letters, a doubled letter read as one.
-READ, SKIP, KEEP, EDGE, JOIN, PART, SINGLE = 2.0, 2.0, 5.0, 0.3, 0.2, 2.5, 0.5
+# letters, a doubled letter read as one, and a look-alike sign left out of a token
+# that has no letter.
+READ, SKIP, KEEP, EDGE, JOIN, PART, SINGLE, LOST = 2.0, 2.0, 5.0, 0.3, 0.2, 2.5, 0.5, 6.0
 # Code points below POINTS are counted; the LETTERS most frequent ones form the
 # alphabet of the language model. State 0 is the word boundary.
 POINTS, LETTERS = 2048, 63
@@ -38,7 +40,11 @@ REMEMBERED = 150_000
 # Shortest and longest beginning of a word that is a feature.
 STEM = (3, 8)
 TRIPLE = re.compile(r"(.)\1\1+", re.S)
-SPELT = re.compile(r"(?<!\S)\S(?:[ ._\-*·]\S){2,}(?!\S)")
+# Single letters, digits or signs with up to three separators between each two,
+# next to white space or punctuation.
+SPELT = re.compile(r"(?<![^\W_])(?:[^\W_]|[@$€£¡])(?:[\s._\-*·]{1,3}(?:[^\W_]|[@$!€£¡])){2,}(?![^\W_]|[@$€£¡])")
+GAP = re.compile(r"[\s._\-*·]+")
+NUMBER = re.compile(r"[-+$€£(#]*\d+(?:[.,:/x+-]\d+)*[%)€£$+]*")
 WORDS = re.compile(r"[^\W\d_]+")
 
 
@@ -101,8 +107,10 @@ def lattice(token: str, lm: LanguageModel) -> list[list[tuple[int, float, str]]]
     """For each character the readings (state or -1 for none, cost, output)."""
     out = []
     doubled = False
-    letters = [i for i, c in enumerate(token) if c.isalpha() or c.isdigit()]
+    letters = ([i for i, c in enumerate(token) if c.isalpha() or c.isdigit()]
+               or [i for i, c in enumerate(token) if c in LOOKALIKES])
     first, last = (letters[0], letters[-1]) if letters else (len(token), -1)
+    bare = not any(map(str.isalpha, token))
     for i, c in enumerate(token):
         edge = i < first or i > last
         if c.isalpha():
@@ -112,7 +120,7 @@ def lattice(token: str, lm: LanguageModel) -> list[list[tuple[int, float, str]]]
             part = c in SEPARATORS
             ways.append((0, EDGE if edge else PART if part else KEEP, " "))
             if not c.isdigit():
-                ways.append((-1, EDGE if edge else JOIN if part else SKIP, ""))
+                ways.append((-1, EDGE if edge else JOIN if part else LOST if bare and c in LOOKALIKES else SKIP, ""))
         doubled = i > 0 and token[i - 1] == c and not doubled
         if doubled and c.isalpha():
             ways = [*ways, (-1, SINGLE, "")]
@@ -178,6 +186,23 @@ def _viterbi(lattices, n: int, lm: LanguageModel) -> list[str]:
     return ["".join(reversed(p)) for p in parts]
 
 
+def spelt(text: str) -> str | None:
+    """A spelt-out run with one space between its signs, if it has three letters
+    or digits, one of them a letter."""
+    known = sum(map(str.isalnum, text))
+    return GAP.sub(" ", text) if known >= 3 and any(map(str.isalpha, text)) else None
+
+
+def is_odd(token: str) -> bool:
+    """Whether a token needs a lattice: signs among letters, a sign repeated, or
+    three look-alike signs that are no number and not table lines alone."""
+    core = token.strip(PUNCTUATION)
+    if any(map(str.isalpha, core)):
+        return not core.isalpha() or bool(TRIPLE.search(core))
+    signs = [c for c in token if c in LOOKALIKES]
+    return len(signs) >= 3 and len(set(signs) - set("|!(#+")) > 0 and len(set(token)) > 1 and not NUMBER.fullmatch(token.strip(".,;:!?\"'()[]{}"))
+
+
 class Restorer:
     """What texts hold after restoring: their words, or what ``finish`` makes of
     a token's words. A task remembers the tokens it met lately."""
@@ -190,8 +215,7 @@ class Restorer:
     def tokens(self, text: str) -> set[str]:
         """Distinct tokens in lower case, spelt-out runs as one token each."""
         low = text.lower()
-        spelt = {x for x in SPELT.findall(low) if sum(map(str.isalnum, x)) >= 3}
-        return set(low.split()) | spelt
+        return set(low.split()) | ({spelt(x) for x in SPELT.findall(low)} - {None})
 
     def learn(self, tokens: set[str]) -> None:
         fresh = [t for t in tokens if t not in self.known]
@@ -200,11 +224,11 @@ class Restorer:
             fresh = list(tokens)
         odd = []
         for t in fresh:
-            core = t.strip(PUNCTUATION)
-            if not TRIPLE.search(core) and (core.isalpha() or not any(map(str.isalpha, core))):
-                self.known[t] = self.finish((core,)) if core.isalpha() else ()
-            else:
+            if is_odd(t):
                 odd.append(t)
+            else:
+                core = t.strip(PUNCTUATION)
+                self.known[t] = self.finish((core,)) if core else ()
         cut = [t[i:i + LONGEST] for t in odd for i in range(0, len(t), LONGEST)]
         read = iter(decode(cut, self.lm))
         for t in odd:
@@ -225,14 +249,14 @@ class Restorer:
 
     def text(self, text: str) -> str:
         """The text with every odd token in its likeliest reading."""
-        def read(match):
-            token = match.group()
-            core = token.strip(PUNCTUATION)
-            if core.isalpha() and not TRIPLE.search(core) or not any(map(str.isalpha, core)):
-                return token
+        def read(token):
             return "".join(decode([token[i:i + LONGEST] for i in range(0, len(token), LONGEST)], self.lm))
 
-        return re.sub(r"\S+", read, SPELT.sub(lambda m: read(m) if sum(map(str.isalnum, m.group())) >= 3 else m.group(), text.lower()))
+        def run(match):
+            known = spelt(match.group())
+            return read(known) if known else match.group()
+
+        return re.sub(r"\S+", lambda m: read(m.group()) if is_odd(m.group()) else m.group(), SPELT.sub(run, text.lower()))
 
 
 def features(words) -> set[str]:
