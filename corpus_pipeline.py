@@ -19,37 +19,65 @@ COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
 def drop_toxic(spark, docs, sf_dir):
-    """Leave out documents that the toxicity model rejects."""
+    """Leave out documents that the toxicity model rejects.
+
+    Null and empty texts hold no words and stay unless most labelled documents
+    are toxic. Repeated rows stay or go together. A null id takes no part in
+    learning. An empty table gives an empty one.
+    """
     scored = toxicity.classify(docs, table(spark, sf_dir, "labels"), keep=COLUMNS)
     return scored.where("predicted = 0").select(*COLUMNS)
 
 
 def drop_near_duplicates(spark, docs, sf_dir):
-    """One document of each near-duplicate group stays; of rows that share the
-    id that stays, one. Rows without an id are kept."""
-    groups = minhash.near_duplicates(docs)
-    gone = groups.where("NOT kept AND doc_id IS NOT NULL").select("doc_id").distinct()
-    left = docs.select(*COLUMNS).join(gone, "doc_id", "left_anti").select(*COLUMNS)
-    if docs.where("doc_id IS NOT NULL").groupBy("doc_id").count().where("count > 1").isEmpty():
-        return left
-    first = Window.partitionBy("doc_id").orderBy(F.xxhash64("text"), F.col("text"))
-    return left.withColumn("__n", F.row_number().over(first)).where("__n = 1 OR doc_id IS NULL").select(*COLUMNS)
+    """One document of each near-duplicate group stays: shingles of five words,
+    similarity 0.8 or more.
+
+    Null, empty and wordless texts are in no group and stay. Of rows that share
+    the id that stays, the one with the smallest hash of its text stays. Rows
+    without an id are all kept. An empty table gives an empty one.
+    """
+    docs = docs.select(*COLUMNS)
+    named = docs.where("doc_id IS NOT NULL")
+    gone = minhash.near_duplicates(named, 80, 5).where("NOT kept").select("doc_id").distinct()
+    left = named.join(gone, "doc_id", "left_anti").select(*COLUMNS)
+    if not named.groupBy("doc_id").count().where("count > 1").isEmpty():
+        # One row per id passes the window before the shuffle, so a hot id stays small.
+        first = Window.partitionBy("doc_id").orderBy(F.xxhash64("text"), F.col("text"))
+        left = left.withColumn("__n", F.row_number().over(first)).where("__n = 1").select(*COLUMNS)
+    return left.unionByName(docs.where("doc_id IS NULL"))
 
 
 def drop_repeats(spark, docs, sf_dir):
-    """Remove passages that an earlier document, or an earlier place, has."""
+    """Remove passages that an earlier document, or an earlier place, has.
+
+    Null texts stay null, empty ones empty; a text that is repeated throughout
+    becomes empty and its row stays. Rows that repeat an id and its text do not
+    repeat each other; null ids come first. ``n_chars`` follows the text. An
+    empty table gives an empty one.
+    """
     left = suffix.remove_repeats(docs.select(*COLUMNS), with_text=True)
     return left.withColumn("n_chars", F.length("text").cast("long")).select(*COLUMNS)
 
 
 def mix(spark, docs, sf_dir):
-    """Repeat or leave out documents so that sources meet their targets."""
+    """Repeat or leave out documents so that sources meet their targets.
+
+    A null source is one of its own, last in order. Null and empty texts have
+    size 0 and are taken like others; a source without words is left out whole.
+    Repeated rows and null ids are separate documents. An empty table gives an
+    empty one.
+    """
     sized = docs.select(*COLUMNS, mixing.words().alias("size"))
     return mixing.repeat_rows(mixing.mix(sized), COLUMNS)
 
 
 def encode(spark, docs, sf_dir):
-    """Token ids of every document that the mix took."""
+    """Token ids of every document that the mix took.
+
+    A null text counts as empty; an empty text has no ids. Repeated rows and
+    null ids are encoded alike and stay. An empty table gives an empty one.
+    """
     return bpe.encode(docs.select(*COLUMNS), vocabulary_file("word_bpe_49k.json"))
 
 
