@@ -5,6 +5,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from panelweave import fixed
 from panelweave.functions import dates
 from panelweave.sources.readers import widen
 
@@ -115,7 +116,7 @@ def tagged(t):
 TAGGED = """tagged AS (SELECT page_id AS post_id, regexp_replace(html, 'href="/', '#', 'g') AS text,
   page_id % 20 AS entity, CAST(DATE '2024-01-01' + CAST(page_id % 90 AS INTEGER) AS DATE) AS day,
   CASE WHEN page_id % 3 = 0 THEN 'left' WHEN page_id % 3 = 1 THEN 'center' ELSE 'right' END AS category FROM pages)"""
-KEYWORDS_RE = ("(coronavirus|covid19|covid-19|covid19italia|coronavid19|pandemia|corona|virus|covid|covid_19)")
+KEYWORDS_RE = f"({'|'.join(fixed.TAG_KEYWORDS)})"
 TAGS = TAGGED + f""",
 tags AS (SELECT post_id, entity, day, category, regexp_extract_all(
   regexp_replace(lower(text), '{KEYWORDS_RE}', '', 'g'), '#[A-Za-z]+[A-Za-z0-9\\-_]+') AS tags FROM tagged)"""

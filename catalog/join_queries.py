@@ -109,21 +109,29 @@ def _(t):
     return joins.range_join(rows, bounds, "week_start").select("post_id", F.col("lb").alias("biweek"))
 
 
-@query("balance_panel", f"""WITH {POSTS}, c AS (SELECT entity, day, count(*) AS n FROM posts WHERE topic = 'click' GROUP BY 1, 2)
+@query("balance_panel_topics", f"""WITH {POSTS}, c AS (SELECT topic, day, count(*) AS n FROM posts GROUP BY 1, 2)
+  SELECT e.topic, CAST(d.day AS VARCHAR) AS day, coalesce(n, 0) AS n FROM (SELECT DISTINCT topic FROM c) e
+  CROSS JOIN (SELECT DISTINCT day FROM c) d LEFT JOIN c ON c.topic = e.topic AND c.day = d.day""", "J-11")
+def _(t):
+    counts = posts(t).groupBy("topic", "day").agg(F.count(F.lit(1)).alias("n"))
+    return joins.balance_panel(counts, "topic", "day")
+
+
+@query("balance_panel", f"""WITH {POSTS}, c AS (SELECT entity, day, count(*) AS n FROM posts GROUP BY 1, 2)
   SELECT e.entity, CAST(d.day AS VARCHAR) AS day, coalesce(n, 0) AS n FROM (SELECT DISTINCT entity FROM c) e
   CROSS JOIN (SELECT DISTINCT day FROM c) d LEFT JOIN c ON c.entity = e.entity AND c.day = d.day""", "J-11")
 def _(t):
-    counts = posts(t).where("topic = 'click'").groupBy("entity", "day").agg(F.count(F.lit(1)).alias("n"))
+    counts = posts(t).groupBy("entity", "day").agg(F.count(F.lit(1)).alias("n"))
     return joins.balance_panel(counts, "entity", "day")
 
 
 @query("attach_by_id", f"""WITH {POSTS}, a AS (SELECT entity, day, count(*) AS clicks FROM posts WHERE topic = 'click' GROUP BY 1, 2),
-  b AS (SELECT entity, day, count(*) AS views FROM posts WHERE topic = 'view' GROUP BY 1, 2)
-  SELECT coalesce(a.entity, b.entity) AS entity, CAST(coalesce(a.day, b.day) AS VARCHAR) AS day, clicks, views FROM a FULL JOIN b ON a.day = b.day AND a.entity = b.entity""", "J-12")
+  b AS (SELECT entity, day, count(*) AS others FROM posts WHERE topic <> 'click' GROUP BY 1, 2)
+  SELECT coalesce(a.entity, b.entity) AS entity, CAST(coalesce(a.day, b.day) AS VARCHAR) AS day, clicks, others FROM a FULL JOIN b ON a.day = b.day AND a.entity = b.entity""", "J-12")
 def _(t):
     p = posts(t)
     a = p.where("topic = 'click'").groupBy("entity", "day").agg(F.count(F.lit(1)).alias("clicks"))
-    b = p.where("topic = 'view'").groupBy("entity", "day").agg(F.count(F.lit(1)).alias("views"))
+    b = p.where("topic <> 'click'").groupBy("entity", "day").agg(F.count(F.lit(1)).alias("others"))
     return joins.attach_by_id(a, b, ["entity", "day"])
 
 
