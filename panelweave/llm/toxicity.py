@@ -42,7 +42,7 @@ STEM = (3, 8)
 TRIPLE = re.compile(r"(.)\1\1+", re.S)
 # Single letters, digits or signs with up to three separators between each two,
 # next to white space or punctuation.
-SPELT = re.compile(r"(?<![^\W_])(?:[^\W_]|[@$€£¡])(?:[\s._\-*·]{1,3}(?:[^\W_]|[@$!€£¡])){2,}(?![^\W_]|[@$€£¡])")
+SPELT = re.compile(r"(?<![^\W_])(?=.[\s._\-*·])(?:[^\W_]|[@$€£¡])(?:[\s._\-*·]{1,3}(?:[^\W_]|[@$!€£¡])){2,}(?![^\W_]|[@$€£¡])")
 GAP = re.compile(r"[\s._\-*·]+")
 NUMBER = re.compile(r"[-+$€£(#]*\d+(?:[.,:/x+-]\d+)*[%)€£$+]*")
 WORDS = re.compile(r"[^\W\d_]+")
