@@ -135,7 +135,8 @@ def triangles(edges, both=None) -> DataFrame:
     Edges point from the smaller to the larger degree, so a node has no more
     out-neighbours than the square root of twice the number of edges. Pairs of
     out-neighbours are formed inside a node's row, and those that are an edge
-    themselves close a triangle; no list travels to another task.
+    themselves close a triangle; no list travels to another task. By that order
+    there are at most m ** 1.5 such pairs for m edges.
     """
     both = settle(symmetric(edges)) if both is None else both
     degree = settle(both.groupBy("node").agg(F.count(F.lit(1)).alias("count")))

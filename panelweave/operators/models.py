@@ -63,8 +63,8 @@ def train_regressors(df, bow, label, split="split", models=tuple(REGRESSORS), me
 
     ``search`` is the number of random parameter draws (no tuning if None).
     The tuned lasso fits all draws, folds and encodings in one run
-    (``lasso.search``; folds by the hash of ``key``, or ``fold_col`` from 0);
-    the trees are tuned one fit at a time.
+    (``lasso.search``; folds from 0 in ``fold_col``, else by the hash of ``key``,
+    else, in a table without it, by the hash of the features); the trees are tuned one fit at a time.
     Result rows: method, model, split, tuned, MAE, MSE, R2.
     """
     def encoded(method):
@@ -99,7 +99,12 @@ def train_regressors(df, bow, label, split="split", models=tuple(REGRESSORS), me
 def _tuned_lasso(rows, bow, label, split, search, folds, fold_col, seed, key):
     """(method, scored rows) for every encoding."""
     draws = [p["regParam"] for p in _points(GRIDS["lasso"], search, seed)]
-    fold = F.col(fold_col).cast("int") if fold_col else lasso.fold_of(key, folds, seed)
+    if fold_col:
+        fold = F.col(fold_col).cast("int")
+    elif key in next(iter(rows.values())).columns:
+        fold = lasso.fold_of(key, folds, seed)
+    else:
+        fold = F.pmod(F.xxhash64(F.lit(seed), vector_to_array("features")), F.lit(folds)).cast("int")
     keep = [split, label]
     every = lasso.stored_rows(rows, label, keep, fold)
     size = {m: len(bow.vocabulary) for m in rows}
