@@ -8,12 +8,15 @@ window; the join splits groups that the aggregate counted as large.
 
 from __future__ import annotations
 
+import math
+from bisect import bisect_right
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from panelweave.operators.joins import with_group
+from panelweave.operators.spread import count_below, quantiles
 from panelweave.operators.spread import number_rows as _number_rows
-from panelweave.operators.spread import quantiles
 
 
 def _keys(keys):
@@ -94,7 +97,14 @@ def bin_number(col, cuts) -> Column:
 def quantile_bin(df, col, n, out="bin", method="averaged") -> DataFrame:
     """Equal-frequency bins 1..n from exact cut points; equal values share a
     bin, and a value equal to a cut point belongs to the lower bin."""
-    return df.withColumn(out, bin_number(col, quantiles(df, col, [i / n for i in range(1, n)], method)))
+    cuts = [c for c in quantiles(df, col, [i / n for i in range(1, n)], method) if c is not None]
+    points = sorted(set(cuts))
+    if not points or not all(map(math.isfinite, points)):
+        return df.withColumn(out, bin_number(col, cuts))
+    # equal cut points count as often as they occur
+    upto = F.lit([1, *[1 + bisect_right(cuts, p) for p in points]])
+    rows = count_below(df.withColumn("_value", F.col(col) if isinstance(col, str) else col), {"_value": points})
+    return rows.withColumn(out, F.get(upto, F.col("_below__value"))).drop("_value", "_below__value")
 
 
 def bin_means(df, bin_col, cols: dict) -> DataFrame:

@@ -121,3 +121,40 @@ def test_rank_columns_reads_its_input_once(spark):
         got = out.toPandas().sort_values("id").reset_index(drop=True)
         for c in cols:
             assert np.allclose(got[c], frame[c].rank(), equal_nan=True)
+
+
+def test_large_slices_are_cut_again_in_one_pass_of_the_same_column(spark, monkeypatch):
+    monkeypatch.setattr(spread, "SLICE_ROWS", 20)
+    widths, cells = [], spread._cells
+    monkeypatch.setattr(spread, "_cells", lambda x, cuts: widths.append(len(cuts)) or cells(x, cuts))
+    values = [float(i * 7919 % 100_003) for i in range(12_000)]
+    df = spark.createDataFrame([(v,) for v in values], "v double").repartition(4)
+    _, got = spread.order_values(df, "v", lambda n: range(1, n + 1, 500))
+    assert got == {r: sorted(values)[r - 1] for r in range(1, 12_001, 500)}
+    assert len(widths) == 4 and max(widths) == 1
+
+
+def test_quantile_bin_plan_does_not_grow_with_bins(spark):
+    from panelweave.operators import windows
+
+    values = [0.0, -0.0, 1.0, 1.0, 2.5, float("nan"), float("inf"), None, *[float(i % 50) for i in range(800)]]
+    df = spark.createDataFrame([(i, v) for i, v in enumerate(values)], "id long, v double")
+    plans = []
+    for n in (4, 99):
+        out = windows.quantile_bin(df, "v", n)
+        assert out.columns == ["id", "v", "bin"] and dict(out.dtypes)["bin"] == "int"
+        cuts = [c for c in spread.quantiles(df, "v", [i / n for i in range(1, n)], "averaged")]
+        want = {i: None if v is None else 1 + (len(cuts) if v != v else sum(v > c for c in cuts)) for i, v in enumerate(values)}
+        assert {r["id"]: r["bin"] for r in out.collect()} == want
+        plans.append(out._jdf.queryExecution().optimizedPlan().toString().count(">"))
+    assert plans[0] == plans[1]
+
+
+def test_count_below_meets_comparisons(spark):
+    rows = [(1.0, 5), (-0.0, 0), (0.0, -3), (2.0, None), (None, 7), (float("nan"), 2), (float("-inf"), 9)]
+    df = spark.createDataFrame(rows, "a double, b int")
+    cuts = {"a": [-1.0, 0.0, 1.0, 1.5], "b": []}
+    out = spread.count_below(df, cuts).collect()
+    for (a, b), r in zip(rows, out):
+        assert r["_below_a"] == (None if a is None else 4 if a != a else sum(a > c for c in cuts["a"]))
+        assert r["_below_b"] == (None if b is None else 0)
