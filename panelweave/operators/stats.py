@@ -192,11 +192,17 @@ def corr_pair(df, x, y, method="pearson", out="rho") -> DataFrame:
         F.sum(w * dx * dy), F.sqrt(F.sum(w * dx * dx)) * F.sqrt(F.sum(w * dy * dy))).alias(out))
 
 
+# Columns whose ranks are looked up in a broadcast table each.
+MOST_LOOKUPS = 16
+
+
 def rank_columns(df, cols, partition=()) -> DataFrame:
     """Average ranks of each column (within ``partition``); nulls stay null.
 
-    All columns are ranked in one pass: unpivoted to (row, column, value),
-    ranked by column, and pivoted back. The table is read once and stored.
+    All columns are ranked in one pass: unpivoted to (row, column, value) and
+    ranked by column. The ranks of the distinct values, when few bytes, are
+    broadcast and looked up, so no row is shuffled; else rows are joined in
+    long form and pivoted back. The table is read once and stored.
     """
     cols, keys = list(cols), _keys(partition)
     rows = settle(df.withColumn("_row", F.monotonically_increasing_id()))
@@ -205,6 +211,19 @@ def rank_columns(df, cols, partition=()) -> DataFrame:
         "_row", *keys, "_e._col", "_e._v").where(F.col("_v").isNotNull())
     on = [*keys, "_col", "_v"]
     ranks = average_ranks(long, "_v", "_v", "_r", keys=[*keys, "_col"])
+    if len(cols) <= MOST_LOOKUPS:
+        ranks = settle(ranks)
+        if fits(ranks):
+            out = rows
+            for i, c in enumerate(cols):
+                side = ranks.where(F.col("_col") == c).select(
+                    *[F.col(f"`{k}`").alias(f"_k{i}_{j}") for j, k in enumerate(keys)], F.col("_v").alias(f"_v{i}"), F.col("_r").alias(f"_r{i}"))
+                match = F.col(f"`{c}`").cast("double") == F.col(f"_v{i}")
+                for j, k in enumerate(keys):
+                    match = match & (F.col(f"`{k}`") == F.col(f"_k{i}_{j}"))
+                out = out.join(F.broadcast(side), match, "left")
+            rest = [c for c in df.columns if c not in cols]
+            return out.select(*[F.col(f"`{c}`") for c in rest], *[F.col(f"_r{i}").alias(c) for i, c in enumerate(cols)])
     ranked = salted_join(long, ranks, on)
     wide = ranked.groupBy("_row").pivot("_col", cols).agg(F.first("_r"))
     return rows.drop(*cols).join(wide, "_row", "left").drop("_row")

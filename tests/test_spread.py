@@ -158,3 +158,20 @@ def test_count_below_meets_comparisons(spark):
     for (a, b), r in zip(rows, out):
         assert r["_below_a"] == (None if a is None else 4 if a != a else sum(a > c for c in cuts["a"]))
         assert r["_below_b"] == (None if b is None else 0)
+
+
+def test_rank_columns_of_few_values_shuffle_no_rows(spark):
+    from panelweave.operators import stats
+
+    rows = [(i % 3 if i % 7 else None, float(i % 5) if i % 11 else None, float("nan") if i % 13 == 0 else float(i % 4)) for i in range(400)]
+    df = spark.createDataFrame(rows, "k long, a double, b double")
+    for part in ((), ("k",)):
+        out = stats.rank_columns(df, ["a", "b"], part)
+        plan = out._jdf.queryExecution().executedPlan().toString()
+        assert out.columns == ["k", "a", "b"] and "SortMergeJoin" not in plan and "hashpartitioning" not in plan
+        frame = df.toPandas()
+        found = out.toPandas()
+        want = frame.groupby("k")[["a", "b"]].rank() if part else frame[["a", "b"]].rank()
+        order = lambda f: f.fillna(-1.0).sort_values(["k", "a", "b"]).reset_index(drop=True)
+        want.insert(0, "k", frame["k"])
+        assert order(found).equals(order(want))
