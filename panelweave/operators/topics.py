@@ -20,8 +20,9 @@ from panelweave.session import settle
 
 # Steps of a document's own inference, and the mean change at which it stops.
 INNER_STEPS, INNER_CHANGE = 50, 1e-3
-# Entries (document, term) that a task works on together.
-ENTRIES = 200_000
+# Entries (document, term) that a task works on together; their numbers by topic
+# stay within a processor's cache.
+ENTRIES = 16_000
 
 
 @dataclass
