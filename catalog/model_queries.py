@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
 
 from catalog import query
@@ -55,9 +54,9 @@ def _(t):
 def _vectors(t, method):
     rows = grams(t)
     bow = features.fit_bow(rows, "terms")
-    values = vector_to_array(F.col("features"))
+    values = features.nonzero("features")["values"]
     total = F.aggregate(values, F.lit(0.0), lambda a, x: a + x)
-    top = F.array_max(values)
+    top = F.coalesce(F.array_max(values), F.lit(0.0))
     return bow.transform(rows, method).select("doc_id", total.alias("total"), top.alias("top"))
 
 

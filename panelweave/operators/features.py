@@ -59,20 +59,43 @@ def term_counts(df, doc, terms, keep=()) -> DataFrame:
     ends = F.concat(F.slice(starts, F.lit(2), F.size("_h")), F.array("_n"))
     counted = F.zip_with("_h", F.slice(ends, F.lit(1), F.size("_h")), lambda h, e: F.struct(
         h["term"].alias("term"), (e - h["at"]).alias("tf")))
-    return rows.select(doc, *keep, F.explode(counted).alias("_c")).select(doc, *keep, "_c.term", "_c.tf")
+    return _exploded(rows, [doc, *keep], counted, "_c").select(doc, *keep, "_c.term", "_c.tf")
+
+
+def _exploded(rows, keep, values, out) -> DataFrame:
+    """Explode a costly list. Exploded itself, it would be computed a second
+    time by the filter on empty lists that the optimizer adds."""
+    return rows.select(*keep, F.explode(F.array(values)).alias("_l")).select(*keep, F.explode("_l").alias(out))
 
 
 def term_stats(df, terms) -> DataFrame:
     """Document frequency and total frequency per term; ``df`` has one row per
     document. One shuffle, after partial counts are merged."""
-    rows = term_counts(df.withColumn("_d", F.lit(1)), "_d", terms)
-    return rows.groupBy("term").agg(F.count(F.lit(1)).alias("df"), F.sum("tf").alias("tf"))
+    return _stats(df.select(terms), [], terms)
 
 
 def term_stats_by(df, key, terms) -> DataFrame:
     """``term_stats`` for each value of a column: (key, term, df, tf)."""
-    rows = term_counts(df, key, terms)
-    return rows.groupBy(key, "term").agg(F.count(F.lit(1)).alias("df"), F.sum("tf").alias("tf"))
+    return _stats(df.select(key, terms), [key], terms)
+
+
+def _stats(rows, keys, terms) -> DataFrame:
+    # a document's terms stand once with repeats for tf and once without for df
+    both = rows.select(*keys, F.posexplode(F.array(F.col(terms), F.array_distinct(terms))).alias("_once", "_l"))
+    cells = both.select(*keys, "_once", F.explode("_l").alias("term"))
+    return cells.groupBy(*keys, "term").agg(F.sum(F.col("_once").cast("bigint")).alias("df"), F.sum((1 - F.col("_once")).cast("bigint")).alias("tf"))
+
+
+def term_totals(df, terms) -> DataFrame:
+    """Total frequency per term."""
+    return _exploded(df, [], F.col(terms), "term").groupBy("term").agg(F.count(F.lit(1)).alias("tf"))
+
+
+def nonzero(features) -> Column:
+    """(indices, values) of a vector column without filling in its zeros."""
+    v = F.unwrap_udt(_col(features))
+    at = F.when(v["type"] == 0, v["indices"]).otherwise(F.sequence(F.lit(0), F.size(v["values"]) - 1))
+    return F.struct(at.alias("at"), v["values"].alias("values"))
 
 
 def filter_vocab(df, terms, no_below=fixed.DICT_NO_BELOW, no_above=fixed.MAX_DF, max_terms=None) -> DataFrame:
@@ -157,7 +180,7 @@ def phrase_table(df, tokens, min_count=fixed.PHRASE_MIN_COUNT, threshold=fixed.P
     # one scan: words and pairs (joined by a mark) are counted inside the row first
     both = df.select(F.concat(F.col(tokens), F.transform(
         pairs_of(tokens), lambda p: F.concat(p["src"], F.lit(PAIR_MARK), p["dst"]))).alias("_t"))
-    counts = settle(term_stats(both, "_t").select("term", F.col("tf").alias("n")))
+    counts = settle(term_totals(both, "_t").withColumnRenamed("tf", "n"))
     size = counts.count()
     is_pair = F.col("term").contains(PAIR_MARK)
     words = counts.where(~is_pair)

@@ -190,3 +190,30 @@ def test_author_topics_use_phrases_and_the_large_dictionary(spark, monkeypatch):
     for r in asked[0][0].collect():
         n = len(plain[r["doc_id"]])
         assert r["terms"][:n] == plain[r["doc_id"]] and "red_fox" in r["terms"][n:]
+
+
+def test_term_statistics_read_the_text_once(spark):
+    rows = [(1, "b a b"), (2, "a c"), (3, ""), (4, None), (5, "a a a"), (1, "b a b")]
+    df = spark.createDataFrame(rows, "id long, text string")
+    words = df.select("id", F.filter(F.split("text", " "), lambda w: w != "").alias("t"))
+    lists = [(i, (t or "").split()) for i, t in rows]
+    tf, seen = Counter(w for _, l in lists for w in l), Counter(w for _, l in lists for w in set(l))
+    every = features.term_stats(words, "t")
+    assert {r["term"]: (r["df"], r["tf"]) for r in every.collect()} == {w: (seen[w], tf[w]) for w in tf}
+    by = features.term_stats_by(words, "id", "t")
+    assert {(r["id"], r["term"]): (r["df"], r["tf"]) for r in by.collect()} == {
+        (i, w): (sum(w in l for j, l in lists if j == i), sum(l.count(w) for j, l in lists if j == i)) for i, l in lists for w in l}
+    totals = features.term_totals(words, "t")
+    assert {r["term"]: r["tf"] for r in totals.collect()} == tf
+    counts = features.term_counts(words, "id", "t")
+    for out in (every, by, totals, counts):
+        assert out._jdf.queryExecution().optimizedPlan().toString().count("split(") == 1
+
+
+def test_nonzero_keeps_vectors_sparse(spark):
+    from pyspark.ml.linalg import Vectors
+
+    vectors = [Vectors.sparse(5, [1, 4], [2.0, 3.0]), Vectors.dense([0.0, 7.0]), Vectors.sparse(5, [], [])]
+    df = spark.createDataFrame(list(enumerate(vectors)), ["i", "v"])
+    got = {r["i"]: (r["n"]["at"], r["n"]["values"]) for r in df.select("i", features.nonzero("v").alias("n")).collect()}
+    assert got == {0: ([1, 4], [2.0, 3.0]), 1: ([0, 1], [0.0, 7.0]), 2: ([], [])}
