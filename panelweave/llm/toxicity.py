@@ -10,7 +10,6 @@ reading; the restored words are then scored by a linear model.
 from __future__ import annotations
 
 import re
-from collections import Counter
 
 import numpy as np
 from pyspark.sql import DataFrame
@@ -34,9 +33,12 @@ READ, SKIP, KEEP, EDGE, JOIN, PART, SINGLE, LOST = 2.0, 2.0, 5.0, 0.3, 0.2, 2.5,
 # alphabet of the language model. State 0 is the word boundary.
 POINTS, LETTERS = 2048, 63
 STATES = LETTERS + 1
+# No reading of this number at a place of a lattice.
+NONE = -2
 # Longest lattice; a longer token is read in pieces of this many characters.
 LONGEST = 4096
-REMEMBERED = 150_000
+# Odd tokens a task remembers, and texts whose tokens are read together.
+REMEMBERED, TOGETHER = 150_000, 2048
 # Shortest and longest beginning of a word that is a feature.
 STEM = (3, 8)
 TRIPLE = re.compile(r"(.)\1\1+", re.S)
@@ -59,6 +61,8 @@ class LanguageModel:
         n = len(self.letters)
         self.log[:n, :n] = np.log(total / total.sum(1, keepdims=True))
         self.into = np.ascontiguousarray(self.log.T)
+        # readings of characters met so far
+        self.ways: dict = {}
 
 
 def bigram_counts(docs: DataFrame) -> DataFrame:
@@ -111,23 +115,34 @@ def lattice(token: str, lm: LanguageModel) -> list[list[tuple[int, float, str]]]
                or [i for i, c in enumerate(token) if c in LOOKALIKES])
     first, last = (letters[0], letters[-1]) if letters else (len(token), -1)
     bare = not any(map(str.isalpha, token))
+    before = ""
     for i, c in enumerate(token):
         edge = i < first or i > last
-        if c.isalpha():
-            ways = [(lm.code[c], 0.0, c)] if c in lm.code else [(0, 0.0, c)]
-        else:
-            ways = [(lm.code[x], READ, x) for x in LOOKALIKES.get(c, "") if x in lm.code]
-            part = c in SEPARATORS
-            ways.append((0, EDGE if edge else PART if part else KEEP, " "))
-            if not c.isdigit():
-                ways.append((-1, EDGE if edge else JOIN if part else LOST if bare and c in LOOKALIKES else SKIP, ""))
-        doubled = i > 0 and token[i - 1] == c and not doubled
-        if doubled and c.isalpha():
-            ways = [*ways, (-1, SINGLE, "")]
+        doubled = before == c and not doubled
+        before = c
+        ways = lm.ways.get((c, edge, bare, doubled))
+        if ways is None:
+            ways = lm.ways[c, edge, bare, doubled] = readings(c, edge, bare, doubled, lm)
         out.append(ways)
     return out
 
 
+def readings(c: str, edge: bool, bare: bool, doubled: bool, lm: LanguageModel) -> list[tuple[int, float, str]]:
+    """Those of one character: ``edge`` outside a token's letters, ``bare`` in a
+    token without letters, ``doubled`` after the same character."""
+    if c.isalpha():
+        ways = [(lm.code[c], 0.0, c)] if c in lm.code else [(0, 0.0, c)]
+    else:
+        ways = [(lm.code[x], READ, x) for x in LOOKALIKES.get(c, "") if x in lm.code]
+        part = c in SEPARATORS
+        ways.append((0, EDGE if edge else PART if part else KEEP, " "))
+        if not c.isdigit():
+            ways.append((-1, EDGE if edge else JOIN if part else LOST if bare and c in LOOKALIKES else SKIP, ""))
+    if doubled and c.isalpha():
+        ways = [*ways, (-1, SINGLE, "")]
+    return ways
+
+
 def decode(tokens: list[str], lm: LanguageModel) -> list[str]:
     """The likeliest reading of each token; tokens of one length run together."""
     out = [""] * len(tokens)
@@ -151,20 +166,28 @@ def _viterbi(lattices, n: int, lm: LanguageModel) -> list[str]:
     value[:, 0] = 0
     came = np.zeros((n, b, STATES), np.int8)
     way = np.full((n, b, STATES), -1, np.int8)
+    # every reading as (its number, state, cost), by place and token
+    sizes = np.array([[len(ways) for ways in x] for x in lattices]).reshape(b, n)
+    most = sizes.max(0) if b else sizes.sum(0)
+    flat = [(w[0], w[1]) for x in lattices for ways in x for w in ways]
+    number = np.arange(len(flat)) - np.repeat(np.cumsum(sizes) - sizes.ravel(), sizes.ravel())
+    token, place = (np.repeat(i.ravel(), sizes.ravel()) for i in np.indices((b, n)))
+    states = np.full((n, int(most.max(initial=0)), b), NONE)
+    costs = np.zeros(states.shape, np.float32)
+    if flat:
+        states[place, number, token], costs[place, number, token] = np.array(flat).T
     for t in range(n):
         new = np.full((b, STATES), -np.inf, np.float32)
-        for k in range(max(len(x[t]) for x in lattices)):
-            has = np.array([k < len(x[t]) for x in lattices])
-            state = np.array([x[t][k][0] if k < len(x[t]) else 0 for x in lattices])
-            cost = np.array([x[t][k][1] if k < len(x[t]) else 0 for x in lattices], np.float32)
-            skip = np.flatnonzero(has & (state < 0))
+        for k in range(most[t]):
+            state, cost = states[t, k], costs[t, k]
+            skip = np.flatnonzero(state == -1)
             if len(skip):
                 held = value[skip] - cost[skip, None]
                 better = held > new[skip]
                 new[skip] = np.where(better, held, new[skip])
                 came[t, skip] = np.where(better, np.arange(STATES, dtype=np.int8), came[t, skip])
                 way[t, skip] = np.where(better, np.int8(k), way[t, skip])
-            step = np.flatnonzero(has & (state >= 0))
+            step = np.flatnonzero(state >= 0)
             if len(step):
                 to = state[step]
                 reach = value[step] + lm.into[to]
@@ -203,14 +226,30 @@ def is_odd(token: str) -> bool:
     return len(signs) >= 3 and len(set(signs) - set("|!(#+")) > 0 and len(set(token)) > 1 and not NUMBER.fullmatch(token.strip(".,;:!?\"'()[]{}"))
 
 
+def repeating(tokens) -> set[str]:
+    """The tokens with a character three times in a row, found in one search."""
+    body = "\n".join(tokens)  # no token holds a line break
+    found, end = set(), -1
+    for m in TRIPLE.finditer(body):
+        if m.start() > end:
+            start, end = body.rfind("\n", 0, m.start()) + 1, body.find("\n", m.start())
+            end = len(body) if end < 0 else end
+            found.add(body[start:end])
+    return found
+
+
 class Restorer:
     """What texts hold after restoring: their words, or what ``finish`` makes of
-    a token's words. A task remembers the tokens it met lately."""
+    a token's words. A task remembers the odd tokens it read; ``known`` has the
+    tokens of the texts at hand that give anything. ``starts``, if given, holds
+    the beginnings of STEM[0] characters without which a word gives nothing."""
 
-    def __init__(self, lm: LanguageModel, finish=tuple):
+    def __init__(self, lm: LanguageModel, finish=tuple, starts=None):
         self.lm = lm
         self.finish = finish
+        self.starts = starts
         self.known: dict[str, tuple] = {}
+        self.read: dict[str, tuple] = {}
 
     def tokens(self, text: str) -> set[str]:
         """Distinct tokens in lower case, spelt-out runs as one token each."""
@@ -218,33 +257,47 @@ class Restorer:
         return set(low.split()) | ({spelt(x) for x in SPELT.findall(low)} - {None})
 
     def learn(self, tokens: set[str]) -> None:
-        fresh = [t for t in tokens if t not in self.known]
-        if len(self.known) + len(fresh) > REMEMBERED:
-            self.known.clear()
-            fresh = list(tokens)
-        odd = []
-        for t in fresh:
-            if is_odd(t):
+        self.known.clear()
+        repeats = repeating(tokens)
+        odd, finish, starts, n = [], self.finish, self.starts, STEM[0]
+        # see ``is_odd``: letters alone may only repeat one
+        plain = {t for t in tokens if t.isalpha()} - repeats
+        for t in plain if starts is None else [t for t in plain if t[:n] in starts]:
+            self.keep(t, finish((t,)))
+        for t in tokens - plain:
+            core = t.strip(PUNCTUATION)
+            if (t in repeats and TRIPLE.search(core)) if core.isalpha() else is_odd(t):
                 odd.append(t)
-            else:
-                core = t.strip(PUNCTUATION)
-                self.known[t] = self.finish((core,)) if core else ()
+            elif core and (starts is None or core[:n] in starts):
+                self.keep(t, finish((core,)))
+        self.decode([t for t in odd if t not in self.read])
+        for t in odd:
+            self.keep(t, self.read[t])
+
+    def keep(self, token: str, found: tuple) -> None:
+        if found:
+            self.known[token] = found
+
+    def decode(self, odd: list[str]) -> None:
+        if len(self.read) > REMEMBERED:
+            self.read.clear()
         cut = [t[i:i + LONGEST] for t in odd for i in range(0, len(t), LONGEST)]
         read = iter(decode(cut, self.lm))
         for t in odd:
             whole = "".join(next(read) for _ in range(0, len(t), LONGEST))
             # The reading and the letters as they stand both count.
-            self.known[t] = self.finish(tuple(dict.fromkeys(WORDS.findall(whole) + WORDS.findall(t))))
+            self.read[t] = self.finish(tuple(dict.fromkeys(WORDS.findall(whole) + WORDS.findall(t))))
 
     def words(self, texts: list[str]) -> list[set[str]]:
         """Distinct restored words of each text, or what ``finish`` made of them."""
         sets = [self.tokens(t) for t in texts]
         out = []
-        for at in range(0, len(sets), 256):
-            part = sets[at:at + 256]
+        for at in range(0, len(sets), TOGETHER):
+            part = sets[at:at + TOGETHER]
             self.learn(set().union(*part))
             known = self.known
-            out.extend({w for t in s for w in known[t]} for s in part)
+            # the smaller side is gone through: most texts hold few tokens that give anything
+            out.extend({w for t in (s if self.starts is None else known.keys() & s) for w in known.get(t, ())} for s in part)
         return out
 
     def text(self, text: str) -> str:
@@ -264,6 +317,39 @@ def features(words) -> set[str]:
     return {*words, *["^" + w[:n] for w in words for n in range(STEM[0], min(STEM[1], len(w)) + 1)]}
 
 
+def word_features(lists, among=None):
+    """(names, at, row): ``features`` of each row's words in an Arrow column of
+    lists. ``names`` are the features of all rows, ``at`` their numbers and
+    ``row`` the rows, each feature once a row. Beginnings are cut from the
+    distinct words only. ``among`` names the only features wanted."""
+    import pyarrow as pa
+    import pyarrow.compute as pc
+
+    flat = lists.flatten().dictionary_encode()
+    words, code = flat.dictionary, flat.indices.to_numpy().astype(np.int64)
+    owner = np.repeat(np.arange(len(lists)), pc.fill_null(pc.list_value_length(lists), 0).to_numpy())
+    lengths = pc.utf8_length(words).to_numpy()
+    names, at, row, n = [words], [], [], 0
+    for size in (0, *range(STEM[0], STEM[1] + 1)):
+        if size:
+            stems = pc.utf8_slice_codeunits(words.filter(pa.array(lengths >= size)), 0, size).dictionary_encode()
+            names.append(pc.binary_join_element_wise("^", stems.dictionary, ""))
+            number = np.full(len(words), -1, np.int64)
+            number[lengths >= size] = stems.indices.to_numpy()
+        else:
+            number = np.arange(len(words))
+        if among is not None:
+            wanted = pc.is_in(names[-1], among).to_numpy(zero_copy_only=False)
+            number[~np.append(wanted, False)[number]] = -1
+        mine = number[code]
+        width = max(len(names[-1]), 1)
+        once = np.unique(owner[mine >= 0] * width + mine[mine >= 0])
+        at.append(once % width + n)
+        row.append(once // width)
+        n += len(names[-1])
+    return pa.concat_arrays(names), np.concatenate(at), np.concatenate(row)
+
+
 class Active:
     """The features of words that have a weight, without building the others."""
 
@@ -282,7 +368,7 @@ class Active:
         return tuple(out)
 
 
-def _slices(texts, size=1_000_000):
+def _slices(texts, size=4_000_000):
     part, n = [], 0
     for t in texts:
         part.append(t or "")
@@ -336,22 +422,12 @@ def telling_features(rows: DataFrame, least: int, most: int) -> list[str]:
     import pyarrow as pa
 
     def run(batches):
-        counts = (Counter(), Counter())
-
-        def release():
-            both = list({*counts[0], *counts[1]})
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(both, pa.string()), pa.array([counts[1][f] for f in both], pa.int64()), pa.array([counts[0][f] for f in both], pa.int64())],
-                names=["feature", "ones", "zeros"])
-            counts[0].clear()
-            counts[1].clear()
-
         for batch in batches:
-            for y, words in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                counts[y].update(features(words))
-                if len(counts[0]) + len(counts[1]) > 150_000:
-                    yield from release()
-        yield from release()
+            y = batch.column(0).to_numpy()
+            names, at, row = word_features(batch.column(1))
+            ones = np.bincount(at, y[row], minlength=len(names)).astype(np.int64)
+            both = np.bincount(at, minlength=len(names))
+            yield pa.RecordBatch.from_arrays([names, pa.array(ones), pa.array(both - ones)], names=["feature", "ones", "zeros"])
 
     sizes = {r.y: r.n for r in rows.groupBy("y").agg(F.count(F.lit(1)).alias("n")).collect()}
     if len(sizes) < 2:
@@ -374,14 +450,17 @@ def fit(rows: DataFrame, least: int = 4, most: int = 4000, penalty: float = 0.05
     its intercept. Weights are 0 or more: a text is toxic for what it holds, and
     no harmless words make up for it. The features' places in the bounded sample reach the driver."""
     import pyarrow as pa
+    import pyarrow.compute as pc
 
     names = telling_features(rows, least, most)
-    place = {f: i for i, f in enumerate(names)}
 
     def run(batches):
         for batch in batches:
-            at = [sorted(place[f] for f in features(w) if f in place) for w in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(at, pa.list_(pa.int32()))], names=["y", "at"])
+            found, at, row = word_features(batch.column(1), pa.array(names, pa.string()))
+            told = pc.index_in(found, pa.array(names, pa.string())).fill_null(-1).to_numpy().astype(np.int64)[at]
+            told = told[np.lexsort((told, row))].astype(np.int32)
+            ends = np.append(0, np.cumsum(np.bincount(row, minlength=batch.num_rows))).astype(np.int32)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(pa.array(ends), pa.array(told))], names=["y", "at"])
 
     got = rows.mapInArrow(run, "y int, at array<int>").toArrow()
     y = got.column("y").to_numpy().astype(float)
@@ -391,7 +470,7 @@ def fit(rows: DataFrame, least: int = 4, most: int = 4000, penalty: float = 0.05
         share = min(max(y.mean(), 0.01), 0.99)
         return {}, float(np.log(share / (1 - share)))
     at = got.column("at").combine_chunks()
-    col = np.asarray(at.values)
+    col = np.asarray(at.values).astype(np.int64)
     row = np.repeat(np.arange(len(y)), np.asarray(at.value_lengths()))
     w, b, speed_w, speed_b = np.zeros(len(names)), np.log(y.mean() / (1 - y.mean())), 0.0, 0.0
     # Diagonal steps: each feature's curvature is at most a quarter of its count.
@@ -432,7 +511,8 @@ def classify(docs: DataFrame, labels: DataFrame, label: str = "toxic", folds: in
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*keep).schema.fields)
 
     def run(batches):
-        reader = Restorer(lm, Active(weights))
+        active = Active(weights)
+        reader = Restorer(lm, active, active.starts)
         for batch in batches:
             z = []
             for part in _slices(batch.column("text").to_pylist()):

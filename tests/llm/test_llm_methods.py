@@ -6,6 +6,7 @@ import random
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 public_tokenizers = pytest.importorskip("public_tokenizers")
@@ -260,6 +261,29 @@ def test_telling_features_and_weights(spark):
     assert penalty and weights
 
 
+def test_word_features_of_a_batch_are_those_of_each_row():
+    rng = random.Random(8)
+    rows = [sorted({"".join(rng.choice("abéñ𝒳") for _ in range(rng.randrange(1, 11))) for _ in range(rng.randrange(30))}) for _ in range(60)]
+    for part in (pa.array([*rows, []], pa.list_(pa.string())), pa.array(rows, pa.list_(pa.string())).slice(7), pa.array([], pa.list_(pa.string()))):
+        names, at, row = toxicity.word_features(part)
+        got = [[] for _ in part]
+        for a, r in zip(at, row):
+            got[r].append(names[a].as_py())
+        assert [sorted(g) for g in got] == [sorted(toxicity.features(w)) for w in part.to_pylist()]
+        names, at, row = toxicity.word_features(part, pa.array(["^abc", "ab"]))
+        assert sorted(zip(row, names.take(pa.array(at)).to_pylist())) == [
+            (i, f) for i, w in enumerate(part.to_pylist()) for f in ("^abc", "ab") if f in toxicity.features(w)]
+
+
+def test_words_that_give_nothing_are_left_out_early():
+    texts = ["you 1d10t, aaa idiots!", "an i d i o t. scuuuum ... said", "the river aaaa---b", ""] * 700
+    active = toxicity.Active({"^idi": 1.0, "scum": 2.0, "a": 1.0})
+    plain = reader().words(texts)
+    early = toxicity.Restorer(reader().lm, active, active.starts).words(texts)
+    assert early == [{f for w in words for f in active((w,))} for words in plain]
+    assert toxicity.repeating({"aaa", "aab", "b", "xx...", "--", "a\u20acccc"}) == {"aaa", "xx...", "a\u20acccc"}
+
+
 # Near duplicates with other shingles
 
 def test_five_word_shingles_at_four_fifths(spark):
