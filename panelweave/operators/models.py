@@ -7,7 +7,7 @@ import random
 from functools import reduce
 
 import pandas as pd
-from pyspark.ml import Pipeline
+from pyspark.ml import PipelineModel
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.clustering import LDA
 from pyspark.ml.evaluation import RegressionEvaluator
@@ -124,9 +124,13 @@ def pending_runs(grid, done, keys) -> DataFrame:
     return pending(grid, done, keys)
 
 
-def _text_stages(tokens, n_features):
-    return [HashingTF(inputCol=tokens, outputCol="_tf", numFeatures=n_features),
-            IDF(inputCol="_tf", outputCol="features")]
+def _fit_text(df, tokens, label, n_features, model):
+    """Hashed tf-idf and ``model``. Weights and model take several passes; the
+    counts are stored for them, so that texts are cut into terms only once."""
+    hashing = HashingTF(inputCol=tokens, outputCol="_tf", numFeatures=n_features)
+    counts = settle(hashing.transform(df).select("_tf", label))
+    idf = IDF(inputCol="_tf", outputCol="features").fit(counts)
+    return PipelineModel(stages=[hashing, idf, model.fit(idf.transform(counts))])
 
 
 def text_score_model(df, tokens, label, n_features=1 << 14, reg=0.01):
@@ -134,7 +138,7 @@ def text_score_model(df, tokens, label, n_features=1 << 14, reg=0.01):
     ``apply_score``, which keeps the score within [-1, 1]."""
     model = LinearRegression(featuresCol="features", labelCol=label, regParam=reg, solver="l-bfgs",
                              predictionCol="_raw")
-    return Pipeline(stages=[*_text_stages(tokens, n_features), model]).fit(df)
+    return _fit_text(df, tokens, label, n_features, model)
 
 
 def apply_score(model, df, out="prediction") -> DataFrame:
@@ -146,7 +150,7 @@ def multiclass_text_model(df, tokens, label, n_features=1 << 14, reg=0.01):
     ``label`` holds class numbers from 0."""
     model = LogisticRegression(featuresCol="features", labelCol=label, regParam=reg, family="multinomial",
                                predictionCol="_class", probabilityCol="_prob", rawPredictionCol="_raw")
-    return Pipeline(stages=[*_text_stages(tokens, n_features), model]).fit(df)
+    return _fit_text(df, tokens, label, n_features, model)
 
 
 def apply_classes(model, df, names, prefix="topic_", out="final_pred") -> DataFrame:

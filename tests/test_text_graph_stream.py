@@ -217,3 +217,20 @@ def test_nonzero_keeps_vectors_sparse(spark):
     df = spark.createDataFrame(list(enumerate(vectors)), ["i", "v"])
     got = {r["i"]: (r["n"]["at"], r["n"]["values"]) for r in df.select("i", features.nonzero("v").alias("n")).collect()}
     assert got == {0: ([1, 4], [2.0, 3.0]), 1: ([0, 1], [0.0, 7.0]), 2: ([], [])}
+
+
+def test_text_models_cut_texts_into_terms_once(spark):
+    made = spark.sparkContext.accumulator(0)
+
+    @F.udf("array<string>")
+    def cut(text):
+        made.add(1)
+        return text.split()
+
+    texts = [("calm river stone", 0.0), ("loud city road", 1.0), ("green garden tree", 2.0)] * 4
+    rows = spark.createDataFrame(texts, "text string, y double").withColumn("terms", cut("text"))
+    for fit in (models.multiclass_text_model, models.text_score_model):
+        made.value = 0
+        model = fit(rows, "terms", "y", 1 << 8)
+        assert made.value == len(texts)
+    assert model.transform(rows).count() == len(texts)
