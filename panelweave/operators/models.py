@@ -233,17 +233,20 @@ def linear_scorer(weights, bias, vector, doc):
 
 
 def fit_lda(df, terms, k=20, seed=fixed.SEED, max_iter=20, min_df=fixed.MIN_DF, max_df=1.0,
-            max_features=fixed.MAX_FEATURES, alpha=None, eta=None):
+            max_features=fixed.MAX_FEATURES, alpha=None, eta=None, keep=None):
     """Counted n-grams and a topic model; returns (bow, model, features). Every
-    pass of the fit reads all documents."""
+    pass of the fit reads all documents: their counts alone, which are stored
+    apart from the other columns (``keep`` limits those)."""
     bow = fit_bow(df, terms, max_features, min_df, max_df)
-    counted = settle(bow.transform(df, "frequency"))
+    counted = bow.transform(df, "frequency")
+    counted = settle(counted if keep is None else counted.select(*keep, "features"))
+    lean = settle(counted.select("features"))
     lda = LDA(k=k, seed=seed, maxIter=max_iter, optimizer="online", featuresCol="features", subsamplingRate=1.0)
     if alpha is not None:
         lda = lda.setDocConcentration([alpha])
     if eta is not None:
         lda = lda.setTopicConcentration(eta)
-    return bow, lda.fit(counted), counted
+    return bow, lda.fit(lean), counted
 
 
 def topic_assign(model, counted, prefix="topic_", out="pred", keep=None, store=True) -> DataFrame:

@@ -65,9 +65,10 @@ def text_topics(posts, doc, text_col, k=20, stop_words=(), phrases=False, min_df
     documents with their topics, the term weights and the best documents."""
     rows = posts.withColumn("tokens", textfn.tokenize(textfn.clean_post(text_col), stop_words))
     if phrases:
-        rows = features.collocations(rows, doc, "tokens")
+        # cleaning is costly, and phrases take several passes
+        rows = features.collocations(settle(rows), doc, "tokens")
     rows = rows.withColumn("terms", features.ngrams("tokens"))
-    bow, model, counted = models.fit_lda(rows, "terms", k, seed, max_iter, min_df)
+    bow, model, counted = models.fit_lda(rows, "terms", k, seed, max_iter, min_df, keep=posts.columns)
     assigned = models.topic_assign(model, counted)
     terms = models.topic_terms(model, bow, posts.sparkSession)
     best = models.top_docs(assigned, doc, text_col, k)

@@ -234,3 +234,12 @@ def test_text_models_cut_texts_into_terms_once(spark):
         model = fit(rows, "terms", "y", 1 << 8)
         assert made.value == len(texts)
     assert model.transform(rows).count() == len(texts)
+
+
+def test_topic_passes_read_counts_alone(spark, monkeypatch):
+    read, real = [], models.LDA.fit
+    monkeypatch.setattr(models.LDA, "fit", lambda self, df: read.append(df.columns) or real(self, df))
+    rows = spark.createDataFrame([(i, "a text", ["calm", "river"] if i % 2 else ["city", "road"]) for i in range(12)], "doc_id long, text string, terms array<string>")
+    _, model, counted = models.fit_lda(rows, "terms", 2, max_iter=2, min_df=1, keep=["doc_id"])
+    assert read == [["features"]] and counted.columns == ["doc_id", "features"]
+    assert models.topic_assign(model, counted).count() == 12
