@@ -243,6 +243,32 @@ def test_lasso_of_all_folds_and_penalties(spark):
         assert abs(r["predictions"][0] - (x[r["id"]] @ w[:, 0] + b[0])) < 1e-9
 
 
+def test_lasso_steps_carry_only_models_that_move(spark, monkeypatch):
+    from pyspark.ml.linalg import Vectors
+    x, y = lasso_rows()
+    vector = [Vectors.dense(row) if i % 2 else Vectors.sparse(12, [(j, v) for j, v in enumerate(row) if v]) for i, row in enumerate(x)]
+    frame = spark.createDataFrame([(i, i % 4, float(v), row) for i, (row, v) in enumerate(zip(vector, y))], ["id", "fold", "y", "features"]).repartition(3)
+    rows = lasso.stored_rows({"a": frame}, "y", ["id"], F.col("fold").cast("int"))
+    assert rows.rdd.getNumPartitions() == spark.sparkContext.defaultParallelism
+    asked, real = [], lasso.gradients
+    monkeypatch.setattr(lasso, "gradients", lambda b, w, h: asked.append({m: v.shape[1] for m, v in w.items()}) or real(b, w, h))
+    # blocks of few rows: the sums over them are those over all rows
+    monkeypatch.setattr(lasso, "BLOCK_CELLS", 30)
+    w, held = np.random.default_rng(1).normal(size=(12, 2)), np.array([-1, 2])
+    blocks = lasso._blocks(rows, {"a": 12})
+    assert blocks.count() > 20
+    grad, rest, n = lasso.gradients(blocks, {"a": w}, {"a": held})["a"]
+    for i, use in enumerate((np.arange(160) >= 0, np.arange(160) % 4 != 2)):
+        gap = y[use] - x[use] @ w[:, i]
+        assert np.allclose(grad[:, i], x[use].T @ gap) and np.isclose(rest[i], gap.sum()) and n[i] == use.sum()
+    asked.clear()
+    fitted = lasso.fit_many(rows, {"a": 12}, {"a": np.array([-1, -1, -1])}, {"a": np.array([100.0, 0.3, 50.0])})["a"]
+    steps = [a["a"] for a in asked[lasso.POWER_STEPS + 1:]]
+    assert steps[0] == 3 and set(steps[1:-1]) == {1} and steps[-1] == 3
+    alone = lasso.fit_many(rows, {"a": 12}, {"a": np.array([-1])}, {"a": np.array([0.3])})["a"]
+    assert not fitted[0][:, [0, 2]].any() and np.allclose(fitted[0][:, 1], alone[0][:, 0]) and np.allclose(fitted[1], [y.mean(), alone[1][0], y.mean()])
+
+
 # Topics
 
 def plain_infer(beta, docs, alpha):
