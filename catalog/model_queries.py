@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from catalog import query
-from catalog.inputs import TOKENS, r, tokens
+from catalog.inputs import STOP, TOKENS, r, tokens
 from catalog.stream_queries import SCORED, SCORED_SQL, weights
 from panelweave import fixed
+from panelweave.functions import text
 from panelweave.functions.bins import ordinal
 from panelweave.operators import features, models
 from panelweave.plans import reports
@@ -146,7 +147,10 @@ def _(t):
 
 def scored_docs(t):
     """Labelled documents with word n-grams and a split by source."""
-    rows = grams(t).join(t.labels, "doc_id").withColumn("target", F.col("quality") * 2.0 - 1.0)
+    # unlabelled documents are left out before their texts are cut
+    rows = t.documents.select("doc_id", "lang", "source", "text").join(t.labels, "doc_id")
+    rows = rows.withColumn("tokens", text.tokenize("text", STOP)).withColumn("terms", features.ngrams("tokens"))
+    rows = rows.withColumn("target", F.col("quality") * 2.0 - 1.0)
     return features.grouped_split(rows, "doc_id")
 
 

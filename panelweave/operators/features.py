@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import math
 
-from pyspark.ml.feature import CountVectorizerModel, ElementwiseProduct, Normalizer
+from pyspark.ml.feature import Binarizer, CountVectorizerModel, ElementwiseProduct, Normalizer
 from pyspark.ml.linalg import Vectors
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -151,17 +151,22 @@ class BowModel:
         self.dfs, self.n_docs = dfs, n_docs
 
     def transform(self, df, method="frequency", out="features") -> DataFrame:
-        binary = method == "onehot"
-        counter = CountVectorizerModel.from_vocabulary(
-            self.vocabulary, inputCol=self.terms_col, outputCol="_counts" if method == "tf_idf" else out,
-            minTF=1.0, binary=binary)
-        rows = counter.transform(df)
-        if method != "tf_idf":
-            return rows
+        counts = out if method == "frequency" else "_counts"
+        rows = CountVectorizerModel.from_vocabulary(
+            self.vocabulary, inputCol=self.terms_col, outputCol=counts, minTF=1.0).transform(df)
+        return rows if method == "frequency" else self.recode(rows, method, counts, out).drop(counts)
+
+    def recode(self, df, method, counts, out="features") -> DataFrame:
+        """``transform`` from a column of counts that is there already; several
+        encodings of one table need its terms counted only once."""
+        if method == "frequency":
+            return df.withColumn(out, F.col(counts))
+        if method == "onehot":
+            return Binarizer(threshold=0.0, inputCol=counts, outputCol=out).transform(df)
         weights = [math.log((1 + self.n_docs) / (1 + d)) + 1 for d in self.dfs]
         scaled = ElementwiseProduct(
-            scalingVec=Vectors.dense(weights), inputCol="_counts", outputCol="_scaled").transform(rows)
-        return Normalizer(p=2.0, inputCol="_scaled", outputCol=out).transform(scaled).drop("_counts", "_scaled")
+            scalingVec=Vectors.dense(weights), inputCol=counts, outputCol="_scaled").transform(df)
+        return Normalizer(p=2.0, inputCol="_scaled", outputCol=out).transform(scaled).drop("_scaled")
 
 
 def fit_bow(df, terms, max_features=fixed.MAX_FEATURES, min_df=fixed.MIN_DF, max_df=fixed.MAX_DF) -> BowModel:

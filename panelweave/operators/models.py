@@ -67,25 +67,26 @@ def train_regressors(df, bow, label, split="split", models=tuple(REGRESSORS), me
     else, in a table without it, by the hash of the features); the trees are tuned one fit at a time.
     Result rows: method, model, split, tuned, MAE, MSE, R2.
     """
-    def encoded(method):
-        # read by every model and fold, and again for scoring
-        extra = [c for c in (fold_col, key) if c and c in df.columns]
-        return settle(bow.transform(df, method).select(*dict.fromkeys([split, label, "features", *extra])))
+    # texts are cut into terms and counted once for all encodings
+    extra = [c for c in (fold_col, key) if c and c in df.columns]
+    keep = list(dict.fromkeys([split, label, *extra]))
+    counted = settle(bow.transform(df, out="_counts").select(*keep, "_counts"))
+    rows = {m: bow.recode(counted, m, "_counts").select(*keep, "features") for m in methods}
 
     def table(scored, method, name):
         return settle(regression_metrics(scored, label, "prediction", [split]).select(
             F.lit(method).alias("method"), F.lit(name).alias("model"), split,
             F.lit(bool(search)).alias("tuned"), "MAE", "MSE", "R2"))
 
-    rows = {m: encoded(m) for m in methods}
     out = []
     if search and "lasso" in models:
         out += [table(scored, m, "lasso") for m, scored in _tuned_lasso(rows, bow, label, split, search, folds, fold_col, seed, key)]
-    for method in methods:
+    names = [name for name in models if not (search and name == "lasso")]
+    for method in methods if names else ():
+        # read by every model and fold, and again for scoring; counts are stored already
+        rows[method] = rows[method] if method == "frequency" else settle(rows[method])
         train = rows[method].where(F.col(split) == "train")
-        for name in models:
-            if search and name == "lasso":
-                continue
+        for name in names:
             estimator = REGRESSORS[name]().setFeaturesCol("features").setLabelCol(label)
             if search:
                 estimator = CrossValidator(
@@ -108,7 +109,7 @@ def _tuned_lasso(rows, bow, label, split, search, folds, fold_col, seed, key):
     keep = [split, label]
     every = lasso.stored_rows(rows, label, keep, fold)
     size = {m: len(bow.vocabulary) for m in rows}
-    train = settle(every.where(F.col(split) == "train").select("method", "fold", "y", "at", "value"))
+    train = every.where(F.col(split) == "train").select("method", "fold", "y", "at", "value")
     _, chosen = lasso.search(train, size, draws, folds)
     scored = settle(lasso.predict_many(every, chosen, ["method", *keep]).withColumn("prediction", F.get("predictions", F.lit(0))))
     return [(m, scored.where(F.col("method") == m)) for m in rows]

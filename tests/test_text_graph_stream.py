@@ -147,6 +147,23 @@ def test_documents_without_known_terms_get_even_shares(spark):
     assert len(shares) == 61 and all(np.isclose(r["s"], 1) for r in shares)
 
 
+def test_encodings_share_one_count_of_the_terms(spark, monkeypatch):
+    _, df = docs(spark)
+    rows = df.withColumns({"y": F.col("id") % 2 * 1.0, "split": F.when(F.col("id") < 40, "train").otherwise("test")})
+    bow = features.fit_bow(rows.where("split = 'train'"), "t")
+    plain = bow.transform(rows, out="n").select("id", "n")
+    for method in ("frequency", "onehot", "tf_idf"):
+        want = {r["id"]: r["features"] for r in bow.transform(rows, method).collect()}
+        got = {r["id"]: r["features"] for r in bow.recode(plain, method, "n").collect()}
+        assert want == got
+        if method == "onehot":
+            assert {v for r in got.values() for v in r.toArray()} == {0.0, 1.0}
+    asked, real = [], features.BowModel.transform
+    monkeypatch.setattr(features.BowModel, "transform", lambda *a, **k: asked.append(1) or real(*a, **k))
+    out = models.train_regressors(rows, bow, "y", models=("lasso",), key="id").collect()
+    assert len(asked) == 1 and len(out) == 6
+
+
 def test_search_tunes_every_model_on_every_encoding(spark, monkeypatch):
     import catalog
     from catalog import model_queries
