@@ -6,9 +6,10 @@ import math
 import numpy as np
 import pandas as pd
 import pytest
+from pyspark.ml.linalg import Vectors
 from pyspark.sql import functions as F
 
-from panelweave.operators import aggregates, features, joins, lasso, spread, stats, topics
+from panelweave.operators import aggregates, features, joins, lasso, models, spread, stats, topics, trees
 from panelweave.plans import reports
 from panelweave.streaming import jobs
 
@@ -380,3 +381,122 @@ def test_scored_ids_stay_scored_over_restarts(spark, tmp_path):
     assert run(1, range(5, 15)) == [(i, 2.0 * i) for i in range(15)]
     state = [p.name for p in (tmp_path / "mark" / "state").rglob("*")]
     assert any(n.endswith((".changelog", ".zip")) for n in state)
+
+
+def tree_rows(spark, n=90, seed=5):
+    """Counts, a yes-or-no and a measured feature; the goal hangs on two of them."""
+    rng = np.random.default_rng(seed)
+    x = np.column_stack([rng.integers(0, 4, n), rng.integers(0, 2, n), np.where(rng.random(n) < 0.5, rng.random(n).round(2), 0)]).astype(float)
+    y = 2.0 * (x[:, 0] >= 2) - x[:, 1] * (x[:, 0] < 2) + rng.normal(0, 0.05, n)
+    frame = spark.createDataFrame([(i, i % 3, "train" if i < 60 else "test", Vectors.sparse(3, [(j, v) for j, v in enumerate(r) if v]), float(t))
+                                   for i, (r, t) in enumerate(zip(x, y))], ["id", "fold", "split", "features", "y"])
+    rows = lasso.stored_rows({"a": frame}, "y", ["split"], F.col("fold").cast("int"))
+    blocks, feature = trees.binned(rows, {"a": 3}, "split")
+    return x, y, rows, trees._Rows(blocks.where("method = 'a'").collect(), feature["a"], False)
+
+
+def plain_tree(cells, weight, goal, depth, least, out, at):
+    """Regression tree by trying every split; ``out`` gets the values of ``at``."""
+    w = weight[at]
+    mean = (w * goal[at]).sum() / w.sum()
+    out[at] = mean
+    best = (1e-9, None)
+    for j in range(cells.shape[1]):
+        for c in np.unique(cells[at, j]):
+            over = cells[at, j] >= c
+            if depth and min(w[over].sum(), w[~over].sum()) >= max(least, 0.5):
+                sides = [np.average(goal[at][k], weights=w[k]) for k in (over, ~over)]
+                gain = w[over].sum() * (sides[0] - mean) ** 2 + w[~over].sum() * (sides[1] - mean) ** 2
+                best = max(best, (gain, (j, c)), key=lambda b: b[0] + 1e-9 * (b[1] is None))
+    if best[1]:
+        over = cells[at, best[1][0]] >= best[1][1]
+        plain_tree(cells, weight, goal, depth - 1, least, out, at[over])
+        plain_tree(cells, weight, goal, depth - 1, least, out, at[~over])
+
+
+def test_trees_over_nonzero_features_equal_plain_trees(spark):
+    x, _, rows, held = tree_rows(spark)
+    # bins as cells: zero has none, a feature's own are neighbours and ascend
+    cells = np.full((len(held.y), 3), -1)
+    owner = np.repeat(np.arange(len(held.y)), held.each)
+    cells[owner, held.feature[held.cell]] = held.cell
+    assert (held.part == "train").sum() == 60 and (held.fold == -2).sum() == 30
+    for a in range(0, len(cells), 7):
+        for j in range(3):
+            higher = cells[:, j] > cells[a, j]
+            assert cells[a, j] == -1 or held.feature[cells[a, j]] == j
+            assert not higher.any() or cells[higher, j].min() > cells[a, j]
+    rng = np.random.default_rng(0)
+    for depth, least, weight in ((2, 1, np.ones(60)), (8, 1, np.ones(60)), (30, 3, rng.poisson(1.0, 60).astype(float))):
+        row = np.flatnonzero(held.part == "train")
+        row, weight = row[weight > 0], weight[weight > 0]
+        got = trees.grow(held, np.arange(90), row, weight, held.y[row], depth, least, 3, rng)
+        want = np.zeros(60)
+        at = np.arange(len(row))
+        plain_tree(cells[row], weight, held.y[row], depth, least, want, at)
+        assert np.allclose(got[row], want[:len(row)])
+    # one of three features is tried at each node: other trees, still of the bag's values
+    some = trees.grow(held, np.arange(90), row, weight, held.y[row], 30, 1, 1, np.random.default_rng(1))
+    assert not np.allclose(some, got) and held.y[row].min() <= some.min() <= some.max() <= held.y[row].max()
+    # Spark's boosting: whole first tree, then steps on twice the rest
+    p = {"maxIter": 3, "maxDepth": 2, "minInstancesPerNode": 1, "subsamplingRate": 1.0, "featureSubsetStrategy": "all", "stepSize": 0.3}
+    fit, want = np.flatnonzero(held.part == "train"), np.zeros(90)
+    for i in range(3):
+        goal = held.y[fit] if i == 0 else 2 * (held.y[fit] - want[fit])
+        want += (1.0 if i == 0 else 0.3) * trees.grow(held, np.arange(90), fit, np.ones(60), goal, 2, 1, 3, rng)
+    assert np.allclose(trees.boosted(held, fit, np.arange(90), p, rng), want)
+    assert np.allclose(trees.boosted(held, fit, np.arange(60, 90), p, rng), want[60:])
+    # an empty bag gives no value but zero
+    none = np.zeros(0, int)
+    assert not trees.grow(held, np.arange(90), none, none.astype(float), none.astype(float), 3, 1, 3, rng).any()
+
+
+def test_trees_are_tuned_together(spark, monkeypatch):
+    x, y, rows, _ = tree_rows(spark)
+    base = {"minInstancesPerNode": 1, "subsamplingRate": 1.0, "featureSubsetStrategy": "all"}
+    points = {"rand_for": [{**base, "numTrees": 1, "maxDepth": 0}, {**base, "numTrees": 12, "maxDepth": 6}],
+              "boosted": [{**base, "maxIter": 1, "maxDepth": 0, "stepSize": 0.1}, {**base, "maxIter": 8, "maxDepth": 3, "stepSize": 0.3}]}
+    monkeypatch.setattr(trees, "PORTION", 5)
+    asked, real = [], trees.predicted
+    monkeypatch.setattr(trees, "predicted", lambda b, f, runs, *a: asked.append(runs) or real(b, f, runs, *a))
+    chosen, scored = trees.search(rows, {"a": 3}, points, 3, "split", 1)
+    # every draw and fold in one job, the chosen ones in another
+    assert [len(a) for a in asked] == [2 * 2 * 3, 2]
+    assert chosen == {("a", "rand_for"): 1, ("a", "boosted"): 1}
+    got = scored.collect()
+    assert len(got) == 2 * 90 and sorted({(r["model"], r["split"]) for r in got}) == [(m, s) for m in ("boosted", "rand_for") for s in ("test", "train")]
+    for r in got:
+        assert abs(r["prediction"] - r["y"]) < 1.0
+    assert sorted(round(r["y"], 9) for r in got if r["model"] == "boosted") == sorted(y.round(9))
+
+    # a fold's prediction does not read its labels
+    blocks, feature = trees.binned(rows.withColumn("y", F.when(F.col("fold") == 0, 1e6).otherwise(F.col("y"))), {"a": 3}, "split")
+    told = real(blocks, feature, [("a", "rand_for", 1, 0), ("a", "boosted", 1, 0)], points, 1).collect()
+    assert len(told) == 2 * 20 and max(r["prediction"] for r in told) < 10
+
+
+def test_tuned_trees_take_no_fit_after_the_other(spark, monkeypatch):
+    rows = spark.range(60).select("id", F.when(F.col("id") < 40, "train").otherwise("test").alias("split"), (F.col("id") % 2).cast("double").alias("y"),
+                                  F.when(F.col("id") % 2 == 1, F.array(F.lit("b"), F.concat(F.lit("a"), F.col("id") % 5))).otherwise(F.array(F.lit("c"))).alias("t"))
+    bow = features.fit_bow(rows.where("split = 'train'"), "t", min_df=2, max_df=1.0)
+    monkeypatch.setattr(models, "GRIDS", {"rand_for": {"numTrees": [2, 4]}, "boosted": {"maxIter": [2, 3]}})
+    monkeypatch.setattr(models, "CrossValidator", None)
+    kept = {"models": ("rand_for", "boosted"), "search": 2, "folds": 2, "key": "id"}
+    got = models.train_regressors(rows, bow, "y", **kept).collect()
+    assert len(got) == 3 * 2 * 2 and all(r["MAE"] < 0.3 for r in got)
+    # more rows than may go to every task: Spark ML's own trees
+    calls = []
+    monkeypatch.setattr(trees, "ENTRIES", 10)
+    monkeypatch.setattr(trees, "search", None)
+
+    class Asked:
+        def __init__(self, **k):
+            calls.append(k)
+            self.estimator = k["estimator"]
+
+        def fit(self, train):
+            return self.estimator.fit(train)
+
+    monkeypatch.setattr(models, "CrossValidator", Asked)
+    assert len(models.train_regressors(rows, bow, "y", **{**kept, "models": ("rand_for",)}, methods=("onehot",)).collect()) == 2
+    assert [(c["numFolds"], len(c["estimatorParamMaps"])) for c in calls] == [(2, 2)]
