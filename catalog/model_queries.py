@@ -196,7 +196,7 @@ def _(t):
 
 @query("fit_lda_topics", None, "ST-16")
 def _(t):
-    bow, model, counted = models.fit_lda(grams(t), "terms", keep=["doc_id", "text"])
+    bow, model, counted = models.fit_lda(grams(t), "terms", keep=["doc_id", "text"], words="tokens")
     assigned = models.topic_assign(model, counted, keep=["doc_id", "text"])
     words = models.top_words(models.topic_terms(model, bow, t.spark), 20)
     best = models.top_docs(assigned, "doc_id", "text", 20).select("topic", "doc_id", "share")

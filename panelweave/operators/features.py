@@ -5,15 +5,16 @@ from __future__ import annotations
 import math
 
 from pyspark.ml.feature import Binarizer, CountVectorizerModel, ElementwiseProduct, Normalizer
-from pyspark.ml.linalg import Vectors
+from pyspark.ml.linalg import Vectors, VectorUDT
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from panelweave import fixed
 from panelweave.functions.arrays import pairs_of
 from panelweave.operators.joins import salted_join
 from panelweave.operators.spread import fits, hash_quota, stable_hash
-from panelweave.session import settle
+from panelweave.session import drop_scratch, scratch_path, settle
 
 
 # Joins the words of a pair; no token holds it.
@@ -176,6 +177,128 @@ def fit_bow(df, terms, max_features=fixed.MAX_FEATURES, min_df=fixed.MIN_DF, max
     return BowModel(terms, [r["term"] for r in rows], [r["df"] for r in rows], df.count())
 
 
+def _word_stats(df, words) -> DataFrame:
+    """``term_stats`` for terms that many documents share: they are numbered and
+    counted by batches of documents, and a batch's distinct terms alone are
+    grouped."""
+    import numpy as np
+    import pyarrow as pa
+    import pyarrow.compute as pc
+
+    def run(batches):
+        for batch in batches:
+            lists = batch.column(0)
+            row, coded = pc.list_parent_indices(lists).to_numpy(), pc.list_flatten(lists).dictionary_encode(null_encoding="encode")
+            size = max(len(coded.dictionary), 1)
+            both = np.sort(row.astype(np.int64) * size + coded.indices.to_numpy())
+            once = both[np.diff(both, prepend=-1) != 0]
+            df, tf = (np.bincount(c % size, minlength=size)[:len(coded.dictionary)] for c in (once, both))
+            yield pa.RecordBatch.from_arrays([coded.dictionary, pa.array(df), pa.array(tf)], names=["term", "df", "tf"])
+
+    return df.select(words).mapInArrow(run, "term string, df bigint, tf bigint").groupBy("term").agg(F.sum("df").alias("df"), F.sum("tf").alias("tf"))
+
+
+# Most words, as a multiple of the vocabulary, whose pairs are counted by number.
+NUMBERED = 4
+
+
+def fit_grams(df, words, terms, keep, max_features=fixed.MAX_FEATURES, min_df=fixed.MIN_DF, max_df=fixed.MAX_DF):
+    """(BowModel, stored ``keep`` and ``features``): ``fit_bow`` and its counts for
+    ``terms`` that are the words and neighbouring pairs of ``words``.
+
+    A pair is no more frequent than its words. So with the words' own counts a
+    bound is known that every term of the vocabulary reaches, only words above it
+    are numbered, and pairs are counted and looked up by number. None where very
+    many words share the bound. Words hold no space.
+    """
+    import numpy as np
+    import pyarrow as pa
+    import pyarrow.compute as pc
+
+    spark = df.sparkSession
+    n_docs = df.count()
+    stats = settle(_word_stats(df, words).where(F.col("df") >= min_df))
+    fitting = F.col("df") <= n_docs * max_df
+    top = stats.where(fitting).orderBy(F.desc("tf")).limit(max_features).agg(F.count(F.lit(1)).alias("n"), F.min("tf").alias("least")).first()
+    least = top["least"] if top["n"] == max_features else 1
+    known = stats.where(F.col("tf") >= least).select("term").limit(NUMBERED * max_features + 1).toArrow().column("term").combine_chunks()
+    size = len(known)
+    if size > NUMBERED * max_features:
+        return None
+    share, n_words = spark.sparkContext.broadcast(known), max(size, 1)
+
+    def number(batches):
+        for batch in batches:
+            lists = batch.column(words)
+            each = pc.fill_null(pc.list_value_length(lists), 0).to_numpy()
+            found = pc.fill_null(pc.index_in(pc.list_flatten(lists), share.value), -1)
+            bounds = pa.array(np.append(0, np.cumsum(each)).astype(np.int32))
+            yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in keep], pa.ListArray.from_arrays(bounds, found)], names=[*keep, "_at"])
+
+    def cells(batch):
+        """Numbers, rows, and the pairs of neighbours with theirs."""
+        lists = batch.column("_at")
+        row, at = pc.list_parent_indices(lists).to_numpy(), pc.list_flatten(lists).to_numpy().astype(np.int64)
+        met = np.flatnonzero((row[1:] == row[:-1]) & (at[1:] >= 0) & (at[:-1] >= 0))
+        one = np.flatnonzero(at >= 0)
+        return at[one], row[one], at[met] * n_words + at[met + 1], row[met]
+
+    def counted(batches):
+        for batch in batches:
+            _, _, pair, row = cells(batch)
+            both = np.sort(pair * batch.num_rows + row)
+            pair, row = np.divmod(both, max(batch.num_rows, 1))
+            first = np.flatnonzero(np.diff(pair, prepend=-1))
+            fresh = np.diff(both, prepend=-1) != 0
+            sums = [np.add.reduceat(v.astype(np.int64), first) if len(first) else np.zeros(0, np.int64) for v in (fresh, np.ones(len(pair)))]
+            yield pa.RecordBatch.from_arrays([pa.array(pair[first]), *map(pa.array, sums)], names=["pair", "df", "tf"])
+
+    kinds = [f"`{f.name}` {f.dataType.simpleString()}" for f in df.select(*keep).schema.fields]
+    path = scratch_path(spark, "numbers")
+    df.select(*keep, words).mapInArrow(number, ", ".join([*kinds, "_at array<int>"])).write.parquet(path)
+    rows = spark.read.schema(", ".join([*kinds, "_at array<int>"])).parquet(path)
+    pairs = rows.select("_at").mapInArrow(counted, "pair bigint, df bigint, tf bigint").groupBy("pair").agg(F.sum("df").alias("df"), F.sum("tf").alias("tf"))
+    names = F.broadcast(spark.createDataFrame(pa.table({"i": np.arange(size), "w": known})))
+    a, b = (names.select(F.col("i").alias(f"_{c}"), F.col("w").alias(c)) for c in "ab")
+    pairs = pairs.where((F.col("df") >= min_df) & (F.col("tf") >= least)).withColumns({"_a": F.expr(f"pair div {n_words}"), "_b": F.col("pair") % n_words})
+    pairs = pairs.join(a, "_a").join(b, "_b").select(F.concat_ws(" ", "a", "b").alias("term"), "df", "tf", "pair")
+    every = stats.withColumn("pair", F.lit(None).cast("bigint")).unionByName(pairs).where(fitting)
+    vocab = every.orderBy(F.desc("tf"), "term").limit(max_features).collect()
+    vocab.sort(key=lambda r: (-r["tf"], r["term"]))
+    bow = BowModel(terms, [r["term"] for r in vocab], [r["df"] for r in vocab], n_docs)
+
+    single = np.full(n_words, -1)
+    place = {w: i for i, w in enumerate(known.to_pylist())}
+    for i, r in enumerate(vocab):
+        if r["pair"] is None:
+            single[place[r["term"]]] = i
+    paired = sorted((r["pair"], i) for i, r in enumerate(vocab) if r["pair"] is not None)
+    width = len(vocab)
+    # a number beyond all pairs ends the list, so that every search has a hit
+    look = spark.sparkContext.broadcast((single, np.array([p for p, _ in paired] + [np.iinfo(np.int64).max]), np.array([i for _, i in paired] + [-1])))
+
+    def vectors(batches):
+        single, pairs, numbers = look.value
+        for batch in batches:
+            at, row, pair, beside = cells(batch)
+            hit = np.searchsorted(pairs, pair)
+            found = np.concatenate([single[at], np.where(pairs[hit] == pair, numbers[hit], -1)])
+            both = np.concatenate([row, beside]).astype(np.int64)[found >= 0] * max(width, 1) + found[found >= 0]
+            both, times = np.unique(both, return_counts=True)
+            ends = np.cumsum(np.bincount(both // max(width, 1), minlength=batch.num_rows))
+            bounds = pa.array(np.append(0, ends).astype(np.int32))
+            n = batch.num_rows
+            made = pa.StructArray.from_arrays(
+                [pa.array(np.zeros(n, np.int8)), pa.array(np.full(n, width, np.int32)), pa.ListArray.from_arrays(bounds, pa.array((both % max(width, 1)).astype(np.int32))),
+                 pa.ListArray.from_arrays(bounds, pa.array(times.astype(float)))], names=["type", "size", "indices", "values"])
+            yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in keep], made], names=[*keep, "features"])
+
+    out = scratch_path(spark, "counts")
+    rows.mapInArrow(vectors, ", ".join([*kinds, "features struct<type: tinyint, size: int, indices: array<int>, values: array<double>>"])).write.parquet(out)
+    drop_scratch(spark, path)
+    return bow, spark.read.schema(StructType([*df.select(*keep).schema.fields]).add("features", VectorUDT())).parquet(out)
+
+
 def phrase_table(df, tokens, min_count=fixed.PHRASE_MIN_COUNT, threshold=fixed.PHRASE_THRESHOLD) -> DataFrame:
     """Neighbouring word pairs whose score passes the threshold.
 

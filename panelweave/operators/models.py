@@ -20,9 +20,9 @@ from pyspark.sql import functions as F
 
 from panelweave import fixed
 from panelweave.functions.arrays import argmax_col
-from panelweave.operators import lasso, trees
+from panelweave.operators import lasso, topics, trees
 from panelweave.operators.aggregates import best_doc
-from panelweave.operators.features import fit_bow, term_counts
+from panelweave.operators.features import fit_bow, fit_grams, term_counts
 from panelweave.operators.joins import pending, salted_join
 from panelweave.operators.ordering import arg_best, top_terms
 from panelweave.operators.spread import fits
@@ -259,20 +259,31 @@ def linear_scorer(weights, bias, vector, doc):
 
 
 def fit_lda(df, terms, k=20, seed=fixed.SEED, max_iter=20, min_df=fixed.MIN_DF, max_df=1.0,
-            max_features=fixed.MAX_FEATURES, alpha=None, eta=None, keep=None):
+            max_features=fixed.MAX_FEATURES, alpha=None, eta=None, keep=None, words=None):
     """Counted n-grams and a topic model; returns (bow, model, features). Every
     pass of the fit reads all documents: their counts alone, which are stored
-    apart from the other columns (``keep`` limits those)."""
-    bow = fit_bow(df, terms, max_features, min_df, max_df)
-    counted = bow.transform(df, "frequency")
-    counted = settle(counted if keep is None else counted.select(*keep, "features"))
-    lean = settle(counted.select("features"))
-    lda = LDA(k=k, seed=seed, maxIter=max_iter, optimizer="online", featuresCol="features", subsamplingRate=1.0)
+    apart from the other columns (``keep`` limits those). Topics start as Spark
+    ML's online fit of the same seed does; the passes are ``topics.fit_online``.
+    ``words`` names the words whose n-grams of one and two the terms are, if so;
+    the terms are then counted by number (``features.fit_grams``)."""
+    made = fit_grams(df, words, terms, df.columns if keep is None else keep, max_features, min_df, max_df) if words else None
+    if made:
+        bow, counted = made
+        lean = counted.select("features")
+    else:
+        bow = fit_bow(df, terms, max_features, min_df, max_df)
+        counted = bow.transform(df, "frequency")
+        counted = settle(counted if keep is None else counted.select(*keep, "features"))
+        lean = settle(counted.select("features"))
+    lda = LDA(k=k, seed=seed, maxIter=0, optimizer="online", featuresCol="features", subsamplingRate=1.0)
     if alpha is not None:
         lda = lda.setDocConcentration([alpha])
     if eta is not None:
         lda = lda.setTopicConcentration(eta)
-    return bow, lda.fit(lean), counted
+    first = lda.fit(lean)
+    model = topics.fit_online(lean, first.topicsMatrix().toArray(), first.estimatedDocConcentration().toArray(),
+                              1.0 / k if eta is None else eta, max_iter)
+    return bow, model, counted
 
 
 def topic_assign(model, counted, prefix="topic_", out="pred", keep=None, store=True) -> DataFrame:

@@ -68,7 +68,7 @@ def text_topics(posts, doc, text_col, k=20, stop_words=(), phrases=False, min_df
         # cleaning is costly, and phrases take several passes
         rows = features.collocations(settle(rows), doc, "tokens")
     rows = rows.withColumn("terms", features.ngrams("tokens"))
-    bow, model, counted = models.fit_lda(rows, "terms", k, seed, max_iter, min_df, keep=posts.columns)
+    bow, model, counted = models.fit_lda(rows, "terms", k, seed, max_iter, min_df, keep=posts.columns, words="tokens")
     assigned = models.topic_assign(model, counted)
     terms = models.topic_terms(model, bow, posts.sparkSession)
     best = models.top_docs(assigned, doc, text_col, k)

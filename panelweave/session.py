@@ -76,6 +76,14 @@ def discard_scratch(spark: SparkSession) -> int:
     return len(paths)
 
 
+def drop_scratch(spark: SparkSession, path: str) -> None:
+    """Delete one table below the shared folder that nothing reads any more."""
+    known = _HANDED_OUT.get(spark.sparkContext.applicationId, [])
+    known.remove(path)
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+
+
 def settle(df: DataFrame) -> DataFrame:
     """Write ``df`` to the checkpoint folder and return the stored copy.
 

@@ -309,6 +309,102 @@ def test_digamma():
     assert np.allclose(topics.digamma(x + 1), topics.digamma(x) + 1 / x)
 
 
+def test_inference_to_the_end_rests_and_is_no_worse():
+    rng = np.random.default_rng(4)
+    k, alpha = 6, 0.1
+    beta = rng.gamma(0.3, 1, (400, k)) + 1e-12
+    sizes = np.append(rng.integers(1, 60, 40), 300)
+    at = np.concatenate([rng.choice(400, n, replace=False) for n in sizes])
+    counts = rng.integers(1, 4, len(at)).astype(float)
+    counts[-300:] *= 50  # beyond what 32 bits begin with
+    ends = np.cumsum(sizes)
+
+    def bound(gamma):
+        from math import lgamma
+        out = 0.0
+        for g, hi, n in zip(gamma, ends, sizes):
+            e = np.log(topics.expected_log(g[None])[0])
+            out += counts[hi - n:hi] @ np.log(beta[at[hi - n:hi]] @ np.exp(e)) + ((alpha - g) * e).sum() + sum(map(lgamma, g)) - lgamma(g.sum())
+        return out
+
+    begin, few = np.append(0, ends[:-1]), []
+    for kind in (float, np.float32):
+        gamma, theta, ratio = topics.solve((beta / beta.max(1, keepdims=True)).astype(kind), at, counts, ends, alpha, True)
+        for g, lo, hi in zip(gamma, begin, ends):
+            words = beta[at[lo:hi]]
+            new = alpha + topics.exp_digamma(g) * ((counts[lo:hi] / (words @ topics.exp_digamma(g))) @ words)
+            assert np.abs(new - g).mean() < 2e-3
+        few.append(bound(gamma))
+        # a document's statistics times beta share out its counts
+        shared = np.repeat(theta, sizes, axis=0) * ratio[:, None] * (beta / beta.max(1, keepdims=True))[at]
+        assert np.allclose(shared.sum(1), counts, rtol=1e-4)
+    plain, _ = plain_infer(beta, [(at[lo:hi], counts[lo:hi]) for lo, hi in zip(begin, ends)], alpha)
+    assert min(few) > bound(plain) - 1.0
+
+
+def test_online_fit_is_that_of_each_document(spark):
+    from pyspark.ml.clustering import LDA
+    from pyspark.ml.linalg import Vectors
+    rng = np.random.default_rng(6)
+    k, n = 3, 20
+    docs = [(np.sort(rng.choice(np.arange(i % 2 * 10, i % 2 * 10 + 10), 5, replace=False)), rng.integers(1, 5, 5).astype(float)) for i in range(30)] + [(np.zeros(0, int), np.zeros(0))]
+    df = spark.createDataFrame([(i, Vectors.sparse(n, a.tolist(), c.tolist())) for i, (a, c) in enumerate(docs)], ["id", "features"]).repartition(3)
+    start = LDA(k=k, seed=3, maxIter=0, optimizer="online", subsamplingRate=1.0).fit(df)
+    first, alpha = start.topicsMatrix().toArray(), start.estimatedDocConcentration().toArray()
+    # random topics, not yet fitted
+    assert first.shape == (n, k) and 0.5 < first.min() < first.max() < 1.6 and np.allclose(alpha, 1 / k)
+    model = topics.fit_online(df, first, alpha, 1 / k, 4)
+    weights = first
+    for i in range(1, 5):
+        beta, sums, elog = topics.expected_log(weights.T).T, np.zeros((n, k)), np.zeros(k)
+        for a, c in docs[:-1]:
+            gamma = np.ones(k)
+            for _ in range(5000):
+                theta = topics.exp_digamma(gamma)
+                gamma = alpha + theta * ((c / (beta[a] @ theta)) @ beta[a])
+            theta = topics.exp_digamma(gamma)
+            sums[a] += theta * (c / (beta[a] @ theta))[:, None]
+            elog += topics.digamma(gamma) - topics.digamma([gamma.sum()])
+        weight = (1024 + i) ** -0.51
+        weights, alpha = (1 - weight) * weights + weight * (sums * beta + 1 / k), topics._concentration(alpha, elog / 30, 30, weight)
+    assert np.allclose(model.weights, weights, rtol=0.05) and np.allclose(model.alpha, alpha, rtol=0.01)
+    assert model.getK() == k and np.allclose(model.topicsMatrix().toArray(), model.weights)
+    shares = {r["id"]: r["topicDistribution"].toArray() for r in model.transform(df).collect()}
+    assert len(shares) == 31 and not shares[30].any() and all(np.isclose(shares[i].sum(), 1) for i in range(30))
+
+
+def test_concentration_finds_the_most_likely():
+    rng = np.random.default_rng(2)
+    true = np.array([0.3, 1.0, 2.5])
+    elog = np.log(rng.dirichlet(true, 20_000)).mean(0)
+    alpha = np.full(3, 1.0)
+    for _ in range(400):
+        alpha = topics._concentration(alpha, elog, 20_000, 0.05)
+    assert np.allclose(alpha, true, rtol=0.05)
+    assert np.allclose(topics.trigamma([1.0, 0.5]), [np.pi ** 2 / 6, np.pi ** 2 / 2]) and np.allclose(np.log(topics.exp_digamma(np.array([0.05, 1.0, 30.0]))), topics.digamma([0.05, 1.0, 30.0]))
+
+
+def test_grams_are_counted_by_number_as_by_string(spark, monkeypatch):
+    rng = np.random.default_rng(12)
+    names = [f"w{i}" for i in range(60)]
+    lists = [[names[min(59, int(x))] for x in rng.geometric(0.08, rng.integers(0, 25))] for _ in range(150)] + [None, [], ["w1"], ["lonely", "w2"]]
+    df = spark.createDataFrame([(i % 40, f"t{i}", t) for i, t in enumerate(lists)], "id long, text string, words array<string>").repartition(4)
+    plain = df.withColumn("terms", features.ngrams(F.coalesce("words", F.array().cast("array<string>"))))
+    for most, low, high in ((30, 2, 1.0), (12, 5, 0.3), (5000, 3, 0.9), (40, 1, 1.0)):
+        want = features.fit_bow(plain, "terms", most, low, high)
+        bow, got = features.fit_grams(df, "words", "terms", ["id", "text"], most, low, high)
+        assert (bow.vocabulary, bow.dfs, bow.n_docs) == (want.vocabulary, want.dfs, want.n_docs)
+        rows = {r["text"]: (r["id"], r["features"]) for r in got.collect()}
+        assert rows == {r["text"]: (r["id"], r["features"]) for r in want.transform(plain).collect()} and got.columns == ["id", "text", "features"]
+    # the n-grams themselves are not made for a topic fit
+    made = spark.sparkContext.accumulator(0)
+    cut = F.udf(lambda t: made.add(1) or t, "array<string>")
+    bow, model, counted = models.fit_lda(plain.withColumn("terms", cut("terms")), "terms", 2, max_iter=2, min_df=2, keep=["id"], words="words")
+    assert made.value == 0 and models.topic_assign(model, counted).count() == 154
+    monkeypatch.setattr(features, "NUMBERED", 0)
+    assert features.fit_grams(df, "words", "terms", ["id"], 30, 2, 1.0) is None
+
+
 def topic_corpus():
     rng = np.random.default_rng(9)
     themes = [[f"a{i}" for i in range(12)], [f"b{i}" for i in range(12)], [f"c{i}" for i in range(12)]]
