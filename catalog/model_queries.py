@@ -12,6 +12,7 @@ from panelweave.functions import text
 from panelweave.functions.bins import ordinal
 from panelweave.operators import features, models
 from panelweave.plans import reports
+from panelweave.session import store
 
 GRAMS = TOKENS + """, grams AS (SELECT doc_id, lang, list_concat(tokens, list_transform(range(1, len(tokens)),
   lambda i: tokens[i] || ' ' || tokens[i + 1])) AS terms FROM tok)"""
@@ -239,10 +240,12 @@ def _(t):
 
 
 def grams_and_phrases(t):
-    """Word n-grams, and the phrases found in each document after them."""
-    rows = features.collocations(tokens(t).withColumn("words", F.col("tokens")), "doc_id", "tokens")
+    """Word n-grams, and the phrases found in each document after them; also the
+    words and the phrases apart. Words are stored, phrases take several passes."""
+    rows = store(tokens(t).drop("text"), "words")[0]
+    rows = features.collocations(rows.withColumn("words", F.col("tokens")), "doc_id", "tokens")
     found = F.slice("tokens", F.size("words") + 1, F.size("tokens") - F.size("words"))
-    return rows.withColumn("terms", F.concat(features.ngrams("words"), found)).drop("words")
+    return rows.withColumn("found", found).withColumn("terms", F.concat(features.ngrams("words"), "found"))
 
 
 @query("author_topics_by_period", None, "ST-18")
@@ -250,7 +253,7 @@ def _(t):
     docs = grams_and_phrases(t).withColumn("day", F.date_add(F.lit("2024-01-01").cast("date"), (F.col("doc_id") % 366).cast("int")))
     return reports.author_topics_by_period(
         docs, "day", "lang", "terms", fixed.AUTHOR_PERIODS,
-        families={"first": [f"src{i}" for i in range(10)], "second": [f"src{i}" for i in range(10, 20)]}, family="source")
+        families={"first": [f"src{i}" for i in range(10)], "second": [f"src{i}" for i in range(10, 20)]}, family="source", words="words", extra="found")
 
 
 @query("score_batches", SCORED_SQL, "ST-19")

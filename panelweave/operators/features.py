@@ -6,7 +6,7 @@ import math
 
 from pyspark.ml.feature import Binarizer, CountVectorizerModel, ElementwiseProduct, Normalizer
 from pyspark.ml.linalg import Vectors, VectorUDT
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
@@ -177,25 +177,39 @@ def fit_bow(df, terms, max_features=fixed.MAX_FEATURES, min_df=fixed.MIN_DF, max
     return BowModel(terms, [r["term"] for r in rows], [r["df"] for r in rows], df.count())
 
 
-def _word_stats(df, words) -> DataFrame:
-    """``term_stats`` for terms that many documents share: they are numbered and
-    counted by batches of documents, and a batch's distinct terms alone are
-    grouped."""
+def _word_stats(df, words, key=None, docs=False) -> DataFrame:
+    """``term_stats`` (or ``term_stats_by``) for terms that many documents share:
+    they are numbered and counted by batches of documents, and a batch's distinct
+    terms alone are grouped. With ``docs``, the row of ``PAIR_MARK`` has the number
+    of documents as ``df``."""
     import numpy as np
     import pyarrow as pa
     import pyarrow.compute as pc
 
+    def counted(lists):
+        row, coded = pc.list_parent_indices(lists).to_numpy(), pc.list_flatten(lists).dictionary_encode(null_encoding="encode")
+        size = max(len(coded.dictionary), 1)
+        both = np.sort(row.astype(np.int64) * size + coded.indices.to_numpy())
+        once = both[np.diff(both, prepend=-1) != 0]
+        df, tf = (np.bincount(c % size, minlength=size)[:len(coded.dictionary)] for c in (once, both))
+        found = [coded.dictionary, pa.array(df), pa.array(tf)]
+        return [pa.concat_arrays([a, pa.array([b], a.type)]) for a, b in zip(found, (PAIR_MARK, len(lists), 0))] if docs else found
+
     def run(batches):
         for batch in batches:
-            lists = batch.column(0)
-            row, coded = pc.list_parent_indices(lists).to_numpy(), pc.list_flatten(lists).dictionary_encode(null_encoding="encode")
-            size = max(len(coded.dictionary), 1)
-            both = np.sort(row.astype(np.int64) * size + coded.indices.to_numpy())
-            once = both[np.diff(both, prepend=-1) != 0]
-            df, tf = (np.bincount(c % size, minlength=size)[:len(coded.dictionary)] for c in (once, both))
-            yield pa.RecordBatch.from_arrays([coded.dictionary, pa.array(df), pa.array(tf)], names=["term", "df", "tf"])
+            if key is None:
+                yield pa.RecordBatch.from_arrays(counted(batch.column(words)), names=names)
+                continue
+            for value in pc.unique(batch.column(key)):
+                mine = pc.is_null(batch.column(key)) if not value.is_valid else pc.equal(batch.column(key), value)
+                found = counted(batch.column(words).filter(mine))
+                yield pa.RecordBatch.from_arrays([pa.array([value.as_py()] * len(found[0]), value.type), *found], names=names)
 
-    return df.select(words).mapInArrow(run, "term string, df bigint, tf bigint").groupBy("term").agg(F.sum("df").alias("df"), F.sum("tf").alias("tf"))
+    keys = [] if key is None else [key]
+    names = [*keys, "term", "df", "tf"]
+    kinds = [f"`{key}` {df.schema[key].dataType.simpleString()}"] if keys else []
+    got = df.select(*keys, words).mapInArrow(run, ", ".join([*kinds, "term string, df bigint, tf bigint"]))
+    return got.groupBy(*keys, "term").agg(F.sum("df").alias("df"), F.sum("tf").alias("tf"))
 
 
 # Most words, as a multiple of the vocabulary, whose pairs are counted by number.
@@ -216,8 +230,10 @@ def fit_grams(df, words, terms, keep, max_features=fixed.MAX_FEATURES, min_df=fi
     import pyarrow.compute as pc
 
     spark = df.sparkSession
-    n_docs = df.count()
-    stats = settle(_word_stats(df, words).where(F.col("df") >= min_df))
+    all_docs = F.col("term").eqNullSafe(PAIR_MARK)
+    stats = settle(_word_stats(df, words, docs=True).where((F.col("df") >= min_df) | all_docs))
+    n_docs = stats.where(all_docs).agg(F.sum("df")).first()[0] or 0
+    stats = stats.where(~all_docs)
     fitting = F.col("df") <= n_docs * max_df
     top = stats.where(fitting).orderBy(F.desc("tf")).limit(max_features).agg(F.count(F.lit(1)).alias("n"), F.min("tf").alias("least")).first()
     least = top["least"] if top["n"] == max_features else 1
@@ -299,24 +315,182 @@ def fit_grams(df, words, terms, keep, max_features=fixed.MAX_FEATURES, min_df=fi
     return bow, spark.read.schema(StructType([*df.select(*keep).schema.fields]).add("features", VectorUDT())).parquet(out)
 
 
+def fit_grams_by(rows, key, words, extra, keep, max_features, min_df, max_df):
+    """({key: terms}, stored ``keep``, ``key``, ``at`` and ``counts``): the most
+    frequent terms of each key among those in at least ``min_df`` of its documents
+    and at most the share ``max_df``, and every document's known terms by number.
+    Terms are the words and neighbouring pairs of ``words``, and those of ``extra``.
+
+    Words are bounded and numbered as in ``fit_grams``; None where very many share
+    the bounds. Words hold no space.
+    """
+    import numpy as np
+    import pyarrow as pa
+    import pyarrow.compute as pc
+
+    spark = rows.sparkSession
+    both = rows.select(*keep, key, F.coalesce(F.size(words), F.lit(0)).alias("_n"), F.concat(words, extra).alias("_u"))
+    all_docs = F.col("term").eqNullSafe(PAIR_MARK)
+    stats = settle(_word_stats(both, "_u", key, docs=True).where((F.col("df") >= min_df) | all_docs))
+    sizes = stats.where(all_docs).select(key, F.col("df").alias("_docs"))
+    stats = stats.where(~all_docs).join(F.broadcast(sizes), key)
+    fitting = F.col("df") <= F.col("_docs") * max_df
+
+    def best(table):
+        order = Window.partitionBy(key).orderBy(F.desc("tf"), "term")
+        return table.where(fitting).withColumn("_i", F.row_number().over(order)).where(F.col("_i") <= max_features)
+
+    least = best(stats).groupBy(key).agg(F.when(F.count(F.lit(1)) == max_features, F.min("tf")).otherwise(1).alias("_least"))
+    bounds = settle(sizes.join(least, key, "left").withColumn("_least", F.coalesce("_least", F.lit(1))))
+    reached = stats.drop("_docs").join(F.broadcast(bounds), key).where(F.col("tf") >= F.col("_least"))
+    most = NUMBERED * max_features
+    known = reached.select("term").distinct().limit(most + 1).toArrow().column("term").combine_chunks()
+    size = len(known)
+    if size > most:
+        return None
+    share, n_words = spark.sparkContext.broadcast(known), max(size, 1)
+
+    def number(batches):
+        for batch in batches:
+            lists = batch.column("_u")
+            coded = pc.list_flatten(lists).dictionary_encode()
+            there = np.append(pc.fill_null(pc.index_in(coded.dictionary, share.value), -1).to_numpy(), -1).astype(np.int32)
+            found = there[pc.fill_null(coded.indices, len(there) - 1).to_numpy()]
+            each = pc.fill_null(pc.list_value_length(lists), 0).to_numpy()
+            ends = pa.array(np.append(0, np.cumsum(each)).astype(np.int32))
+            yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in names], pa.ListArray.from_arrays(ends, pa.array(found))], names=[*names, "_at"])
+
+    def cells(batch):
+        """Numbers, rows, and the pairs of neighbouring words with theirs."""
+        lists = batch.column("_at")
+        row, at = pc.list_parent_indices(lists).to_numpy(), pc.list_flatten(lists).to_numpy().astype(np.int64)
+        each = pc.list_value_length(lists).to_numpy()
+        place = np.arange(len(row)) - (np.cumsum(each) - each)[row]
+        held = place + 1 < batch.column("_n").to_numpy()[row]
+        met = np.flatnonzero(held[:-1] & (at[1:] >= 0) & (at[:-1] >= 0))
+        one = np.flatnonzero(at >= 0)
+        return at[one], row[one], at[met] * n_words + at[met + 1], row[met]
+
+    def counted(batches):
+        for batch in batches:
+            groups = batch.column(key).dictionary_encode(null_encoding="encode")
+            mine = groups.indices.to_numpy()
+            _, _, pair, row = cells(batch)
+            order = np.lexsort((row, pair, mine[row]))
+            pair, row, group = pair[order], row[order], mine[row][order]
+            new = np.append(True, (np.diff(pair) != 0) | (np.diff(group) != 0))[:len(pair)]
+            first = np.flatnonzero(new)
+            fresh = new | np.append(True, np.diff(row) != 0)[:len(pair)]
+            sums = [np.add.reduceat(v.astype(np.int64), first) if len(first) else np.zeros(0, np.int64) for v in (fresh, np.ones(len(pair)))]
+            yield pa.RecordBatch.from_arrays([groups.dictionary.take(pa.array(group[first])), pa.array(pair[first]), *map(pa.array, sums)], names=[key, "pair", "df", "tf"])
+
+    kinds = {f.name: f"`{f.name}` {f.dataType.simpleString()}" for f in both.schema.fields}
+    names = [*keep, key, "_n"]
+    path = scratch_path(spark, "numbers")
+    kept = ", ".join([*[kinds[c] for c in names], "_at array<int>"])
+    both.select(*names, "_u").mapInArrow(number, kept).write.parquet(path)
+    coded = spark.read.schema(kept).parquet(path)
+    pairs = coded.select(key, "_n", "_at").mapInArrow(counted, f"{kinds[key]}, pair bigint, df bigint, tf bigint").groupBy(key, "pair").agg(
+        F.sum("df").alias("df"), F.sum("tf").alias("tf")).where(F.col("df") >= min_df)
+    pairs = pairs.join(F.broadcast(bounds), key).where(F.col("tf") >= F.col("_least")).withColumns(
+        {"_a": F.expr(f"pair div {n_words}"), "_b": F.col("pair") % n_words})
+    table = F.broadcast(spark.createDataFrame(pa.table({"i": np.arange(size), "w": known})))
+    a, b = (table.select(F.col("i").alias(f"_{c}"), F.col("w").alias(c)) for c in "ab")
+    pairs = pairs.join(a, "_a").join(b, "_b").select(key, F.concat_ws(" ", "a", "b").alias("term"), "df", "tf", "_docs", "pair")
+    every = stats.select(key, "term", "df", "tf", "_docs", F.lit(None).cast("bigint").alias("pair")).unionByName(pairs)
+    vocab: dict = {}
+    for r in sorted(best(every).select(key, "_i", "term", "pair").collect(), key=lambda r: (r[0], r[1])):
+        vocab.setdefault(r[0], []).append((r["term"], r["pair"]))
+
+    place, look = {w: i for i, w in enumerate(known.to_pylist())}, {}
+    for name, terms in vocab.items():
+        single = np.full(n_words, -1)
+        for i, (term, pair) in enumerate(terms):
+            if pair is None:
+                single[place[term]] = i
+        paired = sorted((pair, i) for i, (_, pair) in enumerate(terms) if pair is not None)
+        # a number beyond all pairs ends the list, so that every search has a hit
+        look[name] = single, np.array([p for p, _ in paired] + [np.iinfo(np.int64).max]), np.array([i for _, i in paired] + [-1])
+    tables = spark.sparkContext.broadcast(look)
+
+    def encoded(batches):
+        for batch in batches:
+            at, row, pair, beside = cells(batch)
+            values = np.array(batch.column(key).to_pylist(), object)
+            made = [np.full(len(at), -1), np.full(len(pair), -1)]
+            for name, (single, pairs, numbers) in tables.value.items():
+                mine = values == name
+                made[0] = np.where(mine[row], single[at], made[0])
+                own = np.flatnonzero(mine[beside])
+                hit = np.searchsorted(pairs, pair[own])
+                made[1][own] = np.where(pairs[hit] == pair[own], numbers[hit], -1)
+            found, owner = np.concatenate(made), np.concatenate([row, beside]).astype(np.int64)
+            width = max(map(len, vocab.values()), default=1)
+            cell, times = np.unique(owner[found >= 0] * width + found[found >= 0], return_counts=True)
+            ends = pa.array(np.append(0, np.cumsum(np.bincount(cell // width, minlength=batch.num_rows))).astype(np.int32))
+            lists = [pa.ListArray.from_arrays(ends, pa.array(v.astype(np.int32))) for v in (cell % width, times)]
+            yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in [*keep, key]], *lists], names=[*keep, key, "at", "counts"])
+
+    inside = coded.where(F.col(key).isin(list(vocab))) if vocab else coded.where(F.lit(False))
+    out = settle(inside.mapInArrow(encoded, ", ".join([*[kinds[c] for c in [*keep, key]], "at array<int>, counts array<int>"])))
+    drop_scratch(spark, path)
+    return {name: [t for t, _ in terms] for name, terms in vocab.items()}, out
+
+
+# Most words whose pairs are counted by number; other pairs are counted as words.
+PAIRED = 1 << 18
+
+
+def _pair_counts(df, tokens, known) -> DataFrame:
+    """(pair, a, b, n): occurrences of neighbouring words. Those of two ``known``
+    words have the number ``a * len(known) + b`` as ``pair``, others their words."""
+    import numpy as np
+    import pyarrow as pa
+    import pyarrow.compute as pc
+
+    share, size = df.sparkSession.sparkContext.broadcast(known), max(len(known), 1)
+
+    def run(batches):
+        for batch in batches:
+            lists = batch.column(0)
+            row, coded = pc.list_parent_indices(lists).to_numpy(), pc.list_flatten(lists).dictionary_encode()
+            at, n = pc.fill_null(coded.indices, -1).to_numpy().astype(np.int64), max(len(coded.dictionary), 1)
+            met = np.flatnonzero((row[1:] == row[:-1]) & (at[1:] >= 0) & (at[:-1] >= 0))
+            pair, times = np.unique(at[met] * n + at[met + 1], return_counts=True)
+            a, b = np.divmod(pair, n)
+            number = pc.fill_null(pc.index_in(coded.dictionary, share.value), -1).to_numpy().astype(np.int64)
+            number = number if len(number) else np.full(1, -1)
+            rare = (number[a] < 0) | (number[b] < 0)
+            words = [coded.dictionary.take(pa.array(v, mask=~rare)) for v in (a, b)]
+            yield pa.RecordBatch.from_arrays([pa.array(number[a] * size + number[b], mask=rare), *words, pa.array(times)], names=["pair", "a", "b", "n"])
+
+    got = df.select(tokens).mapInArrow(run, "pair bigint, a string, b string, n bigint")
+    return got.groupBy("pair", "a", "b").agg(F.sum("n").alias("n"))
+
+
 def phrase_table(df, tokens, min_count=fixed.PHRASE_MIN_COUNT, threshold=fixed.PHRASE_THRESHOLD) -> DataFrame:
     """Neighbouring word pairs whose score passes the threshold.
 
     score = (n_ab - min_count) * V / (n_a * n_b), V the number of distinct
-    words and pairs together.
+    words and pairs together. Words are counted first and the most frequent ones
+    numbered, so that most pairs are counted by number.
     """
-    # one scan: words and pairs (joined by a mark) are counted inside the row first
-    both = df.select(F.concat(F.col(tokens), F.transform(
-        pairs_of(tokens), lambda p: F.concat(p["src"], F.lit(PAIR_MARK), p["dst"]))).alias("_t"))
-    counts = settle(term_totals(both, "_t").withColumnRenamed("tf", "n"))
-    size = counts.count()
-    is_pair = F.col("term").contains(PAIR_MARK)
-    words = counts.where(~is_pair)
+    import numpy as np
+    import pyarrow as pa
+
+    words = settle(_word_stats(df, tokens).select("term", F.col("tf").alias("n")))
+    known = words.where(F.col("term").isNotNull()).orderBy(F.desc("n")).limit(PAIRED).select("term").toArrow().column("term").combine_chunks()
+    pairs = settle(_pair_counts(df, tokens, known))
+    size = words.count() + pairs.count()
     # pairs at or below min_count cannot pass, whatever their words
-    pairs = counts.where(is_pair & (F.col("n") > min_count)).select(
-        F.split_part("term", F.lit(PAIR_MARK), F.lit(1)).alias("a"),
-        F.split_part("term", F.lit(PAIR_MARK), F.lit(2)).alias("b"), F.col("n").alias("n_ab"))
-    scored = (pairs.join(words.toDF("a", "n_a"), "a").join(words.toDF("b", "n_b"), "b")
+    kept = pairs.where(F.col("n") > min_count).withColumnRenamed("n", "n_ab")
+    names = F.broadcast(df.sparkSession.createDataFrame(pa.table({"i": np.arange(len(known)), "w": known})))
+    a, b = (names.select(F.col("i").alias(f"_{c}"), F.col("w").alias(c)) for c in "ab")
+    n = max(len(known), 1)
+    coded = kept.where(F.col("pair").isNotNull()).select(F.expr(f"pair div {n}").alias("_a"), (F.col("pair") % n).alias("_b"), "n_ab")
+    coded = coded.join(a, "_a").join(b, "_b").select("a", "b", "n_ab")
+    both = coded.unionByName(kept.where(F.col("pair").isNull()).select("a", "b", "n_ab"))
+    scored = (both.join(words.toDF("a", "n_a"), "a").join(words.toDF("b", "n_b"), "b")
               .withColumn("score", (F.col("n_ab") - min_count) * F.lit(float(size)) / F.col("n_a") / F.col("n_b")))
     return scored.where(F.col("score") > threshold).select("a", "b", "n_ab", "n_a", "n_b", "score")
 
@@ -361,11 +535,72 @@ def collocations(df, doc, tokens, min_count=fixed.PHRASE_MIN_COUNT, threshold=fi
     """Append ``a_b`` for every phrase found in a document, left to right and
     without overlap.
 
-    Neighbours are tested against a filter of the phrases inside the row, so
-    that little more than the phrases themselves is exploded and looked up.
+    A phrase table of few bytes is broadcast and looked up inside the row. Rows
+    that share an id have the phrases of all of them; these, and rows under a
+    larger table, meet their phrases in a join.
     """
     phrases = phrase_table(df, tokens, min_count, threshold) if phrases is None else phrases
-    phrases = settle(phrases.select("a", "b"))
+    phrases = settle(phrases.select("a", "b").dropna())
+    if phrases.isEmpty():
+        return df
+    if not fits(phrases):
+        return _joined_phrases(df, doc, tokens, phrases)
+    shared = settle(df.where(F.col(doc).isNotNull()).groupBy(doc).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > 1).select(doc))
+    if shared.isEmpty():
+        return _looked_up_phrases(df, doc, tokens, phrases)
+    apart = _looked_up_phrases(df.join(shared, doc, "left_anti"), doc, tokens, phrases)
+    return apart.unionByName(_joined_phrases(df.join(shared, doc, "left_semi"), doc, tokens, phrases))
+
+
+def _looked_up_phrases(df, doc, tokens, phrases) -> DataFrame:
+    """``collocations`` of rows with an id each; a row without id has none."""
+    import numpy as np
+    import pyarrow as pa
+    import pyarrow.compute as pc
+
+    table = phrases.distinct().toArrow()
+    a, b = (table.column(c).combine_chunks() for c in "ab")
+    words = pc.unique(pa.concat_arrays([a, b]))
+    size = max(len(words), 1)
+    code = pc.index_in(a, words).to_numpy().astype(np.int64) * size + pc.index_in(b, words).to_numpy()
+    order = np.argsort(code)
+    joined = pc.binary_join_element_wise(a, b, "_").take(pa.array(order))
+    # a number beyond all pairs ends the list, so that every search has a hit
+    share = df.sparkSession.sparkContext.broadcast((words, np.append(code[order], np.iinfo(np.int64).max), joined))
+
+    def run(batches):
+        words, codes, joined = share.value
+        for batch in batches:
+            lists = batch.column(tokens)
+            row, flat = pc.list_parent_indices(lists).to_numpy(), pc.list_flatten(lists)
+            coded = flat.dictionary_encode()
+            number = np.append(pc.fill_null(pc.index_in(coded.dictionary, words), -1).to_numpy().astype(np.int64), -1)
+            at = number[pc.fill_null(coded.indices, len(number) - 1).to_numpy()]
+            named = pc.is_valid(batch.column(doc)).to_numpy(zero_copy_only=False)
+            first = np.flatnonzero((row[1:] == row[:-1]) & (at[1:] >= 0) & (at[:-1] >= 0) & named[row[:-1]])
+            pair = at[first] * size + at[first + 1]
+            place = np.searchsorted(codes, pair)
+            first, place = first[codes[place] == pair], place[codes[place] == pair]
+            # of hits that overlap in a chain every second is taken; hits of two rows are apart by a word
+            starts = np.flatnonzero(np.diff(first, prepend=-2) != 1)
+            nth = np.arange(len(first)) - np.repeat(starts, np.diff(np.append(starts, len(first))))
+            first, place = first[nth % 2 == 0], place[nth % 2 == 0]
+            # a row's phrases stand after its words
+            order = np.argsort(np.concatenate([row, row[first]]), kind="stable")
+            merged = pa.concat_arrays([flat, joined.take(pa.array(place))]).take(pa.array(order))
+            each = pc.fill_null(pc.list_value_length(lists), 0).to_numpy() + np.bincount(row[first], minlength=batch.num_rows)
+            bounds = pa.array(np.append(0, np.cumsum(each)).astype(np.int32), mask=np.append(pc.is_null(lists).to_numpy(zero_copy_only=False), False))
+            made = pa.ListArray.from_arrays(bounds, merged)
+            yield pa.RecordBatch.from_arrays([made if c == tokens else batch.column(c) for c in names], names=names)
+
+    names = [doc, *[c for c in df.columns if c != doc]]
+    return df.select(*names).mapInArrow(run, df.select(*names).schema)
+
+
+def _joined_phrases(df, doc, tokens, phrases) -> DataFrame:
+    """``collocations`` by a join. Neighbours are tested against a filter of the
+    phrases inside the row, so that little more than the phrases themselves is
+    exploded and looked up."""
     may_hold = phrase_filter(phrases)
     if may_hold is None:
         return df

@@ -17,7 +17,7 @@ from pyspark.ml.linalg import DenseMatrix
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from panelweave.operators.features import nonzero, term_stats_by
+from panelweave.operators.features import fit_grams_by, nonzero, term_stats_by
 from panelweave.session import settle
 
 # Steps of a document's own inference, and the mean change at which it stops.
@@ -316,7 +316,7 @@ def shares_of(encoded, model, beta, alpha, k, prefix="topic_", to_end=False, non
 
 
 def fit_many(rows, model, terms, k=15, max_iter=10, min_df=50, max_df=0.8, max_terms=10_000, alpha=0.5, eta=0.01,
-             seed=42, keep=(), prefix="topic_") -> Fitted:
+             seed=42, keep=(), prefix="topic_", words=None, extra=None) -> Fitted:
     """Fit one topic model for each value of ``model``.
 
     ``rows`` has one row per document and model, with a list of ``terms``. The
@@ -325,15 +325,22 @@ def fit_many(rows, model, terms, k=15, max_iter=10, min_df=50, max_df=0.8, max_t
     An iteration is one job for all models: the topics (models x terms x k
     numbers) are broadcast, the statistics summed by (model, term). Fits are the
     same one at a time or together, since a model's start depends on its name.
-    A null model is left out; null and empty lists have even shares.
+    A null model is left out; null and empty lists have even shares. Where
+    ``terms`` are the words and pairs of ``words`` and the terms of ``extra``, they
+    are counted by number (``features.fit_grams_by``).
     """
     spark = rows.sparkSession
-    rows = settle(rows.select(*keep, model, terms).where(F.col(model).isNotNull()))
-    vocab = vocabularies(rows, model, terms, min_df, max_df, max_terms)
     share = spark.sparkContext.broadcast
-    places = share({m: {t: i for i, t in enumerate(v)} for m, v in vocab.items()})
-    known = rows.where(F.col(model).isin(list(vocab))) if vocab else rows.where(F.lit(False))
-    encoded = settle(encode(known, model, terms, places))
+    rows = rows.where(F.col(model).isNotNull())
+    made = fit_grams_by(rows, model, words, extra, list(keep), max_terms, min_df, max_df) if words else None
+    if made:
+        vocab, encoded = made
+    else:
+        rows = settle(rows.select(*keep, model, terms))
+        vocab = vocabularies(rows, model, terms, min_df, max_df, max_terms)
+        places = share({m: {t: i for i, t in enumerate(v)} for m, v in vocab.items()})
+        known = rows.where(F.col(model).isin(list(vocab))) if vocab else rows.where(F.lit(False))
+        encoded = settle(encode(known, model, terms, places))
     topics = {m: start(m, len(v), k, seed) for m, v in vocab.items()}
     for _ in range(max_iter if vocab else 0):
         beta = share({m: expected_log(t).T.copy() for m, t in topics.items()})

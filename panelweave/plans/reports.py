@@ -83,13 +83,14 @@ def macro_mix(mix, macro_of: dict, keys=("period",), author="author") -> DataFra
 
 
 def author_topics_by_period(docs, date, author, terms, periods, doc="doc_id", k=15, max_iter=10,
-                            families=None, family=None, min_df=fixed.DICT_NO_BELOW, seed=fixed.SEED) -> DataFrame:
+                            families=None, family=None, min_df=fixed.DICT_NO_BELOW, seed=fixed.SEED, words=None, extra=None) -> DataFrame:
     """One topic model per period (and topic family), averaged per author.
 
     ``families`` maps a family name to the values of column ``family``. All
     models are fitted together (``topics.fit_many``): a document stands once for
     each model it belongs to, and every pass serves all models. A model without
-    a term in ``min_df`` documents has no rows.
+    a term in ``min_df`` documents has no rows. ``words`` and ``extra`` name what
+    ``terms`` are made of, see ``topics.fit_many``.
     """
     families = families or {"all": None}
     models_of = {}
@@ -97,9 +98,10 @@ def author_topics_by_period(docs, date, author, terms, periods, doc="doc_id", k=
         for tag, values in families.items():
             inside = F.month(date).isin(list(months))
             models_of[f"{name}/{tag}"] = inside if values is None else inside & F.col(family).isin(list(values))
-    rows = docs.select(doc, author, terms, F.explode(F.filter(F.array(*[
+    parts = [c for c in (words, extra) if c]
+    rows = docs.select(doc, author, terms, *parts, F.explode(F.filter(F.array(*[
         F.when(F.coalesce(c, F.lit(False)), F.lit(m)) for m, c in models_of.items()]), lambda m: m.isNotNull())).alias("model"))
-    fitted = topics.fit_many(rows, "model", terms, k, max_iter, min_df, fixed.MAX_DF, fixed.MAX_FEATURES, 0.5, 0.01, seed, keep=[author])
+    fitted = topics.fit_many(rows, "model", terms, k, max_iter, min_df, fixed.MAX_DF, fixed.MAX_FEATURES, 0.5, 0.01, seed, keep=[author], words=words, extra=extra)
     mix = models.author_topic_mix(fitted.shares, author, k, extra=["model"])
     words = fitted.terms.withColumn("topic", F.concat_ws("/", "model", "topic"))
     words = models.top_words(words, 30).withColumn("model", F.substring_index("topic", "/", 2)).withColumn("topic", F.substring_index("topic", "/", -1))

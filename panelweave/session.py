@@ -84,6 +84,14 @@ def drop_scratch(spark: SparkSession, path: str) -> None:
     where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
 
 
+def store(df: DataFrame, name: str) -> tuple[DataFrame, str]:
+    """(stored copy, its path): Parquet below the shared folder, smaller than a
+    checkpoint for lists of words and read by column."""
+    path = scratch_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path), path
+
+
 def settle(df: DataFrame) -> DataFrame:
     """Write ``df`` to the checkpoint folder and return the stored copy.
 

@@ -201,6 +201,40 @@ def test_phrases_are_filtered_inside_the_row(spark):
     assert features.collocations(df, "id", "tokens", phrases=none).count() == len(docs)
 
 
+@pytest.mark.parametrize("most", [1 << 18, 40, 0])
+def test_phrases_counted_by_number_equal_plain_counts(spark, monkeypatch, most):
+    rng = np.random.default_rng(8)
+    docs = [[f"w{int(v)}" for v in rng.zipf(1.3, 40) if v < 300] for _ in range(150)]
+    df = spark.createDataFrame([*enumerate(docs), (900, []), (901, None), (902, ["w1"])], "id long, t array<string>").repartition(4)
+    n, pairs = {}, {}
+    for d in [*docs, ["w1"]]:
+        for w in d:
+            n[w] = n.get(w, 0) + 1
+        for p in zip(d, d[1:]):
+            pairs[p] = pairs.get(p, 0) + 1
+    want = {p: (c, n[p[0]], n[p[1]], (c - 2) * (len(n) + len(pairs)) / n[p[0]] / n[p[1]]) for p, c in pairs.items() if c > 2}
+    monkeypatch.setattr(features, "PAIRED", most)
+    got = {(r["a"], r["b"]): tuple(r)[2:] for r in features.phrase_table(df, "t", 2, 1.5).collect()}
+    assert got and got.keys() == {p for p, v in want.items() if v[3] > 1.5}
+    assert all(np.allclose(v, want[p]) for p, v in got.items())
+
+
+def test_phrases_of_rows_that_share_an_id(spark, monkeypatch):
+    docs = [(1, ["a", "b", "a", "b", "c"]), (2, ["b", "c", "x"]), (2, ["x", "a", "b", "c"]), (3, ["a"]), (4, None), (None, ["a", "b"])]
+    df = spark.createDataFrame(docs, "id long, t array<string>").withColumn("kept", F.size("t"))
+    table = spark.createDataFrame([("a", "b"), ("b", "c"), ("b", "a"), ("a", "b"), (None, "a")], "a string, b string")
+
+    def found(rows):
+        return sorted((r["id"] or 0, r["t"] or [], r["kept"]) for r in features.collocations(rows, "id", "t", phrases=table).collect())
+
+    looked_up = found(df)
+    assert looked_up[0][1] == ["a", "b"] and looked_up[1][1] == docs[0][1] + ["a_b", "a_b"]
+    alone = features.collocations(df.where("id in (1, 3, 4)"), "id", "t", phrases=table)
+    assert "Join" not in alone._jdf.queryExecution().toString()
+    monkeypatch.setattr(features, "fits", lambda table: False)
+    assert found(df) == looked_up
+
+
 # Lasso
 
 def lasso_rows():
@@ -436,6 +470,29 @@ def test_models_fitted_together_equal_separate_ones(spark):
         assert len(pairs) == 3
 
 
+def test_models_of_numbered_grams_equal_those_of_terms(spark, monkeypatch):
+    rng = np.random.default_rng(12)
+    rows = [(i, author, part, terms and terms[:rng.integers(26)], terms and [f"a{rng.integers(4)}_a1", "a1"][:rng.integers(3)]) for i, author, part, terms in topic_corpus()]
+    df = spark.createDataFrame(rows, "id long, author string, part string, words array<string>, found array<string>").repartition(5)
+    df = df.withColumn("terms", F.concat(features.ngrams("words"), "found"))
+    made = spark.sparkContext.accumulator(0)
+    cut = F.udf(lambda t: made.add(1) or t, "array<string>")
+    limits = {"k": 3, "max_iter": 3, "min_df": 3, "keep": ["id"]}
+    for most in (10_000, 60, 30):
+        plain = topics.fit_many(df, "part", "terms", max_terms=most, **limits)
+        coded = topics.fit_many(df.withColumn("terms", cut("terms")), "part", "terms", max_terms=most, words="words", extra="found", **limits)
+        want, got = ({(r["part"], r["topic"], r["term"]): r["weight"] for r in f.terms.collect()} for f in (plain, coded))
+        assert want.keys() == got.keys() and all(any(mark in k[2] for k in got) == (most > 30) for mark in " _")
+        assert np.allclose([want[k] for k in want], [got[k] for k in want])
+        shares = [f.shares.toPandas().sort_values("id").reset_index(drop=True) for f in (plain, coded)]
+        assert len(shares[1]) == 242 and list(shares[1]["part"]) == list(shares[0]["part"]) and np.allclose(*[x[["topic_0", "topic_1", "topic_2"]] for x in shares])
+    # lists of terms are not made
+    assert made.value == 0
+    assert topics.fit_many(df, "part", "terms", **{**limits, "min_df": 500}, words="words", extra="found").terms.count() == 0
+    monkeypatch.setattr(features, "NUMBERED", 0)
+    assert features.fit_grams_by(df, "part", "words", "found", ["id"], 30, 3, 1.0) is None
+
+
 def test_a_model_without_terms_is_left_out(spark):
     df = spark.createDataFrame(topic_corpus()[:9], "id long, author string, part string, terms array<string>")
     none = topics.fit_many(df, "part", "terms", k=3, min_df=50, keep=["id"])
