@@ -13,7 +13,7 @@ from panelweave.operators import (
     aggregates, decompose, eventstudy, features, filters, graph, joins, models, ordering, reshape, stats, topics, windows,
 )
 from panelweave.operators.spread import quantiles_many
-from panelweave.session import settle
+from panelweave.session import drop_scratch, settle, store
 
 
 def weekly_series(panel, tags, bins, groups, week="week_start", bin_col="score_bin", value=None) -> DataFrame:
@@ -63,12 +63,13 @@ def text_topics(posts, doc, text_col, k=20, stop_words=(), phrases=False, min_df
                 max_iter=20, seed=fixed.SEED):
     """Clean, tokenise, optionally add phrases, fit topics; returns the
     documents with their topics, the term weights and the best documents."""
-    rows = posts.withColumn("tokens", textfn.tokenize(textfn.clean_post(text_col), stop_words))
+    # cleaning is costly, and phrases and vocabulary take several passes
+    rows, path = store(posts.withColumn("tokens", textfn.tokenize(textfn.clean_post(text_col), stop_words)), "words")
     if phrases:
-        # cleaning is costly, and phrases take several passes
-        rows = features.collocations(settle(rows), doc, "tokens")
+        rows = features.collocations(rows, doc, "tokens")
     rows = rows.withColumn("terms", features.ngrams("tokens"))
     bow, model, counted = models.fit_lda(rows, "terms", k, seed, max_iter, min_df, keep=posts.columns, words="tokens")
+    drop_scratch(posts.sparkSession, path)
     assigned = models.topic_assign(model, counted)
     terms = models.topic_terms(model, bow, posts.sparkSession)
     best = models.top_docs(assigned, doc, text_col, k)

@@ -235,6 +235,16 @@ def test_phrases_of_rows_that_share_an_id(spark, monkeypatch):
     assert found(df) == looked_up
 
 
+def test_texts_are_cleaned_once(spark):
+    rows = [(i, f"alpha beta w{i % 5} gamma delta" if i % 2 else f"rho sigma v{i % 7} tau") for i in range(120)]
+    read = spark.sparkContext.accumulator(0)
+    seen = F.udf(lambda t: read.add(1) or t)
+    posts = spark.createDataFrame(rows, "id long, text string").withColumn("text", seen("text"))
+    for phrases in (False, True):
+        reports.text_topics(posts, "id", "text", k=2, min_df=2, max_iter=2, phrases=phrases)
+    assert read.value == 2 * 120
+
+
 # Lasso
 
 def lasso_rows():
